@@ -130,3 +130,60 @@ def q_last_30_days(spark, sf_dir):
 @query("last_n_observations")
 def q_last_n(spark, sf_dir):
     return se.last_n_observations(_prepared(spark, sf_dir), 30)
+
+
+# ---- D6-D11, E7, E12, F8: months ----------------------------------------
+
+from shelfcast.operators import monthly as mo  # noqa: E402
+from shelfcast.operators import weekday as wk  # noqa: E402
+
+
+def _monthly(spark, sf_dir):
+    s = sales(spark, sf_dir)
+    return mo.monthly_sales(s, se.daily_sales(s))
+
+
+@query("monthly_sales")
+def q_monthly_sales(spark, sf_dir):
+    return _monthly(spark, sf_dir)
+
+
+@query("monthly_summary")
+def q_monthly_summary(spark, sf_dir):
+    return mo.monthly_summary(_monthly(spark, sf_dir))
+
+
+@query("monthly_seasonality")
+def q_monthly_seasonality(spark, sf_dir):
+    return mo.monthly_seasonality(_monthly(spark, sf_dir))
+
+
+@query("recent_months")
+def q_recent_months(spark, sf_dir):
+    return mo.recent_months(_monthly(spark, sf_dir), 6)
+
+
+# ---- D12-D16: weekdays ----------------------------------------------------
+
+def _weekdays(spark, sf_dir):
+    return wk.weekday_sales(se.daily_sales(sales(spark, sf_dir)))
+
+
+@query("weekday_sales")
+def q_weekday_sales(spark, sf_dir):
+    return _weekdays(spark, sf_dir)
+
+
+@query("weekday_extremes")
+def q_weekday_extremes(spark, sf_dir):
+    return wk.weekday_extremes(_weekdays(spark, sf_dir))
+
+
+@query("weekday_strength")
+def q_weekday_strength(spark, sf_dir):
+    return wk.weekday_strength(_weekdays(spark, sf_dir))
+
+
+@query("week_weekday_matrix")
+def q_week_weekday_matrix(spark, sf_dir):
+    return wk.week_weekday_matrix(se.daily_sales(sales(spark, sf_dir)))

@@ -185,3 +185,97 @@ select store, segment, avg(y) as last30_mean, sum(y) as last30_sum from (
   select *, row_number() over (partition by store, segment order by ds desc) as rk from prepared)
 where rk <= 30 group by store, segment""",
 }
+
+
+MONTHLY = """msum as (
+  select store, segment, date_trunc('month', sale_date) as month, cast(sum(qty) as double) as qty,
+         cast(coalesce(sum(amount), 0) as double) as amount,
+         count(distinct article) as unique_products
+  from scoped group by store, segment, date_trunc('month', sale_date)),
+monthly as (
+  select store, segment, cast(month as date) as month, qty, amount, unique_products,
+         case when qty > 0 then amount / qty else 0 end as avg_price,
+         case when unique_products <> 0 then qty / unique_products end as intensity,
+         (qty - lag(qty) over w) / nullif(lag(qty) over w, 0) * 100 as mom_qty_pct,
+         (amount - lag(amount) over w) / nullif(lag(amount) over w, 0) * 100 as mom_amount_pct
+  from msum window w as (partition by store, segment order by month))"""
+
+WEEKDAYS = """wd as (
+  select store, segment, cast(isodow(ds) - 1 as integer) as weekday, dayname(min(ds)) as weekday_name,
+         sum(y) as qty, cast(sum(amount) as double) as amount
+  from daily group by store, segment, isodow(ds)),
+weekdays as (
+  select store, segment, weekday, weekday_name, qty, amount,
+         case when qty <> 0 then amount / qty end as avg_price,
+         qty / nullif(sum(qty) over (partition by store, segment), 0) * 100 as qty_pct
+  from wd)"""
+
+ORACLE.update({
+    "monthly_sales": with_(SALES, SCOPED, MONTHLY) + "select * from monthly",
+
+    "monthly_summary": with_(SALES, SCOPED, MONTHLY) + """,
+r as (select *, row_number() over (partition by store, segment order by month) as a,
+             row_number() over (partition by store, segment order by month desc) as d from monthly),
+s as (select store, segment, count(*) as months, avg(qty) as mean_qty, avg(amount) as mean_amount,
+             max(qty) filter (where d = 1) as last_qty, max(qty) filter (where d = 2) as prev_qty,
+             max(amount) filter (where d = 1) as last_amount,
+             max(unique_products) filter (where d = 1) as last_products,
+             avg(unique_products) as mean_products,
+             max(avg_price) filter (where d = 1) as last_price,
+             avg(avg_price) as mean_price, stddev_samp(avg_price) as std_price,
+             avg(avg_price) filter (where d <= 3) as recent_price,
+             avg(avg_price) filter (where a <= 3) as early_price
+      from r group by store, segment)
+select store, segment, months, mean_qty, mean_amount, last_qty, prev_qty, last_amount,
+       last_qty - mean_qty as last_vs_mean_qty, last_amount - mean_amount as last_vs_mean_amount,
+       case when months >= 2 then (last_qty / nullif(prev_qty, 0) - 1) * 100 end as mom_growth_pct,
+       last_products, mean_products, last_price, mean_price, std_price,
+       std_price < mean_price * 0.2 as price_stable,
+       case when months >= 3 then recent_price end as recent_price,
+       case when months >= 3 then early_price end as early_price,
+       mean_qty * 1.2 as stock_target_month, mean_amount * 1.1 as revenue_target_month
+from s""",
+
+    "monthly_seasonality": with_(SALES, SCOPED, MONTHLY) + """
+select store, segment, months, seasonality_std, seasonality_std > mean_qty * 0.3 as high_seasonality
+from (select store, segment, count(*) as months, avg(qty) as mean_qty from monthly group by store, segment) t
+join (select store, segment, stddev_samp(mq) as seasonality_std
+      from (select store, segment, month(month) as mn, avg(qty) as mq from monthly group by store, segment, month(month))
+      group by store, segment) u using (store, segment)
+where months >= 6""",
+
+    "recent_months": with_(SALES, SCOPED, MONTHLY) + """
+select store, segment, month, qty, amount, unique_products, avg_price, intensity, mom_qty_pct, mom_amount_pct
+from (select *, row_number() over (partition by store, segment order by month desc) as rk from monthly)
+where rk <= 6""",
+
+    "weekday_sales": with_(SALES, SCOPED, DAILY, WEEKDAYS) + "select * from weekdays",
+
+    "weekday_extremes": with_(SALES, SCOPED, DAILY, WEEKDAYS) + """
+select store, segment,
+       (array_agg(weekday order by qty desc, weekday))[1] as best_weekday,
+       (array_agg(weekday order by qty, weekday))[1] as worst_weekday,
+       (array_agg(weekday order by amount desc, weekday))[1] as best_weekday_amount,
+       stddev_samp(qty) as weekday_std, min(qty) as weekday_min, avg(qty) as weekday_mean,
+       min(qty) < avg(qty) * 0.7 as weak_day_gap,
+       (array_agg(weekday order by qty desc, weekday))[1] in (5, 6) as peak_on_weekend
+from weekdays group by store, segment""",
+
+    "weekday_strength": with_(SALES, SCOPED, DAILY, WEEKDAYS) + """
+select store, segment, weekday, qty,
+       case when qty < avg(qty) over (partition by store, segment) * 0.8 then 'weak'
+            when qty > avg(qty) over (partition by store, segment) * 1.2 then 'strong'
+            else 'normal' end as strength
+from weekdays""",
+
+    "week_weekday_matrix": with_(SALES, SCOPED, DAILY) + """
+select store, segment, cast(weekofyear(ds) as integer) as iso_week,
+       coalesce(sum(y) filter (where isodow(ds) = 1), 0) as mon,
+       coalesce(sum(y) filter (where isodow(ds) = 2), 0) as tue,
+       coalesce(sum(y) filter (where isodow(ds) = 3), 0) as wed,
+       coalesce(sum(y) filter (where isodow(ds) = 4), 0) as thu,
+       coalesce(sum(y) filter (where isodow(ds) = 5), 0) as fri,
+       coalesce(sum(y) filter (where isodow(ds) = 6), 0) as sat,
+       coalesce(sum(y) filter (where isodow(ds) = 7), 0) as sun
+from daily group by store, segment, weekofyear(ds)""",
+})
