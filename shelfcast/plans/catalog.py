@@ -187,3 +187,83 @@ def q_weekday_strength(spark, sf_dir):
 @query("week_weekday_matrix")
 def q_week_weekday_matrix(spark, sf_dir):
     return wk.week_weekday_matrix(se.daily_sales(sales(spark, sf_dir)))
+
+
+# ---- H1-H4, E8-E10, C1, D1, D18-D25, F1-F6: products ----------------------
+
+from shelfcast.operators import products as pr  # noqa: E402
+
+
+def _trend(spark, sf_dir):
+    s = sales(spark, sf_dir)
+    return pr.product_trend(s, se.daily_sales(s))
+
+
+@query("product_trend")
+def q_product_trend(spark, sf_dir):
+    return _trend(spark, sf_dir)
+
+
+@query("align_periods")
+def q_align_periods(spark, sf_dir):
+    s = sales(spark, sf_dir)
+    return pr.align_periods(s, se.daily_sales(s))
+
+
+@query("abc_classify")
+def q_abc_classify(spark, sf_dir):
+    return pr.abc_classify(_trend(spark, sf_dir))
+
+
+@query("abc_summary")
+def q_abc_summary(spark, sf_dir):
+    return pr.abc_summary(pr.abc_classify(_trend(spark, sf_dir)))
+
+
+@query("top_class_a")
+def q_top_class_a(spark, sf_dir):
+    s = sales(spark, sf_dir)
+    daily = se.daily_sales(s)
+    return pr.top_class_a(pr.abc_classify(pr.product_trend(s, daily)), daily, 10)
+
+
+@query("top_by_revenue")
+def q_top_by_revenue(spark, sf_dir):
+    return pr.top_by_revenue(_trend(spark, sf_dir), 20)
+
+
+@query("top_stable")
+def q_top_stable(spark, sf_dir):
+    return pr.top_stable(_trend(spark, sf_dir), 20)
+
+
+@query("top_declining")
+def q_top_declining(spark, sf_dir):
+    return pr.top_declining(_trend(spark, sf_dir), 20)
+
+
+@query("product_kpis")
+def q_product_kpis(spark, sf_dir):
+    return pr.product_kpis(_trend(spark, sf_dir))
+
+
+@query("top_models_by_segment")
+def q_top_models_by_segment(spark, sf_dir):
+    return pr.top_models_by_segment(sales(spark, sf_dir), 10)
+
+
+@query("scope_kpis")
+def q_scope_kpis(spark, sf_dir):
+    s = sales(spark, sf_dir)
+    return pr.scope_kpis(s, se.daily_sales(s))
+
+
+@query("dataset_overview")
+def q_dataset_overview(spark, sf_dir):
+    return pr.dataset_overview(sales(spark, sf_dir))
+
+
+@query("line_window_sums")
+def q_line_window_sums(spark, sf_dir):
+    s = tpch.sales_view(spark, sf_dir, with_keys=True)
+    return pr.line_window_sums(s, se.daily_sales(s), 30, ["sale_date", *tpch.LINE_KEY])

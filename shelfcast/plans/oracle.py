@@ -279,3 +279,132 @@ select store, segment, cast(weekofyear(ds) as integer) as iso_week,
        coalesce(sum(y) filter (where isodow(ds) = 7), 0) as sun
 from daily group by store, segment, weekofyear(ds)""",
 })
+
+
+TREND = """bounds as (select store, segment, min(sale_date) as first_date, max(sale_date) as last_date
+                 from scoped group by store, segment),
+trend0 as (
+  select s.store, s.segment, model, cast(sum(qty) as double) as total_qty,
+         cast(coalesce(sum(amount), 0) as double) as total_revenue,
+         cast(coalesce(sum(qty) filter (where date_diff('day', first_date, sale_date) * 2 < date_diff('day', first_date, last_date)), 0) as double) as period1_qty,
+         cast(coalesce(sum(qty) filter (where date_diff('day', first_date, sale_date) * 2 >= date_diff('day', first_date, last_date)), 0) as double) as period2_qty,
+         min(sale_date) as first_sale, max(sale_date) as last_sale
+  from scoped s join bounds b on s.store = b.store and s.segment = b.segment
+  where model is not null group by s.store, s.segment, model),
+trend as (
+  select *, case when period1_qty > 0 then (period2_qty - period1_qty) / period1_qty * 100 else 0 end as change_pct
+  from trend0)"""
+
+ABC = """abc as (
+  select store, segment, model, total_qty, total_revenue,
+         sum(total_revenue) over (partition by store, segment order by total_revenue desc, model
+                                  rows between unbounded preceding and current row) as cumulative_revenue,
+         sum(total_revenue) over (partition by store, segment order by total_revenue desc, model
+                                  rows between unbounded preceding and current row)
+           / nullif(sum(total_revenue) over (partition by store, segment), 0) * 100 as cumulative_pct
+  from trend),
+abcc as (select *, case when cumulative_pct <= 80 then 'A' when cumulative_pct <= 95 then 'B' else 'C' end as abc_class
+         from abc)"""
+
+ORACLE.update({
+    "product_trend": with_(SALES, SCOPED, TREND) + """
+select *, 100 - least(abs(change_pct), 100) as stability, date_diff('day', first_sale, last_sale) as days_active
+from trend""",
+
+    "align_periods": with_(SALES, SCOPED, TREND) + """
+select store, segment, model, total_qty, period1_qty, period2_qty from trend""",
+
+    "abc_classify": with_(SALES, SCOPED, TREND, ABC) + "select * from abcc",
+
+    "abc_summary": with_(SALES, SCOPED, TREND, ABC) + """
+select store, segment, abc_class, count(*) as products, sum(total_revenue) as revenue,
+       round_even(sum(total_revenue) / nullif(sum(sum(total_revenue)) over (partition by store, segment), 0) * 100, 2)
+         as revenue_share_pct
+from abcc group by store, segment, abc_class""",
+
+    "top_class_a": with_(SALES, SCOPED, TREND, ABC) + """,
+tot as (select store, segment, cast(coalesce(sum(amount), 0) as double) as sa from scoped group by store, segment)
+select a.store, a.segment, rank, model, total_qty, total_revenue,
+       round_even(total_revenue / nullif(sa, 0) * 100, 2) as revenue_share_pct
+from (select *, row_number() over (partition by store, segment order by total_revenue desc, model) as rank
+      from abcc where abc_class = 'A') a
+join tot t on a.store = t.store and a.segment = t.segment where rank <= 10""",
+
+    "top_by_revenue": with_(SALES, SCOPED, TREND) + """
+select store, segment, rank, model, total_qty, total_revenue, change_pct,
+       100 - least(abs(change_pct), 100) as stability,
+       case when total_qty <> 0 then total_revenue / total_qty end as avg_price
+from (select *, row_number() over (partition by store, segment order by total_revenue desc, model) as rank
+      from trend) where rank <= 20""",
+
+    "top_stable": with_(SALES, SCOPED, TREND) + """
+select store, segment, rank, model, total_qty, total_revenue,
+       case when total_qty <> 0 then total_revenue / total_qty end as avg_price, change_pct, stability
+from (select *, row_number() over (partition by store, segment order by stability desc, model) as rank
+      from (select *, 100 - least(abs(change_pct), 100) as stability from trend
+            where period1_qty > 0 and period2_qty > 0)) where rank <= 20""",
+
+    "top_declining": with_(SALES, SCOPED, TREND) + """
+select store, segment, rank, model, total_qty, period1_qty, period2_qty, change_pct, change_pct < -50 as critical
+from (select *, row_number() over (partition by store, segment order by change_pct, model) as rank
+      from trend where change_pct < 0) where rank <= 20""",
+
+    "product_kpis": with_(SALES, SCOPED, TREND) + """
+select store, segment, count(*) as models,
+       count(*) filter (where change_pct > 20) as growing_count,
+       count(*) filter (where change_pct < -20) as declining_count,
+       count(*) filter (where change_pct between -20 and 20) as stable_count,
+       sum(total_revenue) filter (where rk <= 5) / nullif(sum(total_revenue), 0) * 100 as top5_share_pct,
+       sum(total_revenue) filter (where rk <= 10) / nullif(sum(total_revenue), 0) * 100 as top10_share_pct,
+       max(model) filter (where rk = 1) as leader_model,
+       max(total_revenue) filter (where rk = 1) as leader_revenue,
+       count(*) filter (where rk <= 20 and change_pct > 20) as top20_growing
+from (select *, row_number() over (partition by store, segment order by total_revenue desc, model) as rk from trend)
+group by store, segment""",
+
+    "top_models_by_segment": with_(SALES, SCOPED) + """
+select store, segment, rank, model, qty, amount, case when qty > 0 then amount / qty else 0 end as price
+from (select *, row_number() over (partition by store, segment order by amount desc, model) as rank
+      from (select store, segment, model, cast(sum(qty) as double) as qty,
+                   cast(coalesce(sum(amount), 0) as double) as amount
+            from scoped where model is not null group by store, segment, model))
+where rank <= 10""",
+
+    "scope_kpis": with_(SALES, SCOPED) + """,
+pd as (select store, segment, sale_date, count(distinct article) as arts, sum(qty) as q
+       from scoped group by store, segment, sale_date),
+pda as (select store, segment, sum(arts) as art_days, count(*) as days from pd group by store, segment),
+l as (select store, segment, count(*) as lines, cast(sum(qty) as double) as total_qty,
+             cast(coalesce(sum(amount), 0) as double) as total_amount,
+             avg(price) as mean_line_price, cast(avg(amount) as double) as mean_line_amount,
+             min(sale_date) as f, max(sale_date) as t
+      from scoped group by store, segment)
+select l.store, l.segment, lines, total_qty, total_amount, total_amount / lines as avg_ticket,
+       lines / (date_diff('day', f, t) + 1) as lines_per_day, mean_line_amount, mean_line_price,
+       case when art_days / days > 0 then (total_qty / days) / (art_days / days) else 0 end as sell_through,
+       case when total_qty > 0 then total_amount / total_qty else 0 end as weighted_price
+from l join pda on l.store = pda.store and l.segment = pda.segment""",
+
+    "dataset_overview": with_(SALES) + """
+select count(*) as lines, count(distinct article) as articles, count(distinct store) as stores,
+       count(distinct segment) as segments, min(sale_date) as first_date, max(sale_date) as last_date,
+       cast(coalesce(sum(amount), 0) as double) as total_amount,
+       (select avg(cast(q as double)) from (select sum(qty) as q from sales group by sale_date)) as avg_daily_qty
+from sales""",
+
+    "line_window_sums": with_(SALES, SCOPED) + """,
+r as (select *, row_number() over (partition by store, segment
+                  order by sale_date, l_orderkey, l_linenumber, l_partkey, l_suppkey) as a,
+              row_number() over (partition by store, segment
+                  order by sale_date desc, l_orderkey desc, l_linenumber desc, l_partkey desc, l_suppkey desc) as d
+      from scoped),
+g as (select store, segment, count(*) as lines,
+             sum(qty) filter (where a <= 30) as hq, sum(qty) filter (where d <= 30) as tq,
+             sum(amount) filter (where a <= 30) as ha, sum(amount) filter (where d <= 30) as ta
+      from r group by store, segment)
+select store, segment, lines, cast(hq as double) as first_qty, cast(tq as double) as last_qty,
+       cast(coalesce(ha, 0) as double) as first_amount, cast(coalesce(ta, 0) as double) as last_amount,
+       case when hq > 0 then cast(ha as double) / cast(hq as double) else 0 end as first_price,
+       case when tq > 0 then cast(ta as double) / cast(tq as double) else 0 end as last_price
+from g""",
+})
