@@ -267,3 +267,33 @@ def q_dataset_overview(spark, sf_dir):
 def q_line_window_sums(spark, sf_dir):
     s = tpch.sales_view(spark, sf_dir, with_keys=True)
     return pr.line_window_sums(s, se.daily_sales(s), 30, ["sale_date", *tpch.LINE_KEY])
+
+
+# ---- H5-H8, F7, C3: elasticity -------------------------------------------
+
+from shelfcast.operators import elasticity as el  # noqa: E402
+
+
+@query("price_bins")
+def q_price_bins(spark, sf_dir):
+    b = el.price_bins(sales(spark, sf_dir))
+    return finish(b.groupBy("model", "bins", "edge_low", "edge_high").agg(
+        F.sum("lines").alias("lines"),
+        F.sum(F.when(F.col("price_bin") == "low", F.col("lines"))).alias("low_lines"),
+        F.sum(F.when(F.col("price_bin") == "mid", F.col("lines"))).alias("mid_lines"),
+        F.sum(F.when(F.col("price_bin") == "high", F.col("lines"))).alias("high_lines")))
+
+
+@query("price_elasticity")
+def q_price_elasticity(spark, sf_dir):
+    return el.price_elasticity(el.price_bins(sales(spark, sf_dir)))
+
+
+@query("elasticity_summary")
+def q_elasticity_summary(spark, sf_dir):
+    return el.elasticity_summary(el.price_elasticity(el.price_bins(sales(spark, sf_dir))))
+
+
+@query("top_elasticity")
+def q_top_elasticity(spark, sf_dir):
+    return el.top_elasticity(el.price_elasticity(el.price_bins(sales(spark, sf_dir))), 20)

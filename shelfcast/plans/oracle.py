@@ -408,3 +408,68 @@ select store, segment, lines, cast(hq as double) as first_qty, cast(tq as double
        case when tq > 0 then cast(ta as double) / cast(tq as double) else 0 end as last_price
 from g""",
 })
+
+
+ELASTIC = """edges as (
+  select model, count(*) as model_lines, quantile_cont(price, [0, 1/3, 2/3, 1]) as q,
+         quantile_cont(price, 0.5) as med
+  from sales where model is not null and price is not null group by model),
+pick as (
+  select *, case when model_lines < 10 then null
+                 when q[1] < q[2] and q[2] < q[3] and q[3] < q[4] then 3
+                 when q[1] < med and med < q[4] then 2 end as bins
+  from edges),
+binned as (
+  select s.model, s.price, s.qty, s.amount, p.bins,
+         case when p.bins = 3 then q[2] else med end as edge_low,
+         case when p.bins = 3 then q[3] else med end as edge_high
+  from sales s join pick p on s.model = p.model where p.bins is not null),
+lab as (select *, case when price <= edge_low then 'low' when price > edge_high then 'high' else 'mid' end as price_bin
+        from binned),
+g as (
+  select model, any_value(bins) as bins, count(*) as lines, avg(price) as avg_price,
+         cast(coalesce(sum(amount), 0) as double) as total_revenue, cast(sum(qty) as double) as total_qty,
+         avg(price) filter (where price_bin = 'low') as low_price,
+         avg(price) filter (where price_bin = 'high') as high_price,
+         cast(coalesce(sum(qty) filter (where price_bin = 'low'), 0) as double) as low_qty,
+         cast(coalesce(sum(qty) filter (where price_bin = 'high'), 0) as double) as high_qty
+  from lab group by model),
+el as (
+  select *, (high_price - low_price) / low_price * 100 as price_change_pct,
+         (high_qty - low_qty) / nullif(low_qty, 0) * 100 as qty_change_pct
+  from g where high_price <> low_price),
+elc as (
+  select *, qty_change_pct / nullif(price_change_pct, 0) as elasticity,
+         case when qty_change_pct is null then 'undefined'
+              when abs(qty_change_pct / price_change_pct) > 1 then 'elastic'
+              when abs(qty_change_pct / price_change_pct) < 1 then 'inelastic'
+              else 'unit' end as elasticity_class
+  from el)"""
+
+ORACLE.update({
+    "price_bins": with_(SALES, ELASTIC) + """
+select model, bins, edge_low, edge_high, count(*) as lines,
+       count(*) filter (where price_bin = 'low') as low_lines,
+       count(*) filter (where price_bin = 'mid') as mid_lines,
+       count(*) filter (where price_bin = 'high') as high_lines
+from lab group by model, bins, edge_low, edge_high""",
+
+    "price_elasticity": with_(SALES, ELASTIC) + "select * from elc",
+
+    "elasticity_summary": with_(SALES, ELASTIC) + """
+select *, case when elastic_revenue + inelastic_revenue > 0
+               then elastic_revenue / (elastic_revenue + inelastic_revenue) * 100 else 0 end as elastic_share_pct,
+          case when elastic_revenue + inelastic_revenue > 0
+               then inelastic_revenue / (elastic_revenue + inelastic_revenue) * 100 else 0 end as inelastic_share_pct
+from (select count(*) as analysed,
+             count(*) filter (where elasticity_class = 'elastic') as elastic_count,
+             count(*) filter (where elasticity_class = 'inelastic') as inelastic_count,
+             count(*) filter (where elasticity_class = 'unit') as unit_count,
+             count(*) filter (where elasticity_class = 'undefined') as undefined_count,
+             coalesce(sum(total_revenue) filter (where elasticity_class = 'elastic'), 0) as elastic_revenue,
+             coalesce(sum(total_revenue) filter (where elasticity_class = 'inelastic'), 0) as inelastic_revenue
+      from elc)""",
+
+    "top_elasticity": with_(SALES, ELASTIC) + """
+select * from elc order by total_revenue desc, model limit 20""",
+})
