@@ -297,3 +297,84 @@ def q_elasticity_summary(spark, sf_dir):
 @query("top_elasticity")
 def q_top_elasticity(spark, sf_dir):
     return el.top_elasticity(el.price_elasticity(el.price_bins(sales(spark, sf_dir))), 20)
+
+
+# ---- J, B6, C2, F9, G1: forecasts -----------------------------------------
+
+from shelfcast.operators import forecast as fo  # noqa: E402
+
+HORIZON = 30
+
+
+def forecast_context(s: DataFrame, prep: se.Prep = se.Prep(), horizon: int = HORIZON) -> dict:
+    """Daily series, prepared series of forecastable scopes, model, forecast."""
+    daily = se.daily_sales(s)
+    prepared = fo.restrict_to_scopes(se.prepare_series(daily, prep), sc.min_rows_guard(s))
+    model = fo.fit_seasonal_index(prepared)
+    return {"sales": s, "daily": daily, "prepared": prepared, "model": model,
+            "forecast": fo.forecast(model, horizon), "horizon": horizon}
+
+
+def _fc(spark, sf_dir):
+    return forecast_context(sales(spark, sf_dir))
+
+
+@query("forecast_seasonal_index")
+def q_forecast(spark, sf_dir):
+    return _fc(spark, sf_dir)["forecast"]
+
+
+@query("seasonal_coefficients")
+def q_seasonal_coefficients(spark, sf_dir):
+    return _fc(spark, sf_dir)["model"].coef
+
+
+@query("future_frame")
+def q_future_frame(spark, sf_dir):
+    return fo.future_frame(_fc(spark, sf_dir)["model"].coef, HORIZON)
+
+
+@query("future_rows")
+def q_future_rows(spark, sf_dir):
+    return fo.future_rows(_fc(spark, sf_dir)["forecast"])
+
+
+@query("actual_vs_fitted")
+def q_actual_vs_fitted(spark, sf_dir):
+    c = _fc(spark, sf_dir)
+    return fo.actual_vs_fitted(c["prepared"], c["forecast"])
+
+
+@query("forecast_accuracy")
+def q_forecast_accuracy(spark, sf_dir):
+    c = _fc(spark, sf_dir)
+    return fo.accuracy(fo.actual_vs_fitted(c["prepared"], c["forecast"]))
+
+
+@query("forecast_scenarios")
+def q_forecast_scenarios(spark, sf_dir):
+    return fo.scenarios(_fc(spark, sf_dir)["forecast"])
+
+
+@query("first_forecast_days")
+def q_first_forecast_days(spark, sf_dir):
+    return fo.first_forecast_days(_fc(spark, sf_dir)["forecast"], 10)
+
+
+@query("forecast_kpis")
+def q_forecast_kpis(spark, sf_dir):
+    c = _fc(spark, sf_dir)
+    return fo.forecast_kpis(c["forecast"], c["prepared"], c["daily"], se.segment_volatility(c["daily"]), HORIZON)
+
+
+@query("forecast_monthly")
+def q_forecast_monthly(spark, sf_dir):
+    c = _fc(spark, sf_dir)
+    return fo.forecast_monthly(c["model"], mo.monthly_sales(c["sales"], c["daily"]), HORIZON)
+
+
+@query("actual_vs_forecast")
+def q_actual_vs_forecast(spark, sf_dir):
+    c = _fc(spark, sf_dir)
+    monthly = mo.monthly_sales(c["sales"], c["daily"])
+    return fo.actual_vs_forecast(mo.recent_months(monthly, 6), fo.forecast_monthly(c["model"], monthly, HORIZON))

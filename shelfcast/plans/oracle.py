@@ -473,3 +473,121 @@ from (select count(*) as analysed,
     "top_elasticity": with_(SALES, ELASTIC) + """
 select * from elc order by total_revenue desc, model limit 20""",
 })
+
+
+FIT = """guard as (select store, segment from scoped group by store, segment having count(*) >= 10),
+ser as (select p.store, p.segment, p.ds, p.y from prepared p
+        join guard g on p.store = g.store and p.segment = g.segment),
+f1 as (select *, min(ds) over w as first_ds, max(ds) over w as last_ds,
+              cast(date_diff('day', min(ds) over w, ds) as double) as t, avg(y) over w as mean_y
+       from ser window w as (partition by store, segment)),
+f2 as (select *, coalesce(regr_slope(y, t) over w, 0) as slope,
+              coalesce(regr_intercept(y, t) over w, mean_y) as intercept
+       from f1 window w as (partition by store, segment)),
+f3 as (select *, intercept + slope * t as trend, cast(isodow(ds) - 1 as integer) as weekday,
+              month(ds) as month_num from f2),
+f4 as (select *, y / nullif(greatest(trend, 0.05 * mean_y), 0) as ratio from f3),
+f5 as (select *, avg(ratio) over (partition by store, segment, weekday) as wi from f4),
+f6 as (select *, avg(ratio / nullif(wi, 0)) over (partition by store, segment, month_num) as mi from f5),
+f7 as (select *, trend * coalesce(wi, 1) * coalesce(mi, 1) as yhat_raw from f6),
+fitted as (select *, coalesce(stddev_samp(y - yhat_raw) over (partition by store, segment), 0) as resid_sd from f7),
+coef as (select store, segment, any_value(first_ds) as first_ds, any_value(last_ds) as last_ds,
+                count(*) as n_days, any_value(mean_y) as mean_y, any_value(slope) as slope,
+                any_value(intercept) as intercept, any_value(resid_sd) as resid_sd
+         from fitted group by store, segment),
+wix as (select store, segment, weekday, any_value(wi) as wi from fitted group by store, segment, weekday),
+mix as (select store, segment, month_num, any_value(mi) as mi from fitted group by store, segment, month_num),
+fut as (select c.store, c.segment, cast(c.last_ds + cast(r.i as integer) as date) as ds,
+               c.first_ds, c.slope, c.intercept, c.resid_sd
+        from coef c cross join range(1, 31) r(i)),
+futp as (select f.store, f.segment, f.ds, f.intercept + f.slope * date_diff('day', f.first_ds, f.ds) as trend,
+                (f.intercept + f.slope * date_diff('day', f.first_ds, f.ds)) * coalesce(w.wi, 1) * coalesce(m.mi, 1) as yhat_raw,
+                f.resid_sd
+         from fut f
+         left join wix w on f.store = w.store and f.segment = w.segment and w.weekday = isodow(f.ds) - 1
+         left join mix m on f.store = m.store and f.segment = m.segment and m.month_num = month(f.ds)),
+fc0 as (select store, segment, ds, false as is_future, y, trend, yhat_raw, resid_sd from fitted
+        union all select store, segment, ds, true, cast(null as double), trend, yhat_raw, resid_sd from futp),
+fc as (select store, segment, ds, is_future, y, trend, yhat_raw, greatest(yhat_raw, 0) as yhat,
+              greatest(yhat_raw - 1.2815515655446004 * resid_sd, 0) as yhat_lower,
+              greatest(yhat_raw + 1.2815515655446004 * resid_sd, 0) as yhat_upper from fc0),
+scen as (select store, segment, ds, strftime(ds, '%Y-%m-%d (%A)') as date_label,
+                cast(round_even(yhat_lower, 0) as integer) as pessimistic,
+                cast(round_even(yhat, 0) as integer) as realistic,
+                cast(round_even(yhat_upper, 0) as integer) as optimistic,
+                cast(round_even(trend, 0) as integer) as trend
+         from fc where is_future)"""
+
+FC_BASE = (SALES, SCOPED, DAILY, WINSOR, PREPARED, FIT)
+
+ORACLE.update({
+    "forecast_seasonal_index": with_(*FC_BASE) + "select * from fc",
+    "seasonal_coefficients": with_(*FC_BASE) + "select * from coef",
+    "future_frame": with_(*FC_BASE) + "select store, segment, ds from fut",
+    "future_rows": with_(*FC_BASE) + "select * from fc where is_future",
+    "actual_vs_fitted": with_(*FC_BASE) + "select store, segment, ds, y, yhat_raw from fc where not is_future",
+
+    "forecast_accuracy": with_(*FC_BASE) + """
+select store, segment, n_days, mae, rmse, mape, r2,
+       case when mape < 10 and r2 > 0.8 then 'excellent' when mape < 20 and r2 > 0.6 then 'good'
+            else 'fair' end as quality
+from (select store, segment, count(*) as n_days, avg(abs(y - yhat_raw)) as mae,
+             sqrt(avg((y - yhat_raw) * (y - yhat_raw))) as rmse,
+             coalesce(avg(abs((y - yhat_raw) / y)) filter (where y <> 0) * 100, 0) as mape,
+             case when sum((y - m) * (y - m)) > 0 then 1 - sum((y - yhat_raw) * (y - yhat_raw)) / sum((y - m) * (y - m))
+                  when sum((y - yhat_raw) * (y - yhat_raw)) = 0 then 1 else 0 end as r2
+      from (select *, avg(y) over (partition by store, segment) as m from fc where not is_future)
+      group by store, segment)""",
+
+    "forecast_scenarios": with_(*FC_BASE) + "select * from scen",
+
+    "first_forecast_days": with_(*FC_BASE) + """
+select store, segment, day, ds, yhat, yhat_lower, yhat_upper
+from (select *, row_number() over (partition by store, segment order by ds) as day from fc where is_future)
+where day <= 10""",
+
+    "forecast_kpis": with_(*FC_BASE) + """,
+sa as (select store, segment, avg(realistic) as r, avg(optimistic) as o, avg(pessimistic) as p,
+              avg(realistic) filter (where d <= 7) - avg(realistic) filter (where a <= 7) as horizon_trend
+       from (select *, row_number() over (partition by store, segment order by ds) as a,
+                    row_number() over (partition by store, segment order by ds desc) as d from scen)
+       group by store, segment),
+ft as (select store, segment, avg(yhat) as avg_forecast, sum(yhat) as total_forecast from fc where is_future
+       group by store, segment),
+rc as (select store, segment, avg(y) filter (where rk <= 30) as last30_mean, sum(y) filter (where rk <= 30) as last_h_sum
+       from (select *, row_number() over (partition by store, segment order by ds desc) as rk from ser)
+       group by store, segment),
+pr as (select store, segment, case when sum(y) > 0 then cast(sum(amount) as double) / sum(y) else 0 end as weighted_price,
+              case when sum(lines) < 2 or avg(y) = 0 then 0.3
+                   else least(greatest(stddev_samp(y) / avg(y), 0), 1) end as volatility
+       from daily group by store, segment)
+select ft.store, ft.segment, avg_forecast, total_forecast,
+       case when weighted_price > 0 then total_forecast * weighted_price else 0 end as forecast_revenue,
+       avg_forecast - last30_mean as avg_vs_last30, total_forecast - last_h_sum as total_vs_last_h,
+       case when last_h_sum > 0 then (total_forecast / last_h_sum - 1) * 100 else 0 end as forecast_growth_pct,
+       (1 - volatility) * 100 as confidence_score,
+       case when r > 0 then ((o - p) / 2) / r * 100 else 0 end as uncertainty_pct,
+       horizon_trend,
+       case when horizon_trend > 0 then 'up' when horizon_trend < 0 then 'down' else 'flat' end as trend_direction,
+       total_forecast * 1.2 as stock_target, total_forecast * 1.2 / 30 as stock_per_day,
+       cast(floor(total_forecast * 1.2 / 240) as bigint) as transactions_per_hour
+from ft join sa using (store, segment) join rc using (store, segment) join pr using (store, segment)""",
+})
+
+FMONTH = """fm as (select store, segment, cast(date_trunc('month', ds) as date) as month, sum(yhat_raw) as forecast_qty
+       from futp group by all),
+la as (select store, segment, arg_max(qty, month) as last_actual_qty, arg_max(avg_price, month) as last_actual_price
+       from monthly group by store, segment),
+fmon as (select fm.store, fm.segment, month, forecast_qty, forecast_qty * last_actual_price as forecast_revenue,
+                last_actual_qty, (forecast_qty / nullif(last_actual_qty, 0) - 1) * 100 as growth_vs_last_pct,
+                month = min(month) over (partition by fm.store, fm.segment) as is_first,
+                month = max(month) over (partition by fm.store, fm.segment) as is_last
+         from fm join la on fm.store = la.store and fm.segment = la.segment)"""
+
+ORACLE.update({
+    "forecast_monthly": with_(*FC_BASE, MONTHLY, FMONTH) + "select * from fmon",
+    "actual_vs_forecast": with_(*FC_BASE, MONTHLY, FMONTH) + """
+select store, segment, month, qty, 'actual' as kind
+from (select *, row_number() over (partition by store, segment order by month desc) as rk from monthly) where rk <= 6
+union all select store, segment, month, forecast_qty as qty, 'forecast' as kind from fmon""",
+})
