@@ -378,3 +378,31 @@ def q_actual_vs_forecast(spark, sf_dir):
     c = _fc(spark, sf_dir)
     monthly = mo.monthly_sales(c["sales"], c["daily"])
     return fo.actual_vs_forecast(mo.recent_months(monthly, 6), fo.forecast_monthly(c["model"], monthly, HORIZON))
+
+
+# ---- K: rules ---------------------------------------------------------------
+
+from shelfcast.operators import rules as ru  # noqa: E402
+
+
+def rule_indicators(c: dict, line_order=None) -> DataFrame:
+    s, daily, prepared, fc = c["sales"], c["daily"], c["prepared"], c["forecast"]
+    monthly = mo.monthly_sales(s, daily)
+    volatility = se.segment_volatility(daily)
+    return ru.indicators(
+        sc.min_rows_guard(s),
+        monthly_summary=mo.monthly_summary(monthly), seasonality=mo.monthly_seasonality(monthly),
+        fmonthly=fo.forecast_monthly(c["model"], monthly, c["horizon"]),
+        line_sums=pr.line_window_sums(s, daily, 30, line_order), volatility=volatility, daily=daily,
+        fkpis=fo.forecast_kpis(fc, prepared, daily, volatility, c["horizon"]),
+        series_stats=se.series_stats(prepared),
+        acc=fo.accuracy(fo.actual_vs_fitted(prepared, fc)),
+        wd_extremes=wk.weekday_extremes(wk.weekday_sales(daily)),
+        pkpis=pr.product_kpis(pr.product_trend(s, daily)), skpis=pr.scope_kpis(s, daily),
+        history=se.history_stats(daily, prepared), horizon=c["horizon"])
+
+
+@query("rule_hits")
+def q_rule_hits(spark, sf_dir):
+    c = forecast_context(tpch.sales_view(spark, sf_dir, with_keys=True))
+    return ru.evaluate_rules(rule_indicators(c, ["sale_date", *tpch.LINE_KEY]))

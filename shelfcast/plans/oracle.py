@@ -591,3 +591,51 @@ select store, segment, month, qty, 'actual' as kind
 from (select *, row_number() over (partition by store, segment order by month desc) as rk from monthly) where rk <= 6
 union all select store, segment, month, forecast_qty as qty, 'forecast' as kind from fmon""",
 })
+
+
+def _sub(name: str) -> str:
+    return f"({ORACLE[name]})"
+
+
+def _rules_sql() -> str:
+    from shelfcast.operators.rules import RULES
+    ind = f"""with
+ms as {_sub('monthly_summary')}, sea as {_sub('monthly_seasonality')}, fmo as {_sub('forecast_monthly')},
+lw as {_sub('line_window_sums')}, vol as {_sub('segment_volatility')}, fk as {_sub('forecast_kpis')},
+ss as (with {SALES}, {SCOPED}, {DAILY}, {WINSOR}, {PREPARED}
+       select store, segment, case when avg(y) > 0 then stddev_samp(y) / avg(y) * 100 else 0 end as cv_after_pct
+       from prepared group by store, segment), acc as {_sub('forecast_accuracy')}, we as {_sub('weekday_extremes')},
+pk as {_sub('product_kpis')}, sk as {_sub('scope_kpis')}, hs as {_sub('history_stats')},
+guard as {_sub('min_rows_guard')},
+rr as (with {SALES}, {SCOPED}, {DAILY}
+       select store, segment, avg(y) as raw_daily_mean, avg(y) filter (where rk <= 30) as raw_last30_mean
+       from (select *, row_number() over (partition by store, segment order by ds desc) as rk from daily)
+       group by store, segment),
+ind as (
+  select g.store, g.segment, ms.months, ms.last_qty as last_month_qty, ms.prev_qty as prev_month_qty,
+         ms.mom_growth_pct, ms.recent_price, ms.early_price, ms.last_products, ms.mean_products,
+         sea.seasonality_std, sea.high_seasonality,
+         fmo.forecast_qty / nullif(fmo.last_actual_qty, 0) as first_month_ratio,
+         lw.lines, lw.first_qty as head_tail_first_qty, lw.last_qty as head_tail_last_qty,
+         lw.first_price as head_tail_first_price, lw.last_price as head_tail_last_price,
+         vol.cv_raw as raw_cv, rr.raw_daily_mean, rr.raw_last30_mean,
+         fk.avg_forecast as avg_forecast_tail, fk.forecast_growth_pct, fk.confidence_score, fk.uncertainty_pct,
+         ss.cv_after_pct / 100 as processed_cv, acc.mape, acc.quality,
+         we.best_weekday, we.weekday_std, we.weekday_min, we.weak_day_gap,
+         pk.top5_share_pct, pk.top10_share_pct, pk.growing_count, pk.declining_count, pk.stable_count,
+         sk.avg_ticket, sk.mean_line_amount, hs.span_days - 1 as data_days, 30 as horizon
+  from guard g
+  left join ms using (store, segment) left join sea using (store, segment)
+  left join (select * from fmo where is_first) fmo using (store, segment)
+  left join lw using (store, segment) left join vol using (store, segment) left join rr using (store, segment)
+  left join fk using (store, segment) left join ss using (store, segment) left join acc using (store, segment)
+  left join we using (store, segment) left join pk using (store, segment) left join sk using (store, segment)
+  left join hs using (store, segment))
+"""
+    parts = [f"select store, segment, '{r.family}' as family, '{r.code}' as rule_code, "
+             f"'{r.severity}' as severity, cast({r.value} as double) as value from ind where {r.condition}"
+             for r in RULES]
+    return ind + "\nunion all\n".join(parts)
+
+
+ORACLE["rule_hits"] = _rules_sql()
