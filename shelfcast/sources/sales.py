@@ -86,7 +86,7 @@ def coerce(df: DataFrame) -> DataFrame:
     dropped, so intraday rows fall on one day). Quantity and amount become
     DECIMAL(18,2) so that sums do not depend on row order.
     """
-    return df.select(
+    parsed = F.struct(
         F.col("Magazin").cast("string").alias("store"),
         _date_expr(df).alias("sale_date"),
         F.col("Art").cast("string").alias("article"),
@@ -97,6 +97,9 @@ def coerce(df: DataFrame) -> DataFrame:
         _number_expr(df, "Qty").try_cast(MONEY).alias("qty"),
         _number_expr(df, "Sum").try_cast(MONEY).alias("amount"),
     )
+    # Parsed once: the filter that follows refers to the generated columns,
+    # so Catalyst cannot copy the parse expressions into a pushed-down filter.
+    return df.select(F.inline(F.array(parsed)))
 
 
 def drop_bad_rows(df: DataFrame) -> DataFrame:
