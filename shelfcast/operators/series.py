@@ -155,7 +155,7 @@ def segment_volatility(daily: DataFrame) -> DataFrame:
         F.sum("lines").alias("_lines"), F.avg("y").alias("_m"), F.stddev_samp("y").alias("_s"))
     ratio = F.try_divide(F.col("_s"), F.col("_m"))
     vol = (F.when((F.col("_lines") < 2) | (F.col("_m") == 0), F.lit(0.3))
-            .otherwise(F.least(F.greatest(ratio, F.lit(0.0)), F.lit(1.0))))
+            .when(ratio.isNotNull(), F.least(F.greatest(ratio, F.lit(0.0)), F.lit(1.0))))
     cv = F.when(F.col("_m") > 0, ratio).otherwise(F.lit(0.0))
     return agg.select(*SCOPE, vol.alias("volatility"), cv.alias("cv_raw"))
 

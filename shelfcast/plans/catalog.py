@@ -406,3 +406,11 @@ def rule_indicators(c: dict, line_order=None) -> DataFrame:
 def q_rule_hits(spark, sf_dir):
     c = forecast_context(tpch.sales_view(spark, sf_dir, with_keys=True))
     return ru.evaluate_rules(rule_indicators(c, ["sale_date", *tpch.LINE_KEY]))
+
+
+from shelfcast.operators import fourier as fu  # noqa: E402
+
+
+@query("forecast_fourier")
+def q_forecast_fourier(spark, sf_dir):
+    return fu.forecast_fourier(_fc(spark, sf_dir)["prepared"], HORIZON)

@@ -148,7 +148,7 @@ select store, segment, avg(y) as avg_daily_qty from daily group by store, segmen
     "segment_volatility": with_(SALES, SCOPED, DAILY) + """
 select store, segment,
        case when sum(lines) < 2 or avg(y) = 0 then 0.3
-            else least(greatest(stddev_samp(y) / avg(y), 0), 1) end as volatility,
+            when stddev_samp(y) is not null then least(greatest(stddev_samp(y) / avg(y), 0), 1) end as volatility,
        case when avg(y) > 0 then stddev_samp(y) / avg(y) else 0 end as cv_raw
 from daily group by store, segment""",
 
@@ -559,7 +559,7 @@ rc as (select store, segment, avg(y) filter (where rk <= 30) as last30_mean, sum
        group by store, segment),
 pr as (select store, segment, case when sum(y) > 0 then cast(sum(amount) as double) / sum(y) else 0 end as weighted_price,
               case when sum(lines) < 2 or avg(y) = 0 then 0.3
-                   else least(greatest(stddev_samp(y) / avg(y), 0), 1) end as volatility
+                   when stddev_samp(y) is not null then least(greatest(stddev_samp(y) / avg(y), 0), 1) end as volatility
        from daily group by store, segment)
 select ft.store, ft.segment, avg_forecast, total_forecast,
        case when weighted_price > 0 then total_forecast * weighted_price else 0 end as forecast_revenue,
