@@ -36,6 +36,7 @@ class SeasonalIndexModel:
     weekday_index: DataFrame  # store, segment, weekday, wi
     month_index: DataFrame    # store, segment, month_num, mi
     fitted: DataFrame         # history rows with y, trend, yhat_raw
+    base: DataFrame           # the windowed frame all of the above are read from (persist it)
 
 
 def restrict_to_scopes(prepared: DataFrame, scopes: DataFrame) -> DataFrame:
@@ -62,6 +63,11 @@ def fit_seasonal_index(prepared: DataFrame) -> SeasonalIndexModel:
                      .over(Window.partitionBy(*SCOPE, "month_num")))
     s = s.withColumn("yhat_raw", F.col("trend") * F.coalesce("wi", F.lit(1.0)) * F.coalesce("mi", F.lit(1.0)))
     s = s.withColumn("resid_sd", F.coalesce(F.stddev_samp(F.col("y") - F.col("yhat_raw")).over(w), F.lit(0.0)))
+    return model_from_base(s)
+
+
+def model_from_base(s: DataFrame) -> SeasonalIndexModel:
+    """Coefficient and index tables read from the windowed fit frame."""
     coef = s.groupBy(*SCOPE).agg(
         F.first("first_ds").alias("first_ds"), F.first("last_ds").alias("last_ds"),
         F.count(F.lit(1)).alias("n_days"), F.first("mean_y").alias("mean_y"),
@@ -70,7 +76,7 @@ def fit_seasonal_index(prepared: DataFrame) -> SeasonalIndexModel:
     wi = s.groupBy(*SCOPE, "weekday").agg(F.first("wi").alias("wi"))
     mi = s.groupBy(*SCOPE, "month_num").agg(F.first("mi").alias("mi"))
     fitted = s.select(*SCOPE, "ds", "y", "trend", "yhat_raw", "resid_sd")
-    return SeasonalIndexModel(coef, wi, mi, fitted)
+    return SeasonalIndexModel(coef, wi, mi, fitted, s)
 
 
 def future_frame(coef: DataFrame, horizon: int = 30) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from shelfcast.operators.scope import SCOPE, expand_scopes
 
 
-def monthly_sales(sales: DataFrame, daily: DataFrame) -> DataFrame:
+def monthly_sales(facts: DataFrame, daily: DataFrame) -> DataFrame:
     """D6 + D7 + D8 + E7: per scope and calendar month.
 
     ``qty``, ``amount``, ``unique_products`` (distinct articles), ``avg_price``
@@ -23,8 +23,8 @@ def monthly_sales(sales: DataFrame, daily: DataFrame) -> DataFrame:
     sums = (daily.groupBy(*SCOPE, F.trunc("ds", "MM").alias("month"))
                  .agg(F.sum("y").alias("qty"), F.sum("amount").alias("amount")))
     # distinct counts are not additive: de-duplicate at the finest grain, then fan out
-    articles = (sales.where(F.col("article").isNotNull())
-                     .select("store", "segment", F.trunc("sale_date", "MM").alias("month"), "article")
+    articles = (facts.where(F.col("article").isNotNull())
+                     .select("store", "segment", F.trunc("ds", "MM").alias("month"), "article")
                      .distinct())
     distinct = (expand_scopes(articles).groupBy(*SCOPE, "month")
                 .agg(F.countDistinct("article").alias("unique_products")))

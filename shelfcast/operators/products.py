@@ -28,15 +28,15 @@ def in_second_half(ds: Column, first: Column, last: Column) -> Column:
     return F.datediff(ds, first) * 2 >= F.datediff(last, first)
 
 
-def product_trend(sales: DataFrame, daily: DataFrame) -> DataFrame:
+def product_trend(facts: DataFrame, daily: DataFrame) -> DataFrame:
     """H1 + H3 + H4 + D21: per scope and model.
 
     Totals, quantity in each half of the scope's date range, change % (0 when
     the first half sold nothing), stability ``100 - min(|change|, 100)``, and
     first/last sale date with days active.
     """
-    fine = (sales.where(F.col("model").isNotNull())
-                 .groupBy("store", "segment", "model", F.col("sale_date").alias("ds"))
+    fine = (facts.where(F.col("model").isNotNull())
+                 .groupBy("store", "segment", "model", "ds")
                  .agg(F.sum("qty").alias("qty"),
                       F.coalesce(F.sum("amount"), F.lit(0).cast("decimal(18,2)")).alias("amount")))
     rows = expand_scopes(fine).join(scope_bounds(daily), list(SCOPE))
@@ -55,14 +55,14 @@ def product_trend(sales: DataFrame, daily: DataFrame) -> DataFrame:
              .withColumn("days_active", F.datediff("last_sale", "first_sale")))
 
 
-def align_periods(sales: DataFrame, daily: DataFrame) -> DataFrame:
+def align_periods(facts: DataFrame, daily: DataFrame) -> DataFrame:
     """Per-model sums of each half, left-aligned to all models, missing -> 0.
 
     The join form of H3 (two filtered aggregations joined back to the model
     list); it must give the same numbers as ``product_trend``.
     """
-    lines = expand_scopes(sales.where(F.col("model").isNotNull())
-                          .select("store", "segment", "model", F.col("sale_date").alias("ds"), "qty"))
+    lines = expand_scopes(facts.where(F.col("model").isNotNull())
+                          .select("store", "segment", "model", "ds", "qty"))
     lines = lines.join(scope_bounds(daily), list(SCOPE))
     p2 = in_second_half(F.col("ds"), F.col("first_date"), F.col("last_date"))
     models = lines.groupBy(*SCOPE, "model").agg(F.sum("qty").cast("double").alias("total_qty"))
@@ -163,12 +163,12 @@ def product_kpis(trend: DataFrame) -> DataFrame:
                     "leader_model", "leader_revenue", "top20_growing")
 
 
-def top_models_by_segment(sales: DataFrame, n: int = 10) -> DataFrame:
+def top_models_by_segment(facts: DataFrame, n: int = 10) -> DataFrame:
     """per store and segment, best ``n`` models by revenue (ties: model asc).
 
     Price is amount / qty (0 when qty <= 0). The "all" levels are included.
     """
-    fine = (sales.where(F.col("model").isNotNull())
+    fine = (facts.where(F.col("model").isNotNull())
                  .groupBy("store", "segment", "model")
                  .agg(F.sum("qty").alias("qty"),
                       F.coalesce(F.sum("amount"), F.lit(0).cast("decimal(18,2)")).alias("amount")))
@@ -179,7 +179,7 @@ def top_models_by_segment(sales: DataFrame, n: int = 10) -> DataFrame:
                     F.when(F.col("qty") > 0, F.col("amount") / F.col("qty")).otherwise(0.0).alias("price"))
 
 
-def scope_kpis(sales: DataFrame, daily: DataFrame) -> DataFrame:
+def scope_kpis(facts: DataFrame, daily: DataFrame) -> DataFrame:
     """D18 + D19 + D22 + D23 per scope.
 
     Ticket = amount per sale line; lines per calendar day of the span; mean
@@ -187,14 +187,14 @@ def scope_kpis(sales: DataFrame, daily: DataFrame) -> DataFrame:
     distinct articles (0 when that is 0); unweighted mean line price;
     weighted price = amount / qty (0 when qty is 0).
     """
-    fine = (sales.groupBy("store", "segment")
-                 .agg(F.sum("price").alias("_ps"), F.count(F.lit(1)).alias("_n"),
-                      F.sum("amount").alias("_as"), F.count("amount").alias("_an")))
+    fine = (facts.groupBy("store", "segment")
+                 .agg(F.sum("price_sum").alias("_ps"), F.sum("lines").alias("_n"),
+                      F.sum("amount").alias("_as"), F.sum("amount_lines").alias("_an")))
     lines = (expand_scopes(fine).groupBy(*SCOPE)
              .agg((F.sum("_ps") / F.sum("_n")).alias("mean_line_price"),
                   F.try_divide(F.sum("_as"), F.sum("_an")).cast("double").alias("mean_line_amount")))
-    arts = (sales.where(F.col("article").isNotNull())
-                 .select("store", "segment", F.col("sale_date").alias("ds"), "article").distinct())
+    arts = (facts.where(F.col("article").isNotNull())
+                 .select("store", "segment", "ds", "article").distinct())
     per_day = (expand_scopes(arts).groupBy(*SCOPE, "ds").agg(F.countDistinct("article").alias("_arts"))
                .groupBy(*SCOPE).agg(F.sum("_arts").alias("_art_days")))
     d = daily.groupBy(*SCOPE).agg(
@@ -214,20 +214,19 @@ def scope_kpis(sales: DataFrame, daily: DataFrame) -> DataFrame:
          .alias("weighted_price"))
 
 
-def dataset_overview(sales: DataFrame) -> DataFrame:
+def dataset_overview(facts: DataFrame) -> DataFrame:
     """One row for the whole table.
 
     Lines, distinct articles/stores/segments, first and last date, total
-    amount, and the mean over dates of the quantity sold per date.
+    amount, and the mean over dates of the quantity sold per date (total
+    quantity over the number of distinct dates).
     """
-    per_date = sales.groupBy("sale_date").agg(F.sum("qty").alias("_q"))
-    daily_mean = per_date.agg(F.avg(F.col("_q").cast("double")).alias("avg_daily_qty"))
-    head = sales.agg(
-        F.count(F.lit(1)).alias("lines"), F.countDistinct("article").alias("articles"),
+    return facts.agg(
+        F.sum("lines").alias("lines"), F.countDistinct("article").alias("articles"),
         F.countDistinct("store").alias("stores"), F.countDistinct("segment").alias("segments"),
-        F.min("sale_date").alias("first_date"), F.max("sale_date").alias("last_date"),
-        F.coalesce(F.sum("amount"), F.lit(0)).cast("double").alias("total_amount"))
-    return head.crossJoin(daily_mean)
+        F.min("ds").alias("first_date"), F.max("ds").alias("last_date"),
+        F.coalesce(F.sum("amount"), F.lit(0)).cast("double").alias("total_amount"),
+        (F.sum("qty").cast("double") / F.countDistinct("ds")).alias("avg_daily_qty"))
 
 
 def line_window_sums(sales: DataFrame, daily: DataFrame, n: int = 30,

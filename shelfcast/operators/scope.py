@@ -65,15 +65,15 @@ def list_segments(sales: DataFrame, store: str | None = None) -> DataFrame:
             .where(F.col("segment").isNotNull()).distinct().orderBy("segment"))
 
 
-def scope_lines(sales: DataFrame) -> DataFrame:
-    """Sale lines per scope (combined per (store, segment) before fan-out)."""
-    fine = sales.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("lines"))
+def scope_lines(facts: DataFrame) -> DataFrame:
+    """Sale lines per scope from the fact cube (combined before fan-out)."""
+    fine = facts.groupBy(*SCOPE).agg(F.sum("lines").alias("lines"))
     return expand_scopes(fine).groupBy(*SCOPE).agg(F.sum("lines").alias("lines"))
 
 
-def min_rows_guard(sales: DataFrame, min_lines: int = 10) -> DataFrame:
+def min_rows_guard(facts: DataFrame, min_lines: int = 10) -> DataFrame:
     """Scopes with at least ``min_lines`` sale lines (forecastable)."""
-    return scope_lines(sales).filter(F.col("lines") >= min_lines)
+    return scope_lines(facts).filter(F.col("lines") >= min_lines)
 
 
 def weekday(col: Column | str) -> Column:

@@ -30,17 +30,20 @@ def _ordered() -> Window:
     return Window.partitionBy(*SCOPE).orderBy("ds")
 
 
-def daily_facts(sales: DataFrame) -> DataFrame:
-    """Finest daily grain: quantity, amount (NULL-only sums to 0) and lines."""
-    return (sales.groupBy("store", "segment", F.col("sale_date").alias("ds"))
+def daily_facts(facts: DataFrame) -> DataFrame:
+    """Finest daily grain from the fact cube: quantity, amount (NULL-only sums to 0), lines."""
+    return (facts.groupBy("store", "segment", "ds")
                  .agg(F.sum("qty").alias("qty"),
                       F.coalesce(F.sum("amount"), F.lit(0).cast("decimal(18,2)")).alias("amount"),
-                      F.count(F.lit(1)).alias("lines")))
+                      F.sum("lines").alias("lines")))
 
 
-def daily_sales(sales: DataFrame) -> DataFrame:
-    """Per scope and sale date, ``y`` = quantity sold; no gap filling."""
-    return (expand_scopes(daily_facts(sales))
+def daily_sales(facts: DataFrame) -> DataFrame:
+    """Per scope and sale date, ``y`` = quantity sold; no gap filling.
+
+    ``facts`` is the fact cube (``operators.cube.fact_cube``).
+    """
+    return (expand_scopes(daily_facts(facts))
             .groupBy("store", "segment", "ds")
             .agg(F.sum("qty").cast("double").alias("y"),
                  F.sum("amount").alias("amount"),

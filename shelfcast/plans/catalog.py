@@ -2,23 +2,37 @@
 
 Each one reads the driver's tables through the ``sales`` view (or the dirty
 text fixture for the ingest operators), so its work grows with the tables.
-Decimal outputs are cast to DOUBLE at the very end.
+Shared intermediates come from a ``SalesContext`` (persisted in the forecast and rule queries, so the
+branches of one query read the fact cube and daily series once). Decimal
+outputs are cast to DOUBLE at the very end.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfcast.operators import elasticity as el
+from shelfcast.operators import forecast as fo
+from shelfcast.operators import fourier as fu
+from shelfcast.operators import monthly as mo
+from shelfcast.operators import products as pr
+from shelfcast.operators import rules as ru
 from shelfcast.operators import scope as sc
 from shelfcast.operators import series as se
+from shelfcast.operators import weekday as wk
+from shelfcast.plans.context import SalesContext
+from shelfcast.session import ensure_checkpoint_dir
 from shelfcast.sources import sales as src
 from shelfcast.sources import tpch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+HORIZON = 30
+LINE_ORDER = ["sale_date", *tpch.LINE_KEY]
 
 
 def query(name: str):
@@ -39,6 +53,13 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tpch.sales_view(spark, sf_dir)
 
 
+def ctx(spark: SparkSession, sf_dir: str, keep: str | None = None) -> SalesContext:
+    """Context over the sales view. ``keep="persist"`` for plans that read the
+    cube, daily series or model in many branches (forecast family, rules);
+    plans that read them once or twice recompute instead of caching."""
+    return SalesContext(tpch.sales_view(spark, sf_dir, with_keys=True), se.Prep(), HORIZON, LINE_ORDER, keep=keep)
+
+
 # ---- A: sources and validation -------------------------------------------
 
 @query("load_sales")
@@ -53,6 +74,14 @@ def q_rejection_counts(spark, sf_dir):
              .agg(F.count(F.lit(1)).alias("lines")))
 
 
+@query("read_snapshot")
+def q_read_snapshot(spark, sf_dir):
+    """Validated table written as a month-partitioned snapshot, read back."""
+    path = os.path.join(ensure_checkpoint_dir(spark), "snapshots", os.path.basename(sf_dir.rstrip("/")))
+    src.write_snapshot(src.load_sales(tpch.dirty_source(spark, sf_dir)), path)
+    return finish(src.read_snapshot(spark, path))
+
+
 # ---- B: scopes -----------------------------------------------------------
 
 @query("list_stores")
@@ -67,18 +96,18 @@ def q_list_segments(spark, sf_dir):
 
 @query("min_rows_guard")
 def q_min_rows_guard(spark, sf_dir):
-    return sc.min_rows_guard(sales(spark, sf_dir))
+    return ctx(spark, sf_dir).guard
 
 
 # ---- D2/E: daily series --------------------------------------------------
 
 @query("daily_sales")
 def q_daily_sales(spark, sf_dir):
-    return finish(se.daily_sales(sales(spark, sf_dir)))
+    return finish(ctx(spark, sf_dir).daily)
 
 
-def _prepared(spark, sf_dir, prep=se.Prep()):
-    return se.prepare_series(se.daily_sales(sales(spark, sf_dir)), prep)
+def _prepared(spark, sf_dir, prep):
+    return se.prepare_series(ctx(spark, sf_dir).daily, prep)
 
 
 @query("winsorize_iqr")
@@ -103,12 +132,12 @@ def q_savgol(spark, sf_dir):
 
 @query("daily_average")
 def q_daily_average(spark, sf_dir):
-    return se.daily_average(se.daily_sales(sales(spark, sf_dir)))
+    return se.daily_average(ctx(spark, sf_dir).daily)
 
 
 @query("segment_volatility")
 def q_segment_volatility(spark, sf_dir):
-    return se.segment_volatility(se.daily_sales(sales(spark, sf_dir)))
+    return ctx(spark, sf_dir).volatility
 
 
 @query("series_stats")
@@ -118,160 +147,138 @@ def q_series_stats(spark, sf_dir):
 
 @query("history_stats")
 def q_history_stats(spark, sf_dir):
-    daily = se.daily_sales(sales(spark, sf_dir))
-    return se.history_stats(daily, se.prepare_series(daily))
+    c = ctx(spark, sf_dir)
+    return se.history_stats(c.daily, se.prepare_series(c.daily))
 
 
 @query("last_30_days")
 def q_last_30_days(spark, sf_dir):
-    return se.last_30_days(se.daily_sales(sales(spark, sf_dir)))
+    return se.last_30_days(ctx(spark, sf_dir).daily)
 
 
 @query("last_n_observations")
 def q_last_n(spark, sf_dir):
-    return se.last_n_observations(_prepared(spark, sf_dir), 30)
+    return se.last_n_observations(_prepared(spark, sf_dir, se.Prep()), 30)
 
 
 # ---- D6-D11, E7, E12, F8: months ----------------------------------------
 
-from shelfcast.operators import monthly as mo  # noqa: E402
-from shelfcast.operators import weekday as wk  # noqa: E402
-
-
-def _monthly(spark, sf_dir):
-    s = sales(spark, sf_dir)
-    return mo.monthly_sales(s, se.daily_sales(s))
-
-
 @query("monthly_sales")
 def q_monthly_sales(spark, sf_dir):
-    return _monthly(spark, sf_dir)
+    return ctx(spark, sf_dir).monthly
 
 
 @query("monthly_summary")
 def q_monthly_summary(spark, sf_dir):
-    return mo.monthly_summary(_monthly(spark, sf_dir))
+    return mo.monthly_summary(ctx(spark, sf_dir).monthly)
 
 
 @query("monthly_seasonality")
 def q_monthly_seasonality(spark, sf_dir):
-    return mo.monthly_seasonality(_monthly(spark, sf_dir))
+    return mo.monthly_seasonality(ctx(spark, sf_dir).monthly)
 
 
 @query("recent_months")
 def q_recent_months(spark, sf_dir):
-    return mo.recent_months(_monthly(spark, sf_dir), 6)
+    return mo.recent_months(ctx(spark, sf_dir).monthly, 6)
 
 
 # ---- D12-D16: weekdays ----------------------------------------------------
 
-def _weekdays(spark, sf_dir):
-    return wk.weekday_sales(se.daily_sales(sales(spark, sf_dir)))
-
-
 @query("weekday_sales")
 def q_weekday_sales(spark, sf_dir):
-    return _weekdays(spark, sf_dir)
+    return wk.weekday_sales(ctx(spark, sf_dir).daily)
 
 
 @query("weekday_extremes")
 def q_weekday_extremes(spark, sf_dir):
-    return wk.weekday_extremes(_weekdays(spark, sf_dir))
+    return wk.weekday_extremes(wk.weekday_sales(ctx(spark, sf_dir).daily))
 
 
 @query("weekday_strength")
 def q_weekday_strength(spark, sf_dir):
-    return wk.weekday_strength(_weekdays(spark, sf_dir))
+    return wk.weekday_strength(wk.weekday_sales(ctx(spark, sf_dir).daily))
 
 
 @query("week_weekday_matrix")
 def q_week_weekday_matrix(spark, sf_dir):
-    return wk.week_weekday_matrix(se.daily_sales(sales(spark, sf_dir)))
+    return wk.week_weekday_matrix(ctx(spark, sf_dir).daily)
 
 
 # ---- H1-H4, E8-E10, C1, D1, D18-D25, F1-F6: products ----------------------
 
-from shelfcast.operators import products as pr  # noqa: E402
-
-
-def _trend(spark, sf_dir):
-    s = sales(spark, sf_dir)
-    return pr.product_trend(s, se.daily_sales(s))
-
-
 @query("product_trend")
 def q_product_trend(spark, sf_dir):
-    return _trend(spark, sf_dir)
+    return ctx(spark, sf_dir).trend
 
 
 @query("align_periods")
 def q_align_periods(spark, sf_dir):
-    s = sales(spark, sf_dir)
-    return pr.align_periods(s, se.daily_sales(s))
+    c = ctx(spark, sf_dir)
+    return pr.align_periods(c.facts, c.daily)
 
 
 @query("abc_classify")
 def q_abc_classify(spark, sf_dir):
-    return pr.abc_classify(_trend(spark, sf_dir))
+    return pr.abc_classify(ctx(spark, sf_dir).trend)
 
 
 @query("abc_summary")
 def q_abc_summary(spark, sf_dir):
-    return pr.abc_summary(pr.abc_classify(_trend(spark, sf_dir)))
+    return pr.abc_summary(pr.abc_classify(ctx(spark, sf_dir).trend))
 
 
 @query("top_class_a")
 def q_top_class_a(spark, sf_dir):
-    s = sales(spark, sf_dir)
-    daily = se.daily_sales(s)
-    return pr.top_class_a(pr.abc_classify(pr.product_trend(s, daily)), daily, 10)
+    c = ctx(spark, sf_dir)
+    return pr.top_class_a(pr.abc_classify(c.trend), c.daily, 10)
 
 
 @query("top_by_revenue")
 def q_top_by_revenue(spark, sf_dir):
-    return pr.top_by_revenue(_trend(spark, sf_dir), 20)
+    return pr.top_by_revenue(ctx(spark, sf_dir).trend, 20)
 
 
 @query("top_stable")
 def q_top_stable(spark, sf_dir):
-    return pr.top_stable(_trend(spark, sf_dir), 20)
+    return pr.top_stable(ctx(spark, sf_dir).trend, 20)
 
 
 @query("top_declining")
 def q_top_declining(spark, sf_dir):
-    return pr.top_declining(_trend(spark, sf_dir), 20)
+    return pr.top_declining(ctx(spark, sf_dir).trend, 20)
 
 
 @query("product_kpis")
 def q_product_kpis(spark, sf_dir):
-    return pr.product_kpis(_trend(spark, sf_dir))
+    return pr.product_kpis(ctx(spark, sf_dir).trend)
 
 
 @query("top_models_by_segment")
 def q_top_models_by_segment(spark, sf_dir):
-    return pr.top_models_by_segment(sales(spark, sf_dir), 10)
+    return pr.top_models_by_segment(ctx(spark, sf_dir).facts, 10)
 
 
 @query("scope_kpis")
 def q_scope_kpis(spark, sf_dir):
-    s = sales(spark, sf_dir)
-    return pr.scope_kpis(s, se.daily_sales(s))
+    c = ctx(spark, sf_dir)
+    return pr.scope_kpis(c.facts, c.daily)
 
 
 @query("dataset_overview")
 def q_dataset_overview(spark, sf_dir):
-    return pr.dataset_overview(sales(spark, sf_dir))
+    return pr.dataset_overview(ctx(spark, sf_dir).facts)
 
 
 @query("line_window_sums")
 def q_line_window_sums(spark, sf_dir):
-    s = tpch.sales_view(spark, sf_dir, with_keys=True)
-    return pr.line_window_sums(s, se.daily_sales(s), 30, ["sale_date", *tpch.LINE_KEY])
+    return ctx(spark, sf_dir).line_sums
 
 
 # ---- H5-H8, F7, C3: elasticity -------------------------------------------
 
-from shelfcast.operators import elasticity as el  # noqa: E402
+def _elasticity(spark, sf_dir):
+    return el.price_elasticity(el.price_bins(sales(spark, sf_dir)))
 
 
 @query("price_bins")
@@ -286,131 +293,95 @@ def q_price_bins(spark, sf_dir):
 
 @query("price_elasticity")
 def q_price_elasticity(spark, sf_dir):
-    return el.price_elasticity(el.price_bins(sales(spark, sf_dir)))
+    return _elasticity(spark, sf_dir)
 
 
 @query("elasticity_summary")
 def q_elasticity_summary(spark, sf_dir):
-    return el.elasticity_summary(el.price_elasticity(el.price_bins(sales(spark, sf_dir))))
+    return el.elasticity_summary(_elasticity(spark, sf_dir))
 
 
 @query("top_elasticity")
 def q_top_elasticity(spark, sf_dir):
-    return el.top_elasticity(el.price_elasticity(el.price_bins(sales(spark, sf_dir))), 20)
+    return el.top_elasticity(_elasticity(spark, sf_dir), 20)
 
 
 # ---- J, B6, C2, F9, G1: forecasts -----------------------------------------
 
-from shelfcast.operators import forecast as fo  # noqa: E402
-
-HORIZON = 30
-
-
-def forecast_context(s: DataFrame, prep: se.Prep = se.Prep(), horizon: int = HORIZON) -> dict:
-    """Daily series, prepared series of forecastable scopes, model, forecast."""
-    daily = se.daily_sales(s)
-    prepared = fo.restrict_to_scopes(se.prepare_series(daily, prep), sc.min_rows_guard(s))
-    model = fo.fit_seasonal_index(prepared)
-    return {"sales": s, "daily": daily, "prepared": prepared, "model": model,
-            "forecast": fo.forecast(model, horizon), "horizon": horizon}
-
-
-def _fc(spark, sf_dir):
-    return forecast_context(sales(spark, sf_dir))
-
-
 @query("forecast_seasonal_index")
 def q_forecast(spark, sf_dir):
-    return _fc(spark, sf_dir)["forecast"]
+    return ctx(spark, sf_dir, "persist").forecast
 
 
 @query("seasonal_coefficients")
 def q_seasonal_coefficients(spark, sf_dir):
-    return _fc(spark, sf_dir)["model"].coef
+    return ctx(spark, sf_dir, "persist").model.coef
 
 
 @query("future_frame")
 def q_future_frame(spark, sf_dir):
-    return fo.future_frame(_fc(spark, sf_dir)["model"].coef, HORIZON)
+    return fo.future_frame(ctx(spark, sf_dir, "persist").model.coef, HORIZON)
 
 
 @query("future_rows")
 def q_future_rows(spark, sf_dir):
-    return fo.future_rows(_fc(spark, sf_dir)["forecast"])
+    return fo.future_rows(ctx(spark, sf_dir, "persist").forecast)
 
 
 @query("actual_vs_fitted")
 def q_actual_vs_fitted(spark, sf_dir):
-    c = _fc(spark, sf_dir)
-    return fo.actual_vs_fitted(c["prepared"], c["forecast"])
+    return ctx(spark, sf_dir, "persist").pairs
 
 
 @query("forecast_accuracy")
 def q_forecast_accuracy(spark, sf_dir):
-    c = _fc(spark, sf_dir)
-    return fo.accuracy(fo.actual_vs_fitted(c["prepared"], c["forecast"]))
+    return fo.accuracy(ctx(spark, sf_dir, "persist").pairs)
 
 
 @query("forecast_scenarios")
 def q_forecast_scenarios(spark, sf_dir):
-    return fo.scenarios(_fc(spark, sf_dir)["forecast"])
+    return fo.scenarios(ctx(spark, sf_dir, "persist").forecast)
 
 
 @query("first_forecast_days")
 def q_first_forecast_days(spark, sf_dir):
-    return fo.first_forecast_days(_fc(spark, sf_dir)["forecast"], 10)
+    return fo.first_forecast_days(ctx(spark, sf_dir, "persist").forecast, 10)
 
 
 @query("forecast_kpis")
 def q_forecast_kpis(spark, sf_dir):
-    c = _fc(spark, sf_dir)
-    return fo.forecast_kpis(c["forecast"], c["prepared"], c["daily"], se.segment_volatility(c["daily"]), HORIZON)
+    return ctx(spark, sf_dir, "persist").forecast_kpis
 
 
 @query("forecast_monthly")
 def q_forecast_monthly(spark, sf_dir):
-    c = _fc(spark, sf_dir)
-    return fo.forecast_monthly(c["model"], mo.monthly_sales(c["sales"], c["daily"]), HORIZON)
+    return ctx(spark, sf_dir, "persist").forecast_monthly
 
 
 @query("actual_vs_forecast")
 def q_actual_vs_forecast(spark, sf_dir):
-    c = _fc(spark, sf_dir)
-    monthly = mo.monthly_sales(c["sales"], c["daily"])
-    return fo.actual_vs_forecast(mo.recent_months(monthly, 6), fo.forecast_monthly(c["model"], monthly, HORIZON))
+    c = ctx(spark, sf_dir, "persist")
+    return fo.actual_vs_forecast(mo.recent_months(c.monthly, 6), c.forecast_monthly)
 
 
-# ---- K: rules ---------------------------------------------------------------
+@query("forecast_fourier")
+def q_forecast_fourier(spark, sf_dir):
+    return fu.forecast_fourier(ctx(spark, sf_dir, "persist").prepared, HORIZON)
 
-from shelfcast.operators import rules as ru  # noqa: E402
 
+# ---- K: rules ---------------------------------------------------------------
 
-def rule_indicators(c: dict, line_order=None) -> DataFrame:
-    s, daily, prepared, fc = c["sales"], c["daily"], c["prepared"], c["forecast"]
-    monthly = mo.monthly_sales(s, daily)
-    volatility = se.segment_volatility(daily)
+def rule_indicators(c: SalesContext) -> DataFrame:
     return ru.indicators(
-        sc.min_rows_guard(s),
-        monthly_summary=mo.monthly_summary(monthly), seasonality=mo.monthly_seasonality(monthly),
-        fmonthly=fo.forecast_monthly(c["model"], monthly, c["horizon"]),
-        line_sums=pr.line_window_sums(s, daily, 30, line_order), volatility=volatility, daily=daily,
-        fkpis=fo.forecast_kpis(fc, prepared, daily, volatility, c["horizon"]),
-        series_stats=se.series_stats(prepared),
-        acc=fo.accuracy(fo.actual_vs_fitted(prepared, fc)),
-        wd_extremes=wk.weekday_extremes(wk.weekday_sales(daily)),
-        pkpis=pr.product_kpis(pr.product_trend(s, daily)), skpis=pr.scope_kpis(s, daily),
-        history=se.history_stats(daily, prepared), horizon=c["horizon"])
+        c.guard,
+        monthly_summary=mo.monthly_summary(c.monthly), seasonality=mo.monthly_seasonality(c.monthly),
+        fmonthly=c.forecast_monthly, line_sums=c.line_sums, volatility=c.volatility, daily=c.daily,
+        fkpis=c.forecast_kpis, series_stats=se.series_stats(c.prepared), acc=fo.accuracy(c.pairs),
+        wd_extremes=wk.weekday_extremes(wk.weekday_sales(c.daily)),
+        pkpis=pr.product_kpis(c.trend), skpis=pr.scope_kpis(c.facts, c.daily),
+        history=se.history_stats(c.daily, c.prepared), horizon=c.horizon)
 
 
 @query("rule_hits")
 def q_rule_hits(spark, sf_dir):
-    c = forecast_context(tpch.sales_view(spark, sf_dir, with_keys=True))
-    return ru.evaluate_rules(rule_indicators(c, ["sale_date", *tpch.LINE_KEY]))
-
-
-from shelfcast.operators import fourier as fu  # noqa: E402
-
-
-@query("forecast_fourier")
-def q_forecast_fourier(spark, sf_dir):
-    return fu.forecast_fourier(_fc(spark, sf_dir)["prepared"], HORIZON)
+    return ru.evaluate_rules(rule_indicators(ctx(spark, sf_dir, "persist")))

@@ -639,3 +639,5 @@ ind as (
 
 
 ORACLE["rule_hits"] = _rules_sql()
+
+ORACLE["read_snapshot"] = ORACLE["load_sales"]
