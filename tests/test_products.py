@@ -1,10 +1,12 @@
 from shelfcast.operators import products as pr
+from shelfcast.operators.cube import fact_cube
 from shelfcast.operators import series as se
 from shelfcast.operators.scope import ALL
 
 
 def _trend(s):
-    return pr.product_trend(s, se.daily_sales(s))
+    f = fact_cube(s)
+    return pr.product_trend(f, se.daily_sales(f))
 
 
 def test_abc_ties(make_sales):
@@ -39,14 +41,14 @@ def test_new_model_change_zero(make_sales):
 
 def test_null_store_only_in_all_levels(make_sales):
     s = make_sales([(None, "2024-01-01", "a", "m", "g", 1.0, 2, 2), ("S", "2024-01-01", "a", "m", "g", 1.0, 3, 3)])
-    d = {(r.store, r.segment): r.y for r in se.daily_sales(s).collect()}
+    d = {(r.store, r.segment): r.y for r in se.daily_sales(fact_cube(s)).collect()}
     assert d == {("S", "g"): 3.0, ("S", ALL): 3.0, (ALL, "g"): 5.0, (ALL, ALL): 5.0}
 
 
 def test_rollup_sums_equal_parts(spark):
     from shelfcast.sources import tpch
     s = tpch.sales_view(spark, "/root/testdata/sf0.001")
-    d = se.daily_sales(s)
+    d = se.daily_sales(fact_cube(s))
     by = {(r.store, r.segment): r.q for r in d.groupBy("store", "segment").agg({"y": "sum"})
           .withColumnRenamed("sum(y)", "q").collect()}
     total = by[(ALL, ALL)]
@@ -59,6 +61,6 @@ def test_line_window_sums_exact_under_skew(make_sales):
     rows = [("S", "2024-01-01", f"a{i:02d}", "m", "g", 1.0, i, i) for i in range(40)]
     rows += [("S", "2024-01-02", f"b{i}", "m", "g", 1.0, 100, 100) for i in range(5)]
     s = make_sales(rows)
-    r = pr.line_window_sums(s, se.daily_sales(s), 30).filter("store = 'S' and segment = 'g'").collect()[0]
+    r = pr.line_window_sums(s, se.daily_sales(fact_cube(s)), 30).filter("store = 'S' and segment = 'g'").collect()[0]
     assert r.first_qty == sum(range(30))
     assert r.last_qty == 500 + sum(range(15, 40))

@@ -4,6 +4,7 @@ import pytest
 
 from shelfcast.functions.smoothing import ema_depth
 from shelfcast.operators import series as se
+from shelfcast.operators.cube import fact_cube
 
 
 def ys(df):
@@ -68,7 +69,7 @@ def test_savgol_matches_polyfit(make_daily, window):
 
 def test_one_day_scope_volatility_null(make_sales):
     s = make_sales([("S", "2024-01-01", "a", "m", "g", 1.0, 2, 2), ("S", "2024-01-01", "b", "m", "g", 1.0, 3, 3)])
-    r = se.segment_volatility(se.daily_sales(s)).filter("store = 'S' and segment = 'g'").collect()[0]
+    r = se.segment_volatility(se.daily_sales(fact_cube(s))).filter("store = 'S' and segment = 'g'").collect()[0]
     assert r.volatility is None
 
 
