@@ -23,3 +23,19 @@ def fact_cube(sales: DataFrame) -> DataFrame:
                  .agg(F.sum("qty").alias("qty"), F.sum("amount").alias("amount"),
                       F.count(F.lit(1)).alias("lines"), F.count("amount").alias("amount_lines"),
                       F.sum("price").alias("price_sum")))
+
+
+def line_facts(sales: DataFrame) -> DataFrame:
+    """The sale lines in the cube's columns, uncombined (``lines`` = 1).
+
+    Every operator that reads the cube aggregates again by its own keys, so it
+    gives the same results on this projection. A plan that reads the facts
+    once uses it and skips the cube's own shuffle; runs that share the facts
+    between many outputs build (and keep) the cube instead.
+    """
+    return sales.select(
+        "store", "segment", "model", "article", F.col("sale_date").alias("ds"),
+        F.col("qty").cast("decimal(28,2)").alias("qty"), F.col("amount").cast("decimal(28,2)").alias("amount"),
+        F.lit(1).cast("long").alias("lines"),
+        F.when(F.col("amount").isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("amount_lines"),
+        F.col("price").alias("price_sum"))

@@ -22,12 +22,12 @@ def monthly_sales(facts: DataFrame, daily: DataFrame) -> DataFrame:
     """
     sums = (daily.groupBy(*SCOPE, F.trunc("ds", "MM").alias("month"))
                  .agg(F.sum("y").alias("qty"), F.sum("amount").alias("amount")))
-    # distinct counts are not additive: de-duplicate at the finest grain, then fan out
+    # distinct counts are not additive: fan out, de-duplicate per (scope, month,
+    # article) with a map-side combine, then count
     articles = (facts.where(F.col("article").isNotNull())
-                     .select("store", "segment", F.trunc("ds", "MM").alias("month"), "article")
-                     .distinct())
-    distinct = (expand_scopes(articles).groupBy(*SCOPE, "month")
-                .agg(F.countDistinct("article").alias("unique_products")))
+                     .select("store", "segment", F.trunc("ds", "MM").alias("month"), "article"))
+    distinct = (expand_scopes(articles).distinct().groupBy(*SCOPE, "month")
+                .agg(F.count(F.lit(1)).alias("unique_products")))
     m = sums.join(distinct, [*SCOPE, "month"], "left").fillna(0, ["unique_products"])
     amount = F.col("amount").cast("double")
     w = Window.partitionBy(*SCOPE).orderBy("month")

@@ -195,10 +195,10 @@ def scope_kpis(facts: DataFrame, daily: DataFrame) -> DataFrame:
     lines = (expand_scopes(fine).groupBy(*SCOPE)
              .agg((F.sum("_ps") / F.sum("_n")).alias("mean_line_price"),
                   F.try_divide(F.sum("_as"), F.sum("_an")).cast("double").alias("mean_line_amount")))
-    arts = (facts.where(F.col("article").isNotNull())
-                 .select("store", "segment", "ds", "article").distinct())
-    per_day = (expand_scopes(arts).groupBy(*SCOPE, "ds").agg(F.countDistinct("article").alias("_arts"))
-               .groupBy(*SCOPE).agg(F.sum("_arts").alias("_art_days")))
+    # sum over days of the distinct articles sold that day = distinct (day, article) pairs
+    arts = facts.where(F.col("article").isNotNull()).select("store", "segment", "ds", "article")
+    per_day = (expand_scopes(arts).distinct().groupBy(*SCOPE)
+               .agg(F.count(F.lit(1)).alias("_art_days")))
     d = daily.groupBy(*SCOPE).agg(
         F.sum("lines").alias("lines"), F.sum("y").alias("total_qty"),
         F.sum("amount").cast("double").alias("total_amount"), F.count(F.lit(1)).alias("days"),

@@ -43,6 +43,9 @@ class SalesContext:
 
     @cached_property
     def facts(self) -> DataFrame:
+        """The fact cube when it is kept for many readers, else the lines in its columns."""
+        if self.keep_mode is None:
+            return cu.line_facts(self.sales)
         return self.keep(cu.fact_cube(self.sales))
 
     @cached_property
