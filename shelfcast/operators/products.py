@@ -2,9 +2,9 @@
 
 Sale lines are combined to ``(store, segment, model, day)`` before the
 fan-out to scope levels; the period of a row depends on its scope's first and
-last date, so the small per-scope bounds table is joined in with a salted
-join (``functions.joins``), which keeps the hot ``('*', '*')`` key off a single
-task whether or not AQE decides to broadcast the small side. Ranking windows run over
+last date, so the per-scope bounds table is joined in: broadcast after a
+row count, else a salted join (``functions.joins``), so neither the fanned-out
+rows are shuffled for it nor the hot ``('*', '*')`` key lands on one task. Ranking windows run over
 models of one scope, never over sale lines.
 """
 
@@ -15,8 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.functions.joins import salted_join
-from shelfcast.operators.scope import SCOPE, expand_scopes
+from shelfcast.functions.joins import checked_broadcast_join
+from shelfcast.operators.scope import SCOPE, abc_label, expand_scopes
 from shelfcast.operators.topn import top_n
 
 
@@ -41,7 +41,7 @@ def product_trend(facts: DataFrame, daily: DataFrame) -> DataFrame:
                  .groupBy("store", "segment", "model", "ds")
                  .agg(F.sum("qty").alias("qty"),
                       F.coalesce(F.sum("amount"), F.lit(0).cast("decimal(18,2)")).alias("amount")))
-    rows = salted_join(expand_scopes(fine), scope_bounds(daily), SCOPE)
+    rows = checked_broadcast_join(expand_scopes(fine), scope_bounds(daily), SCOPE)
     p2 = in_second_half(F.col("ds"), F.col("first_date"), F.col("last_date"))
     t = rows.groupBy(*SCOPE, "model").agg(
         F.sum("qty").cast("double").alias("total_qty"),
@@ -65,7 +65,7 @@ def align_periods(facts: DataFrame, daily: DataFrame) -> DataFrame:
     """
     lines = expand_scopes(facts.where(F.col("model").isNotNull())
                           .select("store", "segment", "model", "ds", "qty"))
-    lines = salted_join(lines, scope_bounds(daily), SCOPE)
+    lines = checked_broadcast_join(lines, scope_bounds(daily), SCOPE)
     p2 = in_second_half(F.col("ds"), F.col("first_date"), F.col("last_date"))
     models = lines.groupBy(*SCOPE, "model").agg(F.sum("qty").cast("double").alias("total_qty"))
     s1 = lines.filter(~p2).groupBy(*SCOPE, "model").agg(F.sum("qty").cast("double").alias("period1_qty"))
@@ -97,7 +97,8 @@ def abc_summary(abc: DataFrame) -> DataFrame:
     s = abc.groupBy(*SCOPE, "abc_class").agg(F.count(F.lit(1)).alias("products"),
                                               F.sum("total_revenue").alias("revenue"))
     total = F.sum("revenue").over(Window.partitionBy(*SCOPE))
-    return s.withColumn("revenue_share_pct", F.bround(F.try_divide(F.col("revenue"), total) * 100, 2))
+    return (s.withColumn("revenue_share_pct", F.bround(F.try_divide(F.col("revenue"), total) * 100, 2))
+             .withColumn("abc_label", abc_label("abc_class")))
 
 
 def _rank(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
@@ -255,7 +256,7 @@ def line_window_sums(sales: DataFrame, daily: DataFrame, n: int = 30,
     keep = [c for c in sales.columns]
     rows = (sales.withColumn("_store0", F.col("store")).withColumn("_segment0", F.col("segment"))
                  .select(*keep, "_store0", "_segment0"))
-    rows = salted_join(expand_scopes(rows), cuts.drop("lines"), SCOPE)
+    rows = checked_broadcast_join(expand_scopes(rows), cuts.drop("lines"), SCOPE)
     carried = list(dict.fromkeys([*order_cols, "qty", "amount"]))
     head_rows = rows.filter(F.col("sale_date") <= F.col("_head_cut")).select(*SCOPE, *carried)
     tail_rows = rows.filter(F.col("sale_date") >= F.col("_tail_cut")).select(*SCOPE, *carried)

@@ -82,6 +82,25 @@ def q_read_snapshot(spark, sf_dir):
     return finish(src.read_snapshot(spark, path))
 
 
+def _scratch(spark: SparkSession, kind: str, sf_dir: str) -> str:
+    return os.path.join(ensure_checkpoint_dir(spark), kind, os.path.basename(sf_dir.rstrip("/")))
+
+
+@query("read_sales_csv")
+def q_read_sales_csv(spark, sf_dir):
+    """A1: the dirty export written as CSV text and read back through ``read_sales``."""
+    path = _scratch(spark, "csv_exports", sf_dir)
+    tpch.dirty_source(spark, sf_dir).write.mode("overwrite").option("header", True).csv(path)
+    return finish(src.load_sales(src.read_sales(spark, path, "csv")))
+
+
+@query("events_daily_sales")
+def q_events_daily_sales(spark, sf_dir):
+    """A4 + D2 on intraday timestamps: one row per calendar day, not per event."""
+    s = src.load_sales(tpch.events_source(spark, sf_dir))
+    return finish(SalesContext(s, keep=None).daily)
+
+
 # ---- B: scopes -----------------------------------------------------------
 
 @query("list_stores")
@@ -364,6 +383,15 @@ def q_actual_vs_forecast(spark, sf_dir):
     return fo.actual_vs_forecast(mo.recent_months(c.monthly, 6), c.forecast_monthly)
 
 
+@query("forecast_csv_export")
+def q_forecast_csv_export(spark, sf_dir):
+    """The per-day forecast of every scope exported as CSV and read back."""
+    path = _scratch(spark, "forecast_csv", sf_dir)
+    sc_df = fo.scenarios(ctx(spark, sf_dir, "persist").forecast)
+    src.export_forecast_csv(sc_df, path)
+    return spark.read.schema(sc_df.schema).option("header", True).csv(path)
+
+
 @query("forecast_fourier")
 def q_forecast_fourier(spark, sf_dir):
     return fu.forecast_fourier(ctx(spark, sf_dir, "persist").prepared, HORIZON)

@@ -317,7 +317,9 @@ select store, segment, model, total_qty, period1_qty, period2_qty from trend""",
     "abc_classify": with_(SALES, SCOPED, TREND, ABC) + "select * from abcc",
 
     "abc_summary": with_(SALES, SCOPED, TREND, ABC) + """
-select store, segment, abc_class, count(*) as products, sum(total_revenue) as revenue,
+select store, segment, abc_class,
+       case abc_class when 'A' then '80% of revenue' when 'B' then '15% of revenue' else '5% of revenue' end as abc_label,
+       count(*) as products, sum(total_revenue) as revenue,
        round_even(sum(total_revenue) / nullif(sum(sum(total_revenue)) over (partition by store, segment), 0) * 100, 2)
          as revenue_share_pct
 from abcc group by store, segment, abc_class""",
@@ -641,3 +643,16 @@ ind as (
 ORACLE["rule_hits"] = _rules_sql()
 
 ORACLE["read_snapshot"] = ORACLE["load_sales"]
+ORACLE["read_sales_csv"] = ORACLE["load_sales"]
+ORACLE["forecast_csv_export"] = ORACLE["forecast_scenarios"]
+ORACLE["events_daily_sales"] = """
+with ev as (
+  select event_type as store, 'events' as segment, cast(ts as date) as ds, value
+  from events where ts is not null and value > 0)
+select store, segment, ds, cast(count(*) as double) as y, cast(sum(cast(value as decimal(18,2))) as double) as amount,
+       count(*) as lines
+from (select store, segment, ds, value from ev
+      union all select '*', segment, ds, value from ev
+      union all select store, '*', ds, value from ev
+      union all select '*', '*', ds, value from ev)
+group by store, segment, ds"""

@@ -87,3 +87,18 @@ def dirty_source(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("model").alias("Model"), F.col("segment").alias("Segment"),
         price.alias("Price"), qty.alias("Qty"), amount.alias("Sum"),
     )
+
+
+def events_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``events`` table in the nine source columns, with native types.
+
+    Event type plays the store and the model, the user the article, one event
+    is one unit sold at ``value``. Timestamps are intraday, so a day-grain
+    loader must not split a day into many rows.
+    """
+    ev = table(spark, sf_dir, "events")
+    return ev.select(
+        F.col("event_type").alias("Magazin"), F.col("ts").alias("Datasales"),
+        F.col("user_id").cast("string").alias("Art"), F.col("props").alias("Describe"),
+        F.col("event_type").alias("Model"), F.lit("events").alias("Segment"),
+        F.col("value").alias("Price"), F.lit(1).alias("Qty"), F.col("value").alias("Sum"))
