@@ -27,14 +27,21 @@ from shelfcast.operators import series as se
 
 class SalesContext:
     def __init__(self, sales: DataFrame, prep: se.Prep = se.Prep(), horizon: int = 30,
-                 line_order: list[str] | None = None, keep: str | None = "persist"):
+                 line_order: list[str] | None = None, keep: str | None = "persist",
+                 only: frozenset[str] | None = None):
         self.sales = sales
         self.prep = prep
         self.horizon = horizon
         self.line_order = line_order
         self.keep_mode = keep
+        self.only = only  # with "persist": keep just these intermediates
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def _kept(self, name: str) -> bool:
+        return self.keep_mode is not None and (self.only is None or name in self.only)
+
+    def keep(self, df: DataFrame, name: str = "") -> DataFrame:
+        if not self._kept(name):
+            return df
         if self.keep_mode == "persist":
             return df.persist(StorageLevel.MEMORY_AND_DISK)
         if self.keep_mode == "checkpoint":
@@ -44,13 +51,13 @@ class SalesContext:
     @cached_property
     def facts(self) -> DataFrame:
         """The fact cube when it is kept for many readers, else the lines in its columns."""
-        if self.keep_mode is None:
+        if not self._kept("facts"):
             return cu.line_facts(self.sales)
-        return self.keep(cu.fact_cube(self.sales))
+        return self.keep(cu.fact_cube(self.sales), "facts")
 
     @cached_property
     def daily(self) -> DataFrame:
-        return self.keep(se.daily_sales(self.facts))
+        return self.keep(se.daily_sales(self.facts), "daily")
 
     @cached_property
     def guard(self) -> DataFrame:
@@ -58,11 +65,13 @@ class SalesContext:
 
     @cached_property
     def prepared(self) -> DataFrame:
-        return self.keep(fo.restrict_to_scopes(se.prepare_series(self.daily, self.prep), self.guard))
+        return self.keep(fo.restrict_to_scopes(se.prepare_series(self.daily, self.prep), self.guard), "prepared")
 
     @cached_property
     def model(self) -> fo.SeasonalIndexModel:
         m = fo.fit_seasonal_index(self.prepared)
+        if not self._kept("model"):
+            return m
         if self.keep_mode == "persist":
             m.base.persist(StorageLevel.MEMORY_AND_DISK)
         elif self.keep_mode == "checkpoint":
@@ -72,15 +81,15 @@ class SalesContext:
 
     @cached_property
     def forecast(self) -> DataFrame:
-        return self.keep(fo.forecast(self.model, self.horizon))
+        return self.keep(fo.forecast(self.model, self.horizon), "forecast")
 
     @cached_property
     def monthly(self) -> DataFrame:
-        return self.keep(mo.monthly_sales(self.facts, self.daily))
+        return self.keep(mo.monthly_sales(self.facts, self.daily), "monthly")
 
     @cached_property
     def trend(self) -> DataFrame:
-        return self.keep(pr.product_trend(self.facts, self.daily))
+        return self.keep(pr.product_trend(self.facts, self.daily), "trend")
 
     @cached_property
     def volatility(self) -> DataFrame:
