@@ -169,7 +169,7 @@ raw as (select store, segment, min(ds) as first_date, max(ds) as last_date,
                sum(y) as total_qty, sum(amount) as total_amount from daily group by store, segment),
 proc as (select store, segment, avg(y) as avg_daily, max(y) as max_daily, min(y) as min_daily
          from prepared group by store, segment)
-select r.store, r.segment, first_date, last_date, date_diff('day', first_date, last_date) + 1 as span_days,
+select r.store, r.segment, first_date, last_date, cast(date_diff('day', first_date, last_date) + 1 as integer) as span_days,
        total_qty, cast(total_amount as double) as total_amount,
        case when total_qty > 0 then cast(total_amount as double) / total_qty else 0 end as avg_price,
        avg_daily, max_daily, min_daily
@@ -308,7 +308,7 @@ abcc as (select *, case when cumulative_pct <= 80 then 'A' when cumulative_pct <
 
 ORACLE.update({
     "product_trend": with_(SALES, SCOPED, TREND) + """
-select *, 100 - least(abs(change_pct), 100) as stability, date_diff('day', first_sale, last_sale) as days_active
+select *, 100 - least(abs(change_pct), 100) as stability, cast(date_diff('day', first_sale, last_sale) as integer) as days_active
 from trend""",
 
     "align_periods": with_(SALES, SCOPED, TREND) + """
@@ -328,7 +328,7 @@ from abcc group by store, segment, abc_class""",
 tot as (select store, segment, cast(coalesce(sum(amount), 0) as double) as sa from scoped group by store, segment)
 select a.store, a.segment, rank, model, total_qty, total_revenue,
        round_even(total_revenue / nullif(sa, 0) * 100, 2) as revenue_share_pct
-from (select *, row_number() over (partition by store, segment order by total_revenue desc, model) as rank
+from (select *, cast(row_number() over (partition by store, segment order by total_revenue desc, model) as integer) as rank
       from abcc where abc_class = 'A') a
 join tot t on a.store = t.store and a.segment = t.segment where rank <= 10""",
 
@@ -336,19 +336,19 @@ join tot t on a.store = t.store and a.segment = t.segment where rank <= 10""",
 select store, segment, rank, model, total_qty, total_revenue, change_pct,
        100 - least(abs(change_pct), 100) as stability,
        case when total_qty <> 0 then total_revenue / total_qty end as avg_price
-from (select *, row_number() over (partition by store, segment order by total_revenue desc, model) as rank
+from (select *, cast(row_number() over (partition by store, segment order by total_revenue desc, model) as integer) as rank
       from trend) where rank <= 20""",
 
     "top_stable": with_(SALES, SCOPED, TREND) + """
 select store, segment, rank, model, total_qty, total_revenue,
        case when total_qty <> 0 then total_revenue / total_qty end as avg_price, change_pct, stability
-from (select *, row_number() over (partition by store, segment order by stability desc, model) as rank
+from (select *, cast(row_number() over (partition by store, segment order by stability desc, model) as integer) as rank
       from (select *, 100 - least(abs(change_pct), 100) as stability from trend
             where period1_qty > 0 and period2_qty > 0)) where rank <= 20""",
 
     "top_declining": with_(SALES, SCOPED, TREND) + """
 select store, segment, rank, model, total_qty, period1_qty, period2_qty, change_pct, change_pct < -50 as critical
-from (select *, row_number() over (partition by store, segment order by change_pct, model) as rank
+from (select *, cast(row_number() over (partition by store, segment order by change_pct, model) as integer) as rank
       from trend where change_pct < 0) where rank <= 20""",
 
     "product_kpis": with_(SALES, SCOPED, TREND) + """
@@ -366,7 +366,7 @@ group by store, segment""",
 
     "top_models_by_segment": with_(SALES, SCOPED) + """
 select store, segment, rank, model, qty, amount, case when qty > 0 then amount / qty else 0 end as price
-from (select *, row_number() over (partition by store, segment order by amount desc, model) as rank
+from (select *, cast(row_number() over (partition by store, segment order by amount desc, model) as integer) as rank
       from (select store, segment, model, cast(sum(qty) as double) as qty,
                    cast(coalesce(sum(amount), 0) as double) as amount
             from scoped where model is not null group by store, segment, model))
@@ -545,7 +545,7 @@ from (select store, segment, count(*) as n_days, avg(abs(y - yhat_raw)) as mae,
 
     "first_forecast_days": with_(*FC_BASE) + """
 select store, segment, day, ds, yhat, yhat_lower, yhat_upper
-from (select *, row_number() over (partition by store, segment order by ds) as day from fc where is_future)
+from (select *, cast(row_number() over (partition by store, segment order by ds) as integer) as day from fc where is_future)
 where day <= 10""",
 
     "forecast_kpis": with_(*FC_BASE) + """,
