@@ -73,7 +73,8 @@ def price_elasticity(bins: DataFrame) -> DataFrame:
 
 def elasticity_summary(el: DataFrame) -> DataFrame:
     """H8: counts per class; elastic and inelastic share of their joint revenue."""
-    rev = lambda c: F.coalesce(F.sum(F.when(F.col("elasticity_class") == c, F.col("total_revenue"))), F.lit(0.0))
+    rev = lambda c: F.coalesce(F.sum(F.when(F.col("elasticity_class") == c,
+                                            F.col("total_revenue").cast("decimal(38,2)"))).cast("double"), F.lit(0.0))
     s = el.agg(F.count(F.lit(1)).alias("analysed"),
                F.count_if(F.col("elasticity_class") == "elastic").alias("elastic_count"),
                F.count_if(F.col("elasticity_class") == "inelastic").alias("inelastic_count"),

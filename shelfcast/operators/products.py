@@ -83,8 +83,10 @@ def abc_classify(trend: DataFrame) -> DataFrame:
     """
     w = (Window.partitionBy(*SCOPE).orderBy(F.col("total_revenue").desc(), F.col("model"))
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    total = F.sum("total_revenue").over(Window.partitionBy(*SCOPE))
-    cum = F.sum("total_revenue").over(w)
+    # revenue holds whole cents: sum it as DECIMAL so running sums do not depend on order
+    cents = F.col("total_revenue").cast("decimal(38,2)")
+    total = F.sum(cents).over(Window.partitionBy(*SCOPE)).cast("double")
+    cum = F.sum(cents).over(w).cast("double")
     share = F.try_divide(cum, total) * 100
     return (trend.select(*SCOPE, "model", "total_qty", "total_revenue",
                          cum.alias("cumulative_revenue"), share.alias("cumulative_pct"))
@@ -153,9 +155,9 @@ def product_kpis(trend: DataFrame) -> DataFrame:
         F.count_if(F.col("change_pct") > 20).alias("growing_count"),
         F.count_if(F.col("change_pct") < -20).alias("declining_count"),
         F.count_if((F.col("change_pct") >= -20) & (F.col("change_pct") <= 20)).alias("stable_count"),
-        F.sum("total_revenue").alias("_total"),
-        F.sum(F.when(F.col("_rk") <= 5, F.col("total_revenue"))).alias("_top5"),
-        F.sum(F.when(F.col("_rk") <= 10, F.col("total_revenue"))).alias("_top10"),
+        F.sum(F.col("total_revenue").cast("decimal(38,2)")).cast("double").alias("_total"),
+        F.sum(F.when(F.col("_rk") <= 5, F.col("total_revenue").cast("decimal(38,2)"))).cast("double").alias("_top5"),
+        F.sum(F.when(F.col("_rk") <= 10, F.col("total_revenue").cast("decimal(38,2)"))).cast("double").alias("_top10"),
         F.max(F.when(F.col("_rk") == 1, F.col("model"))).alias("leader_model"),
         F.max(F.when(F.col("_rk") == 1, F.col("total_revenue"))).alias("leader_revenue"),
         F.count_if((F.col("_rk") <= 20) & (F.col("change_pct") > 20)).alias("top20_growing"),
@@ -195,7 +197,7 @@ def scope_kpis(facts: DataFrame, daily: DataFrame) -> DataFrame:
                       F.sum("amount").alias("_as"), F.sum("amount_lines").alias("_an")))
     lines = (expand_scopes(fine).groupBy(*SCOPE)
              .agg((F.sum("_ps") / F.sum("_n")).alias("mean_line_price"),
-                  F.try_divide(F.sum("_as"), F.sum("_an")).cast("double").alias("mean_line_amount")))
+                  F.try_divide(F.sum("_as").cast("double"), F.sum("_an")).alias("mean_line_amount")))
     # sum over days of the distinct articles sold that day = distinct (day, article) pairs
     arts = facts.where(F.col("article").isNotNull()).select("store", "segment", "ds", "article")
     per_day = (expand_scopes(arts).distinct().groupBy(*SCOPE)

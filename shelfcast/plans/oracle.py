@@ -54,12 +54,14 @@ DIRTY = """dirty as (
          article as Art, description as "Describe", model as Model, segment as Segment,
          case when k = 0 then 'n/a' when k = 1 then '0' when k = 9 then '1,5'
               when k = 10 then 'nan' when k = 11 then '12.5d'
-              else cast(cast(round(price, 6) as decimal(18,6)) as varchar) end as Price,
+              else cast(micro // 1000000 as varchar) || '.' || lpad(cast(micro % 1000000 as varchar), 6, '0') end as Price,
          case when k = 2 then '-1' when k = 3 then '0'
               when k = 8 then '  ' || cast(qty as varchar) || ' '
               else cast(qty as varchar) end as Qty,
          case when k = 4 then '' else cast(amount as varchar) end as "Sum"
-  from (select *, (l_orderkey + l_partkey) % 50 as k from sales)),
+  from (select *, (l_orderkey + l_partkey) % 50 as k,
+               (cast(round(amount * 100) as bigint) * 20000 + cast(qty as bigint)) // (cast(qty as bigint) * 2) as micro
+        from sales)),
 parsed as (
   select Magazin as store,
          cast(coalesce(try_strptime(trim(Datasales), '%d.%m.%Y'),
@@ -297,11 +299,11 @@ trend as (
 
 ABC = """abc as (
   select store, segment, model, total_qty, total_revenue,
-         sum(total_revenue) over (partition by store, segment order by total_revenue desc, model
-                                  rows between unbounded preceding and current row) as cumulative_revenue,
-         sum(total_revenue) over (partition by store, segment order by total_revenue desc, model
-                                  rows between unbounded preceding and current row)
-           / nullif(sum(total_revenue) over (partition by store, segment), 0) * 100 as cumulative_pct
+         cast(sum(cast(total_revenue as decimal(38,2))) over (partition by store, segment order by total_revenue desc, model
+                                  rows between unbounded preceding and current row) as double) as cumulative_revenue,
+         cast(sum(cast(total_revenue as decimal(38,2))) over (partition by store, segment order by total_revenue desc, model
+                                  rows between unbounded preceding and current row) as double)
+           / nullif(cast(sum(cast(total_revenue as decimal(38,2))) over (partition by store, segment) as double), 0) * 100 as cumulative_pct
   from trend),
 abcc as (select *, case when cumulative_pct <= 80 then 'A' when cumulative_pct <= 95 then 'B' else 'C' end as abc_class
          from abc)"""
@@ -356,8 +358,10 @@ select store, segment, count(*) as models,
        count(*) filter (where change_pct > 20) as growing_count,
        count(*) filter (where change_pct < -20) as declining_count,
        count(*) filter (where change_pct between -20 and 20) as stable_count,
-       sum(total_revenue) filter (where rk <= 5) / nullif(sum(total_revenue), 0) * 100 as top5_share_pct,
-       sum(total_revenue) filter (where rk <= 10) / nullif(sum(total_revenue), 0) * 100 as top10_share_pct,
+       cast(sum(cast(total_revenue as decimal(38,2))) filter (where rk <= 5) as double)
+         / nullif(cast(sum(cast(total_revenue as decimal(38,2))) as double), 0) * 100 as top5_share_pct,
+       cast(sum(cast(total_revenue as decimal(38,2))) filter (where rk <= 10) as double)
+         / nullif(cast(sum(cast(total_revenue as decimal(38,2))) as double), 0) * 100 as top10_share_pct,
        max(model) filter (where rk = 1) as leader_model,
        max(total_revenue) filter (where rk = 1) as leader_revenue,
        count(*) filter (where rk <= 20 and change_pct > 20) as top20_growing
@@ -378,7 +382,7 @@ pd as (select store, segment, sale_date, count(distinct article) as arts, sum(qt
 pda as (select store, segment, sum(arts) as art_days, count(*) as days from pd group by store, segment),
 l as (select store, segment, count(*) as lines, cast(sum(qty) as double) as total_qty,
              cast(coalesce(sum(amount), 0) as double) as total_amount,
-             avg(price) as mean_line_price, cast(avg(amount) as double) as mean_line_amount,
+             avg(price) as mean_line_price, cast(sum(amount) as double) / nullif(count(amount), 0) as mean_line_amount,
              min(sale_date) as f, max(sale_date) as t
       from scoped group by store, segment)
 select l.store, l.segment, lines, total_qty, total_amount, total_amount / lines as avg_ticket,
@@ -468,8 +472,8 @@ from (select count(*) as analysed,
              count(*) filter (where elasticity_class = 'inelastic') as inelastic_count,
              count(*) filter (where elasticity_class = 'unit') as unit_count,
              count(*) filter (where elasticity_class = 'undefined') as undefined_count,
-             coalesce(sum(total_revenue) filter (where elasticity_class = 'elastic'), 0) as elastic_revenue,
-             coalesce(sum(total_revenue) filter (where elasticity_class = 'inelastic'), 0) as inelastic_revenue
+             coalesce(cast(sum(cast(total_revenue as decimal(38,2))) filter (where elasticity_class = 'elastic') as double), 0) as elastic_revenue,
+             coalesce(cast(sum(cast(total_revenue as decimal(38,2))) filter (where elasticity_class = 'inelastic') as double), 0) as inelastic_revenue
       from elc)""",
 
     "top_elasticity": with_(SALES, ELASTIC) + """

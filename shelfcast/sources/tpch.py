@@ -68,7 +68,13 @@ def dirty_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     s = sales_view(spark, sf_dir, with_keys=True)
     k = (F.col("l_orderkey") + F.col("l_partkey")) % 50
-    price_txt = F.round("price", 6).cast("decimal(18,6)").cast("string")
+    # price to 6 decimals, rounded half up, from whole cents and an integer
+    # quantity, so the text does not depend on how an engine rounds doubles
+    cents = F.round(F.col("amount") * 100).cast("long")
+    q = F.col("qty").cast("long")
+    micro = F.floor((cents * 20000 + q) / (q * 2)).cast("long")
+    price_txt = F.concat(F.floor(micro / 1000000).cast("long").cast("string"), F.lit("."),
+                         F.lpad((micro % 1000000).cast("string"), 6, "0"))
     qty_txt = F.col("qty").cast("string")
     amount_txt = F.col("amount").cast("string")
     date_txt = (F.when(k == 5, F.lit("unknown"))
