@@ -13,14 +13,21 @@ number of calendar days, so no group grows with the number of sales.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from shelfcast.operators.forecast import Z80
 from shelfcast.operators.scope import SCOPE
 
+# The per-series solver is shipped with the task by value, so Python workers
+# do not need this package installed (only numpy and pandas).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Model settings.
 N_KNOTS = 25
 KNOT_RANGE = 0.8
