@@ -10,6 +10,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 import __spark_entry__ as entry  # noqa: E402
 from oracle_check import TABLES, close, frame_rows  # noqa: E402
+from shelfcast.plans.catalog import QUERIES as CATALOG  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,11 +29,12 @@ def test_entry(spark):
 
 
 def test_every_query_has_twin_or_is_documented():
-    missing = set(entry.queries()) - set(entry.oracle_sql())
+    assert set(CATALOG) <= set(entry.queries())
+    missing = set(CATALOG) - set(entry.oracle_sql())
     assert missing <= {"forecast_fourier"}
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(CATALOG))
 def test_query_matches_oracle(spark, con, name):
     got = entry.queries()[name](spark, SF).toPandas()
     sql = entry.oracle_sql().get(name)
