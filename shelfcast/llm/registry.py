@@ -20,8 +20,14 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode_digest(read_table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL))
 
 
+def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .compression_quality import score_quality
+    return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op9_compression_quality": op9_compression_quality,
 }
 
 ORACLE: dict[str, str] = {}
