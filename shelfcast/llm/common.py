@@ -84,10 +84,10 @@ def _batch(schema: pa.Schema, rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def map_rows(df: DataFrame, make_rows, schema: pa.Schema) -> DataFrame:
+def map_rows(df: DataFrame, make_rows, schema: pa.Schema, slice_rows: int = 256) -> DataFrame:
     """``mapInArrow`` with a generator: ``make_rows(iterator of row tuples)`` yields result tuples.
 
-    One row is in Python at a time; only bounded Arrow batches are held.
+    ``slice_rows`` rows are Python objects at a time; results go out in bounded Arrow batches.
     """
     from pyspark.sql.pandas.types import from_arrow_schema
 
@@ -95,8 +95,8 @@ def map_rows(df: DataFrame, make_rows, schema: pa.Schema) -> DataFrame:
         def rows():
             for batch in batches:
                 columns = [batch.column(i) for i in range(batch.num_columns)]
-                for at in range(0, batch.num_rows, 256):
-                    yield from zip(*(c.slice(at, 256).to_pylist() for c in columns))
+                for at in range(0, batch.num_rows, slice_rows):
+                    yield from zip(*(c.slice(at, slice_rows).to_pylist() for c in columns))
         yield from batches_of(schema, make_rows(rows()))
 
     return df.mapInArrow(run, from_arrow_schema(schema))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read_table
+from .common import Shared, read_table
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -20,6 +20,18 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode_digest(read_table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL))
 
 
+BYTE_BPE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+#: Id appended to every document by the token-file and packing queries.
+END_ID = 2
+
+
+def op4_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rans import read_token_digests, write_token_files
+    files = Shared(spark, "token-files").path
+    write_token_files(read_table(spark, sf_dir, "documents"), files, *map(tokenizer_path, BYTE_BPE), END_ID)
+    return read_token_digests(spark, files)
+
+
 def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .compression_quality import score_quality
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -27,6 +39,7 @@ def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op4_rans_files": op4_rans_files,
     "op9_compression_quality": op9_compression_quality,
 }
 
