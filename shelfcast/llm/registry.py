@@ -32,6 +32,11 @@ def op4_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_digests(spark, files)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+    return pack_documents(read_table(spark, sf_dir, "documents"), *map(tokenizer_path, BYTE_BPE), END_ID)
+
+
 def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .compression_quality import score_quality
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -40,6 +45,7 @@ def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op4_rans_files": op4_rans_files,
+    "op7_packing": op7_packing,
     "op9_compression_quality": op9_compression_quality,
 }
 
