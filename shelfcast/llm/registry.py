@@ -32,6 +32,11 @@ def op4_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_digests(spark, files)
 
 
+def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kd_sharding import shard_by_bytes
+    return shard_by_bytes(read_table(spark, sf_dir, "documents"), 8)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
     return pack_documents(read_table(spark, sf_dir, "documents"), *map(tokenizer_path, BYTE_BPE), END_ID)
@@ -45,6 +50,7 @@ def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op4_rans_files": op4_rans_files,
+    "op6_kd_sharding": op6_kd_sharding,
     "op7_packing": op7_packing,
     "op9_compression_quality": op9_compression_quality,
 }
