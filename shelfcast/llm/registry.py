@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import Shared, read_table
 
@@ -42,6 +43,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), *map(tokenizer_path, BYTE_BPE), END_ID)
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+    return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .compression_quality import score_quality
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -52,6 +58,7 @@ QUERIES = {
     "op4_rans_files": op4_rans_files,
     "op6_kd_sharding": op6_kd_sharding,
     "op7_packing": op7_packing,
+    "op8_topk": op8_topk,
     "op9_compression_quality": op9_compression_quality,
 }
 
