@@ -21,6 +21,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode_digest(read_table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_verdicts
+    return quality_verdicts(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 BYTE_BPE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Id appended to every document by the token-file and packing queries.
 END_ID = 2
@@ -55,6 +60,7 @@ def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_quality_rules": op2_quality_rules,
     "op4_rans_files": op4_rans_files,
     "op6_kd_sharding": op6_kd_sharding,
     "op7_packing": op7_packing,
