@@ -58,6 +58,11 @@ def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_rules": op2_quality_rules,
@@ -66,6 +71,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_topk": op8_topk,
     "op9_compression_quality": op9_compression_quality,
+    "op10_near_dup": op10_near_dup,
 }
 
 ORACLE: dict[str, str] = {}
