@@ -38,6 +38,11 @@ def op4_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_digests(spark, files)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+    return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .kd_sharding import shard_by_bytes
     return shard_by_bytes(read_table(spark, sf_dir, "documents"), 8)
@@ -67,6 +72,7 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_rules": op2_quality_rules,
     "op4_rans_files": op4_rans_files,
+    "op5_toxicity": op5_toxicity,
     "op6_kd_sharding": op6_kd_sharding,
     "op7_packing": op7_packing,
     "op8_topk": op8_topk,
