@@ -26,6 +26,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pii_spans
+    return pii_spans(read_table(spark, sf_dir, "documents"))
+
+
 BYTE_BPE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Id appended to every document by the token-file and packing queries.
 END_ID = 2
@@ -71,6 +76,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_rules": op2_quality_rules,
+    "op3_pii": op3_pii,
     "op4_rans_files": op4_rans_files,
     "op5_toxicity": op5_toxicity,
     "op6_kd_sharding": op6_kd_sharding,
