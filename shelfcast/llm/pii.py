@@ -6,7 +6,9 @@ addresses of a document are further nodes beside the base spans. Neighbouring
 nodes are linked in a chain; distant nodes that repeat the same or similar
 digits or address share skip potentials. Base nodes are observed; loopy
 sum-product message passing carries their labels along the links, and a loose
-node becomes a span where its marginal for a label reaches ``certain``.
+node becomes a span where its marginal for a label reaches ``certain`` and skip
+links lead to a base span of that label, so that repeated lookalikes alone
+don't talk each other into one.
 
 Unary weights (a logistic model per label on shape and context bits), chain and
 skip potentials are learned from the base spans of a bounded sample of at most
@@ -160,6 +162,23 @@ class Graph:
                     links.append((seen[k][key[k]], i))
                 seen[k][key[k]] = i
 
+    def observed_labels(self) -> list[set[int]]:
+        """Per node: labels of the base nodes that skip links lead to."""
+        root = list(range(len(self.nodes)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+        for a, b in self.same + self.similar:
+            root[find(b)] = find(a)
+        labels: dict[int, set[int]] = {}
+        for i, (_, _, label) in enumerate(self.nodes):
+            if label >= 0:
+                labels.setdefault(find(i), set()).add(label)
+        return [labels.get(find(i), set()) for i in range(len(self.nodes))]
+
 
 class Field:
     """Potentials of the field, from the tallies of the sample."""
@@ -180,7 +199,7 @@ class Field:
         expected = chain.sum(1, keepdims=True) * chain.sum(0, keepdims=True) / chain.sum()
         self.chain = np.log(chain / expected)
         self.skip = {}
-        for kind, prior in (("same", 9.0), ("similar", 3.0)):
+        for kind, prior in (("same", 9.0), ("similar", 9.0)):
             agree, other = tallies.get((kind, 1, 0), 0), tallies.get((kind, 0, 0), 0)
             self.skip[kind] = np.log((agree + prior) / (other + 1.0)) * np.eye(n)
 
@@ -225,10 +244,9 @@ def find_spans(text: str, field: Field | None, certain: float) -> tuple[list, li
     graph = Graph(text)
     added = []
     if field is not None and any(label < 0 for _, _, label in graph.nodes):
-        marginal = field.marginals(graph)
-        for (a, b, label), p in zip(graph.nodes, marginal):
+        for (a, b, label), p, near in zip(graph.nodes, field.marginals(graph), graph.observed_labels()):
             best = int(p.argmax())
-            if label < 0 and best and p[best] >= certain:
+            if label < 0 and best in near and p[best] >= certain:
                 added.append((LABELS[best], a, b))
     return graph.base, sorted(graph.base + added, key=lambda s: (KINDS.index(s[0]), s[1]))
 
