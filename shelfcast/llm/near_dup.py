@@ -15,8 +15,8 @@ coordinates are confirmed on their full shingle sets, and links are joined to
 components. Then only what can still join two components is paired: members
 outside a list's largest component against members of other components. A
 skipped pair lies within one component already, so no link between components
-is lost. Two sets at the similarity itself agree in fewer than 26 of 48
-coordinates with a probability of 7e-8.
+is lost. ``matches`` is the largest number that two sets at the similarity
+itself miss with a probability of at most ``miss`` (26 of 48 for 85 %, 1e-7).
 
 Defined cases: texts without words (null, empty, blank) have no shingle and
 link with nothing; texts of fewer words than a shingle have one; a null doc_id
@@ -27,6 +27,8 @@ not read; an empty table gives an empty table; long texts are hashed in slices.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -53,6 +55,17 @@ def _spread(n: int, seed: int) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
+def matches_for(percent: int, coordinates: int, miss: float) -> int:
+    """Largest m with P(fewer than m of the coordinates agree) <= miss at the similarity; 1 at least."""
+    p, total, m = percent / 100, 0.0, 0
+    while m < coordinates:
+        total += math.comb(coordinates, m) * p**m * (1 - p) ** (coordinates - m)
+        if total > miss:
+            break
+        m += 1
+    return max(1, m)
+
+
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles; one of the whole text if it has fewer words."""
     import xxhash
@@ -187,8 +200,9 @@ def components_of(links: DataFrame, store: Shared, name: str) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, coordinates: int = 48, matches: int = 26) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, coordinates: int = 48, miss: float = 1e-7) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document."""
+    matches = matches_for(percent, coordinates, miss)
     store = Shared(docs.sparkSession, "near-dup")
     signed = store.write(sign_documents(docs, coordinates, width), "signed")
     known = signed.where(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
@@ -211,3 +225,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, coordina
             .select("doc_id", "n_shingles",
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, coordinates: int = 48, miss: float = 1e-7) -> DataFrame:
+    """One document per near-duplicate group, that of the smallest doc_id, with all columns.
+
+    Only ids of dropped documents are joined back, so a document without a
+    near-duplicate is never lost. Of rows that repeat a kept doc_id all stay.
+    """
+    dropped = (near_duplicates(docs, percent, width, coordinates, miss)
+               .where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct())
+    return docs.join(dropped, docs["doc_id"] == F.col("_dropped"), "left_anti")

@@ -73,6 +73,11 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_rules": op2_quality_rules,
@@ -84,6 +89,7 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_compression_quality": op9_compression_quality,
     "op10_near_dup": op10_near_dup,
+    "pipeline": pipeline,
 }
 
 ORACLE: dict[str, str] = {}
