@@ -139,7 +139,7 @@ class Normalizer:
                 end = int(source[last + 1])
             keep[last + 1:] = False
             raw, source, blank = raw[keep], source[keep], blank[keep]
-        if not len(raw):
+        if not len(raw) and (self.squeeze or not data):
             return b"", np.array([end], np.int64)
         if self.escape:
             text = raw.tobytes().replace(b" ", SPACE)
@@ -150,7 +150,7 @@ class Normalizer:
         if self.dummy_prefix and self.suffix:
             text, source = text + mark, np.concatenate([source, np.full(len(mark), end)])
         elif self.dummy_prefix:
-            text, source = mark + text, np.concatenate([np.full(len(mark), source[0]), source])
+            text, source = mark + text, np.concatenate([np.full(len(mark), source[0] if len(source) else 0), source])
         return text, np.append(source, end)
 
 
