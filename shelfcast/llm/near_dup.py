@@ -12,10 +12,12 @@ Postings are merged without writing out all pairs of a list. First every
 member is paired with the list's hub, the member whose pairs are the most
 common (the centre of a group of copies); candidates agreeing in enough
 coordinates are confirmed on their full shingle sets, and links are joined to
-components. Then only what can still join two components is paired: members
-outside a list's largest component against members of other components. A
-skipped pair lies within one component already, so no link between components
-is lost. ``matches`` is the largest number that two sets at the similarity
+components. Then only what can still join two components is paired: members of
+lists that hold several components, if they lie in different ones and if
+prefix and position bounds on their full shingle sets leave the similarity in
+reach; they too must agree in enough coordinates and are confirmed. A skipped
+pair lies within one component already or can't be a link, so no link between
+components is lost. ``matches`` is the largest number that two sets at the similarity
 itself miss with a probability of at most ``miss`` (26 of 48 for 85 %, 1e-7).
 
 Defined cases: texts without words (null, empty, blank) have no shingle and
@@ -40,6 +42,7 @@ MASK = (1 << 64) - 1
 SLICE = 1 << 16
 
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("signature", pa.list_(pa.int64()))])
+OPEN = pa.schema([("rep", pa.int64()), ("component", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 CONFIRMED = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -134,21 +137,46 @@ def hub_pairs(postings: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
 
 
-def bridging_pairs(postings: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """(a, b): members of a list outside its largest component, with members of other components."""
-    placed = (postings.join(components, "rep", "left")
-              .select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")))
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
-    largest = (sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("n"))
-               .where(F.col("n") > 1).select("key", F.col("top.component").alias("top")))
-    mixed = placed.join(largest, "key")
-    outside = mixed.where(F.col("component") != F.col("top")).select(
-        "key", F.col("rep").alias("rep_o"), F.col("n_shingles").alias("n_o"), F.col("component").alias("component_o"))
-    met = mixed.join(outside, "key").where(
-        (F.col("component") != F.col("component_o"))
-        & ((F.col("component") == F.col("top")) | (F.col("rep") < F.col("rep_o")))
-        & _at_least(F.col("n_shingles"), F.col("n_o"), percent))
-    return met.select(F.least("rep", "rep_o").alias("a"), F.greatest("rep", "rep_o").alias("b")).distinct()
+def open_members(postings: DataFrame, components: DataFrame) -> DataFrame:
+    """(rep, component) of the members of lists that still hold more than one component."""
+    placed = (postings.select("key", "rep").join(components, "rep", "left")
+              .select("key", "rep", F.coalesce("component", "rep").alias("component")))
+    mixed = (placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+             .where(F.col("low") < F.col("high")).select("key"))
+    return placed.join(mixed, "key").select("rep", "component").distinct()
+
+
+def shingles_of(texts: DataFrame, width: int) -> DataFrame:
+    """(rep, component, shingles) of (rep, component, text)."""
+    def rows(source):
+        for rep, component, text in source:
+            yield rep, component, shingle_set(text, width).astype(np.int64).tolist()
+    return map_rows(texts.select("rep", "component", "text"), rows, OPEN, slice_rows=32)
+
+
+def bridging_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): members of different components that can reach the similarity.
+
+    Shingles are ordered by how many sets hold them, the rarest first. Sets
+    that reach the similarity share one of the first ``n - ceil(percent n) + 1``
+    of each, and at the first one they share, what is left of either set still
+    suffices; other pairs of a list are skipped unseen.
+    """
+    spread = sets.select("rep", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    shared = spread.groupBy("shingle").agg(F.count("*").alias("f")).where(F.col("f") > 1)
+    # a shingle that no other set holds comes before all shared ones
+    ordered = (spread.join(shared, "shingle").groupBy("rep", "component", "n")
+               .agg(F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("s")))
+    needed = F.expr(f"({percent} * n + 99) div 100").cast("int")
+    first = (ordered.where(F.size("s") >= needed)
+             .select("rep", "component", "n", F.size("s").alias("m"), F.posexplode(F.slice("s", 1, F.size("s") - needed + 1)).alias("k", "x"))
+             .select(F.col("x.shingle").alias("shingle"), "rep", "component", "n", (F.col("m") - F.col("k")).alias("left")))
+    other = first.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("rep", "component", "n", "left")])
+    most = F.least("left", "left_b")
+    met = first.join(other, "shingle").where(
+        (F.col("rep") < F.col("rep_b")) & (F.col("component") != F.col("component_b"))
+        & (100 * most >= percent * (F.col("n") + F.col("n_b") - most)))
+    return met.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
 def agreeing(pairs: DataFrame, reps: DataFrame, matches: int) -> DataFrame:
@@ -215,11 +243,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, coordina
     first_pairs = store.write(hub_pairs(postings, percent), "hub-pairs")
     links = store.write(confirmed(agreeing(first_pairs, reps, matches), texts, percent, width), "hub-links")
     joined = components_of(links, store, "hub-components")
-    rest = bridging_pairs(postings, joined, percent).join(first_pairs, ["a", "b"], "left_anti")
+    left = store.write(shingles_of(texts.join(open_members(postings, joined), "rep"), width), "open-sets")
+    rest = bridging_pairs(left, percent).join(first_pairs, ["a", "b"], "left_anti")
     more = store.write(confirmed(agreeing(rest, reps, matches), texts, percent, width), "bridging-links")
     if more.limit(1).count():
         joined = components_of(links.unionAll(more), store, "components")
-    store.drop("postings", "texts", "hub-pairs", "hub-links", "bridging-links")
+    store.drop("postings", "texts", "hub-pairs", "hub-links", "open-sets", "bridging-links")
     classes = reps.join(joined, "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
     return (signed.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
             .select("doc_id", "n_shingles",
@@ -235,4 +264,4 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, coo
     """
     dropped = (near_duplicates(docs, percent, width, coordinates, miss)
                .where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct())
-    return docs.join(dropped, docs["doc_id"] == F.col("_dropped"), "left_anti")
+    return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
