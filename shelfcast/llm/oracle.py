@@ -1,6 +1,6 @@
 """DuckDB twins of the queries that SQL can express, written on their own."""
 
-#: Operator 2. Cutoffs are listed again here: 5 rules by 10 cutoffs, 5 strata, alpha 0.05, delta 0.05, penalty 10.
+#: Operator 2. Cutoffs are listed again here: 5 rules by 10 cutoffs, 5 strata, alpha 0.05, delta 0.05, penalty 200.
 QUALITY_RULES = r"""
 WITH words AS (
   SELECT row_number() OVER () AS rid, doc_id,
@@ -56,7 +56,7 @@ tails AS (
     lambda i: exp(lgamma(n::DOUBLE + 1) - lgamma(i::DOUBLE + 1) - lgamma((n - i)::DOUBLE + 1) + i * ln(0.01) + (n - i) * ln(0.99)))) END AS p
   FROM filled),
 admitted AS (
-  SELECT stratum, rule, cutoff, k_bad / greatest(n_bad, 1) - 10.0 * k / n AS gain FROM tails WHERE p <= 0.05 / 250),
+  SELECT stratum, rule, cutoff, k_bad / greatest(n_bad, 1) - 200.0 * k / n AS gain FROM tails WHERE p <= 0.05 / 250),
 chosen AS (
   SELECT stratum, rule, cutoff FROM admitted WHERE gain > 0
   QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, cutoff DESC) = 1),

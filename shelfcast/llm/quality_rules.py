@@ -37,7 +37,7 @@ CUTOFFS = {
     "word_length": (5.0, 6.0, 7.0, 8.0, 9.0, 10.0, 12.0, 15.0, 20.0, 30.0),
     "same_words": (0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95),
 }
-PENALTY = 10.0
+PENALTY = 200.0
 #: Terms of the binomial tail that are summed; the rest is bounded by a geometric series.
 TAIL_TERMS = 20_000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct"]
