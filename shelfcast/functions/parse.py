@@ -8,6 +8,8 @@ bad cell becomes NULL and never fails the job.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,8 +17,13 @@ from pyspark.sql import functions as F
 # exponent; blanks around it are allowed (trimmed first).
 NUMBER_PATTERN = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
-# Accepted day-first date layouts, tried in this order.
-DATE_FORMATS = ("d.M.yyyy", "d/M/yyyy", "yyyy-M-d", "d.M.yyyy H:m:s", "yyyy-M-d H:m:s")
+# A time of day after the date, with or without zone; the day grain drops it.
+_TIME = r"[T ]+([01]?[0-9]|2[0-3]):[0-5]?[0-9](:[0-5]?[0-9](\.[0-9]+)?)?( ?(Z|[+-][0-9]{2}:?[0-9]{2}))?$"
+
+# Default date layouts, tried in this order on text whose time of day is cut
+# off and whose separators (. / - or blanks) are written as dots. Day-first,
+# two-digit years fall in 1969-2068.
+DATE_LAYOUTS = ("d.M.yyyy", "yyyy.M.d", "d.M.yy", "yyyyMMdd", "d.MMM.yyyy", "d.MMMM.yyyy")
 
 
 def parse_number(col: Column | str) -> Column:
@@ -25,10 +32,17 @@ def parse_number(col: Column | str) -> Column:
     return F.when(c.rlike(NUMBER_PATTERN), c.try_cast("double"))
 
 
-def parse_day_first_date(col: Column | str) -> Column:
-    """First layout of ``DATE_FORMATS`` that parses, as DATE; else NULL."""
+def parse_day_first_date(col: Column | str, layouts: Sequence[str] = DATE_LAYOUTS) -> Column:
+    """First of ``layouts`` that parses the normalised text, as DATE; else NULL."""
     c = F.trim(F.col(col) if isinstance(col, str) else col)
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(fmt)) for fmt in DATE_FORMATS]).cast("date")
+    c = F.regexp_replace(F.regexp_replace(c, _TIME, ""), r"\s*[./-]\s*|\s+", ".")
+    found = []
+    for layout in layouts:
+        date = F.try_to_timestamp(c, F.lit(layout)).cast("date")
+        if "yy" in layout and "yyyy" not in layout:  # parsed into 2000-2099
+            date = F.when(F.year(date) > 2068, F.add_months(date, -1200)).otherwise(date)
+        found.append(date)
+    return F.coalesce(*found)
 
 
 def nan_to_null(col: Column) -> Column:

@@ -35,7 +35,7 @@ def line_facts(sales: DataFrame) -> DataFrame:
     """
     return sales.select(
         "store", "segment", "model", "article", F.col("sale_date").alias("ds"),
-        F.col("qty").cast("decimal(28,2)").alias("qty"), F.col("amount").cast("decimal(28,2)").alias("amount"),
+        F.col("qty").cast("decimal(28,6)").alias("qty"), F.col("amount").cast("decimal(28,6)").alias("amount"),
         F.lit(1).cast("long").alias("lines"),
         F.when(F.col("amount").isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("amount_lines"),
         F.col("price").alias("price_sum"))

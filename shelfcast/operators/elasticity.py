@@ -23,7 +23,7 @@ def price_bins(sales: DataFrame, min_lines: int = 10) -> DataFrame:
     pm = (sales.where(F.col("model").isNotNull() & F.col("price").isNotNull())
                .groupBy("model", "price")
                .agg(F.count(F.lit(1)).alias("lines"), F.sum("qty").alias("qty"),
-                    F.coalesce(F.sum("amount"), F.lit(0).cast("decimal(18,2)")).alias("amount")))
+                    F.coalesce(F.sum("amount"), F.lit(0).cast("decimal(28,6)")).alias("amount")))
     w = Window.partitionBy("model")
     q = F.percentile("price", F.array(*[F.lit(x) for x in (0.0, 1.0 / 3.0, 2.0 / 3.0, 1.0)]), F.col("lines"))
     med = F.percentile("price", F.lit(0.5), F.col("lines"))
@@ -74,7 +74,7 @@ def price_elasticity(bins: DataFrame) -> DataFrame:
 def elasticity_summary(el: DataFrame) -> DataFrame:
     """H8: counts per class; elastic and inelastic share of their joint revenue."""
     rev = lambda c: F.coalesce(F.sum(F.when(F.col("elasticity_class") == c,
-                                            F.col("total_revenue").cast("decimal(38,2)"))).cast("double"), F.lit(0.0))
+                                            F.col("total_revenue").cast("decimal(38,6)"))).cast("double"), F.lit(0.0))
     s = el.agg(F.count(F.lit(1)).alias("analysed"),
                F.count_if(F.col("elasticity_class") == "elastic").alias("elastic_count"),
                F.count_if(F.col("elasticity_class") == "inelastic").alias("inelastic_count"),

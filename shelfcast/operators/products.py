@@ -40,7 +40,7 @@ def product_trend(facts: DataFrame, daily: DataFrame) -> DataFrame:
     fine = (facts.where(F.col("model").isNotNull())
                  .groupBy("store", "segment", "model", "ds")
                  .agg(F.sum("qty").alias("qty"),
-                      F.coalesce(F.sum("amount"), F.lit(0).cast("decimal(18,2)")).alias("amount")))
+                      F.coalesce(F.sum("amount"), F.lit(0).cast("decimal(28,6)")).alias("amount")))
     rows = checked_broadcast_join(expand_scopes(fine), scope_bounds(daily), SCOPE)
     p2 = in_second_half(F.col("ds"), F.col("first_date"), F.col("last_date"))
     t = rows.groupBy(*SCOPE, "model").agg(
@@ -84,7 +84,7 @@ def abc_classify(trend: DataFrame) -> DataFrame:
     w = (Window.partitionBy(*SCOPE).orderBy(F.col("total_revenue").desc(), F.col("model"))
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     # revenue holds whole cents: sum it as DECIMAL so running sums do not depend on order
-    cents = F.col("total_revenue").cast("decimal(38,2)")
+    cents = F.col("total_revenue").cast("decimal(38,6)")
     total = F.sum(cents).over(Window.partitionBy(*SCOPE)).cast("double")
     cum = F.sum(cents).over(w).cast("double")
     share = F.try_divide(cum, total) * 100
@@ -155,9 +155,9 @@ def product_kpis(trend: DataFrame) -> DataFrame:
         F.count_if(F.col("change_pct") > 20).alias("growing_count"),
         F.count_if(F.col("change_pct") < -20).alias("declining_count"),
         F.count_if((F.col("change_pct") >= -20) & (F.col("change_pct") <= 20)).alias("stable_count"),
-        F.sum(F.col("total_revenue").cast("decimal(38,2)")).cast("double").alias("_total"),
-        F.sum(F.when(F.col("_rk") <= 5, F.col("total_revenue").cast("decimal(38,2)"))).cast("double").alias("_top5"),
-        F.sum(F.when(F.col("_rk") <= 10, F.col("total_revenue").cast("decimal(38,2)"))).cast("double").alias("_top10"),
+        F.sum(F.col("total_revenue").cast("decimal(38,6)")).cast("double").alias("_total"),
+        F.sum(F.when(F.col("_rk") <= 5, F.col("total_revenue").cast("decimal(38,6)"))).cast("double").alias("_top5"),
+        F.sum(F.when(F.col("_rk") <= 10, F.col("total_revenue").cast("decimal(38,6)"))).cast("double").alias("_top10"),
         F.max(F.when(F.col("_rk") == 1, F.col("model"))).alias("leader_model"),
         F.max(F.when(F.col("_rk") == 1, F.col("total_revenue"))).alias("leader_revenue"),
         F.count_if((F.col("_rk") <= 20) & (F.col("change_pct") > 20)).alias("top20_growing"),
@@ -176,7 +176,7 @@ def top_models_by_segment(facts: DataFrame, n: int = 10) -> DataFrame:
     fine = (facts.where(F.col("model").isNotNull())
                  .groupBy("store", "segment", "model")
                  .agg(F.sum("qty").alias("qty"),
-                      F.coalesce(F.sum("amount"), F.lit(0).cast("decimal(18,2)")).alias("amount")))
+                      F.coalesce(F.sum("amount"), F.lit(0).cast("decimal(28,6)")).alias("amount")))
     m = (expand_scopes(fine).groupBy(*SCOPE, "model")
          .agg(F.sum("qty").cast("double").alias("qty"), F.sum("amount").cast("double").alias("amount")))
     t = _rank(m, [F.col("amount").desc(), F.col("model")], n)

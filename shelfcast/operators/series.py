@@ -34,7 +34,7 @@ def daily_facts(facts: DataFrame) -> DataFrame:
     """Finest daily grain from the fact cube: quantity, amount (NULL-only sums to 0), lines."""
     return (facts.groupBy("store", "segment", "ds")
                  .agg(F.sum("qty").alias("qty"),
-                      F.coalesce(F.sum("amount"), F.lit(0).cast("decimal(18,2)")).alias("amount"),
+                      F.coalesce(F.sum("amount"), F.lit(0).cast("decimal(28,6)")).alias("amount"),
                       F.sum("lines").alias("lines")))
 
 

@@ -50,6 +50,11 @@ DIRTY = """dirty as (
          case when k = 5 then 'unknown'
               when k = 6 then strftime(sale_date, '%d/%m/%Y')
               when k = 7 then strftime(sale_date, '%Y-%m-%d')
+              when k = 17 then strftime(sale_date, '%d-%m-%Y')
+              when k = 18 then strftime(sale_date, '%d.%m.%y')
+              when k = 19 then strftime(sale_date, '%d/%m/%Y') || ' 10:00:00'
+              when k = 20 then strftime(sale_date, '%Y-%m-%d') || 'T10:00:00'
+              when k = 21 then strftime(sale_date, '%d.%m.%Y') || ' 10:30'
               else strftime(sale_date, '%d.%m.%Y') end as Datasales,
          article as Art, description as "Describe", model as Model, segment as Segment,
          case when k = 0 then 'n/a' when k = 1 then '0' when k = 9 then '1,5'
@@ -57,23 +62,26 @@ DIRTY = """dirty as (
               else cast(micro // 1000000 as varchar) || '.' || lpad(cast(micro % 1000000 as varchar), 6, '0') end as Price,
          case when k = 2 then '-1' when k = 3 then '0'
               when k = 8 then '  ' || cast(qty as varchar) || ' '
+              when k = 12 then '-0.004' when k = 13 then '0.125' when k = 15 then '1e23'
               else cast(qty as varchar) end as Qty,
-         case when k = 4 then '' else cast(amount as varchar) end as "Sum"
+         case when k = 4 then '' when k = 14 then '1e16' when k = 16 then '1e30'
+              else cast(amount as varchar) end as "Sum"
   from (select *, (l_orderkey + l_partkey) % 50 as k,
                (cast(round(amount * 100) as bigint) * 20000 + cast(qty as bigint)) // (cast(qty as bigint) * 2) as micro
         from sales)),
 parsed as (
   select Magazin as store,
-         cast(coalesce(try_strptime(trim(Datasales), '%d.%m.%Y'),
-                       try_strptime(trim(Datasales), '%d/%m/%Y'),
-                       try_strptime(trim(Datasales), '%Y-%m-%d')) as date) as sale_date,
+         cast(case when regexp_matches(trim(Datasales), '^[0-9]+[.][0-9]+[.][0-9]{2}$') then try_strptime(trim(Datasales), '%d.%m.%y')
+                   else try_strptime(trim(Datasales), ['%d.%m.%Y', '%d/%m/%Y', '%Y-%m-%d', '%d-%m-%Y',
+                         '%d/%m/%Y %H:%M:%S', '%Y-%m-%dT%H:%M:%S', '%d.%m.%Y %H:%M']) end as date) as sale_date,
          Art as article, "Describe" as description, Model as model, Segment as segment,
          case when regexp_matches(trim(Price), '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$')
               then try_cast(trim(Price) as double) end as price,
-         try_cast(case when regexp_matches(trim(Qty), '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$')
-              then try_cast(trim(Qty) as double) end as decimal(18,2)) as qty,
-         try_cast(case when regexp_matches(trim("Sum"), '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$')
-              then try_cast(trim("Sum") as double) end as decimal(18,2)) as amount
+         case when regexp_matches(trim(Qty), '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$')
+              then try_cast(trim(Qty) as double) end as qty_number,
+         case when regexp_matches(trim("Sum"), '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$')
+              then try_cast(trim("Sum") as double) end as amount_number,
+         try_cast(qty_number as decimal(28,6)) as qty, try_cast(amount_number as decimal(28,6)) as amount
   from dirty)"""
 
 
@@ -111,15 +119,18 @@ ORACLE: dict[str, str] = {
     "load_sales": with_(SALES, DIRTY) + """
 select store, sale_date, article, description, model, segment, price,
        cast(qty as double) as qty, cast(amount as double) as amount
-from parsed where sale_date is not null and qty >= 0 and price > 0""",
+from parsed where sale_date is not null and qty_number >= 0 and price > 0
+  and qty is not null and (amount_number is null or amount is not null)""",
 
     "rejection_counts": with_(SALES, DIRTY) + """
 select outcome, count(*) as lines from (
   select case when sale_date is null then 'bad_date'
               when price is null then 'bad_price'
               when price <= 0 then 'price_not_positive'
-              when qty is null then 'bad_qty'
-              when qty < 0 then 'qty_negative'
+              when qty_number is null then 'bad_qty'
+              when qty_number < 0 then 'qty_negative'
+              when qty is null then 'qty_too_large'
+              when amount_number is not null and amount is null then 'amount_too_large'
               else 'accepted' end as outcome
   from parsed) group by outcome""",
 
@@ -299,11 +310,11 @@ trend as (
 
 ABC = """abc as (
   select store, segment, model, total_qty, total_revenue,
-         cast(sum(cast(total_revenue as decimal(38,2))) over (partition by store, segment order by total_revenue desc, model
+         cast(sum(cast(total_revenue as decimal(38,6))) over (partition by store, segment order by total_revenue desc, model
                                   rows between unbounded preceding and current row) as double) as cumulative_revenue,
-         cast(sum(cast(total_revenue as decimal(38,2))) over (partition by store, segment order by total_revenue desc, model
+         cast(sum(cast(total_revenue as decimal(38,6))) over (partition by store, segment order by total_revenue desc, model
                                   rows between unbounded preceding and current row) as double)
-           / nullif(cast(sum(cast(total_revenue as decimal(38,2))) over (partition by store, segment) as double), 0) * 100 as cumulative_pct
+           / nullif(cast(sum(cast(total_revenue as decimal(38,6))) over (partition by store, segment) as double), 0) * 100 as cumulative_pct
   from trend),
 abcc as (select *, case when cumulative_pct <= 80 then 'A' when cumulative_pct <= 95 then 'B' else 'C' end as abc_class
          from abc)"""
@@ -358,10 +369,10 @@ select store, segment, count(*) as models,
        count(*) filter (where change_pct > 20) as growing_count,
        count(*) filter (where change_pct < -20) as declining_count,
        count(*) filter (where change_pct between -20 and 20) as stable_count,
-       cast(sum(cast(total_revenue as decimal(38,2))) filter (where rk <= 5) as double)
-         / nullif(cast(sum(cast(total_revenue as decimal(38,2))) as double), 0) * 100 as top5_share_pct,
-       cast(sum(cast(total_revenue as decimal(38,2))) filter (where rk <= 10) as double)
-         / nullif(cast(sum(cast(total_revenue as decimal(38,2))) as double), 0) * 100 as top10_share_pct,
+       cast(sum(cast(total_revenue as decimal(38,6))) filter (where rk <= 5) as double)
+         / nullif(cast(sum(cast(total_revenue as decimal(38,6))) as double), 0) * 100 as top5_share_pct,
+       cast(sum(cast(total_revenue as decimal(38,6))) filter (where rk <= 10) as double)
+         / nullif(cast(sum(cast(total_revenue as decimal(38,6))) as double), 0) * 100 as top10_share_pct,
        max(model) filter (where rk = 1) as leader_model,
        max(total_revenue) filter (where rk = 1) as leader_revenue,
        count(*) filter (where rk <= 20 and change_pct > 20) as top20_growing
@@ -472,8 +483,8 @@ from (select count(*) as analysed,
              count(*) filter (where elasticity_class = 'inelastic') as inelastic_count,
              count(*) filter (where elasticity_class = 'unit') as unit_count,
              count(*) filter (where elasticity_class = 'undefined') as undefined_count,
-             coalesce(cast(sum(cast(total_revenue as decimal(38,2))) filter (where elasticity_class = 'elastic') as double), 0) as elastic_revenue,
-             coalesce(cast(sum(cast(total_revenue as decimal(38,2))) filter (where elasticity_class = 'inelastic') as double), 0) as inelastic_revenue
+             coalesce(cast(sum(cast(total_revenue as decimal(38,6))) filter (where elasticity_class = 'elastic') as double), 0) as elastic_revenue,
+             coalesce(cast(sum(cast(total_revenue as decimal(38,6))) filter (where elasticity_class = 'inelastic') as double), 0) as inelastic_revenue
       from elc)""",
 
     "top_elasticity": with_(SALES, ELASTIC) + """
@@ -653,7 +664,7 @@ ORACLE["events_daily_sales"] = """
 with ev as (
   select event_type as store, 'events' as segment, cast(ts as date) as ds, value
   from events where ts is not null and value > 0)
-select store, segment, ds, cast(count(*) as double) as y, cast(sum(cast(value as decimal(18,2))) as double) as amount,
+select store, segment, ds, cast(count(*) as double) as y, cast(sum(cast(value as decimal(28,6))) as double) as amount,
        count(*) as lines
 from (select store, segment, ds, value from ev
       union all select '*', segment, ds, value from ev

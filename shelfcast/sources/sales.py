@@ -6,11 +6,13 @@ validation every operator works on the canonical schema ``SALES_SCHEMA``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfcast.functions.parse import nan_to_null, parse_day_first_date, parse_number
+from shelfcast.functions.parse import DATE_LAYOUTS, nan_to_null, parse_day_first_date, parse_number
 
 # The nine required source columns, in contract order, and the
 # canonical name each one gets.
@@ -27,7 +29,8 @@ CANONICAL = {
     "Sum": "amount",
 }
 
-MONEY = T.DecimalType(18, 2)
+# 22 whole digits and 6 decimals: sums of them do not depend on row order.
+MONEY = T.DecimalType(28, 6)
 
 SALES_SCHEMA = T.StructType([
     T.StructField("store", T.StringType()),
@@ -51,10 +54,14 @@ class MissingColumnsError(ValueError):
 
 
 def read_sales(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """A1: scan a sales export. CSV is read with every column as text."""
+    """A1: scan a sales export. CSV is read with every column as text.
+
+    ``enforceSchema`` is off: a file whose header differs from that of the
+    others fails the job instead of having its columns bound by position.
+    """
     reader = spark.read
     if fmt == "csv":
-        reader = reader.option("header", True).option("inferSchema", False)
+        reader = reader.option("header", True).option("inferSchema", False).option("enforceSchema", False)
     return reader.format(fmt).load(path)
 
 
@@ -66,11 +73,11 @@ def require_columns(df: DataFrame) -> DataFrame:
     return df
 
 
-def _date_expr(df: DataFrame):
+def _date_expr(df: DataFrame, layouts: Sequence[str]):
     dtype = df.schema["Datasales"].dataType
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return F.col("Datasales").cast("date")
-    return parse_day_first_date(F.col("Datasales").cast("string"))
+    return parse_day_first_date(F.col("Datasales").cast("string"), layouts)
 
 
 def _number_expr(df: DataFrame, name: str):
@@ -79,67 +86,86 @@ def _number_expr(df: DataFrame, name: str):
     return parse_number(F.col(name).cast("string"))
 
 
-def coerce(df: DataFrame) -> DataFrame:
+def coerce(df: DataFrame, layouts: Sequence[str] = DATE_LAYOUTS) -> DataFrame:
     """A3 + A4: canonical names and types; unparseable cells become NULL.
 
     Dates are day-first and kept at day grain (a timestamp's time of day is
     dropped, so intraday rows fall on one day). Quantity and amount become
-    DECIMAL(18,2) so that sums do not depend on row order.
+    DECIMAL(28,6); ``qty_number`` and ``amount_number`` keep what was parsed,
+    for rules that look at the value before it is rounded.
     """
+    qty, amount = _number_expr(df, "Qty"), _number_expr(df, "Sum")
     parsed = F.struct(
         F.col("Magazin").cast("string").alias("store"),
-        _date_expr(df).alias("sale_date"),
+        _date_expr(df, layouts).alias("sale_date"),
         F.col("Art").cast("string").alias("article"),
         F.col("Describe").cast("string").alias("description"),
         F.col("Model").cast("string").alias("model"),
         F.col("Segment").cast("string").alias("segment"),
         _number_expr(df, "Price").alias("price"),
-        _number_expr(df, "Qty").try_cast(MONEY).alias("qty"),
-        _number_expr(df, "Sum").try_cast(MONEY).alias("amount"),
+        qty.try_cast(MONEY).alias("qty"),
+        amount.try_cast(MONEY).alias("amount"),
+        qty.alias("qty_number"),
+        amount.alias("amount_number"),
     )
     # Parsed once: the filter that follows refers to the generated columns,
     # so Catalyst cannot copy the parse expressions into a pushed-down filter.
     return df.select(F.inline(F.array(parsed)))
 
 
-def drop_bad_rows(df: DataFrame) -> DataFrame:
-    """A5: keep rows with a date, ``qty >= 0`` and ``price > 0``.
+def reject_reason() -> Column:
+    """The first rule a coerced row breaks; NULL when it is accepted (A5).
 
-    NULLs fail both comparisons, so unparseable numbers are dropped too.
+    Rows need a date, ``price > 0`` and ``qty >= 0`` (before rounding), and a
+    quantity and amount that fit their type.
     """
-    return df.filter(F.col("sale_date").isNotNull() & (F.col("qty") >= 0) & (F.col("price") > 0))
+    return (F.when(F.col("sale_date").isNull(), F.lit("bad_date"))
+             .when(F.col("price").isNull(), F.lit("bad_price"))
+             .when(F.col("price") <= 0, F.lit("price_not_positive"))
+             .when(F.col("qty_number").isNull(), F.lit("bad_qty"))
+             .when(F.col("qty_number") < 0, F.lit("qty_negative"))
+             .when(F.col("qty").isNull(), F.lit("qty_too_large"))
+             .when(F.col("amount_number").isNotNull() & F.col("amount").isNull(), F.lit("amount_too_large")))
+
 
+def drop_bad_rows(coerced: DataFrame) -> DataFrame:
+    """A5: the accepted rows, with the canonical columns."""
+    return coerced.filter(reject_reason().isNull()).select(*[f.name for f in SALES_SCHEMA.fields])
 
-def load_sales(df: DataFrame) -> DataFrame:
+
+def load_sales(df: DataFrame, layouts: Sequence[str] = DATE_LAYOUTS) -> DataFrame:
     """Source frame -> validated canonical sales table (lazy)."""
-    return drop_bad_rows(coerce(require_columns(df)))
+    return drop_bad_rows(coerce(require_columns(df), layouts))
 
 
-def rejection_reasons(df: DataFrame) -> DataFrame:
+def rejection_reasons(df: DataFrame, layouts: Sequence[str] = DATE_LAYOUTS) -> DataFrame:
     """Per source row, the first rule it breaks (NULL when accepted)."""
-    c = coerce(require_columns(df))
-    reason = (F.when(F.col("sale_date").isNull(), F.lit("bad_date"))
-              .when(F.col("price").isNull(), F.lit("bad_price"))
-              .when(F.col("price") <= 0, F.lit("price_not_positive"))
-              .when(F.col("qty").isNull(), F.lit("bad_qty"))
-              .when(F.col("qty") < 0, F.lit("qty_negative")))
-    return c.withColumn("reject_reason", reason)
+    return coerce(require_columns(df), layouts).withColumn("reject_reason", reject_reason())
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:
     """Keep the validated table as Parquet partitioned by sale month.
 
-    Later jobs read it back with ``read_snapshot``; filters on ``sale_month``
-    prune whole folders and other filters reach the Parquet row groups.
+    Rows are rebalanced by month: a month larger than the advisory partition
+    size is split over several tasks and files, small months share a task.
     """
     (df.withColumn("sale_month", F.date_format("sale_date", "yyyy-MM"))
-       .repartition("sale_month")
+       .hint("rebalance", "sale_month")
        .write.mode("overwrite").partitionBy("sale_month").parquet(path))
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """A7 reader: the canonical table back from ``write_snapshot``."""
-    return spark.read.parquet(path).select(*[f.name for f in SALES_SCHEMA.fields])
+def read_snapshot(spark: SparkSession, path: str, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
+    """A7 reader: the canonical table back from ``write_snapshot``.
+
+    A range of sale dates (ISO text, both ends included) reads only the month
+    folders it touches.
+    """
+    out = spark.read.parquet(path)
+    if date_from is not None:
+        out = out.filter((F.col("sale_month") >= date_from[:7]) & (F.col("sale_date") >= F.lit(date_from).cast("date")))
+    if date_to is not None:
+        out = out.filter((F.col("sale_month") <= date_to[:7]) & (F.col("sale_date") <= F.lit(date_to).cast("date")))
+    return out.select(*[f.name for f in SALES_SCHEMA.fields])
 
 
 def export_forecast_csv(detail: DataFrame, path: str) -> None:

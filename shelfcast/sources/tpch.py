@@ -21,23 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread_if_undersplit(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer splits than the session has cores.
+def fact_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact table; round-robined over ``shelfcast.bench.scanPartitions`` tasks if the session sets it.
 
-    A fact file written as one large row group is read by one task, and the
-    joins and partial aggregates after it would run on one core. On a cluster
-    reading many files the scan has far more splits than cores and this is a
-    no-op.
+    Off unless set: a cluster reads many files, and the extra shuffle would only
+    cost. The bench sets it, since its fact file is one row group.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    scan = table(spark, sf_dir, "lineitem")
+    spread = spark.conf.get("shelfcast.bench.scanPartitions", None)
+    return scan.repartition(int(spread)) if spread else scan
 
 
 def sales_view(spark: SparkSession, sf_dir: str, with_keys: bool = False) -> DataFrame:
     """Canonical sales table built from lineitem, part, supplier, nation."""
-    li = spread_if_undersplit(table(spark, sf_dir, "lineitem"))
+    li = fact_scan(spark, sf_dir)
     part = table(spark, sf_dir, "part")
     supplier = table(spark, sf_dir, "supplier")
     nation = table(spark, sf_dir, "nation")
@@ -75,18 +72,21 @@ def dirty_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     micro = F.floor((cents * 20000 + q) / (q * 2)).cast("long")
     price_txt = F.concat(F.floor(micro / 1000000).cast("long").cast("string"), F.lit("."),
                          F.lpad((micro % 1000000).cast("string"), 6, "0"))
-    qty_txt = F.col("qty").cast("string")
-    amount_txt = F.col("amount").cast("string")
-    date_txt = (F.when(k == 5, F.lit("unknown"))
-                 .when(k == 6, F.date_format("sale_date", "dd/MM/yyyy"))
-                 .when(k == 7, F.date_format("sale_date", "yyyy-MM-dd"))
-                 .otherwise(F.date_format("sale_date", "dd.MM.yyyy")))
+    qty_txt = F.col("qty").cast("decimal(18,2)").cast("string")
+    amount_txt = F.col("amount").cast("decimal(18,2)").cast("string")
+    layouts = {6: "dd/MM/yyyy", 7: "yyyy-MM-dd", 17: "dd-MM-yyyy", 18: "dd.MM.yy", 19: "dd/MM/yyyy '10:00:00'",
+               20: "yyyy-MM-dd'T10:00:00'", 21: "dd.MM.yyyy '10:30'"}
+    date_txt = F.when(k == 5, F.lit("unknown"))
+    for n, layout in layouts.items():
+        date_txt = date_txt.when(k == n, F.date_format("sale_date", layout))
+    date_txt = date_txt.otherwise(F.date_format("sale_date", "dd.MM.yyyy"))
     price = (F.when(k == 0, F.lit("n/a")).when(k == 1, F.lit("0"))
               .when(k == 9, F.lit("1,5")).when(k == 10, F.lit("nan"))
               .when(k == 11, F.lit("12.5d")).otherwise(price_txt))
     qty = (F.when(k == 2, F.lit("-1")).when(k == 3, F.lit("0"))
-            .when(k == 8, F.concat(F.lit("  "), qty_txt, F.lit(" "))).otherwise(qty_txt))
-    amount = F.when(k == 4, F.lit("")).otherwise(amount_txt)
+            .when(k == 8, F.concat(F.lit("  "), qty_txt, F.lit(" ")))
+            .when(k == 12, F.lit("-0.004")).when(k == 13, F.lit("0.125")).when(k == 15, F.lit("1e23")).otherwise(qty_txt))
+    amount = (F.when(k == 4, F.lit("")).when(k == 14, F.lit("1e16")).when(k == 16, F.lit("1e30")).otherwise(amount_txt))
     return s.select(
         F.col("store").alias("Magazin"), date_txt.alias("Datasales"),
         F.col("article").alias("Art"), F.col("description").alias("Describe"),

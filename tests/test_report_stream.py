@@ -1,5 +1,8 @@
 import os
 
+import pytest
+from pyspark.errors import StreamingQueryException
+
 from shelfcast.plans.report import run_report
 from shelfcast.sources import sales as src
 from shelfcast.sources import tpch
@@ -19,6 +22,16 @@ def test_stream_ingest_matches_batch(spark, tmp_path):
     assert streamed.exceptAll(batch).count() == 0
 
 
+def test_stream_refuses_a_shuffled_header(spark, tmp_path):
+    cols = list(src.REQUIRED_COLUMNS)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text(",".join(cols[:6] + ["Qty", "Price", "Sum"]) + "\nS,03.02.2024,a,d,M,G,2,10,20\n")
+    q = start_ingest(spark, str(tmp_path / "in"), str(tmp_path / "snap"), str(tmp_path / "ck"))
+    with pytest.raises(StreamingQueryException):
+        q.awaitTermination(120)
+    assert not (tmp_path / "snap").exists() or not [f for f in os.listdir(tmp_path / "snap") if "sale_month" in f]
+
+
 def test_report_writes_all_tables(spark, tmp_path):
     names = run_report(spark, tpch.sales_view(spark, SF), str(tmp_path / "out"))
     for n in names + ["forecast_csv", "snapshot"]:
