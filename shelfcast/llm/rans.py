@@ -164,19 +164,21 @@ def _wide(data: bytes, n: int) -> np.ndarray:
 
 
 def count_ids(tokens: DataFrame) -> DataFrame:
-    """(id, n) over all ids; every task sends each id at most once per 64 Mi ids."""
+    """(id, n) over all ids; every task sends each id at most once per 16 Mi ids."""
     def rows(source):
-        counts, seen = np.zeros(65536, np.int64), 0
+        held, size = [], 0
         for n, data in source:
-            found = np.bincount(_wide(data, n))
-            if len(found) > len(counts):
-                counts = np.concatenate([counts, np.zeros(len(found) - len(counts), np.int64)])
-            counts[:len(found)] += found
-            seen += n
-            if seen >= 1 << 26:
-                yield from ((int(i), int(counts[i])) for i in np.flatnonzero(counts))
-                counts[:], seen = 0, 0
-        yield from ((int(i), int(counts[i])) for i in np.flatnonzero(counts))
+            held.append(_wide(data, n))
+            size += n
+            if size >= 1 << 24:
+                yield from counted(held)
+                held, size = [], 0
+        if held:
+            yield from counted(held)
+
+    def counted(held):
+        counts = np.bincount(np.concatenate(held))
+        return ((int(i), int(counts[i])) for i in np.flatnonzero(counts))
     return map_rows(tokens.select("n_tokens", "ids"), rows, COUNTS).groupBy("id").agg(F.sum("n").alias("n"))
 
 
