@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import types
@@ -58,6 +59,15 @@ class Shared:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
             path.getFileSystem(conf).delete(path, True)
 
+    def free(self) -> None:
+        """Let Spark delete the shuffle files of jobs whose results are written.
+
+        They go when the driver's JVM collects the plans that made them, which
+        could otherwise be long after the last step has read them.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def per_worker(key, build):
     """``build()`` once per Python worker process; workers are reused between tasks."""

@@ -162,11 +162,12 @@ def bridging_pairs(sets: DataFrame, percent: int) -> DataFrame:
     of each, and at the first one they share, what is left of either set still
     suffices; other pairs of a list are skipped unseen.
     """
-    spread = sets.select("rep", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    sizes = sets.select("rep", "component", F.size("shingles").alias("n"))
+    spread = sets.select("rep", F.explode("shingles").alias("shingle"))
     shared = spread.groupBy("shingle").agg(F.count("*").alias("f")).where(F.col("f") > 1)
     # a shingle that no other set holds comes before all shared ones
-    ordered = (spread.join(shared, "shingle").groupBy("rep", "component", "n")
-               .agg(F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("s")))
+    ordered = (spread.join(shared, "shingle").groupBy("rep")
+               .agg(F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("s")).join(sizes, "rep"))
     needed = F.expr(f"({percent} * n + 99) div 100").cast("int")
     first = (ordered.where(F.size("s") >= needed)
              .select("rep", "component", "n", F.size("s").alias("m"), F.posexplode(F.slice("s", 1, F.size("s") - needed + 1)).alias("k", "x"))
@@ -238,11 +239,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, coordina
     reps = store.write(known.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"),
                                                    F.first("signature").alias("signature")), "reps")
     postings = store.write(prefix_postings(reps, matches).join(reps.select("rep", "n_shingles"), "rep"), "postings")
+    store.free()
     posted = postings.select("rep").distinct()
     texts = store.write(docs.select(F.col("doc_id").alias("rep"), "text").join(posted, "rep").dropDuplicates(["rep"]), "texts")
     first_pairs = store.write(hub_pairs(postings, percent), "hub-pairs")
     links = store.write(confirmed(agreeing(first_pairs, reps, matches), texts, percent, width), "hub-links")
     joined = components_of(links, store, "hub-components")
+    store.free()
     left = store.write(shingles_of(texts.join(open_members(postings, joined), "rep"), width), "open-sets")
     rest = bridging_pairs(left, percent).join(first_pairs, ["a", "b"], "left_anti")
     more = store.write(confirmed(agreeing(rest, reps, matches), texts, percent, width), "bridging-links")
