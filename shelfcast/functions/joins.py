@@ -28,20 +28,3 @@ def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str
     s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     return b.join(s, [*keys, "_salt"], how).drop("_salt")
 
-
-# Largest per-scope table that is broadcast (rows); above it the salted join is used.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def checked_broadcast_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner",
-                           max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join ``big`` to a per-key table, broadcasting it only under a counted size.
-
-    ``small`` is persisted and counted (one small job). Under ``max_rows`` it is
-    broadcast, so the large side is neither shuffled nor skewed: it is joined
-    and filtered inside its scan stage. Above the bound the salted join is used.
-    """
-    small = small.persist()
-    if small.count() <= max_rows:
-        return big.join(F.broadcast(small), list(keys), how)
-    return salted_join(big, small, keys, how)

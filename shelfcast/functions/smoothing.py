@@ -6,8 +6,6 @@ then embedded in the plan as array literals.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,14 +26,6 @@ def savgol_hat_matrix(window: int, order: int) -> np.ndarray:
     return a @ np.linalg.pinv(a)
 
 
-def ema_depth(span: int, tol: float = 1e-17) -> int:
-    """Number of past values after which an EMA weight falls below ``tol``."""
-    alpha = 2.0 / (span + 1.0)
-    if alpha >= 1.0:
-        return 0
-    return int(math.ceil(math.log(tol) / math.log(1.0 - alpha)))
-
-
 def literal_matrix(h: np.ndarray) -> Column:
     return F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in h])
 

@@ -126,6 +126,18 @@ def actual_vs_fitted(prepared: DataFrame, fc: DataFrame) -> DataFrame:
     return prepared.select(*SCOPE, "ds", "y").join(fitted, [*SCOPE, "ds"])
 
 
+def fitted_rows(fc: DataFrame) -> DataFrame:
+    """The history rows of a forecast: actual ``y`` and in-sample ``yhat_raw``."""
+    return fc.filter(~F.col("is_future")).select(*SCOPE, "ds", "y", "yhat_raw")
+
+
+def tail_mean(fc: DataFrame, n: int = 30) -> DataFrame:
+    """K6: mean of the last ``n`` horizon days (all, if fewer) per scope."""
+    rk = F.row_number().over(Window.partitionBy(*SCOPE).orderBy(F.col("ds").desc()))
+    return (future_rows(fc).withColumn("_rk", rk).filter(F.col("_rk") <= n)
+            .groupBy(*SCOPE).agg(F.avg("yhat").alias("avg_forecast_tail")))
+
+
 def accuracy(pairs: DataFrame) -> DataFrame:
     """J5 + K7: in-sample MAE, RMSE, MAPE (non-zero actuals; 0 if none), R², grade.
 
@@ -153,7 +165,7 @@ def scenarios(fc: DataFrame) -> DataFrame:
     """J7 (+ J15): per horizon day the rounded realistic, pessimistic and
     optimistic quantities and the trend (half-to-even), with a date label."""
     f = future_rows(fc)
-    rnd = lambda c: F.bround(c, 0).cast("int")
+    rnd = lambda c: F.bround(c, 0).cast("long")
     return f.select(
         *SCOPE, "ds", F.date_format("ds", "yyyy-MM-dd (EEEE)").alias("date_label"),
         rnd(F.greatest(F.col("yhat_lower"), F.lit(0.0))).alias("pessimistic"),
@@ -215,15 +227,14 @@ def forecast_kpis(fc: DataFrame, prepared: DataFrame, daily: DataFrame, volatili
         F.floor(stock / (horizon * 8)).cast("long").alias("transactions_per_hour"))
 
 
-def forecast_monthly(model: SeasonalIndexModel, monthly: DataFrame, horizon: int = 30) -> DataFrame:
+def forecast_monthly(fc: DataFrame, monthly: DataFrame) -> DataFrame:
     """J8 + J9 (+ K4 input): unclipped horizon forecast per calendar month.
 
     Revenue uses the last actual month's average price. ``growth_vs_last_pct``
     compares each forecast month with the last actual month; ``is_first`` and
     ``is_last`` mark the months the rules read.
     """
-    fut = predict(model, future_frame(model.coef, horizon))
-    fm = fut.groupBy(*SCOPE, F.trunc("ds", "MM").alias("month")).agg(F.sum("yhat_raw").alias("forecast_qty"))
+    fm = future_rows(fc).groupBy(*SCOPE, F.trunc("ds", "MM").alias("month")).agg(F.sum("yhat_raw").alias("forecast_qty"))
     last = (monthly.groupBy(*SCOPE)
                    .agg(F.max_by("qty", "month").alias("last_actual_qty"),
                         F.max_by("avg_price", "month").alias("last_actual_price")))

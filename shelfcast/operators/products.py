@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.functions.joins import checked_broadcast_join
+from shelfcast.functions.joins import salted_join
 from shelfcast.operators.scope import SCOPE, abc_label, expand_scopes
 from shelfcast.operators.topn import top_n
 
@@ -41,7 +41,7 @@ def product_trend(facts: DataFrame, daily: DataFrame) -> DataFrame:
                  .groupBy("store", "segment", "model", "ds")
                  .agg(F.sum("qty").alias("qty"),
                       F.coalesce(F.sum("amount"), F.lit(0).cast("decimal(28,6)")).alias("amount")))
-    rows = checked_broadcast_join(expand_scopes(fine), scope_bounds(daily), SCOPE)
+    rows = salted_join(expand_scopes(fine), scope_bounds(daily), SCOPE)
     p2 = in_second_half(F.col("ds"), F.col("first_date"), F.col("last_date"))
     t = rows.groupBy(*SCOPE, "model").agg(
         F.sum("qty").cast("double").alias("total_qty"),
@@ -60,19 +60,11 @@ def product_trend(facts: DataFrame, daily: DataFrame) -> DataFrame:
 def align_periods(facts: DataFrame, daily: DataFrame) -> DataFrame:
     """Per-model sums of each half, left-aligned to all models, missing -> 0.
 
-    The join form of H3 (two filtered aggregations joined back to the model
-    list); it must give the same numbers as ``product_trend``.
+    The halves are filtered sums over one pass of the combined rows, which
+    gives the same rows as two aggregates joined back to the model list.
     """
-    lines = expand_scopes(facts.where(F.col("model").isNotNull())
-                          .select("store", "segment", "model", "ds", "qty"))
-    lines = checked_broadcast_join(lines, scope_bounds(daily), SCOPE)
-    p2 = in_second_half(F.col("ds"), F.col("first_date"), F.col("last_date"))
-    models = lines.groupBy(*SCOPE, "model").agg(F.sum("qty").cast("double").alias("total_qty"))
-    s1 = lines.filter(~p2).groupBy(*SCOPE, "model").agg(F.sum("qty").cast("double").alias("period1_qty"))
-    s2 = lines.filter(p2).groupBy(*SCOPE, "model").agg(F.sum("qty").cast("double").alias("period2_qty"))
-    keys = [*SCOPE, "model"]
-    return (models.join(s1, keys, "left").join(s2, keys, "left")
-                  .fillna(0.0, ["period1_qty", "period2_qty"]))
+    t = product_trend(facts, daily)
+    return t.select(*SCOPE, "model", "total_qty", "period1_qty", "period2_qty")
 
 
 def abc_classify(trend: DataFrame) -> DataFrame:
@@ -81,13 +73,22 @@ def abc_classify(trend: DataFrame) -> DataFrame:
     A when the running share is <= 80, B when <= 95, else C; the product that
     crosses 80 is in B, so A can be empty.
     """
-    w = (Window.partitionBy(*SCOPE).orderBy(F.col("total_revenue").desc(), F.col("model"))
+    # revenue is summed as DECIMAL so running sums do not depend on order; models
+    # lie in revenue ranges, ranges are summed first, and the running sum inside a
+    # range starts from the sum of the ranges above it
+    revenue = F.col("total_revenue").cast("decimal(38,6)")
+    span = trend.groupBy(*SCOPE).agg(F.max("total_revenue").alias("_top"))
+    place = F.floor(F.log2(F.greatest(F.col("_top"), F.lit(1.0)) / F.greatest(F.col("total_revenue"), F.lit(1.0))) * 8)
+    trend = salted_join(trend, span, SCOPE).withColumn("_range", place).withColumn("_revenue", revenue)
+    ranges = trend.groupBy(*SCOPE, "_range").agg(F.sum("_revenue").alias("_sum"))
+    above = Window.partitionBy(*SCOPE).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = (ranges.withColumn("_above", F.coalesce(F.sum("_sum").over(above), F.lit(0)))
+                    .withColumn("_total", F.sum("_sum").over(Window.partitionBy(*SCOPE))).drop("_sum"))
+    w = (Window.partitionBy(*SCOPE, "_range").orderBy(F.col("total_revenue").desc(), F.col("model"))
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # revenue holds whole cents: sum it as DECIMAL so running sums do not depend on order
-    cents = F.col("total_revenue").cast("decimal(38,6)")
-    total = F.sum(cents).over(Window.partitionBy(*SCOPE)).cast("double")
-    cum = F.sum(cents).over(w).cast("double")
-    share = F.try_divide(cum, total) * 100
+    trend = trend.join(ranges, [*SCOPE, "_range"])
+    cum = (F.col("_above") + F.sum("_revenue").over(w)).cast("double")
+    share = F.try_divide(cum, F.col("_total").cast("double")) * 100
     return (trend.select(*SCOPE, "model", "total_qty", "total_revenue",
                          cum.alias("cumulative_revenue"), share.alias("cumulative_pct"))
                  .withColumn("abc_class", F.when(F.col("cumulative_pct") <= 80, "A")
@@ -148,20 +149,21 @@ def product_kpis(trend: DataFrame) -> DataFrame:
     share of the top 5 and top 10; the revenue leader and how many of the top
     20 grow by more than 20 %.
     """
-    w = Window.partitionBy(*SCOPE).orderBy(F.col("total_revenue").desc(), F.col("model"))
-    r = trend.withColumn("_rk", F.row_number().over(w))
-    k = r.groupBy(*SCOPE).agg(
+    revenue = F.col("total_revenue").cast("decimal(38,6)")
+    best = top_n(trend.select(*SCOPE, "model", "total_revenue", "change_pct"), SCOPE,
+                 [F.col("total_revenue").desc(), F.col("model")], 20, rank_col="_rk")
+    top = best.groupBy(*SCOPE).agg(
+        F.sum(F.when(F.col("_rk") <= 5, revenue)).cast("double").alias("_top5"),
+        F.sum(F.when(F.col("_rk") <= 10, revenue)).cast("double").alias("_top10"),
+        F.max(F.when(F.col("_rk") == 1, F.col("model"))).alias("leader_model"),
+        F.max(F.when(F.col("_rk") == 1, F.col("total_revenue"))).alias("leader_revenue"),
+        F.count_if(F.col("change_pct") > 20).alias("top20_growing"))
+    k = trend.groupBy(*SCOPE).agg(
         F.count(F.lit(1)).alias("models"),
         F.count_if(F.col("change_pct") > 20).alias("growing_count"),
         F.count_if(F.col("change_pct") < -20).alias("declining_count"),
         F.count_if((F.col("change_pct") >= -20) & (F.col("change_pct") <= 20)).alias("stable_count"),
-        F.sum(F.col("total_revenue").cast("decimal(38,6)")).cast("double").alias("_total"),
-        F.sum(F.when(F.col("_rk") <= 5, F.col("total_revenue").cast("decimal(38,6)"))).cast("double").alias("_top5"),
-        F.sum(F.when(F.col("_rk") <= 10, F.col("total_revenue").cast("decimal(38,6)"))).cast("double").alias("_top10"),
-        F.max(F.when(F.col("_rk") == 1, F.col("model"))).alias("leader_model"),
-        F.max(F.when(F.col("_rk") == 1, F.col("total_revenue"))).alias("leader_revenue"),
-        F.count_if((F.col("_rk") <= 20) & (F.col("change_pct") > 20)).alias("top20_growing"),
-        F.count_if((F.col("_rk") <= 20) & (F.col("change_pct") < -50)).alias("top20_critical"))
+        F.sum(revenue).cast("double").alias("_total")).join(top, list(SCOPE))
     return k.select(*SCOPE, "models", "growing_count", "declining_count", "stable_count",
                     (F.try_divide(F.col("_top5"), F.col("_total")) * 100).alias("top5_share_pct"),
                     (F.try_divide(F.col("_top10"), F.col("_total")) * 100).alias("top10_share_pct"),
@@ -199,7 +201,7 @@ def scope_kpis(facts: DataFrame, daily: DataFrame) -> DataFrame:
              .agg((F.sum("_ps") / F.sum("_n")).alias("mean_line_price"),
                   F.try_divide(F.sum("_as").cast("double"), F.sum("_an")).alias("mean_line_amount")))
     # sum over days of the distinct articles sold that day = distinct (day, article) pairs
-    arts = facts.where(F.col("article").isNotNull()).select("store", "segment", "ds", "article")
+    arts = facts.where(F.col("article").isNotNull()).select("store", "segment", "ds", "article").distinct()
     per_day = (expand_scopes(arts).distinct().groupBy(*SCOPE)
                .agg(F.count(F.lit(1)).alias("_art_days")))
     d = daily.groupBy(*SCOPE).agg(
@@ -224,49 +226,67 @@ def dataset_overview(facts: DataFrame) -> DataFrame:
 
     Lines, distinct articles/stores/segments, first and last date, total
     amount, and the mean over dates of the quantity sold per date (total
-    quantity over the number of distinct dates).
+    quantity over the number of distinct dates). Lines are first combined per
+    (store, segment, date) and per article; each distinct count then runs over
+    one of those small tables, and the one-row parts are summed.
     """
-    return facts.agg(
-        F.sum("lines").alias("lines"), F.countDistinct("article").alias("articles"),
+    fine = facts.groupBy("store", "segment", "ds").agg(
+        F.sum("lines").alias("lines"), F.sum("amount").alias("amount"), F.sum("qty").alias("qty"))
+    days = fine.agg(
+        F.sum("lines").alias("lines"), F.lit(0).cast("long").alias("articles"),
         F.countDistinct("store").alias("stores"), F.countDistinct("segment").alias("segments"),
         F.min("ds").alias("first_date"), F.max("ds").alias("last_date"),
+        F.sum("amount").alias("amount"), F.sum("qty").alias("qty"), F.countDistinct("ds").alias("dates"))
+    articles = (facts.where(F.col("article").isNotNull()).select("article").distinct()
+                .agg(F.count(F.lit(1)).alias("articles")))
+    both = days.unionByName(articles, allowMissingColumns=True)
+    return both.agg(
+        F.sum("lines").alias("lines"), F.sum("articles").alias("articles"), F.sum("stores").alias("stores"),
+        F.sum("segments").alias("segments"), F.max("first_date").alias("first_date"), F.max("last_date").alias("last_date"),
         F.coalesce(F.sum("amount"), F.lit(0)).cast("double").alias("total_amount"),
-        (F.sum("qty").cast("double") / F.countDistinct("ds")).alias("avg_daily_qty"))
+        F.try_divide(F.sum("qty").cast("double"), F.sum("dates")).alias("avg_daily_qty"))
+
+
+def _both_ends(df: DataFrame, keys: Sequence[str], asc: Sequence[Column], desc: Sequence[Column], n: int) -> DataFrame:
+    """Rows among the first or last ``n`` of their group; ``_lines`` of the group on its first row."""
+    group = Window.partitionBy(*keys)
+    return (df.withColumn("_a", F.row_number().over(group.orderBy(*asc)))
+              .withColumn("_d", F.row_number().over(group.orderBy(*desc)))
+              .withColumn("_lines", F.sum("_lines").over(group))
+              .filter((F.col("_a") <= n) | (F.col("_d") <= n))
+              .withColumn("_lines", F.when(F.col("_a") == 1, F.col("_lines")).otherwise(F.lit(0).cast("long"))))
 
 
-def line_window_sums(sales: DataFrame, daily: DataFrame, n: int = 30,
-                     order_cols: Sequence[str] | None = None) -> DataFrame:
+def line_window_sums(sales: DataFrame, n: int = 30, order_cols: Sequence[str] | None = None, buckets: int = 32) -> DataFrame:
     """Quantity and amount of the first and last ``n`` sale *lines* per scope.
 
     Lines are ordered by ``order_cols`` (default: date, then every column, so
-    equal keys give equal sums). Only lines on or before the date where the
-    running line count reaches ``n`` (from the daily table) are candidates
-    for the head, likewise for the tail; the exact top-n over candidates is
-    salted, so a scope with a huge day is split over many tasks.
+    equal keys give equal sums). One pass over the lines: both ends are taken
+    per (store, segment) and hash bucket, then per (store, segment), and at most
+    ``2 n`` rows of each pair are fanned out to the scope levels, where both ends
+    are taken again. It is exact, since the first ``n`` lines of a scope are among
+    the first ``n`` of its pairs.
     """
     order_cols = list(order_cols or ["sale_date", "_store0", "_segment0", "article", "model",
                                      "description", "price", "qty", "amount"])
-    lines_per_day = daily.select(*SCOPE, "ds", "lines")
-    asc = Window.partitionBy(*SCOPE).orderBy("ds").rowsBetween(Window.unboundedPreceding, 0)
-    desc = Window.partitionBy(*SCOPE).orderBy(F.col("ds").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    cuts = (lines_per_day.withColumn("_ca", F.sum("lines").over(asc))
-                         .withColumn("_cd", F.sum("lines").over(desc))
-                         .groupBy(*SCOPE).agg(
-                             F.coalesce(F.min(F.when(F.col("_ca") >= n, F.col("ds"))), F.max("ds")).alias("_head_cut"),
-                             F.coalesce(F.max(F.when(F.col("_cd") >= n, F.col("ds"))), F.min("ds")).alias("_tail_cut"),
-                             F.sum("lines").alias("lines")))
-    keep = [c for c in sales.columns]
+    asc = [F.col(c).asc_nulls_first() for c in order_cols]
+    desc = [F.col(c).desc_nulls_last() for c in order_cols]
     rows = (sales.withColumn("_store0", F.col("store")).withColumn("_segment0", F.col("segment"))
-                 .select(*keep, "_store0", "_segment0"))
-    rows = checked_broadcast_join(expand_scopes(rows), cuts.drop("lines"), SCOPE)
-    carried = list(dict.fromkeys([*order_cols, "qty", "amount"]))
-    head_rows = rows.filter(F.col("sale_date") <= F.col("_head_cut")).select(*SCOPE, *carried)
-    tail_rows = rows.filter(F.col("sale_date") >= F.col("_tail_cut")).select(*SCOPE, *carried)
-    head = (top_n(head_rows, SCOPE, [F.col(c).asc_nulls_first() for c in order_cols], n)
-            .groupBy(*SCOPE).agg(F.sum("qty").alias("_hq"), F.sum("amount").alias("_ha")))
-    tail = (top_n(tail_rows, SCOPE, [F.col(c).desc_nulls_last() for c in order_cols], n)
-            .groupBy(*SCOPE).agg(F.sum("qty").alias("_tq"), F.sum("amount").alias("_ta")))
-    out = cuts.select(*SCOPE, "lines").join(head, list(SCOPE)).join(tail, list(SCOPE))
+                 .withColumn("_lines", F.lit(1).cast("long")))
+    carried = list(dict.fromkeys([*order_cols, "qty", "amount", "_lines"]))
+    rows = rows.select(*SCOPE, *[c for c in carried if c not in SCOPE])
+    salt = F.pmod(F.xxhash64(*order_cols), F.lit(buckets))
+    pairs = _both_ends(rows.withColumn("_salt", salt), [*SCOPE, "_salt"], asc, desc, n)
+    pairs = _both_ends(pairs, SCOPE, asc, desc, n).drop("_a", "_d", "_salt")
+    wide = _both_ends(expand_scopes(pairs).withColumn("_salt", salt), [*SCOPE, "_salt"], asc, desc, n)
+    ends = _both_ends(wide, SCOPE, asc, desc, n)
+
+    def end(rank, col):
+        return F.sum(F.when(F.col(rank) <= n, F.col(col)))
+
+    out = ends.groupBy(*SCOPE).agg(
+        F.sum("_lines").alias("lines"), end("_a", "qty").alias("_hq"), end("_d", "qty").alias("_tq"),
+        F.coalesce(end("_a", "amount"), F.lit(0)).alias("_ha"), F.coalesce(end("_d", "amount"), F.lit(0)).alias("_ta"))
 
     def price(a, q):
         return F.when(F.col(q) > 0, F.col(a).cast("double") / F.col(q).cast("double")).otherwise(0.0)
@@ -274,6 +294,5 @@ def line_window_sums(sales: DataFrame, daily: DataFrame, n: int = 30,
     return out.select(
         *SCOPE, "lines",
         F.col("_hq").cast("double").alias("first_qty"), F.col("_tq").cast("double").alias("last_qty"),
-        F.coalesce(F.col("_ha"), F.lit(0)).cast("double").alias("first_amount"),
-        F.coalesce(F.col("_ta"), F.lit(0)).cast("double").alias("last_amount"),
+        F.col("_ha").cast("double").alias("first_amount"), F.col("_ta").cast("double").alias("last_amount"),
         price("_ha", "_hq").alias("first_price"), price("_ta", "_tq").alias("last_price"))

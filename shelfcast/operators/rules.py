@@ -82,6 +82,12 @@ RULES = (
     Rule("K12", "declining_critical", "critical", "declining_count > 10", "declining_count"),
     Rule("K12", "declining_attention", "warning", "declining_count between 1 and 10", "declining_count"),
     Rule("K12", "many_stable", "success", "stable_count > 20", "stable_count"),
+    Rule("K12", "balanced_portfolio", "success", "top5_share_pct <= 50", "top5_share_pct"),
+    Rule("K12", "top10_normal", "success", "top10_share_pct <= 70", "top10_share_pct"),
+    Rule("K12", "few_growing", "warning", "growing_count <= 10", "growing_count"),
+    Rule("K12", "declining_none", "success", "declining_count = 0", "declining_count"),
+    Rule("K12", "few_stable", "warning", "stable_count <= 20", "stable_count"),
+    Rule("K12", "ticket_normal", "success", "avg_ticket >= mean_line_amount * 0.8", "avg_ticket"),
     Rule("K12", "low_ticket", "info", "avg_ticket < mean_line_amount * 0.8", "avg_ticket"),
     Rule("K13", "confidence_excellent", "success", "confidence_score >= 80", "confidence_score"),
     Rule("K13", "confidence_good", "warning", "confidence_score >= 60 and confidence_score < 80", "confidence_score"),
@@ -110,7 +116,7 @@ def raw_recent(daily: DataFrame, n: int = 30) -> DataFrame:
 def indicators(scopes: DataFrame, *, monthly_summary: DataFrame, seasonality: DataFrame,
                fmonthly: DataFrame, line_sums: DataFrame, volatility: DataFrame, daily: DataFrame,
                fkpis: DataFrame, series_stats: DataFrame, acc: DataFrame, wd_extremes: DataFrame,
-               pkpis: DataFrame, skpis: DataFrame, history: DataFrame, horizon: int) -> DataFrame:
+               pkpis: DataFrame, skpis: DataFrame, history: DataFrame, ftail: DataFrame, horizon: int) -> DataFrame:
     """One row per scope with every column a rule reads."""
     k = list(SCOPE)
     ms = monthly_summary.select(*k, "months", F.col("last_qty").alias("last_month_qty"),
@@ -124,8 +130,7 @@ def indicators(scopes: DataFrame, *, monthly_summary: DataFrame, seasonality: Da
                           F.col("first_price").alias("head_tail_first_price"),
                           F.col("last_price").alias("head_tail_last_price"))
     vo = volatility.select(*k, F.col("cv_raw").alias("raw_cv"))
-    fk = fkpis.select(*k, F.col("avg_forecast").alias("avg_forecast_tail"), "forecast_growth_pct",
-                      "confidence_score", "uncertainty_pct")
+    fk = fkpis.select(*k, "forecast_growth_pct", "confidence_score", "uncertainty_pct")
     ss = series_stats.select(*k, (F.col("cv_after_pct") / 100).alias("processed_cv"))
     ac = acc.select(*k, "mape", "quality")
     we = wd_extremes.select(*k, "best_weekday", "weekday_std", "weekday_min", "weak_day_gap")
@@ -133,7 +138,7 @@ def indicators(scopes: DataFrame, *, monthly_summary: DataFrame, seasonality: Da
     sk = skpis.select(*k, "avg_ticket", "mean_line_amount")
     hi = history.select(*k, (F.col("span_days") - 1).alias("data_days"))
     out = scopes.select(*k)
-    for part in (ms, se, fm, lw, vo, raw_recent(daily), fk, ss, ac, we, pk, sk, hi):
+    for part in (ms, se, fm, lw, vo, raw_recent(daily), fk, ftail, ss, ac, we, pk, sk, hi):
         out = out.join(part, k, "left")
     return out.withColumn("horizon", F.lit(horizon))
 

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 ALL = "*"
 SCOPE = ("store", "segment")
 
-# Weekday names, Monday first (weekday 0).
-WEEKDAY_NAMES = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 # ABC class descriptions.
 ABC_LABELS = {"A": "80% of revenue", "B": "15% of revenue", "C": "5% of revenue"}
 
@@ -65,15 +63,9 @@ def list_segments(sales: DataFrame, store: str | None = None) -> DataFrame:
             .where(F.col("segment").isNotNull()).distinct().orderBy("segment"))
 
 
-def scope_lines(facts: DataFrame) -> DataFrame:
-    """Sale lines per scope from the fact cube (combined before fan-out)."""
-    fine = facts.groupBy(*SCOPE).agg(F.sum("lines").alias("lines"))
-    return expand_scopes(fine).groupBy(*SCOPE).agg(F.sum("lines").alias("lines"))
-
-
-def min_rows_guard(facts: DataFrame, min_lines: int = 10) -> DataFrame:
-    """Scopes with at least ``min_lines`` sale lines (forecastable)."""
-    return scope_lines(facts).filter(F.col("lines") >= min_lines)
+def min_rows_guard(daily: DataFrame, min_lines: int = 10) -> DataFrame:
+    """Scopes with at least ``min_lines`` sale lines (forecastable), from the daily series."""
+    return daily.groupBy(*SCOPE).agg(F.sum("lines").alias("lines")).filter(F.col("lines") >= min_lines)
 
 
 def weekday(col: Column | str) -> Column:

@@ -12,10 +12,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.functions.smoothing import dot, ema_depth, literal_matrix, savgol_hat_matrix
+from shelfcast.functions.smoothing import dot, literal_matrix, savgol_hat_matrix
 from shelfcast.operators.scope import SCOPE, expand_scopes
 
 
+#: Rows of a block of the exponential average.
+EMA_BLOCK = 64
+
+
 @dataclass(frozen=True)
 class Prep:
     """Series preparation settings (defaults: clip outliers, no smoothing)."""
@@ -68,24 +72,38 @@ def winsorize_iqr(daily: DataFrame, col: str = "y", k: float = 1.5) -> DataFrame
 
 
 def moving_average(daily: DataFrame, window: int = 7, col: str = "y") -> DataFrame:
-    """Centred mean over ``window`` rows, shrinking at the edges."""
-    w = _ordered().rowsBetween(-((window - 1) // 2), window // 2)
+    """Centred mean over ``window`` rows, shrinking at the edges.
+
+    An even window reaches one row further back than ahead.
+    """
+    w = _ordered().rowsBetween(-(window // 2), (window - 1) // 2)
     return daily.withColumn(col, F.avg(col).over(w))
 
 
 def ema(daily: DataFrame, span: int = 7, col: str = "y") -> DataFrame:
     """``e0 = y0``, ``e_t = a y_t + (1 - a) e_{t-1}``, ``a = 2 / (span + 1)``.
 
-    Folded over the last ``K + 1`` values, where older weights are below
-    1e-17 of the newest (exact to double precision, no overflowing powers).
+    Over the whole history, in blocks of ``EMA_BLOCK`` rows: each row folds the
+    values of its own block, and the ends of the blocks before it carry the
+    rest (``e`` at a block's end is its own fold plus ``(1 - a)^block`` times the
+    ``e`` before it).
     """
     alpha = 2.0 / (span + 1.0)
-    depth = ema_depth(span)
-    w = _ordered().rowsBetween(-depth, 0)
-    hist = F.collect_list(col).over(w)
-    folded = F.aggregate(F.slice(F.col("_h"), 2, F.size(F.col("_h")) - 1), F.col("_h")[0],
-                         lambda acc, x: F.lit(alpha) * x + F.lit(1.0 - alpha) * acc)
-    return daily.withColumn("_h", hist).withColumn(col, folded).drop("_h")
+    decay = 1.0 - alpha
+    ordered = _ordered()
+    i = F.row_number().over(ordered) - 1
+    recent = F.collect_list(col).over(ordered.rowsBetween(-(EMA_BLOCK - 1), 0))
+    place = F.col("_i") % EMA_BLOCK
+    own = F.aggregate(F.slice(F.col("_h"), -(place + 1), place + 1), F.lit(0.0),
+                      lambda acc, x: F.lit(alpha) * x + F.lit(decay) * acc)
+    block_end = F.when(F.col("_i") % EMA_BLOCK == EMA_BLOCK - 1, F.col("_own"))
+    ends = F.collect_list(block_end).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    first = F.first(col).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    carry = F.aggregate(F.col("_ends"), F.col("_y0"), lambda acc, x: x + F.lit(decay ** EMA_BLOCK) * acc)
+    out = (daily.withColumn("_i", i).withColumn("_h", recent).withColumn("_y0", first)
+                .withColumn("_own", own).withColumn("_ends", ends))
+    value = F.col("_own") + F.pow(F.lit(decay), place + 1) * carry
+    return out.withColumn(col, value).drop("_i", "_h", "_y0", "_own", "_ends")
 
 
 def savgol(daily: DataFrame, window: int = 7, col: str = "y") -> DataFrame:

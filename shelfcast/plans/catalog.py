@@ -10,6 +10,7 @@ outputs are cast to DOUBLE at the very end.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,14 +60,20 @@ FORECAST_KEEP = frozenset({"daily", "model", "forecast"})
 
 
 def ctx(spark: SparkSession, sf_dir: str, keep: str | None = None,
-        only: frozenset[str] | None = FORECAST_KEEP) -> SalesContext:
+        only: frozenset[str] | None = FORECAST_KEEP, horizon: int = HORIZON) -> SalesContext:
     """Context over the sales view. ``keep="persist"`` for plans that read the
     daily series, model or forecast in many branches; plans that read them
     once or twice recompute instead of caching."""
-    return SalesContext(tpch.sales_view(spark, sf_dir, with_keys=True), se.Prep(), HORIZON, LINE_ORDER,
+    return SalesContext(tpch.sales_view(spark, sf_dir, with_keys=True), se.Prep(), horizon, LINE_ORDER,
                         keep=keep, only=only if keep else None)
 
 
+def kept(spark: SparkSession, sf_dir: str, build: Callable[[SalesContext], DataFrame], **options) -> DataFrame:
+    """``build`` on a persisting context; what it persists goes with the result."""
+    c = ctx(spark, sf_dir, "persist", **options)
+    return c.result(build(c))
+
+
 # ---- A: sources and validation -------------------------------------------
 
 @query("load_sales")
@@ -84,13 +91,14 @@ def q_rejection_counts(spark, sf_dir):
 @query("read_snapshot")
 def q_read_snapshot(spark, sf_dir):
     """Validated table written as a month-partitioned snapshot, read back."""
-    path = os.path.join(ensure_checkpoint_dir(spark), "snapshots", os.path.basename(sf_dir.rstrip("/")))
+    path = _scratch(spark, "snapshots", sf_dir)
     src.write_snapshot(src.load_sales(tpch.dirty_source(spark, sf_dir)), path)
     return finish(src.read_snapshot(spark, path))
 
 
 def _scratch(spark: SparkSession, kind: str, sf_dir: str) -> str:
-    return os.path.join(ensure_checkpoint_dir(spark), kind, os.path.basename(sf_dir.rstrip("/")))
+    """A folder of this call's own in the shared folder."""
+    return os.path.join(ensure_checkpoint_dir(spark), kind, f"{os.path.basename(sf_dir.rstrip('/'))}-{uuid.uuid4().hex}")
 
 
 @query("read_sales_csv")
@@ -120,6 +128,20 @@ def q_list_segments(spark, sf_dir):
     return sc.list_segments(sales(spark, sf_dir))
 
 
+ONE_STORE = "NATION_12"
+
+
+@query("filter_scope")
+def q_filter_scope(spark, sf_dir):
+    """B1: the lines of one store and one segment."""
+    return finish(sc.filter_scope(sales(spark, sf_dir), ONE_STORE, "PROMO"))
+
+
+@query("segments_of_store")
+def q_segments_of_store(spark, sf_dir):
+    return sc.list_segments(sales(spark, sf_dir), ONE_STORE)
+
+
 @query("min_rows_guard")
 def q_min_rows_guard(spark, sf_dir):
     return ctx(spark, sf_dir).guard
@@ -336,72 +358,71 @@ def q_top_elasticity(spark, sf_dir):
 
 @query("forecast_seasonal_index")
 def q_forecast(spark, sf_dir):
-    return ctx(spark, sf_dir, "persist").forecast
+    return kept(spark, sf_dir, lambda c: c.forecast)
 
 
 @query("seasonal_coefficients")
 def q_seasonal_coefficients(spark, sf_dir):
-    return ctx(spark, sf_dir, "persist").model.coef
+    return kept(spark, sf_dir, lambda c: c.model.coef)
 
 
 @query("future_frame")
 def q_future_frame(spark, sf_dir):
-    return fo.future_frame(ctx(spark, sf_dir, "persist").model.coef, HORIZON)
+    return kept(spark, sf_dir, lambda c: fo.future_frame(c.model.coef, HORIZON))
 
 
 @query("future_rows")
 def q_future_rows(spark, sf_dir):
-    return fo.future_rows(ctx(spark, sf_dir, "persist").forecast)
+    return kept(spark, sf_dir, lambda c: fo.future_rows(c.forecast))
 
 
 @query("actual_vs_fitted")
 def q_actual_vs_fitted(spark, sf_dir):
-    return ctx(spark, sf_dir, "persist").pairs
+    return kept(spark, sf_dir, lambda c: fo.actual_vs_fitted(c.prepared, c.forecast))
 
 
 @query("forecast_accuracy")
 def q_forecast_accuracy(spark, sf_dir):
-    return fo.accuracy(ctx(spark, sf_dir, "persist").pairs)
+    return kept(spark, sf_dir, lambda c: fo.accuracy(c.pairs))
 
 
 @query("forecast_scenarios")
 def q_forecast_scenarios(spark, sf_dir):
-    return fo.scenarios(ctx(spark, sf_dir, "persist").forecast)
+    return kept(spark, sf_dir, lambda c: fo.scenarios(c.forecast))
 
 
 @query("first_forecast_days")
 def q_first_forecast_days(spark, sf_dir):
-    return fo.first_forecast_days(ctx(spark, sf_dir, "persist").forecast, 10)
+    return kept(spark, sf_dir, lambda c: fo.first_forecast_days(c.forecast, 10))
 
 
 @query("forecast_kpis")
 def q_forecast_kpis(spark, sf_dir):
-    return ctx(spark, sf_dir, "persist").forecast_kpis
+    return kept(spark, sf_dir, lambda c: c.forecast_kpis)
 
 
 @query("forecast_monthly")
 def q_forecast_monthly(spark, sf_dir):
-    return ctx(spark, sf_dir, "persist").forecast_monthly
+    return kept(spark, sf_dir, lambda c: c.forecast_monthly)
 
 
 @query("actual_vs_forecast")
 def q_actual_vs_forecast(spark, sf_dir):
-    c = ctx(spark, sf_dir, "persist")
-    return fo.actual_vs_forecast(mo.recent_months(c.monthly, 6), c.forecast_monthly)
+    return kept(spark, sf_dir, lambda c: fo.actual_vs_forecast(mo.recent_months(c.monthly, 6), c.forecast_monthly))
 
 
 @query("forecast_csv_export")
 def q_forecast_csv_export(spark, sf_dir):
     """The per-day forecast of every scope exported as CSV and read back."""
     path = _scratch(spark, "forecast_csv", sf_dir)
-    sc_df = fo.scenarios(ctx(spark, sf_dir, "persist").forecast)
+    sc_df = kept(spark, sf_dir, lambda c: fo.scenarios(c.forecast))
     src.export_forecast_csv(sc_df, path)
     return spark.read.schema(sc_df.schema).option("header", True).csv(path)
 
 
 @query("forecast_fourier")
 def q_forecast_fourier(spark, sf_dir):
-    return fu.forecast_fourier(ctx(spark, sf_dir, "persist").prepared, HORIZON)
+    return kept(spark, sf_dir, lambda c: fu.forecast_fourier(c.prepared, HORIZON))
 
 
 # ---- K: rules ---------------------------------------------------------------
@@ -414,9 +435,15 @@ def rule_indicators(c: SalesContext) -> DataFrame:
         fkpis=c.forecast_kpis, series_stats=se.series_stats(c.prepared), acc=fo.accuracy(c.pairs),
         wd_extremes=wk.weekday_extremes(wk.weekday_sales(c.daily)),
         pkpis=pr.product_kpis(c.trend), skpis=pr.scope_kpis(c.facts, c.daily),
-        history=se.history_stats(c.daily, c.prepared), horizon=c.horizon)
+        history=se.history_stats(c.daily, c.prepared), ftail=fo.tail_mean(c.forecast), horizon=c.horizon)
 
 
 @query("rule_hits")
 def q_rule_hits(spark, sf_dir):
-    return ru.evaluate_rules(rule_indicators(ctx(spark, sf_dir, "persist", only=None)))
+    return kept(spark, sf_dir, lambda c: ru.evaluate_rules(rule_indicators(c)), only=None)
+
+
+@query("rule_hits_h60")
+def q_rule_hits_h60(spark, sf_dir):
+    """Horizon 60: the forecast rules read the last 30 of its days."""
+    return kept(spark, sf_dir, lambda c: ru.evaluate_rules(rule_indicators(c)), only=None, horizon=60)

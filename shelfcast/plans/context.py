@@ -12,6 +12,7 @@ the fact cube, which is the first combine of the sale lines.
 
 from __future__ import annotations
 
+import weakref
 from functools import cached_property
 
 from pyspark import StorageLevel
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 
 from shelfcast.operators import cube as cu
 from shelfcast.operators import forecast as fo
+from shelfcast.operators import fourier as fu
 from shelfcast.operators import monthly as mo
 from shelfcast.operators import products as pr
 from shelfcast.operators import scope as sc
@@ -28,7 +30,10 @@ from shelfcast.operators import series as se
 class SalesContext:
     def __init__(self, sales: DataFrame, prep: se.Prep = se.Prep(), horizon: int = 30,
                  line_order: list[str] | None = None, keep: str | None = "persist",
-                 only: frozenset[str] | None = None):
+                 only: frozenset[str] | None = None, method: str = "seasonal"):
+        if method not in ("seasonal", "fourier"):
+            raise ValueError(f"unknown forecast method {method!r}")
+        self.method = method
         self.sales = sales
         self.prep = prep
         self.horizon = horizon
@@ -61,7 +66,7 @@ class SalesContext:
 
     @cached_property
     def guard(self) -> DataFrame:
-        return sc.min_rows_guard(self.facts)
+        return sc.min_rows_guard(self.daily)
 
     @cached_property
     def prepared(self) -> DataFrame:
@@ -81,6 +86,8 @@ class SalesContext:
 
     @cached_property
     def forecast(self) -> DataFrame:
+        if self.method == "fourier":
+            return self.keep(fu.forecast_fourier(self.prepared, self.horizon), "forecast")
         return self.keep(fo.forecast(self.model, self.horizon), "forecast")
 
     @cached_property
@@ -97,11 +104,12 @@ class SalesContext:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return fo.actual_vs_fitted(self.prepared, self.forecast)
+        """Actual and fitted values, from the history rows of the forecast."""
+        return fo.fitted_rows(self.forecast)
 
     @cached_property
     def forecast_monthly(self) -> DataFrame:
-        return fo.forecast_monthly(self.model, self.monthly, self.horizon)
+        return fo.forecast_monthly(self.forecast, self.monthly)
 
     @cached_property
     def forecast_kpis(self) -> DataFrame:
@@ -109,10 +117,18 @@ class SalesContext:
 
     @cached_property
     def line_sums(self) -> DataFrame:
-        return pr.line_window_sums(self.sales, self.daily, 30, self.line_order)
+        return pr.line_window_sums(self.sales, 30, self.line_order)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """``df``, with what this run persists dropped once ``df`` is."""
+        own = df.select("*")  # a frame of its own: the run keeps the intermediates
+        weakref.finalize(own, self.release).atexit = False
+        return own
 
     def release(self) -> None:
         """Drop persisted intermediates."""
+        if self.keep_mode != "persist" or self.sales.sparkSession.sparkContext._jsc is None:
+            return
         for name in ("facts", "daily", "prepared", "forecast", "monthly", "trend"):
             if name in self.__dict__:
                 self.__dict__[name].unpersist()

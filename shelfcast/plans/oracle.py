@@ -1,13 +1,13 @@
 """DuckDB twins of the registered queries, written independently in SQL.
 
+Nothing is imported from the operators: thresholds, smoother weights and rule
+conditions are written out again here.
 Where Spark combines to the finest grain before fanning out to the scope
 levels, these expand the raw lines to the four levels first.
 """
 
 from __future__ import annotations
 
-from shelfcast.functions.smoothing import ema_depth, savgol_hat_matrix
-
 SALES = """sales as (
   select n_name as store, cast(l_shipdate as date) as sale_date,
          cast(l_partkey as varchar) as article, p_name as description,
@@ -89,29 +89,26 @@ def with_(*ctes: str) -> str:
     return "with " + ",\n".join(ctes) + "\n"
 
 
-def _ema_sql(span: int) -> str:
-    a = 2.0 / (span + 1.0)
-    k = ema_depth(span)
-    return f"""select store, segment, ds, y_raw,
+# Exponential average, span 7: a = 1/4; weights beyond 137 rows are under 1e-17.
+EMA_7 = """select store, segment, ds, y_raw,
   greatest(list_reduce(list(y_raw) over (partition by store, segment order by ds
-           rows between {k} preceding and current row),
-           lambda acc, x: {a!r} * x + {1.0 - a!r} * acc), 0) as y
+           rows between 137 preceding and current row),
+           lambda acc, x: 0.25 * x + 0.75 * acc), 0) as y
 from (select store, segment, ds, y as y_raw from daily)"""
 
-
-def _savgol_sql(window: int) -> str:
-    h = savgol_hat_matrix(window, min(3, window - 1))
-    m = window // 2
-    lit = "[" + ", ".join("[" + ", ".join(repr(float(v)) for v in row) + "]" for row in h) + "]"
-    return f"""select store, segment, ds, y_raw,
-  greatest(case when n < {window} then y_raw
-       when i < {m} then list_dot_product(wide[1:{window}], ({lit})[i + 1])
-       when i >= n - {m} then list_dot_product(wide[-{window}:], ({lit})[{window} - (n - i) + 1])
-       else list_dot_product(centred, ({lit})[{m + 1}]) end, 0) as y
+# Savitzky-Golay, window 7, cubic: weights in 42nds, by place of the row in its window.
+SAVGOL_7 = """select store, segment, ds, y_raw,
+  greatest(case when n < 7 then y_raw
+       when i < 3 then list_dot_product(wide[1:7], weights[i + 1]) / 42
+       when i >= n - 3 then list_dot_product(wide[-7:], weights[7 - (n - i) + 1]) / 42
+       else list_dot_product(centred, weights[4]) / 42 end, 0) as y
 from (select store, segment, ds, y as y_raw,
+        [[39, 8, -4, -4, 1, 4, -2], [8, 19, 16, 6, -4, -7, 4], [-4, 16, 19, 12, 2, -4, 1],
+         [-4, 6, 12, 14, 12, 6, -4],
+         [1, -4, 2, 12, 19, 16, -4], [4, -7, -4, 6, 16, 19, 8], [-2, 4, 1, -4, -4, 8, 39]]::double[][] as weights,
         row_number() over w - 1 as i, count(*) over (partition by store, segment) as n,
-        list(y) over (w rows between {m} preceding and {m} following) as centred,
-        list(y) over (w rows between {window - 1} preceding and {window - 1} following) as wide
+        list(y) over (w rows between 3 preceding and 3 following) as centred,
+        list(y) over (w rows between 6 preceding and 6 following) as wide
       from daily window w as (partition by store, segment order by ds))"""
 
 
@@ -136,6 +133,12 @@ select outcome, count(*) as lines from (
 
     "list_stores": with_(SALES) + "select distinct store from sales where store is not null",
     "list_segments": with_(SALES) + "select distinct segment from sales where segment is not null",
+    "filter_scope": with_(SALES) + """
+select store, sale_date, article, description, model, segment, price,
+       cast(qty as double) as qty, cast(amount as double) as amount
+from sales where store = 'NATION_12' and segment = 'PROMO'""",
+    "segments_of_store": with_(SALES) + """
+select distinct segment from sales where store = 'NATION_12' and segment is not null""",
     "min_rows_guard": with_(SALES, SCOPED) + """
 select store, segment, count(*) as lines from scoped group by store, segment having count(*) >= 10""",
 
@@ -152,8 +155,8 @@ select store, segment, ds, y_raw,
                 rows between 3 preceding and 3 following), 0) as y
 from clipped""",
 
-    "ema": with_(SALES, SCOPED, DAILY) + _ema_sql(7),
-    "savgol": with_(SALES, SCOPED, DAILY) + _savgol_sql(7),
+    "ema": with_(SALES, SCOPED, DAILY) + EMA_7,
+    "savgol": with_(SALES, SCOPED, DAILY) + SAVGOL_7,
 
     "daily_average": with_(SALES, SCOPED, DAILY) + """
 select store, segment, avg(y) as avg_daily_qty from daily group by store, segment""",
@@ -529,10 +532,10 @@ fc as (select store, segment, ds, is_future, y, trend, yhat_raw, greatest(yhat_r
               greatest(yhat_raw - 1.2815515655446004 * resid_sd, 0) as yhat_lower,
               greatest(yhat_raw + 1.2815515655446004 * resid_sd, 0) as yhat_upper from fc0),
 scen as (select store, segment, ds, strftime(ds, '%Y-%m-%d (%A)') as date_label,
-                cast(round_even(yhat_lower, 0) as integer) as pessimistic,
-                cast(round_even(yhat, 0) as integer) as realistic,
-                cast(round_even(yhat_upper, 0) as integer) as optimistic,
-                cast(round_even(trend, 0) as integer) as trend
+                cast(round_even(yhat_lower, 0) as bigint) as pessimistic,
+                cast(round_even(yhat, 0) as bigint) as realistic,
+                cast(round_even(yhat_upper, 0) as bigint) as optimistic,
+                cast(round_even(trend, 0) as bigint) as trend
          from fc where is_future)"""
 
 FC_BASE = (SALES, SCOPED, DAILY, WINSOR, PREPARED, FIT)
@@ -614,8 +617,74 @@ def _sub(name: str) -> str:
     return f"({ORACLE[name]})"
 
 
-def _rules_sql() -> str:
-    from shelfcast.operators.rules import RULES
+# Findings by hand: family, code, severity, value, condition over the indicator row.
+FINDINGS = (
+    ("K1", "monthly_drop_critical", "critical", "mom_growth_pct", "months > 1 and last_month_qty / 0.8 < prev_month_qty"),
+    ("K1", "monthly_drop_warning", "warning", "mom_growth_pct", "months > 1 and last_month_qty < prev_month_qty * 0.9 and not last_month_qty < prev_month_qty * 0.8"),
+    ("K2", "price_rise", "warning", "recent_price / early_price", "months > 2 and recent_price > early_price * 1.15"),
+    ("K3", "assortment_cut", "warning", "last_products", "months > 1 and last_products < mean_products * 0.7"),
+    ("K4", "forecast_up", "info", "first_month_ratio", "first_month_ratio > 1.3"),
+    ("K4", "forecast_down", "warning", "first_month_ratio", "first_month_ratio < 0.8"),
+    ("K5", "high_seasonality", "info", "seasonality_std", "high_seasonality"),
+    ("K6", "sales_growing", "info", "head_tail_last_qty", "head_tail_last_qty > head_tail_first_qty * 1.2"),
+    ("K6", "sales_declining", "warning", "head_tail_last_qty", "head_tail_last_qty < head_tail_first_qty * 0.8 and not head_tail_last_qty > head_tail_first_qty * 1.2"),
+    ("K6", "daily_volatility_high", "warning", "raw_cv", "raw_cv > 0.5"),
+    ("K6", "forecast_above_recent", "info", "avg_forecast_tail", "avg_forecast_tail > raw_last30_mean * 1.1"),
+    ("K6", "forecast_below_recent", "info", "avg_forecast_tail", "avg_forecast_tail < raw_last30_mean * 0.9 and not avg_forecast_tail > raw_last30_mean * 1.1"),
+    ("K7", "model_quality_excellent", "info", "mape", "mape < 10 and r2 > 0.8"),
+    ("K7", "model_quality_good", "info", "mape", "mape < 20 and r2 > 0.6 and not (mape < 10 and r2 > 0.8)"),
+    ("K7", "model_quality_fair", "warning", "mape", "not (mape < 20 and r2 > 0.6)"),
+    ("K8", "positive_trend", "success", "forecast_growth_pct", "forecast_growth_pct > 10"),
+    ("K8", "negative_trend", "error", "forecast_growth_pct", "forecast_growth_pct < -10"),
+    ("K8", "stable_trend", "info", "forecast_growth_pct", "abs(forecast_growth_pct) <= 10"),
+    ("K8", "low_volatility", "success", "processed_cv", "processed_cv < 0.2"),
+    ("K8", "high_volatility", "warning", "processed_cv", "processed_cv > 0.5"),
+    ("K8", "high_accuracy", "success", "mape", "mape < 15"),
+    ("K8", "moderate_accuracy", "warning", "mape", "mape > 25"),
+    ("K8", "uneven_weekdays", "info", "weekday_std", "weekday_std > raw_daily_mean * 0.3"),
+    ("K9", "prices_rising", "info", "head_tail_last_price", "lines > 29 and head_tail_last_price > head_tail_first_price * 1.1"),
+    ("K9", "prices_falling", "info", "head_tail_last_price", "lines > 29 and head_tail_last_price < head_tail_first_price * 0.9 and not head_tail_last_price > head_tail_first_price * 1.1"),
+    ("K9", "prices_stable", "info", "head_tail_last_price", "lines > 29 and not head_tail_last_price > head_tail_first_price * 1.1 and not head_tail_last_price < head_tail_first_price * 0.9"),
+    ("K10", "weekend_peak", "info", "best_weekday", "best_weekday >= 5"),
+    ("K10", "weekday_peak", "info", "best_weekday", "best_weekday < 5"),
+    ("K10", "weak_days_promo", "info", "weekday_min", "weak_day_gap"),
+    ("K10", "promo_campaign", "warning", "forecast_growth_pct", "forecast_growth_pct < 0"),
+    ("K10", "just_in_time", "info", "processed_cv", "processed_cv < 0.3"),
+    ("K10", "buffer_stock", "info", "processed_cv", "processed_cv >= 0.3"),
+    ("K11", "priority_scale", "success", "forecast_growth_pct", "forecast_growth_pct > 15"),
+    ("K11", "priority_crisis", "error", "forecast_growth_pct", "forecast_growth_pct < -15"),
+    ("K11", "priority_stabilise", "warning", "processed_cv", "abs(forecast_growth_pct) <= 15 and processed_cv > 0.5"),
+    ("K11", "priority_optimise", "info", "forecast_growth_pct", "abs(forecast_growth_pct) <= 15 and processed_cv <= 0.5"),
+    ("K12", "concentration_risk", "warning", "top5_share_pct", "top5_share_pct > 50"),
+    ("K12", "balanced_portfolio", "success", "top5_share_pct", "not top5_share_pct > 50"),
+    ("K12", "top10_concentration_risk", "warning", "top10_share_pct", "top10_share_pct > 70"),
+    ("K12", "top10_normal", "success", "top10_share_pct", "not top10_share_pct > 70"),
+    ("K12", "many_growing", "success", "growing_count", "growing_count > 10"),
+    ("K12", "few_growing", "warning", "growing_count", "not growing_count > 10"),
+    ("K12", "declining_critical", "critical", "declining_count", "declining_count > 10"),
+    ("K12", "declining_attention", "warning", "declining_count", "declining_count > 0 and not declining_count > 10"),
+    ("K12", "declining_none", "success", "declining_count", "not declining_count > 0"),
+    ("K12", "many_stable", "success", "stable_count", "stable_count > 20"),
+    ("K12", "few_stable", "warning", "stable_count", "not stable_count > 20"),
+    ("K12", "low_ticket", "info", "avg_ticket", "avg_ticket < mean_line_amount * 0.8"),
+    ("K12", "ticket_normal", "success", "avg_ticket", "not avg_ticket < mean_line_amount * 0.8"),
+    ("K13", "confidence_excellent", "success", "confidence_score", "confidence_score >= 80"),
+    ("K13", "confidence_good", "warning", "confidence_score", "confidence_score >= 60 and not confidence_score >= 80"),
+    ("K13", "confidence_improve", "error", "confidence_score", "not confidence_score >= 60"),
+    ("K14", "short_history", "info", "data_days", "data_days < 90"),
+    ("K14", "seasonal_data", "info", "lines", "lines > 365"),
+    ("K15", "horizon_short", "info", "horizon", "horizon < 15"),
+    ("K15", "horizon_medium", "info", "horizon", "horizon between 15 and 30"),
+    ("K15", "horizon_long", "info", "horizon", "horizon >= 31"),
+    ("K15", "buffer_none", "success", "mape", "mape < 10"),
+    ("K15", "buffer_10_15", "info", "mape", "mape >= 10 and mape < 20"),
+    ("K15", "buffer_20_30", "warning", "mape", "not mape < 20"),
+    ("K15", "interval_confident", "success", "uncertainty_pct", "uncertainty_pct < 20"),
+    ("K15", "interval_needs_buffer", "warning", "uncertainty_pct", "not uncertainty_pct < 20"),
+)
+
+
+def _rules_sql(horizon: int) -> str:
     ind = f"""with
 ms as {_sub('monthly_summary')}, sea as {_sub('monthly_seasonality')}, fmo as {_sub('forecast_monthly')},
 lw as {_sub('line_window_sums')}, vol as {_sub('segment_volatility')}, fk as {_sub('forecast_kpis')},
@@ -624,6 +693,10 @@ ss as (with {SALES}, {SCOPED}, {DAILY}, {WINSOR}, {PREPARED}
        from prepared group by store, segment), acc as {_sub('forecast_accuracy')}, we as {_sub('weekday_extremes')},
 pk as {_sub('product_kpis')}, sk as {_sub('scope_kpis')}, hs as {_sub('history_stats')},
 guard as {_sub('min_rows_guard')},
+ftail as ({with_(*FC_BASE)}
+       select store, segment, avg(yhat) as avg_forecast_tail
+       from (select *, row_number() over (partition by store, segment order by ds desc) as d from fc where is_future)
+       where d <= 30 group by store, segment),
 rr as (with {SALES}, {SCOPED}, {DAILY}
        select store, segment, avg(y) as raw_daily_mean, avg(y) filter (where rk <= 30) as raw_last30_mean
        from (select *, row_number() over (partition by store, segment order by ds desc) as rk from daily)
@@ -636,8 +709,8 @@ ind as (
          lw.lines, lw.first_qty as head_tail_first_qty, lw.last_qty as head_tail_last_qty,
          lw.first_price as head_tail_first_price, lw.last_price as head_tail_last_price,
          vol.cv_raw as raw_cv, rr.raw_daily_mean, rr.raw_last30_mean,
-         fk.avg_forecast as avg_forecast_tail, fk.forecast_growth_pct, fk.confidence_score, fk.uncertainty_pct,
-         ss.cv_after_pct / 100 as processed_cv, acc.mape, acc.quality,
+         ftail.avg_forecast_tail, fk.forecast_growth_pct, fk.confidence_score, fk.uncertainty_pct,
+         ss.cv_after_pct / 100 as processed_cv, acc.mape, acc.r2,
          we.best_weekday, we.weekday_std, we.weekday_min, we.weak_day_gap,
          pk.top5_share_pct, pk.top10_share_pct, pk.growing_count, pk.declining_count, pk.stable_count,
          sk.avg_ticket, sk.mean_line_amount, hs.span_days - 1 as data_days, 30 as horizon
@@ -647,15 +720,19 @@ ind as (
   left join lw using (store, segment) left join vol using (store, segment) left join rr using (store, segment)
   left join fk using (store, segment) left join ss using (store, segment) left join acc using (store, segment)
   left join we using (store, segment) left join pk using (store, segment) left join sk using (store, segment)
-  left join hs using (store, segment))
+  left join hs using (store, segment) left join ftail using (store, segment))
 """
-    parts = [f"select store, segment, '{r.family}' as family, '{r.code}' as rule_code, "
-             f"'{r.severity}' as severity, cast({r.value} as double) as value from ind where {r.condition}"
-             for r in RULES]
-    return ind + "\nunion all\n".join(parts)
+    ind = (ind.replace("range(1, 31) r(i)", f"range(1, {horizon + 1}) r(i)")
+              .replace("sum(y) filter (where rk <= 30) as last_h_sum", f"sum(y) filter (where rk <= {horizon}) as last_h_sum")
+              .replace("30 as horizon", f"{horizon} as horizon"))
+    return ind + "\nunion all\n".join(
+        f"select store, segment, '{family}' as family, '{code}' as rule_code, '{severity}' as severity, "
+        f"cast({value} as double) as value from ind where {condition}"
+        for family, code, severity, value, condition in FINDINGS)
 
 
-ORACLE["rule_hits"] = _rules_sql()
+ORACLE["rule_hits"] = _rules_sql(30)
+ORACLE["rule_hits_h60"] = _rules_sql(60)
 
 ORACLE["read_snapshot"] = ORACLE["load_sales"]
 ORACLE["read_sales_csv"] = ORACLE["load_sales"]

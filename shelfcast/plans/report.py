@@ -24,6 +24,7 @@ from shelfcast.operators import products as pr
 from shelfcast.operators import rules as ru
 from shelfcast.operators import series as se
 from shelfcast.operators import weekday as wk
+from shelfcast.operators.scope import filter_scope
 from shelfcast.plans.context import SalesContext
 from shelfcast.session import ensure_checkpoint_dir
 from shelfcast.sources import sales as src
@@ -63,7 +64,7 @@ def report_tables(c: SalesContext) -> dict[str, DataFrame]:
         "scope_kpis": pr.scope_kpis(c.facts, c.daily),
         "price_elasticity": elastic,
         "elasticity_summary": el.elasticity_summary(elastic),
-        "seasonal_coefficients": c.model.coef,
+        **({"seasonal_coefficients": c.model.coef} if c.method == "seasonal" else {}),
         "forecast": c.forecast,
         "forecast_accuracy": fo.accuracy(c.pairs),
         "forecast_scenarios": fo.scenarios(c.forecast),
@@ -75,14 +76,20 @@ def report_tables(c: SalesContext) -> dict[str, DataFrame]:
 
 
 def run_report(spark: SparkSession, sales: DataFrame, out_dir: str, prep: se.Prep = se.Prep(),
-               horizon: int = 30, snapshot: bool = True) -> list[str]:
-    """Write all report tables under ``out_dir``; return their names."""
+               horizon: int = 30, snapshot: bool = True, store: str | None = None, segment: str | None = None,
+               method: str = "seasonal") -> list[str]:
+    """Write all report tables under ``out_dir``; return their names.
+
+    ``store`` / ``segment`` restrict the run to one selection; ``method``
+    ``fourier`` takes the forecast and all that follows from it from J1b.
+    """
     ensure_checkpoint_dir(spark)
     if snapshot:
         snap = os.path.join(out_dir, "snapshot")
         src.write_snapshot(sales, snap)
         sales = src.read_snapshot(spark, snap)
-    c = SalesContext(sales, prep, horizon, keep="checkpoint")
+    sales = filter_scope(sales, store, segment)
+    c = SalesContext(sales, prep, horizon, keep="checkpoint", method=method)
     tables = report_tables(c)
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(os.path.join(out_dir, name))
@@ -102,11 +109,14 @@ def main(argv=None):
     ap.add_argument("--smooth", default=None, choices=[None, "ma", "ema", "savgol"])
     ap.add_argument("--window", type=int, default=7)
     ap.add_argument("--keep-outliers", action="store_true")
+    ap.add_argument("--store", default=None)
+    ap.add_argument("--segment", default=None)
+    ap.add_argument("--method", default="seasonal", choices=["seasonal", "fourier"])
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName("shelfcast-report").getOrCreate()
     sales = src.load_sales(src.read_sales(spark, a.sales, a.format))
     prep = se.Prep(remove_outliers=not a.keep_outliers, method=a.smooth, window=a.window)
-    run_report(spark, sales, a.out, prep, a.horizon)
+    run_report(spark, sales, a.out, prep, a.horizon, store=a.store, segment=a.segment, method=a.method)
 
 
 if __name__ == "__main__":

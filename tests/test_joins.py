@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from shelfcast.functions.joins import checked_broadcast_join, salted_join
+from shelfcast.functions.joins import salted_join
 from shelfcast.operators.topn import top_n
 
 
@@ -8,15 +8,14 @@ def _sorted(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def test_salted_and_broadcast_paths_equal(spark):
+def test_salted_join_equals_plain_join(spark):
     big = spark.range(5000).select(
         F.when(F.col("id") % 3 == 0, F.lit("*")).otherwise((F.col("id") % 7).cast("string")).alias("store"),
         F.lit("g").alias("segment"), F.col("id"))
     small = spark.createDataFrame([("*", "g", 100)] + [(str(i), "g", i) for i in range(6)],
                                   "store string, segment string, v int")
     plain = big.join(small, ["store", "segment"])
-    assert _sorted(checked_broadcast_join(big, small, ["store", "segment"])) == _sorted(plain)
-    assert _sorted(checked_broadcast_join(big, small, ["store", "segment"], max_rows=0)) == _sorted(plain)
+    assert _sorted(salted_join(big, small, ["store", "segment"])) == _sorted(plain)
     assert _sorted(salted_join(big, small, ["store", "segment"], "left", buckets=5)) == \
         _sorted(big.join(small, ["store", "segment"], "left"))
 

@@ -61,6 +61,6 @@ def test_line_window_sums_exact_under_skew(make_sales):
     rows = [("S", "2024-01-01", f"a{i:02d}", "m", "g", 1.0, i, i) for i in range(40)]
     rows += [("S", "2024-01-02", f"b{i}", "m", "g", 1.0, 100, 100) for i in range(5)]
     s = make_sales(rows)
-    r = pr.line_window_sums(s, se.daily_sales(fact_cube(s)), 30).filter("store = 'S' and segment = 'g'").collect()[0]
+    r = pr.line_window_sums(s, 30).filter("store = 'S' and segment = 'g'").collect()[0]
     assert r.first_qty == sum(range(30))
     assert r.last_qty == 500 + sum(range(15, 40))
