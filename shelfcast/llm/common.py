@@ -8,6 +8,8 @@ import tempfile
 import types
 import uuid
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,6 +114,28 @@ def map_rows(df: DataFrame, make_rows, schema: pa.Schema, slice_rows: int = 256)
     return df.mapInArrow(run, from_arrow_schema(schema))
 
 
+def may_contain(keys: DataFrame, key: str, column, bits: int = 1 << 24):
+    """Condition that holds wherever ``column`` is among ``keys[key]``, and seldom elsewhere.
+
+    A bitmap of hashes of a fixed size (2 MB) is broadcast, however many keys there
+    are; the more there are, the more other rows it lets through. It thins out
+    a large table before an exact join.
+    """
+    def place(c):
+        return F.pmod(F.xxhash64(c), F.lit(bits))
+    words = (keys.select(place(F.col(key)).alias("p"))
+             .groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 AS INT))")).alias("set")))
+    found = words.collect()  # bits / 64 rows at most
+    table = np.zeros(bits // 64, np.int64)
+    table[[r["word"] for r in found]] = [r["set"] for r in found]
+    shared = keys.sparkSession.sparkContext.broadcast(table)
+
+    def test(places: pd.Series) -> pd.Series:
+        at = places.to_numpy()
+        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+    return F.pandas_udf(test, "boolean")(place(column))
+
+
 def held_out(doc_id, modulus: int, remainder: int):
     """True where crc32 of the decimal doc_id leaves ``remainder``; false for a null doc_id."""
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % modulus == remainder, F.lit(False))

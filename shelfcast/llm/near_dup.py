@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Shared, map_rows
+from .common import Shared, map_rows, may_contain
 
 MASK = (1 << 64) - 1
 SLICE = 1 << 16
@@ -241,7 +241,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, coordina
     postings = store.write(prefix_postings(reps, matches).join(reps.select("rep", "n_shingles"), "rep"), "postings")
     store.free()
     posted = postings.select("rep").distinct()
-    texts = store.write(docs.select(F.col("doc_id").alias("rep"), "text").join(posted, "rep").dropDuplicates(["rep"]), "texts")
+    wanted = docs.where(F.col("doc_id").isNotNull() & may_contain(posted, "rep", docs["doc_id"]))
+    texts = store.write(wanted.select(F.col("doc_id").alias("rep"), "text").join(posted, "rep").dropDuplicates(["rep"]), "texts")
     first_pairs = store.write(hub_pairs(postings, percent), "hub-pairs")
     links = store.write(confirmed(agreeing(first_pairs, reps, matches), texts, percent, width), "hub-links")
     joined = components_of(links, store, "hub-components")

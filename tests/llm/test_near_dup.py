@@ -90,3 +90,15 @@ def test_slices_of_a_long_text_give_the_same_signature(monkeypatch):
 
 def test_matches():
     assert matches_for(85, 48, 1e-7) == 26 and matches_for(80, 48, 1e-7) == 22 and matches_for(1, 4, 0.5) == 1
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 16])
+def test_bitmap_lets_every_key_through(spark, bits):
+    from pyspark.sql import functions as F
+
+    from shelfcast.llm.common import may_contain
+    keys = spark.range(0, 3000, 30)
+    table = spark.range(-100, 5000)
+    got = {r.id for r in table.where(may_contain(keys, "id", F.col("id"), bits)).collect()}
+    assert set(range(0, 3000, 30)) <= got and (bits == 64 or len(got) < 200)
+    assert bits == 64 or table.where(may_contain(keys.limit(0), "id", F.col("id"), bits)).count() == 0
