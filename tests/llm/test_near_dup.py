@@ -1,30 +1,15 @@
+import os
 import random
+import sys
 
 import numpy as np
 import pytest
 
-from shelfcast.llm.near_dup import drop_near_duplicates, matches_for, near_duplicates, shingle_set, signature, _spread
-
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-def sets_of(text):
-    words = (text or "").encode().lower().split()
-    if not words:
-        return frozenset()
-    return frozenset(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4)))
+from brute import brute_components  # noqa: E402
 
-
-def brute(rows, percent=85):
-    rows = [(i, sets_of(t)) for i, t in rows]
-    known = [(i, s) for i, s in rows if i is not None and s]
-    least = {i: i for i, _ in rows}
-    moved = True
-    while moved:
-        moved = False
-        for a, s in known:
-            for b, t in known:
-                if 100 * len(s & t) >= percent * len(s | t) and least[b] < least[a]:
-                    least[a], moved = least[b], True
-    return sorted(((i, len(s), least[i] if i is not None else None, i is None or least[i] == i) for i, s in rows), key=str)
+from shelfcast.llm.near_dup import drop_near_duplicates, matches_for, near_duplicates, shingle_set, signature, _spread
 
 
 @pytest.fixture(scope="module")
@@ -56,7 +41,7 @@ def test_components_equal_brute_force(make_docs, rows, odd_rows):
     table = [(i if n < len(rows) or i is None else i + 5000, t) for n, (i, t) in enumerate(table)]
     assert len(set(ids)) == len(ids)
     got = near_duplicates(make_docs(table, extra=True)).collect()
-    assert sorted(map(tuple, got), key=str) == brute(table)
+    assert sorted(map(tuple, got), key=str) == brute_components(table)
 
 
 def test_dropping(make_docs, rows):
@@ -64,7 +49,7 @@ def test_dropping(make_docs, rows):
     got = drop_near_duplicates(docs)
     assert got.columns == docs.columns
     kept = [r.doc_id for r in got.collect()]
-    assert sorted(i for i in kept if i is not None) == [i for i, _, _, k in sorted(brute(rows)) if k] + [7000]
+    assert sorted(i for i in kept if i is not None) == [i for i, _, _, k in sorted(brute_components(rows)) if k] + [7000]
     assert kept.count(None) == 2
     assert drop_near_duplicates(make_docs([])).count() == 0
 

@@ -1,21 +1,26 @@
 """Registered queries on sf0.001 against their SQL twins, and the pipeline against brute force."""
 
-import collections
+import array
 import os
 import sys
+import zlib
 
 import duckdb
 import pytest
+from tokenizers import Tokenizer
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import __spark_entry__ as entry  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from shelfcast.llm import registry  # noqa: E402
-from shelfcast.llm.near_dup import near_duplicates  # noqa: E402
-from shelfcast.llm.quality_rules import quality_verdicts  # noqa: E402
+from shelfcast.llm.packing import cut  # noqa: E402
+from shelfcast.llm.pii import find_spans, learn_field  # noqa: E402
 from shelfcast.llm.toxicity import score_toxicity  # noqa: E402
 
+from brute import brute_components, brute_spans, sequential_best_fit  # noqa: E402
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -38,29 +43,47 @@ def test_query_matches_sql(spark, name):
     assert sorted(map(tuple, got[columns].values.tolist())) == sorted(map(tuple, want[columns].values.tolist()))
 
 
-def test_pipeline_stages(spark):
-    """Each stage keeps what its own operator says of its own input; all columns stay until the last."""
+def test_pipeline_equals_brute_force(spark):
+    """Each stage against a version of its own on the input it was given; all columns stay until the last."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    kept = {r.doc_id for r in quality_verdicts(docs, labels).where("kept").collect()}
-    at = docs
-    results = []
+    at, results = docs, []
     for _, stage in corpus_pipeline.STAGES:
         at = stage(spark, at, SF).cache()
         results.append(at)
     quality, clean, single, private, packed = results
-    ids = [{r.doc_id for r in x.select("doc_id").collect()} for x in results]
-    assert ids[0] == kept and all(x.columns == docs.columns for x in results[:4])
-    assert ids[1] == {r.doc_id for r in score_toxicity(quality, labels).where("predicted = 0").collect()}
-    assert ids[2] == {r.doc_id for r in near_duplicates(clean, percent=80).where("kept").collect()}
-    assert ids[3] == ids[2] == ids[4]
-    assert private.where("text LIKE '%@mail%.example.com%'").count() == 0
-    room = collections.Counter()
-    for r in packed.collect():
-        room[r.sequence_id] += r.length
-    assert max(room.values()) <= 1024
-    total = sum(room.values())
-    assert len(room) <= total // 1024 + 2 + total // 1024 // 50
-    run = registry.QUERIES["pipeline"](spark, SF)
+    assert all(x.columns == docs.columns for x in results[:4])
+    texts = [{r.doc_id: r.text for r in x.select("doc_id", "text").collect()} for x in (docs, *results[:4])]
+
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    kept = {i for i, k in con.execute(f"SELECT doc_id, kept FROM ({registry.ORACLE['op2_quality_rules']})").fetchall() if k}
+    assert texts[1] == {i: t for i, t in texts[0].items() if i in kept}
+
+    scores = {r.doc_id: r.score for r in score_toxicity(quality, labels).collect()}
+    assert texts[2] == {i: t for i, t in texts[1].items() if scores[i] < 0.3}
+
+    least = {i: c for i, _, c, _ in brute_components(sorted(texts[2].items()), 80)}
+    assert texts[3] == {i: t for i, t in texts[2].items() if least[i] == i}
+
+    field = learn_field(single, 20_000)
+    for i, text in texts[3].items():
+        spans = find_spans(text, field, 0.9)[1]
+        assert set(brute_spans(text)) <= set(spans)
+        masked_text = text
+        for kind, a, b in sorted(spans, key=lambda s: -s[1]):  # from the back; none overlap here
+            masked_text = masked_text[:a] + f"[{kind.upper()}]" + masked_text[b:]
+        assert texts[4][i] == masked_text
+    assert {r.doc_id: r.n_chars for r in private.collect()} == {i: len(t) for i, t in texts[4].items()}
+
+    tokenizer = Tokenizer.from_file(registry.tokenizer_path("byte_bpe_50k.json"))
+    want = []
+    for i, text in texts[4].items():
+        ids = array.array("I", tokenizer.encode(text, add_special_tokens=False).ids + [2])
+        want += [(i, n, a, k, zlib.crc32(ids[a:a + k].tobytes())) for n, (a, k) in enumerate(cut(len(ids), 1024))]
     key = lambda rows: sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
-    assert key(run.collect()) == key(packed.collect())
+    got = packed.collect()
+    assert key(got) == sorted(want)
+    assert len({r.sequence_id for r in got}) == sequential_best_fit([w[3] for w in want], 1024)
+    assert key(registry.QUERIES["pipeline"](spark, SF).collect()) == sorted(want)

@@ -1,8 +1,9 @@
 """Byte BPE, rANS token files and packing."""
 
 import array
-import bisect
+import os
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -10,6 +11,10 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from brute import sequential_best_fit  # noqa: E402
+
 from shelfcast.llm import rans
 from shelfcast.llm.bpe import Encoder
 from shelfcast.llm.common import Shared
@@ -86,19 +91,6 @@ def test_token_files_of_an_empty_table(spark, make_docs):
     assert rans.read_token_digests(spark, path).count() == 0
 
 
-def sequential_best_fit(lengths, capacity):
-    rooms, opened = [], 0
-    for n in sorted(lengths, reverse=True):
-        i = bisect.bisect_left(rooms, n)
-        if i < len(rooms):
-            room = rooms.pop(i)
-        else:
-            room, opened = capacity, opened + 1
-        if room > n:
-            bisect.insort(rooms, room - n)
-    return opened
-
-
 @pytest.mark.parametrize("seed", range(60))
 def test_runs_equal_sequential_best_fit_decreasing(seed):
     rng = random.Random(seed)
