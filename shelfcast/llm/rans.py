@@ -35,7 +35,7 @@ from .common import Shared, map_rows
 LANES = 1024
 BLOCK = 1 << 20
 CHECKPOINT = 1 << 18
-SCALE = 22
+SCALE = 20
 LOW = 1 << 31
 
 TOKENS = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()),
