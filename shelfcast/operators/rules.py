@@ -10,6 +10,7 @@ value)``. The conditions are SQL expressions over the indicator columns.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,10 +138,12 @@ def indicators(scopes: DataFrame, *, monthly_summary: DataFrame, seasonality: Da
     pk = pkpis.select(*k, "top5_share_pct", "top10_share_pct", "growing_count", "declining_count", "stable_count")
     sk = skpis.select(*k, "avg_ticket", "mean_line_amount")
     hi = history.select(*k, (F.col("span_days") - 1).alias("data_days"))
-    out = scopes.select(*k)
-    for part in (ms, se, fm, lw, vo, raw_recent(daily), fk, ftail, ss, ac, we, pk, sk, hi):
-        out = out.join(part, k, "left")
-    return out.withColumn("horizon", F.lit(horizon))
+    # every part has at most one row per scope: stacked and combined in one shuffle, not joined one by one
+    parts = [scopes.select(*k, F.lit(True).alias("_wanted")),
+             ms, se, fm, lw, vo, raw_recent(daily), fk, ftail, ss, ac, we, pk, sk, hi]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    out = stacked.groupBy(*k).agg(*[F.max(c).alias(c) for c in stacked.columns if c not in k])
+    return out.filter("_wanted").drop("_wanted").withColumn("horizon", F.lit(horizon))
 
 
 def evaluate_rules(ind: DataFrame, rules=RULES) -> DataFrame:
