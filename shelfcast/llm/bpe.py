@@ -12,6 +12,7 @@ from __future__ import annotations
 import array
 import base64
 import re
+from functools import cached_property
 
 from .common import per_worker
 
@@ -21,18 +22,25 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 
 class Encoder:
     def __init__(self, json_path: str, ranks_path: str | None):
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(json_path)
-        self.library.encode_special_tokens = True
+        self.json_path = json_path
         self.fast = None
         if ranks_path:
+            import tiktoken
+
             with open(ranks_path, "rb") as file:
                 ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
             self.fast = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
             self.beyond = re.compile("[^\x00-ɏ]")
 
+    @cached_property
+    def library(self):
+        """Loaded only by workers that meet a text for it (about 40 MB)."""
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(self.json_path)
+        tokenizer.encode_special_tokens = True
+        return tokenizer
+
     def __call__(self, text: str) -> array.array:
         """Ids as unsigned 32-bit integers."""
         if self.fast is not None and not self.beyond.search(text):
