@@ -1,6 +1,6 @@
 """shelfcast: retail sales analytics and forecasting as Spark DataFrame jobs.
 
-Every operator takes and returns a ``DataFrame`` and runs no action; the unit
+Every sales operator takes and returns a ``DataFrame`` and runs no action; the unit
 of work is the whole sales table, and each (store, segment) selection,
 including the "all stores" / "all segments" levels written as ``'*'``, is a
 *scope* computed side by side with the others.

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfcast.functions.parse import DATE_LAYOUTS, nan_to_null, parse_day_first_date, parse_number
+from shelfcast.operators.scope import ALL
 
 # The nine required source columns, in contract order, and the
 # canonical name each one gets.
@@ -116,8 +117,9 @@ def coerce(df: DataFrame, layouts: Sequence[str] = DATE_LAYOUTS) -> DataFrame:
 def reject_reason() -> Column:
     """The first rule a coerced row breaks; NULL when it is accepted (A5).
 
-    Rows need a date, ``price > 0`` and ``qty >= 0`` (before rounding), and a
-    quantity and amount that fit their type.
+    Rows need a date, ``price > 0`` and ``qty >= 0`` (before rounding), a
+    quantity and amount that fit their type, and a store and segment that aren't
+    the name of the roll-up levels.
     """
     return (F.when(F.col("sale_date").isNull(), F.lit("bad_date"))
              .when(F.col("price").isNull(), F.lit("bad_price"))
@@ -125,7 +127,8 @@ def reject_reason() -> Column:
              .when(F.col("qty_number").isNull(), F.lit("bad_qty"))
              .when(F.col("qty_number") < 0, F.lit("qty_negative"))
              .when(F.col("qty").isNull(), F.lit("qty_too_large"))
-             .when(F.col("amount_number").isNotNull() & F.col("amount").isNull(), F.lit("amount_too_large")))
+             .when(F.col("amount_number").isNotNull() & F.col("amount").isNull(), F.lit("amount_too_large"))
+             .when(F.col("store").eqNullSafe(ALL) | F.col("segment").eqNullSafe(ALL), F.lit("reserved_name")))
 
 
 def drop_bad_rows(coerced: DataFrame) -> DataFrame:

@@ -77,6 +77,9 @@ def test_reject_reasons(spark):
             [("-0.004", "1"), ("x", "1"), ("1e23", "1"), ("1", "1e30"), ("1", "")]]
     got = [r.reject_reason for r in src.rejection_reasons(_source(spark, rows)).collect()]
     assert got == ["qty_negative", "bad_qty", "qty_too_large", "amount_too_large", None]
+    starred = _source(spark, [("*", "03.02.2024", "a", "d", "M", "G", "1", "1", "1"), (None, "03.02.2024", "a", "d", "M", "*", "1", "1", "1"),
+                              (None, "03.02.2024", "a", "d", "M", None, "1", "1", "1")])
+    assert [r.reject_reason for r in src.rejection_reasons(starred).collect()] == ["reserved_name", "reserved_name", None]
 
 
 def test_files_with_other_headers_are_refused(spark, tmp_path):
