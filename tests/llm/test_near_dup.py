@@ -87,3 +87,9 @@ def test_bitmap_lets_every_key_through(spark, bits):
     got = {r.id for r in table.where(may_contain(keys, "id", F.col("id"), bits)).collect()}
     assert set(range(0, 3000, 30)) <= got and (bits == 64 or len(got) < 200)
     assert bits == 64 or table.where(may_contain(keys.limit(0), "id", F.col("id"), bits)).count() == 0
+
+
+def test_rows_of_one_doc_id_are_one_document(make_docs):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    got = near_duplicates(make_docs([(1, a), (1, b), (2, b), (3, a + " c"), (4, "other words of its own here")])).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)]
