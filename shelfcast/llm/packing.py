@@ -117,10 +117,10 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return ([(0, head)] if head else []) + [(i, capacity) for i in range(head, n, capacity)]
 
 
-def token_pieces(docs: DataFrame, json_path: str, ranks_path: str | None, end_id: int, capacity: int) -> DataFrame:
+def token_pieces(docs: DataFrame, json_path: str, ranks_path: str | None, end_id: int, capacity: int, added: bool = False) -> DataFrame:
     """Pieces of all documents, numbered within (task, length)."""
     def rows(source):
-        encode, task = encoder(json_path, ranks_path), TaskContext.get().partitionId()
+        encode, task = encoder(json_path, ranks_path, added), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for doc_id, text in source:
             ids = encode(text or "")
@@ -132,10 +132,10 @@ def token_pieces(docs: DataFrame, json_path: str, ranks_path: str | None, end_id
     return map_rows(docs.select("doc_id", "text"), rows, PIECES)
 
 
-def pack_documents(docs: DataFrame, json_path: str, ranks_path: str | None, end_id: int, capacity: int = 1024) -> DataFrame:
+def pack_documents(docs: DataFrame, json_path: str, ranks_path: str | None, end_id: int, capacity: int = 1024, added: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document."""
     spark = docs.sparkSession
-    pieces = Shared(spark, "packing").write(token_pieces(docs, json_path, ranks_path, end_id, capacity), "pieces")
+    pieces = Shared(spark, "packing").write(token_pieces(docs, json_path, ranks_path, end_id, capacity, added), "pieces")
     counts = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     # at most `capacity` rows, whatever the input
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}

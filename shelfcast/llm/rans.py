@@ -143,13 +143,13 @@ def decode_range(table: FrequencyTable, slots: np.ndarray, row: dict, start: int
     return got[start - step * LANES:]
 
 
-def tokenize_ranges(docs: DataFrame, json_path: str, ranks_path: str | None, end_id: int) -> DataFrame:
+def tokenize_ranges(docs: DataFrame, json_path: str, ranks_path: str | None, end_id: int, added: bool = False) -> DataFrame:
     """Ids of whole documents in ascending doc_id order: by ``part``, then by ``local_start``."""
     ranged = (docs.select("doc_id", "text").withColumn("h", F.xxhash64("text"))
               .repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text"))
 
     def rows(source):
-        encode, part, local = encoder(json_path, ranks_path), TaskContext.get().partitionId(), 0
+        encode, part, local = encoder(json_path, ranks_path, added), TaskContext.get().partitionId(), 0
         for doc_id, text in source:
             ids = encode(text or "")
             ids.append(end_id)
@@ -188,11 +188,11 @@ def read_counts(spark: SparkSession, path: str) -> tuple[np.ndarray, np.ndarray]
     return np.array([r["id"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64)
 
 
-def write_token_files(docs: DataFrame, path: str, json_path: str, ranks_path: str | None, end_id: int) -> None:
+def write_token_files(docs: DataFrame, path: str, json_path: str, ranks_path: str | None, end_id: int, added: bool = False) -> None:
     """Write the token files of ``docs`` (doc_id, text) to folder ``path``."""
     spark = docs.sparkSession
     store = Shared(spark, "rans")
-    tokens = store.write(tokenize_ranges(docs, json_path, ranks_path, end_id), "tokens")
+    tokens = store.write(tokenize_ranges(docs, json_path, ranks_path, end_id, added), "tokens")
     count_ids(tokens).write.parquet(f"{path}/table")
     # ids of all documents in earlier ranges, by range: as many numbers as tasks
     base, total = {}, 0

@@ -40,7 +40,7 @@ END_ID = 2
 def op4_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rans import read_token_digests, write_token_files
     files = Shared(spark, "token-files").path
-    write_token_files(read_table(spark, sf_dir, "documents"), files, *map(tokenizer_path, BYTE_BPE), END_ID)
+    write_token_files(read_table(spark, sf_dir, "documents"), files, *map(tokenizer_path, BYTE_BPE), END_ID, added=True)
     return read_token_digests(spark, files)
 
 
@@ -56,7 +56,7 @@ def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
-    return pack_documents(read_table(spark, sf_dir, "documents"), *map(tokenizer_path, BYTE_BPE), END_ID)
+    return pack_documents(read_table(spark, sf_dir, "documents"), *map(tokenizer_path, BYTE_BPE), END_ID, added=True)
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

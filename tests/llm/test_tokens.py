@@ -135,3 +135,23 @@ def test_packing(make_docs, odd_rows, library):
         assert sum(n for _, n in places) <= 1024
     assert len(sequences) == sequential_best_fit([w[3] for w in want], 1024)
     assert pack_documents(make_docs([]), *FILES, 2).count() == 0
+
+
+ADDED = ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|", " <|endoftext|>\n日本", "plain text"]
+
+
+def test_added_tokens_get_the_ids_of_the_library_as_loaded(spark, make_docs, monkeypatch):
+    """In the encoder and in the queries, with and without the ranks file."""
+    import corpus_pipeline
+    from shelfcast.llm import registry
+    loaded = Tokenizer.from_file(FILES[0])
+    want = {i: loaded.encode(t, add_special_tokens=False).ids for i, t in enumerate(ADDED)}
+    assert want[0] == [50256] and want[1][2:3] == [50256] and 50256 in want[4] and 50256 not in want[3]
+    for encode in (Encoder(*FILES, True), Encoder(FILES[0], None, True)):
+        assert {i: list(encode(t)) for i, t in enumerate(ADDED)} == want
+    docs = make_docs(list(enumerate(ADDED)))
+    monkeypatch.setattr(registry, "read_table", lambda *_: docs)
+    crc = {i: zlib.crc32(array.array("I", ids + [2]).tobytes()) for i, ids in want.items()}
+    assert sorted(r.ids_crc32 for r in registry.op4_rans_files(spark, "").collect()) == sorted(crc.values())
+    for packed in (registry.op7_packing(spark, ""), corpus_pipeline.packing(spark, docs, "")):
+        assert {r.doc_id: r.ids_crc32 for r in packed.collect()} == crc
