@@ -11,9 +11,9 @@ links lead to a base span of that label, so that repeated lookalikes alone
 don't talk each other into one.
 
 Unary weights (a logistic model per label on shape and context bits), chain and
-skip potentials are learned from the base spans of a bounded sample of at most
-``sample_docs`` documents, chosen by a hash of doc_id. Only counts per distinct
-bit pattern reach the driver.
+skip potentials are learned from the base spans of all documents, so that a rare
+kind counts too. Only counts per distinct bit pattern reach the driver. Skip
+potentials are rates of agreement, which don't grow with the table.
 
 Defined cases: a null text counts as empty; texts without digits or ``@`` have
 no span; kinds may overlap each other and are matched apart; repeated rows are
@@ -58,6 +58,8 @@ CONTEXT = (
     frozenset("ip host server address gateway dns adresse dirección".split()),
 )
 BITS = 13
+#: Share of the prior rate in a rate of agreement; it bounds a skip weight by ln 999.
+DOUBT = 0.01
 SPANS = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("spans", pa.string())])
 TALLY = pa.schema([("part", pa.string()), ("x", pa.int64()), ("y", pa.int64()), ("n", pa.int64())])
 
@@ -181,7 +183,7 @@ class Graph:
 
 
 class Field:
-    """Potentials of the field, from the tallies of the sample."""
+    """Potentials of the field, from the tallies of the documents."""
 
     def __init__(self, tallies: dict[tuple[str, int, int], int]):
         n = len(LABELS)
@@ -201,7 +203,9 @@ class Field:
         self.skip = {}
         for kind, prior in (("same", 9.0), ("similar", 9.0)):
             agree, other = tallies.get((kind, 1, 0), 0), tallies.get((kind, 0, 0), 0)
-            self.skip[kind] = np.log((agree + prior) / (other + 1.0)) * np.eye(n)
+            # the rate of agreement, drawn to the prior rate by few pairs, and by DOUBT however many there are
+            rate = (1 - DOUBT) * (agree + prior) / (agree + other + prior + 1.0) + DOUBT * prior / (prior + 1.0)
+            self.skip[kind] = np.log(rate / (1 - rate)) * np.eye(n)
 
     def unary(self, bits: list[int]) -> np.ndarray:
         x = np.array([[b >> i & 1 for i in range(BITS)] for b in bits], float)
@@ -251,11 +255,15 @@ def find_spans(text: str, field: Field | None, certain: float) -> tuple[list, li
     return graph.base, sorted(graph.base + added, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
-def learn_field(docs: DataFrame, sample_docs: int) -> Field | None:
-    """The field of a bounded sample, or None if it has no candidate at all."""
-    chosen = (docs.select(F.col("doc_id").alias("doc_id")).where(F.col("doc_id").isNotNull())
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs))
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id")
+def learn_field(docs: DataFrame, sample_docs: int | None = None) -> Field | None:
+    """The field of all documents, or None if they have no candidate at all.
+
+    Only a caller that sets ``sample_docs`` gets the field of that many, chosen by a hash of doc_id.
+    """
+    if sample_docs is not None:
+        chosen = (docs.select(F.col("doc_id").alias("doc_id")).where(F.col("doc_id").isNotNull())
+                  .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs))
+        docs = docs.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id")
 
     def rows(source):
         counts: Counter = Counter()
@@ -277,7 +285,7 @@ def learn_field(docs: DataFrame, sample_docs: int) -> Field | None:
                         counts[kind, int(label[a] == label[b]), 0] += 1
         yield from ((*key, n) for key, n in counts.items())
     # at most 2**BITS * labels bit patterns
-    found = map_rows(sample.select("text"), rows, TALLY).groupBy("part", "x", "y").agg(F.sum("n").alias("n")).collect()
+    found = map_rows(docs.select("text"), rows, TALLY).groupBy("part", "x", "y").agg(F.sum("n").alias("n")).collect()
     tallies = {(r["part"], r["x"], r["y"]): r["n"] for r in found}
     return Field(tallies) if any(k[0] == "unary" for k in tallies) else None
 
@@ -286,7 +294,7 @@ def _shown(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def pii_spans(docs: DataFrame, sample_docs: int = 20_000, certain: float = 0.9) -> DataFrame:
+def pii_spans(docs: DataFrame, sample_docs: int | None = None, certain: float = 0.9) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every whole text; counts are of base spans."""
     field = learn_field(docs, sample_docs)
 
@@ -308,7 +316,7 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[done:]])
 
 
-def mask_pii(docs: DataFrame, sample_docs: int = 20_000, certain: float = 0.9) -> DataFrame:
+def mask_pii(docs: DataFrame, sample_docs: int | None = None, certain: float = 0.9) -> DataFrame:
     """The documents with personal data masked in ``text`` and ``n_chars`` counted anew; a null text stays null."""
     field = learn_field(docs, sample_docs)
 

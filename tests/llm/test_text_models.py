@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from brute import brute_spans  # noqa: E402
 
-from shelfcast.llm import toxicity
+from shelfcast.llm import pii, toxicity
 from shelfcast.llm.compression_quality import score_quality
 from shelfcast.llm.pii import KINDS, Field, Graph, base_spans, find_spans, learn_field, loose_spans, mask_pii, masked, pii_spans
 from shelfcast.llm.toxicity import LexiconAutomaton, Scanner, choose_terms, drop_toxic, score_toxicity
@@ -214,3 +214,24 @@ def test_held_out_rule(make_docs):
     from shelfcast.llm.common import held_out
     rows = make_docs([(i, "") for i in range(50)] + [(None, "")]).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("h")).collect()
     assert all(r.h == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+
+
+def test_field_counts_every_document(make_docs, monkeypatch):
+    """A kind that only one document holds, the last by hash among more than 20,000, has a fitted model."""
+    plain = make_docs([(i, f"host 10.0.0.{i % 200}") for i in range(20_050)])
+    last = plain.orderBy(F.xxhash64("doc_id").desc()).first().doc_id
+    docs = plain.withColumn("text", F.when(F.col("doc_id") == last, "card 4524132264652876").otherwise(F.col("text")))
+    seen = []
+    monkeypatch.setattr(pii, "Field", lambda tallies: seen.append(tallies) or Field(tallies))
+    mask_pii(docs)
+    assert sum(n for k, n in seen[0].items() if k[0] == "unary") == 20_050
+    assert sum(n for (part, _, label), n in seen[0].items() if part == "unary" and label == 1 + KINDS.index("card")) == 1
+
+
+def test_skip_weights_are_rates_of_agreement():
+    """They follow the share of agreeing pairs, not the number of documents."""
+    def weight(agree, other):
+        return Field({("unary", 1, 1): 1, ("same", 1, 0): agree, ("same", 0, 0): other}).skip["same"][0, 0]
+    assert abs(weight(10**6, 0) - weight(10**9, 0)) < 0.01
+    assert abs(weight(9 * 10**6, 10**6) - weight(9 * 10**9, 10**9)) < 0.01
+    assert weight(0, 10**6) < 0 < weight(1, 0) < weight(10**6, 0)
