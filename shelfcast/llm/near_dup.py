@@ -40,6 +40,8 @@ from .common import Shared, map_rows, may_contain
 
 MASK = (1 << 64) - 1
 SLICE = 1 << 16
+#: Parts of a component's members under one shingle, which meet others in tasks of their own.
+PARTS = 8
 
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("signature", pa.list_(pa.int64()))])
 OPEN = pa.schema([("rep", pa.int64()), ("component", pa.int64()), ("shingles", pa.list_(pa.int64()))])
@@ -154,13 +156,24 @@ def shingles_of(texts: DataFrame, width: int) -> DataFrame:
     return map_rows(texts.select("rep", "component", "text"), rows, OPEN, slice_rows=32)
 
 
-def bridging_pairs(sets: DataFrame, percent: int) -> DataFrame:
+def meetings(first: DataFrame) -> DataFrame:
+    """(shingle, component, part, component_b, part_b): parts of different components under one shingle, each pair once.
+
+    A component has at most ``PARTS`` parts, so its members never meet each other, however many there are.
+    """
+    parts = first.select("shingle", "component", "part").distinct()
+    other = parts.select("shingle", F.col("component").alias("component_b"), F.col("part").alias("part_b"))
+    return parts.join(other, "shingle").where(F.col("component") < F.col("component_b"))
+
+
+def bridging_pairs(sets: DataFrame, percent: int, store: Shared | None = None) -> DataFrame:
     """(a, b): members of different components that can reach the similarity.
 
     Shingles are ordered by how many sets hold them, the rarest first. Sets
     that reach the similarity share one of the first ``n - ceil(percent n) + 1``
     of each, and at the first one they share, what is left of either set still
-    suffices; other pairs of a list are skipped unseen.
+    suffices; other pairs of a list are skipped unseen. Only lists that hold
+    several components are paired, by parts of different components.
     """
     sizes = sets.select("rep", "component", F.size("shingles").alias("n"))
     spread = sets.select("rep", F.explode("shingles").alias("shingle"))
@@ -172,12 +185,16 @@ def bridging_pairs(sets: DataFrame, percent: int) -> DataFrame:
     first = (ordered.where(F.size("s") >= needed)
              .select("rep", "component", "n", F.size("s").alias("m"), F.posexplode(F.slice("s", 1, F.size("s") - needed + 1)).alias("k", "x"))
              .select(F.col("x.shingle").alias("shingle"), "rep", "component", "n", (F.col("m") - F.col("k")).alias("left")))
-    other = first.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("rep", "component", "n", "left")])
+    store = store or Shared(sets.sparkSession, "bridging")
+    first = store.write(first.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(PARTS))), "bridging-first")
+    mixed = (first.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+             .where(F.col("low") < F.col("high")).select("shingle"))
+    first = store.write(first.join(mixed, "shingle"), "bridging-mixed")
+    other = first.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("component", "part", "rep", "n", "left")])
     most = F.least("left", "left_b")
-    met = first.join(other, "shingle").where(
-        (F.col("rep") < F.col("rep_b")) & (F.col("component") != F.col("component_b"))
-        & (100 * most >= percent * (F.col("n") + F.col("n_b") - most)))
-    return met.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct()
+    met = (first.join(meetings(first), ["shingle", "component", "part"]).join(other, ["shingle", "component_b", "part_b"])
+           .where(100 * most >= percent * (F.col("n") + F.col("n_b") - most)))
+    return met.select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b")).distinct()
 
 
 def agreeing(pairs: DataFrame, reps: DataFrame, matches: int) -> DataFrame:
@@ -248,11 +265,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, coordina
     joined = components_of(links, store, "hub-components")
     store.free()
     left = store.write(shingles_of(texts.join(open_members(postings, joined), "rep"), width), "open-sets")
-    rest = bridging_pairs(left, percent).join(first_pairs, ["a", "b"], "left_anti")
+    rest = bridging_pairs(left, percent, store).join(first_pairs, ["a", "b"], "left_anti")
     more = store.write(confirmed(agreeing(rest, reps, matches), texts, percent, width), "bridging-links")
     if more.limit(1).count():
         joined = components_of(links.unionAll(more), store, "components")
-    store.drop("postings", "texts", "hub-pairs", "hub-links", "open-sets", "bridging-links")
+    store.drop("postings", "texts", "hub-pairs", "hub-links", "open-sets", "bridging-first", "bridging-mixed", "bridging-links")
     classes = reps.join(joined, "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
     return (signed.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
             .select("doc_id", "n_shingles",

@@ -93,3 +93,23 @@ def test_rows_of_one_doc_id_are_one_document(make_docs):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     got = near_duplicates(make_docs([(1, a), (1, b), (2, b), (3, a + " c"), (4, "other words of its own here")])).collect()
     assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)]
+
+
+def test_members_of_one_component_never_meet(spark):
+    """A group of near copies that shares shingles with one other set: pairs in proportion to the group."""
+    from pyspark.sql import functions as F
+
+    from shelfcast.llm import near_dup
+    n = 400
+    rows = [(i, 0, [*range(100), 1000 + i]) for i in range(n)] + [(n, n, [*range(95), *range(2000, 2005)]), (n + 1, n + 1, [*range(5000, 5100)])]
+    sets = spark.createDataFrame(rows, "rep long, component long, shingles array<long>")
+    for percent in (80, 85):
+        want = {(i, n) for i in range(n)}  # 95 of 106 common
+        assert {(r.a, r.b) for r in near_dup.bridging_pairs(sets, percent).collect()} == want
+    plan = near_dup.bridging_pairs(sets, 80)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join Inner" in x]
+    # members meet only under different components; a plain join on the shingle would pair all of a list
+    assert not any("rep#" in x and "<" in x for x in joins) and any("component_b" in x for x in joins), plan
+    first = sets.select(F.explode("shingles").alias("shingle"), "component", F.pmod(F.xxhash64("rep"), F.lit(near_dup.PARTS)).alias("part"))
+    per_list = near_dup.meetings(first).groupBy("shingle").count().agg(F.max("count")).first()[0]
+    assert per_list <= near_dup.PARTS
