@@ -7,7 +7,7 @@ admitted only if the exact binomial tail shows that it rejects at most
 ``alpha / rules`` of the good documents of the stratum (so all rules together
 at most ``alpha``), at a level of ``delta`` shared by all stratum-rule-cutoff
 tests (Bonferroni). Among the admitted ones the cutoff is taken that rejects
-the largest share of bad documents less ``PENALTY`` times that of good ones;
+the largest share of bad documents less ``penalty`` times that of good ones;
 a rule without an admitted, useful cutoff rejects nothing in that stratum.
 
 Defined cases: a null or empty text has no word and fails the base rules; a
@@ -37,6 +37,7 @@ CUTOFFS = {
     "word_length": (5.0, 6.0, 7.0, 8.0, 9.0, 10.0, 12.0, 15.0, 20.0, 30.0),
     "same_words": (0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95),
 }
+#: Default weight of a good document against a bad one, set by looking at the labels of one table.
 PENALTY = 200.0
 #: Terms of the binomial tail that are summed; the rest is bounded by a geometric series.
 TAIL_TERMS = 20_000
@@ -120,7 +121,7 @@ def binomial_tail(n: Column, k: Column, rate: float) -> Column:
     return F.when(k < n * rate, total + rest).otherwise(F.lit(1.0))
 
 
-def choose_cutoffs(counted: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
+def choose_cutoffs(counted: DataFrame, labels: DataFrame, alpha: float, delta: float, penalty: float = PENALTY) -> DataFrame:
     """(stratum, rule, cutoff): at most one row per stratum and rule.
 
     ``counted``: doc_id, stratum and the counts. The labelled ratios are first
@@ -148,15 +149,15 @@ def choose_cutoffs(counted: DataFrame, labels: DataFrame, alpha: float, delta: f
     tests = (len(STRATA) + 1) * sum(map(len, CUTOFFS.values()))
     admitted = (grid.withColumn("p", binomial_tail(F.col("n_good"), F.col("k_good"), alpha / len(CUTOFFS)))
                 .where(F.col("p") <= delta / tests)
-                .withColumn("gain", F.col("k_bad") / F.greatest(F.col("n_bad"), F.lit(1)) - PENALTY * F.col("k_good") / F.col("n_good"))
+                .withColumn("gain", F.col("k_bad") / F.greatest(F.col("n_bad"), F.lit(1)) - penalty * F.col("k_good") / F.col("n_good"))
                 .where(F.col("gain") > 0))
     rank = F.row_number().over(per_rule.orderBy(F.desc("gain"), F.desc("cutoff")))
     return admitted.withColumn("rank", rank).where(F.col("rank") == 1).select("stratum", "rule", "cutoff")
 
 
-def judged(counted: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
+def judged(counted: DataFrame, labels: DataFrame, alpha: float, delta: float, penalty: float = PENALTY) -> DataFrame:
     """Adds base_failed and kept to rows with the stratum and the counts."""
-    cutoffs = choose_cutoffs(counted, labels, alpha, delta)
+    cutoffs = choose_cutoffs(counted, labels, alpha, delta, penalty)
     # one row per stratum, five at most
     wide = cutoffs.groupBy(F.col("stratum").alias("_stratum")).agg(
         *[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_max_{r}") for r in CUTOFFS])
@@ -168,19 +169,19 @@ def judged(counted: DataFrame, labels: DataFrame, alpha: float, delta: float) ->
             .drop("_stratum", *[f"_max_{r}" for r in CUTOFFS]))
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
+def quality_verdicts(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05, penalty: float = PENALTY) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) of every document.
 
     The counts are written once; the choice of cutoffs and the verdicts read them.
     """
     counted = text_counts(docs.select("doc_id", stratum("lang").alias("stratum"), "text")).drop("text")
     counted = Shared(docs.sparkSession, "rules").write(counted, "counts")
-    return judged(counted, labels, alpha, delta).select("doc_id", *COUNTS[:5], "base_failed", "kept")
+    return judged(counted, labels, alpha, delta, penalty).select("doc_id", *COUNTS[:5], "base_failed", "kept")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05, penalty: float = PENALTY) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
     whole = docs.select(F.col("doc_id").alias("doc_id"), stratum("lang").alias("stratum"), F.struct("*").alias("doc"))
     counted = Shared(docs.sparkSession, "rules").write(text_counts(whole, "doc.text"), "counted")
-    kept = judged(counted, labels, alpha, delta).where("kept")
+    kept = judged(counted, labels, alpha, delta, penalty).where("kept")
     return kept.select("doc.*")

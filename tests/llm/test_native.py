@@ -131,3 +131,14 @@ def test_cells():
     assert leaf_cells(4) == [4, 5, 6, 7] and leaf_cells(3) == [2, 6, 7]
     assert within(6, 3) and within(3, 3) and not within(2, 3) and not within(3, 6)
     assert kd_sharding.place_heavy([], [1], 10.0) == ([], {1: 0})
+
+
+def test_penalty_is_a_parameter(make_docs, make_labels):
+    """A certified cutoff that rejects half of the bad and 0.3 % of the good documents."""
+    clean = " ".join(f"w{i}" for i in range(20))
+    rows = [(i, clean + (" ###########" if i < 12 else "")) for i in range(4000)]
+    rows += [(4000 + i, clean + (" ###########" if i < 50 else "")) for i in range(100)]
+    docs, labels = make_docs(rows), make_labels([(i, int(i < 4000), 0) for i, _ in rows])
+    kept = lambda **k: {r.doc_id for r in keep_good(docs, labels, **k).collect()}
+    assert len(kept()) == 4100
+    assert len(kept(penalty=0.0)) == 4100 - 62
