@@ -109,8 +109,43 @@ SELECT d.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, coalesce(least.comp
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
 """
 
+#: Operator 11: units as a list, put together again by form, and taken apart at the markers.
+FILL_MIDDLE = r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS d,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+  FROM documents),
+drawn AS (
+  SELECT doc_id, t, u, len(u)::BIGINT AS n,
+         ('0x' || d[1:8])::BIGINT % (len(u) + 1) AS c1, ('0x' || d[9:16])::BIGINT % (len(u) + 1) AS c2,
+         ('0x' || d[17:24])::BIGINT % 100 AS c3, ('0x' || d[25:32])::BIGINT % 100 AS c4
+  FROM units),
+cut AS (
+  SELECT doc_id, t, n,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c3 >= 50 THEN 'plain'
+              WHEN c4 < 80 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(u[1:least(c1, c2)], '') AS pre,
+         array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') AS mid,
+         array_to_string(u[greatest(c1, c2) + 1:], '') AS suf
+  FROM drawn),
+made AS (
+  SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                      ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END AS o
+  FROM cut),
+taken AS (
+  SELECT *, CASE form WHEN 'plain' THEN o
+    WHEN 'psm' THEN o[4:strpos(o, '<S>') - 1] || o[strpos(o, '<M>') + 3:] || o[strpos(o, '<S>') + 3:strpos(o, '<M>') - 1]
+    ELSE o[strpos(o, '<P>') + 3:strpos(o, '<M>') - 1] || o[strpos(o, '<M>') + 3:] || o[4:strpos(o, '<P>') - 1] END AS back
+  FROM made)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+       sha256(o) AS output_sha256, sha256(back) AS restored_sha256
+FROM taken
+"""
+
 ORACLE = {
     "op2_quality_rules": QUALITY_RULES,
     "op8_topk": TOP_K,
     "op10_near_dup": NEAR_DUP,
+    "op11_fill_middle": FILL_MIDDLE,
 }

@@ -74,6 +74,11 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_middle import fill_in_middle_digest
+    return fill_in_middle_digest(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -90,5 +95,6 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_compression_quality": op9_compression_quality,
     "op10_near_dup": op10_near_dup,
+    "op11_fill_middle": op11_fill_middle,
     "pipeline": pipeline,
 }
