@@ -143,9 +143,73 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT A
 FROM taken
 """
 
+#: Operator 12.
+HARD_NEGATIVES = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS MATERIALIZED (
+  SELECT q.vec_id AS anchor_id, c.vec_id AS vec_id, q.label = c.label AS same,
+         list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+#: Operator 13: shares, rates and ranks by ordered running sums instead of rounds.
+SOURCE_MIX = r"""
+WITH sized AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         (('0x' || md5('42:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')))[1:12])::BIGINT + 0.5::DOUBLE) / (2.0::DOUBLE ^ 48) AS u
+  FROM documents),
+weighed AS (
+  SELECT source, sum(size)::BIGINT AS words,
+         [5, 2, 1][1 + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3] AS weight
+  FROM sized GROUP BY source),
+budget AS (SELECT 1.5::DOUBLE * sum(words) AS b FROM weighed),
+-- sources by the unit at which they are full; the first one that is not full at the unit of those before fixes it
+filling AS (
+  SELECT *, coalesce(sum(words) OVER up, 0)::BIGINT AS full_words, (sum(weight) OVER () - coalesce(sum(weight) OVER up, 0))::BIGINT AS open_weight
+  FROM weighed WINDOW up AS (ORDER BY words::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+units AS (SELECT *, (b - 2.0::DOUBLE * full_words) / open_weight AS unit FROM filling, budget),
+unit AS (SELECT first(unit ORDER BY words::DOUBLE / weight, source NULLS LAST) AS unit FROM units WHERE NOT (2.0::DOUBLE * words < unit * weight)),
+targets AS (SELECT source, words, least(2.0::DOUBLE * words, coalesce(unit * weight, 2.0::DOUBLE * words)) AS target FROM weighed, unit),
+classes AS (SELECT source, greatest(CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END, 1)::BIGINT AS cls, sum(size)::BIGINT AS words FROM sized GROUP BY ALL),
+-- importance classes from the top; the first that stays under two copies fixes the rate
+rates AS (
+  SELECT classes.source, (target - 2.0::DOUBLE * coalesce(sum(classes.words) OVER up, 0)::BIGINT)
+           / (sum(cls * classes.words) OVER (PARTITION BY classes.source) - coalesce(sum(cls * classes.words) OVER up, 0))::BIGINT AS rate, cls
+  FROM classes JOIN targets ON classes.source IS NOT DISTINCT FROM targets.source
+  WINDOW up AS (PARTITION BY classes.source ORDER BY cls DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+rate AS (SELECT source, first(rate ORDER BY cls DESC) AS rate FROM rates WHERE rate * cls <= 2 AND isfinite(rate) GROUP BY source),
+expected AS (
+  SELECT rid, doc_id, s.source, size, u, words, target, least(2.0::DOUBLE, coalesce(rate * greatest(CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END, 1), 2.0::DOUBLE)) AS e
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN rate r ON s.source IS NOT DISTINCT FROM r.source),
+drawn AS (
+  SELECT *, floor(e)::BIGINT AS whole, target - sum(floor(e)::BIGINT * size) OVER (PARTITION BY source) AS rest,
+         CASE WHEN size > 0 AND e > floor(e) THEN floor((u * (1 - (e - floor(e)))) / ((u * (1 - (e - floor(e)))) + (1 - u) * (e - floor(e))) * (2.0::DOUBLE ^ 48)) END AS rank
+  FROM expected),
+ordered AS (
+  SELECT *, sum(CASE WHEN rank IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, rid) AS up_to FROM drawn)
+SELECT doc_id, size, words AS source_size, target,
+       (size * (whole + CASE WHEN rank IS NOT NULL AND rest > 0 AND (up_to < rest OR (up_to - size < rest AND up_to - rest <= rest - (up_to - size))) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM ordered
+"""
+
 ORACLE = {
     "op2_quality_rules": QUALITY_RULES,
     "op8_topk": TOP_K,
     "op10_near_dup": NEAR_DUP,
     "op11_fill_middle": FILL_MIDDLE,
+    "op12_hard_negatives": HARD_NEGATIVES,
+    "op13_source_mix": SOURCE_MIX,
 }

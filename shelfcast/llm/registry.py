@@ -79,6 +79,16 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import mine_noisy_labels
+    return mine_noisy_labels(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_digest
+    return mix_digest(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -96,5 +106,7 @@ QUERIES = {
     "op9_compression_quality": op9_compression_quality,
     "op10_near_dup": op10_near_dup,
     "op11_fill_middle": op11_fill_middle,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_source_mix": op13_source_mix,
     "pipeline": pipeline,
 }
