@@ -48,9 +48,15 @@ class Shared:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark).rstrip('/')}/shelfcast-llm/{name}-{uuid.uuid4().hex}"
+        self._written: set[str] = set()
+
+    def tables(self) -> list[str]:
+        """Tables written and not removed."""
+        return sorted(self._written)
 
     def write(self, df: DataFrame, table: str) -> DataFrame:
         where = f"{self.path}/{table}"
+        self._written.add(table)
         df.write.option("compression", "zstd").parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
@@ -58,6 +64,7 @@ class Shared:
         """Remove tables that no later step reads."""
         jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
         for table in tables:
+            self._written.discard(table)
             path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
             path.getFileSystem(conf).delete(path, True)
 

@@ -90,26 +90,87 @@ def test_bitmap_lets_every_key_through(spark, bits):
 
 
 def test_rows_of_one_doc_id_are_one_document(make_docs):
+    """Different texts under one doc_id are linked, in whatever order the rows come."""
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
-    got = near_duplicates(make_docs([(1, a), (1, b), (2, b), (3, a + " c"), (4, "other words of its own here")])).collect()
-    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)]
+    rows = [(1, a), (1, b), (2, b), (3, a + " c"), (4, "other words of its own here"), (5, b + " d"), (0, "words alone that link with nothing")]
+    want = [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 1, False)]
+    for table in (rows, rows[::-1], [rows[1], rows[0], *rows[2:]]):
+        got = near_duplicates(make_docs(table)).collect()
+        assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == want
 
 
-def test_members_of_one_component_never_meet(spark):
-    """A group of near copies that shares shingles with one other set: pairs in proportion to the group."""
+def edited(rng, base, places, word):
+    out = list(base)
+    for k in rng.sample(range(len(out)), places):
+        out[k] = word()
+    return out
+
+
+def near_group(rng, n, vocabulary, places=(3, 4, 5)):
+    """An origin of 150 words and n copies with a few changed words: mostly just under 85 % of it."""
+    base = [f"b{i}" for i in range(150)]
+    return [" ".join(base)] + [" ".join(edited(rng, base, rng.choice(places), lambda: f"v{rng.randrange(vocabulary)}")) for _ in range(n)]
+
+
+@pytest.mark.parametrize("vocabulary", [3, 40, 10**6])
+def test_a_group_around_a_centre_equals_brute_force(make_docs, vocabulary):
+    """Changed words in common (few of them to choose from) or not, and copies of copies."""
+    rng = random.Random(vocabulary)
+    texts = near_group(rng, 90, vocabulary, (1, 2, 3, 4, 5, 7))
+    texts += [" ".join(edited(rng, rng.choice(texts[-40:]).split(), 2, lambda: f"v{rng.randrange(vocabulary)}")) for _ in range(60)]
+    rows = [(i * 7 % 1009, t) for i, t in enumerate(texts)]
+    for percent in (80, 85):
+        got = near_duplicates(make_docs(rows), percent).collect()
+        assert sorted(map(tuple, got), key=str) == brute_components(rows, percent)
+
+
+def open_members_of(spark, texts):
+    """What the second pass starts from, for one group around texts[0]: (sets, near_dup module)."""
+    from shelfcast.llm import near_dup
+    sets = [shingle_set(t, 5) for t in texts]
+    linked = [0 if 100 * len(np.intersect1d(s, sets[0])) >= 85 * len(np.union1d(s, sets[0])) else i for i, s in enumerate(sets)]
+    rows = [(i, c, 0, s.astype(np.int64).tolist(), np.setxor1d(s, sets[0]).astype(np.int64).tolist()) for i, (c, s) in enumerate(zip(linked, sets))]
+    schema = "rep long, component long, centre long, shingles array<long>, residual array<long>"
+    return spark.createDataFrame(rows, schema), near_dup, sets, linked
+
+
+@pytest.mark.parametrize("vocabulary", [10**9, 20_000])
+def test_join_rows_grow_with_the_group_not_its_square(spark, vocabulary):
+    """Most members are under the similarity to the centre; a few of them share a change by chance (the second case)."""
+    from shelfcast.llm.common import Shared
+    for n in (400, 800, 1600):
+        sets, near_dup, _, linked = open_members_of(spark, near_group(random.Random(9), n, vocabulary, (1, 2, 3, 3, 3, 4, 5)))
+        assert len(set(linked)) > n / 2
+        store = Shared(spark, "test-growth")
+        lists = near_dup.residual_lists(sets, 85, store)
+        rows = lists.count(), near_dup.within_centres(lists, 85).count(), near_dup.between_centres(sets, 85).count()
+        assert rows[0] <= (n if vocabulary == 20_000 else 0) and rows[1:] == (0, 0), (n, rows)
+
+
+def test_residual_pairs_lose_no_link(spark):
+    from shelfcast.llm.common import Shared
+    rng = random.Random(4)
+    sets, near_dup, shingles, linked = open_members_of(spark, near_group(rng, 250, 2, (2, 3, 4, 6)))
+    for percent in (80, 85):
+        lists = near_dup.residual_lists(sets, percent, Shared(spark, "test-residual"))
+        got = {(r.a, r.b) for r in near_dup.within_centres(lists, percent).collect()}
+        want = {(a, b) for b in range(len(shingles)) for a in range(b) if linked[a] != linked[b]
+                and 100 * len(np.intersect1d(shingles[a], shingles[b])) >= percent * len(np.union1d(shingles[a], shingles[b]))}
+        assert want and want <= got
+
+
+def test_groups_of_different_centres_meet_by_blocks(spark):
+    """Two groups that share shingles: pairs between them only, never inside one."""
     from pyspark.sql import functions as F
 
     from shelfcast.llm import near_dup
     n = 400
-    rows = [(i, 0, [*range(100), 1000 + i]) for i in range(n)] + [(n, n, [*range(95), *range(2000, 2005)]), (n + 1, n + 1, [*range(5000, 5100)])]
-    sets = spark.createDataFrame(rows, "rep long, component long, shingles array<long>")
+    rows = [(i, i, 0, [*range(100), 1000 + i], []) for i in range(n)] + [(n, n, None, [*range(95), *range(2000, 2005)], None),
+                                                                      (n + 1, n + 1, None, [*range(5000, 5100)], None)]
+    sets = spark.createDataFrame(rows, "rep long, component long, centre long, shingles array<long>, residual array<long>")
     for percent in (80, 85):
         want = {(i, n) for i in range(n)}  # 95 of 106 common
-        assert {(r.a, r.b) for r in near_dup.bridging_pairs(sets, percent).collect()} == want
-    plan = near_dup.bridging_pairs(sets, 80)._jdf.queryExecution().optimizedPlan().toString()
-    joins = [x for x in plan.splitlines() if "Join Inner" in x]
-    # members meet only under different components; a plain join on the shingle would pair all of a list
-    assert not any("rep#" in x and "<" in x for x in joins) and any("component_b" in x for x in joins), plan
-    first = sets.select(F.explode("shingles").alias("shingle"), "component", F.pmod(F.xxhash64("rep"), F.lit(near_dup.PARTS)).alias("part"))
-    per_list = near_dup.meetings(first).groupBy("shingle").count().agg(F.max("count")).first()[0]
-    assert per_list <= near_dup.PARTS
+        assert {(r.a, r.b) for r in near_dup.between_centres(sets, percent).collect()} == want
+    first = sets.select(F.explode("shingles").alias("shingle"), F.coalesce("centre", -1 - F.col("component")).alias("block"),
+                        F.pmod(F.xxhash64("rep"), F.lit(near_dup.PARTS)).alias("part"))
+    assert near_dup.meetings(first).groupBy("shingle").count().agg(F.max("count")).first()[0] <= near_dup.PARTS
