@@ -30,6 +30,7 @@ from shelfcast.plans.context import SalesContext
 from shelfcast.session import ensure_checkpoint_dir
 from shelfcast.sources import sales as src
 from shelfcast.sources import tpch
+from shelfcast.streaming.ingest import start_ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 HORIZON = 30
@@ -97,6 +98,30 @@ def q_read_snapshot(spark, sf_dir):
     return finish(src.read_snapshot(spark, path))
 
 
+@query("csv_line_outcomes")
+def q_csv_line_outcomes(spark, sf_dir):
+    """A1-A5 on CSV files with lines of too many or too few cells: every line by its outcome."""
+    path = _scratch(spark, "csv_lines", sf_dir)
+    tpch.write_dirty_lines(spark, sf_dir, path)
+    src.ingest(src.read_sales(spark, path), f"{path}-snapshot")
+    return src.reconciliation(spark, f"{path}-snapshot")
+
+
+@query("snapshot_batch_and_stream")
+def q_snapshot_batch_and_stream(spark, sf_dir):
+    """A part of the export written as a snapshot by a batch job, the rest added by the stream, all read back.
+
+    The stream takes its files one by one, and its small commits are compacted on the way.
+    """
+    path = _scratch(spark, "shared_snapshots", sf_dir)
+    rows = tpch.dirty_source(spark, sf_dir)
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(3))
+    src.write_snapshot(src.load_sales(rows.filter(part == 0)), path)
+    rows.filter(part > 0).repartition(4).write.option("header", True).csv(f"{path}-files")
+    start_ingest(spark, f"{path}-files", path, f"{path}-offsets", max_files_per_trigger=1, fanin=4).awaitTermination()
+    return finish(src.read_snapshot(spark, path))
+
+
 def _scratch(spark: SparkSession, kind: str, sf_dir: str) -> str:
     """A folder of this call's own in the shared folder."""
     return os.path.join(ensure_checkpoint_dir(spark), kind, f"{os.path.basename(sf_dir.rstrip('/'))}-{uuid.uuid4().hex}")

@@ -65,7 +65,7 @@ DIRTY = """dirty as (
               when k = 12 then '-0.004' when k = 13 then '0.125' when k = 15 then '1e23'
               else cast(qty as varchar) end as Qty,
          case when k = 4 then '' when k = 14 then '1e16' when k = 16 then '1e30'
-              else cast(amount as varchar) end as "Sum"
+              else cast(amount as varchar) end as "Sum", k
   from (select *, (l_orderkey + l_partkey) % 50 as k,
                (cast(round(amount * 100) as bigint) * 20000 + cast(qty as bigint)) // (cast(qty as bigint) * 2) as micro
         from sales)),
@@ -81,7 +81,7 @@ parsed as (
               then try_cast(trim(Qty) as double) end as qty_number,
          case when regexp_matches(trim("Sum"), '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$')
               then try_cast(trim("Sum") as double) end as amount_number,
-         try_cast(qty_number as decimal(28,6)) as qty, try_cast(amount_number as decimal(28,6)) as amount
+         try_cast(qty_number as decimal(28,6)) as qty, try_cast(amount_number as decimal(28,6)) as amount, k
   from dirty)"""
 
 
@@ -735,6 +735,10 @@ ORACLE["rule_hits"] = _rules_sql(30)
 ORACLE["rule_hits_h60"] = _rules_sql(60)
 
 ORACLE["read_snapshot"] = ORACLE["load_sales"]
+ORACLE["snapshot_batch_and_stream"] = ORACLE["load_sales"]
+# lines with an extra cell (k = 22) and lines cut after five cells (k = 23)
+ORACLE["csv_line_outcomes"] = ORACLE["rejection_counts"].replace(
+    "case when sale_date is null", "case when k in (22, 23) then 'bad_line' when sale_date is null")
 ORACLE["read_sales_csv"] = ORACLE["load_sales"]
 ORACLE["forecast_csv_export"] = ORACLE["forecast_scenarios"]
 ORACLE["events_daily_sales"] = """

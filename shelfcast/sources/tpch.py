@@ -63,6 +63,25 @@ def dirty_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``k = (l_orderkey + l_partkey) % 50`` picks the change; see FIXTURES.md.
     Used to exercise the ingest rules on the driver's tables.
     """
+    return _dirty_rows(spark, sf_dir).drop("k")
+
+
+def write_dirty_lines(spark: SparkSession, sf_dir: str, path: str, files: int = 8) -> None:
+    """The dirty rows as CSV files with a header, some lines of which don't fit it.
+
+    Lines of ``k = 22`` have an extra cell, lines of ``k = 23`` end after five.
+    """
+    rows = _dirty_rows(spark, sf_dir)
+    cells = [c for c in rows.columns if c != "k"]
+    line = (F.when(F.col("k") == 22, F.concat(F.to_csv(F.struct(*cells)), F.lit(",extra")))
+             .when(F.col("k") == 23, F.to_csv(F.struct(*cells[:5]))).otherwise(F.to_csv(F.struct(*cells))))
+    lines = rows.select(F.pmod(F.xxhash64(*rows.columns), F.lit(files)).alias("file"), F.lit(1).alias("place"), line.alias("value"))
+    heads = spark.range(files).select(F.col("id").alias("file"), F.lit(0).alias("place"), F.lit(",".join(cells)).alias("value"))
+    (lines.unionByName(heads).repartition(files, "file").sortWithinPartitions("file", "place")
+          .select("file", "value").write.partitionBy("file").text(path))
+
+
+def _dirty_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sales_view(spark, sf_dir, with_keys=True)
     k = (F.col("l_orderkey") + F.col("l_partkey")) % 50
     # price to 6 decimals, rounded half up, from whole cents and an integer
@@ -91,7 +110,7 @@ def dirty_source(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("store").alias("Magazin"), date_txt.alias("Datasales"),
         F.col("article").alias("Art"), F.col("description").alias("Describe"),
         F.col("model").alias("Model"), F.col("segment").alias("Segment"),
-        price.alias("Price"), qty.alias("Qty"), amount.alias("Sum"),
+        price.alias("Price"), qty.alias("Qty"), amount.alias("Sum"), k.alias("k"),
     )
 
 

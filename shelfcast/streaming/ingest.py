@@ -1,37 +1,48 @@
 """A1-A7 as a Structured Streaming job.
 
 New sales exports dropped into a folder are read as text columns, validated
-with the same rules as the batch loader, and appended to the month-partitioned
-snapshot that every report job reads. The stream's checkpoint (offsets and
-commit log) lives in a shared folder, so a restarted or moved driver neither
-loses nor repeats a file. ``trigger(availableNow=True)`` processes what is
-there and stops, for scheduled runs.
+with the same rules as the batch loader, and added to the snapshot that every
+report job reads and that batch jobs write to as well. Each micro-batch is one
+commit of the snapshot, rebalanced by month, under the stream's id and the
+batch number, so one that is replayed after a failure changes nothing. Its
+lines are counted by outcome in the snapshot's manifest. After a commit, small
+commits are rewritten as one where enough of them have come together.
+
+The stream's checkpoint (offsets and commit log) lives in a shared folder, so a
+restarted or moved driver neither loses nor repeats a file.
+``trigger(availableNow=True)`` processes what is there and stops, for
+scheduled runs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from shelfcast.sources.sales import REQUIRED_COLUMNS, load_sales
+from shelfcast.sources import snapshot
+from shelfcast.sources.sales import REQUIRED_COLUMNS, compact_snapshot, csv_options, ingest, text_schema
 
-SOURCE_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in REQUIRED_COLUMNS])
+#: Local property in which Spark keeps the id of the stream that a thread runs; it stays with the checkpoint.
+QUERY_ID = "sql.streaming.queryId"
 
 
 def start_ingest(spark: SparkSession, source_dir: str, snapshot_dir: str, checkpoint_dir: str,
-                 available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
+                 available_now: bool = True, max_files_per_trigger: int | None = None,
+                 fanin: int = snapshot.FANIN, small_bytes: int = snapshot.SMALL_BYTES) -> StreamingQuery:
     # a file whose header is not the nine columns in contract order fails the
     # stream (and A2 with it) instead of being bound by position
-    reader = spark.readStream.schema(SOURCE_SCHEMA).option("header", True).option("enforceSchema", False)
+    reader = csv_options(spark.readStream.schema(text_schema(REQUIRED_COLUMNS)))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = reader.csv(source_dir)
-    valid = load_sales(raw).withColumn("sale_month", F.date_format("sale_date", "yyyy-MM"))
-    writer = (valid.writeStream.format("parquet").outputMode("append")
-                   .option("path", snapshot_dir).option("checkpointLocation", checkpoint_dir)
-                   .partitionBy("sale_month"))
+
+    def add(rows: DataFrame, batch_id: int) -> None:
+        stream = rows.sparkSession.sparkContext.getLocalProperty(QUERY_ID)
+        if not stream:
+            raise RuntimeError("no stream id: this function runs only inside a stream")
+        ingest(rows, snapshot_dir, batch=(stream, batch_id))
+        compact_snapshot(rows.sparkSession, snapshot_dir, fanin=fanin, small_bytes=small_bytes)
+
+    writer = reader.csv(source_dir).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint_dir)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
