@@ -8,10 +8,12 @@ candidate stays only while its score so far plus the largest share that its
 remaining mass allows (Cauchy-Schwarz on the dimensions to come) reaches the
 query's k-th best score. Survivors are compacted before the next dimensions.
 
-Queries are dealt into groups of about ``QUERIES`` by a hash; every candidate
-block is sent once to each group, so neither side is broadcast and a task holds
-one block of each. Results per block pair (k rows per query) are merged by a
-ranked window.
+Candidates are dealt out evenly into slices of about ``ROWS`` rows, one block
+each, and queries into groups of about ``QUERIES`` by a hash. Every pair of a
+slice and a group meets by an equi-join on both numbers (``blocks.meet``), so
+neither side is broadcast, the pairs are spread over tasks of their own, and a
+task holds one block of each side. Results per pair (k rows per query) are
+merged by a ranked window.
 
 Defined cases: vectors that are null, or hold null or non-finite components,
 and rows with a null vec_id take no part; shorter vectors count as padded with
@@ -29,61 +31,49 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import meet, padded, read_matrix, stored, usable, whole_matrix
 from .common import Shared, map_rows
 
 #: Rows of a candidate block and of a query block; dimensions added between two compactions.
 ROWS, QUERIES, DIMS = 8192, 2048, 16
 LONG = 1 << 63
 
-BLOCK = pa.schema([("query_group", pa.int64()), ("vec_ids", pa.binary()), ("tags", pa.binary()), ("dims", pa.int32()),
-                   ("kind", pa.string()), ("values", pa.binary())])
+VECTORS = [("vec_ids", pa.binary()), ("dims", pa.int32()), ("kind", pa.string()), ("values", pa.binary())]
+SLICE = pa.schema([("slice", pa.int64()), *VECTORS])
+ASKED = pa.schema([("query_group", pa.int64()), ("tags", pa.binary()), *VECTORS])
 HITS = pa.schema([("query_id", pa.int64()), ("tag", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
-def usable(vector: str) -> Column:
-    """No null and no non-finite component."""
-    return F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+def _ids(rows: list, at: int) -> bytes:
+    return np.array([r[at] for r in rows], "<i8").tobytes()
 
 
-def vector_blocks(vectors: DataFrame, rows: int, scale: float) -> DataFrame:
-    """Blocks of at most ``rows`` vectors (query_group, vec_id, tag, v) of one group, dimension by dimension."""
-    def block(group, held):
-        dims = max(len(v) for _, _, v in held)
-        matrix = np.zeros((dims, len(held)))
-        for i, (_, _, v) in enumerate(held):
-            matrix[:len(v), i] = v
-        # a double beyond 53 bits is whole already, so doubles hold every floor exactly
-        matrix = np.floor(scale * matrix)
-        top = np.abs(matrix).max(initial=0)
-        kind = "<i2" if top < 2**15 else "<i4" if top < 2**31 else "<f8"
-        return (group, np.array([h[0] for h in held], "<i8").tobytes(), np.array([h[1] for h in held], "<i8").tobytes(),
-                dims, kind, matrix.astype(kind).tobytes())
-
+def candidate_blocks(rows: DataFrame, n: int, scale: float) -> DataFrame:
+    """One block per task of the rows (vec_id, v), dealt out evenly over n tasks."""
     def pack(source):
-        held, group = [], None
-        for here, vec_id, tag, vector in source:
-            if held and (here != group or len(held) >= rows):
-                yield block(group, held)
-                held = []
-            group = here
-            held.append((vec_id, tag, vector))
-        if held:
-            yield block(group, held)
-    return map_rows(vectors.select("query_group", "vec_id", "tag", "v"), pack, BLOCK, slice_rows=1024)
-
+        from pyspark import TaskContext
 
-def _matrix(dims: int, kind: str, values: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(values, kind).reshape(dims, n).astype(np.float64)
+        held = list(source)
+        if held:
+            yield (TaskContext.get().partitionId(), _ids(held, 0), *stored(whole_matrix([r[1] for r in held], scale)))
+    return map_rows(rows.select("vec_id", "v").repartition(n), pack, SLICE, slice_rows=1024)
 
 
-def _padded(matrix: np.ndarray, dims: int) -> np.ndarray:
-    return matrix if len(matrix) == dims else np.vstack([matrix, np.zeros((dims - len(matrix), matrix.shape[1]))])
+def query_blocks(asked: DataFrame, groups: int, scale: float) -> DataFrame:
+    """One block per group of the queries (vec_id, v, tag, query_group)."""
+    def pack(source):
+        held: dict[int, list] = {}
+        for row in source:
+            held.setdefault(row[3], []).append(row)
+        for group, rows in held.items():
+            yield (group, _ids(rows, 2), _ids(rows, 0), *stored(whole_matrix([r[1] for r in rows], scale)))
+    return map_rows(asked.select("vec_id", "v", "tag", "query_group").repartition(groups, "query_group"), pack, ASKED, slice_rows=1024)
 
 
 def block_top_k(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, dims_at_once: int = DIMS):
     """(number of the query, vec_id, score) of the k best rows of one candidate block for each query; columns are vectors."""
     dims = max(len(queries), len(rows), 1)
-    queries, rows = _padded(queries, dims), _padded(rows, dims)
+    queries, rows = padded(queries, dims), padded(rows, dims)
     top = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * dims
     if top >= 2.0**53:
         yield from _exact_top_k(query_ids, queries, ids, rows, k)
@@ -137,23 +127,21 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
         raise ValueError("k must be at least 1")
     store = Shared(vectors.sparkSession, "topk")
     rows = (vectors.where(F.col(key).isNotNull() & usable(vector))
-            .select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("asked"))
-            .withColumn("tag", F.xxhash64("vec_id", "v")))
-    asked = rows.where("asked").dropDuplicates(["vec_id", "v"])
-    groups = max(1, -(-asked.count() // QUERIES))
-    asked = asked.withColumn("query_group", F.pmod(F.col("tag"), F.lit(groups)))
-    queries = vector_blocks(asked.repartition(groups, "query_group").sortWithinPartitions("query_group", "vec_id", "tag"), QUERIES, scale)
-    # blocks are built once, then sent to every group of queries
-    blocks = store.write(vector_blocks(rows.withColumn("query_group", F.lit(0).cast("long")), ROWS, scale), "rows")
-    sent = blocks.withColumn("query_group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    met = sent.join(queries.select("query_group", *[F.col(c).alias(f"q_{c}") for c in BLOCK.names[1:]]), "query_group")
+            .select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("asked")))
+    n = rows.agg(F.count("*").alias("rows"), F.count(F.when(F.col("asked"), 1)).alias("asked")).first()
+    groups = max(1, -(-n["asked"] // QUERIES))
+    asked = (rows.where("asked").dropDuplicates(["vec_id", "v"]).withColumn("tag", F.xxhash64("vec_id", "v"))
+             .withColumn("query_group", F.pmod(F.col("tag"), F.lit(groups)).cast("long")))
+    blocks = store.write(candidate_blocks(rows, max(1, -(-n["rows"] // ROWS)), scale), "candidates")
+    queries = store.write(query_blocks(asked, groups, scale), "queries")
 
     def search(source):
-        for vec_ids, _, dims, kind, values, q_ids, q_tags, q_dims, q_kind, q_values in source:
+        for vec_ids, dims, kind, values, q_tags, q_ids, q_dims, q_kind, q_values in source:
             ids, query_ids, tags = (np.frombuffer(x, "<i8") for x in (vec_ids, q_ids, q_tags))
-            found = block_top_k(query_ids, _matrix(q_dims, q_kind, q_values, len(query_ids)), ids, _matrix(dims, kind, values, len(ids)), k)
+            found = block_top_k(query_ids, read_matrix(q_dims, q_kind, q_values, len(query_ids)), ids, read_matrix(dims, kind, values, len(ids)), k)
             for j, vec_id, score in found:
                 yield int(query_ids[j]), int(tags[j]), vec_id, score
-    hits = map_rows(met.select(*BLOCK.names[1:], *[f"q_{c}" for c in BLOCK.names[1:]]), search, HITS, slice_rows=1)
     rank = F.row_number().over(Window.partitionBy("query_id", "tag").orderBy(F.desc("score"), "vec_id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    hits = store.write(meet(queries, blocks, search, HITS).withColumn("rank", rank).where(F.col("rank") <= k), "hits")
+    store.drop("candidates", "queries")
+    return hits.select("query_id", "rank", "vec_id", "score")

@@ -38,6 +38,26 @@ def test_equals_brute_force(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_every_pair_of_blocks_has_a_task_of_its_own(spark, monkeypatch):
+    """Candidate blocks and query groups meet in as many tasks as there are pairs of them, about."""
+    from pyspark.sql import Row
+
+    from shelfcast.llm import blocks
+    monkeypatch.setattr(blocks, "CHUNK", 2)
+    candidates = spark.createDataFrame([Row(slice=i, c=i) for i in range(6)])
+    queries = spark.createDataFrame([Row(query_group=i, q=i) for i in range(5)])
+    import pyarrow as pa
+
+    def pairs(source):
+        from pyspark import TaskContext
+        for c, q in source:
+            yield c, q, TaskContext.get().partitionId()
+    met = blocks.meet(queries, candidates, pairs, pa.schema([("c", pa.int64()), ("q", pa.int64()), ("task", pa.int64())])).collect()
+    assert sorted((r.c, r.q) for r in met) == [(c, q) for c in range(6) for q in range(5)]
+    per_task = {t: sum(r.task == t for r in met) for t in {r.task for r in met}}
+    assert len(per_task) > 6 and max(per_task.values()) <= 8  # 18 keys of at most 2 pairs
+
+
 def test_few_and_repeated_rows(spark):
     rows = [(0, [1.0, 2.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0])]
     assert run(spark, rows) == [(0, 1, 3, 65536), (0, 2, 3, 65536)]
