@@ -1,48 +1,39 @@
 """Price elasticity per model over the whole table.
 
-Lines are first combined to ``(model, price)`` with counts. Exact weighted
-percentiles come from ranks: a model's prices are cut into price ranges, the
-ranges are counted and summed up per model (a few hundred rows), and inside a
-range a window counts on from the ranges below it. No task holds a whole
-model, however many lines or distinct prices it has.
+Lines are first combined to ``(model, price)`` with counts, kept in a reliable
+checkpoint. Exact weighted percentiles come from rank refinement
+(``ordered.values_at_ranks``): prices are counted by interval, and only the
+intervals that hold a wanted rank are looked into. No task holds a whole
+model, however many lines or distinct prices it has, or how far apart they lie.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfcast.functions.joins import salted_join
+from shelfcast.operators.ordered import values_at_ranks
+from shelfcast.session import ensure_checkpoint_dir
 
-def price_edges(pm: DataFrame, ranges: int = 256) -> DataFrame:
-    """(model, model_lines, _q, _med): price at ranks 0, 1/3, 2/3, 1 and 1/2 of a model's lines, interpolated."""
-    span = pm.groupBy("model").agg(F.min("price").alias("_low"), F.max("price").alias("_high"),
-                                   F.sum("lines").alias("model_lines"))
-    place = F.floor(F.try_divide(F.col("price") - F.col("_low"), F.col("_high") - F.col("_low")) * (ranges - 1))
-    placed = pm.select("model", "price", "lines").join(span, "model").withColumn("_range", F.coalesce(place, F.lit(0)))
-    below = Window.partitionBy("model").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (placed.groupBy("model", "_range").agg(F.sum("lines").alias("_n"))
-              .withColumn("_start", F.coalesce(F.sum("_n").over(below), F.lit(0))).drop("_n"))
-    inside = Window.partitionBy("model", "_range").orderBy("price").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (placed.join(starts, ["model", "_range"])
-              .withColumn("_end", F.col("_start") + F.sum("lines").over(inside)))
-    first = F.col("_end") - F.col("lines")
+#: Inner edges: the terciles and the median, as shares of a model's lines.
+SHARES = (1.0 / 3.0, 2.0 / 3.0, 0.5)
 
-    def price_at(rank):
-        return F.max(F.when((first <= rank) & (rank < F.col("_end")), F.col("price")))
 
-    def quantile(p, name):
-        position = F.lit(p) * (F.col("model_lines") - 1)
-        return [price_at(F.floor(position)).alias(f"{name}_lo"), price_at(F.ceil(position)).alias(f"{name}_hi")]
+def price_edges(pm: DataFrame, **options) -> DataFrame:
+    """(model, model_lines, _q, _med): price at ranks 0, 1/3, 2/3, 1 and 1/2 of a model's lines, interpolated.
 
-    wanted = {"_q0": 0.0, "_q1": 1.0 / 3.0, "_q2": 2.0 / 3.0, "_q3": 1.0, "_q4": 0.5}
-    cuts = ranked.groupBy("model", "model_lines").agg(*[c for name, p in wanted.items() for c in quantile(p, name)])
+    ``pm``: (model, price, lines), kept by the caller.
+    """
+    places = [F.lit(p) * (F.col("lines") - 1) for p in SHARES]
+    found = values_at_ranks(pm, "model", "price", "lines", [f(x) for x in places for f in (F.floor, F.ceil)], **options)
 
-    def between(name):
-        position = F.lit(wanted[name]) * (F.col("model_lines") - 1)
-        low, high = F.col(f"{name}_lo"), F.col(f"{name}_hi")
-        return F.when(low == high, low).otherwise((F.ceil(position) - position) * low + (position - F.floor(position)) * high)
+    def between(i):
+        low, high = F.col("at")[2 * i], F.col("at")[2 * i + 1]
+        return F.when(low == high, low).otherwise((F.ceil(places[i]) - places[i]) * low + (places[i] - F.floor(places[i])) * high)
 
-    return cuts.select("model", "model_lines", F.array(*[between(f"_q{i}") for i in range(4)]).alias("_q"), between("_q4").alias("_med"))
+    return found.select("model", F.col("lines").alias("model_lines"), F.array("low", between(0), between(1), "high").alias("_q"),
+                        between(2).alias("_med"))
 
 
 def price_bins(sales: DataFrame, min_lines: int = 10) -> DataFrame:
@@ -57,7 +48,9 @@ def price_bins(sales: DataFrame, min_lines: int = 10) -> DataFrame:
                .groupBy("model", "price")
                .agg(F.count(F.lit(1)).alias("lines"), F.sum("qty").alias("qty"),
                     F.coalesce(F.sum("amount"), F.lit(0).cast("decimal(28,6)")).alias("amount")))
-    e = pm.join(price_edges(pm), "model")
+    ensure_checkpoint_dir(sales.sparkSession)
+    pm = pm.checkpoint()
+    e = salted_join(pm, price_edges(pm), ["model"])
     terciles = (F.col("_q")[0] < F.col("_q")[1]) & (F.col("_q")[1] < F.col("_q")[2]) & (F.col("_q")[2] < F.col("_q")[3])
     halves = (F.col("_q")[0] < F.col("_med")) & (F.col("_med") < F.col("_q")[3])
     bins = F.when(F.col("model_lines") < min_lines, None).when(terciles, 3).when(halves, 2)

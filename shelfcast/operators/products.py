@@ -11,11 +11,13 @@ models of one scope, never over sale lines.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.functions.joins import salted_join
+from shelfcast.operators.ordered import running_sum
 from shelfcast.operators.scope import SCOPE, abc_label, expand_scopes
 from shelfcast.operators.topn import top_n
 
@@ -73,26 +75,15 @@ def abc_classify(trend: DataFrame) -> DataFrame:
     A when the running share is <= 80, B when <= 95, else C; the product that
     crosses 80 is in B, so A can be empty.
     """
-    # revenue is summed as DECIMAL so running sums do not depend on order; models
-    # lie in revenue ranges, ranges are summed first, and the running sum inside a
-    # range starts from the sum of the ranges above it
-    revenue = F.col("total_revenue").cast("decimal(38,6)")
-    span = trend.groupBy(*SCOPE).agg(F.max("total_revenue").alias("_top"))
-    place = F.floor(F.log2(F.greatest(F.col("_top"), F.lit(1.0)) / F.greatest(F.col("total_revenue"), F.lit(1.0))) * 8)
-    trend = salted_join(trend, span, SCOPE).withColumn("_range", place).withColumn("_revenue", revenue)
-    ranges = trend.groupBy(*SCOPE, "_range").agg(F.sum("_revenue").alias("_sum"))
-    above = Window.partitionBy(*SCOPE).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = (ranges.withColumn("_above", F.coalesce(F.sum("_sum").over(above), F.lit(0)))
-                    .withColumn("_total", F.sum("_sum").over(Window.partitionBy(*SCOPE))).drop("_sum"))
-    w = (Window.partitionBy(*SCOPE, "_range").orderBy(F.col("total_revenue").desc(), F.col("model"))
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    trend = trend.join(ranges, [*SCOPE, "_range"])
-    cum = (F.col("_above") + F.sum("_revenue").over(w)).cast("double")
-    share = F.try_divide(cum, F.col("_total").cast("double")) * 100
-    return (trend.select(*SCOPE, "model", "total_qty", "total_revenue",
-                         cum.alias("cumulative_revenue"), share.alias("cumulative_pct"))
-                 .withColumn("abc_class", F.when(F.col("cumulative_pct") <= 80, "A")
-                             .when(F.col("cumulative_pct") <= 95, "B").otherwise("C")))
+    # revenue is summed as DECIMAL so running sums do not depend on order
+    ranked = running_sum(trend.select(*SCOPE, "model", "total_qty", "total_revenue"), SCOPE,
+                         [F.col("total_revenue").desc(), F.col("model")], F.col("total_revenue").cast("decimal(38,6)"))
+    cum = F.col("up_to").cast("double")
+    share = F.try_divide(cum, F.col("total").cast("double")) * 100
+    return (ranked.select(*SCOPE, "model", "total_qty", "total_revenue",
+                          cum.alias("cumulative_revenue"), share.alias("cumulative_pct"))
+                  .withColumn("abc_class", F.when(F.col("cumulative_pct") <= 80, "A")
+                              .when(F.col("cumulative_pct") <= 95, "B").otherwise("C")))
 
 
 def abc_summary(abc: DataFrame) -> DataFrame:
@@ -247,52 +238,37 @@ def dataset_overview(facts: DataFrame) -> DataFrame:
         F.try_divide(F.sum("qty").cast("double"), F.sum("dates")).alias("avg_daily_qty"))
 
 
-def _both_ends(df: DataFrame, keys: Sequence[str], asc: Sequence[Column], desc: Sequence[Column], n: int) -> DataFrame:
-    """Rows among the first or last ``n`` of their group; ``_lines`` of the group on its first row."""
-    group = Window.partitionBy(*keys)
-    return (df.withColumn("_a", F.row_number().over(group.orderBy(*asc)))
-              .withColumn("_d", F.row_number().over(group.orderBy(*desc)))
-              .withColumn("_lines", F.sum("_lines").over(group))
-              .filter((F.col("_a") <= n) | (F.col("_d") <= n))
-              .withColumn("_lines", F.when(F.col("_a") == 1, F.col("_lines")).otherwise(F.lit(0).cast("long"))))
-
-
 def line_window_sums(sales: DataFrame, n: int = 30, order_cols: Sequence[str] | None = None, buckets: int = 32) -> DataFrame:
     """Quantity and amount of the first and last ``n`` sale *lines* per scope.
 
     Lines are ordered by ``order_cols`` (default: date, then every column, so
-    equal keys give equal sums). One pass over the lines: both ends are taken
-    per (store, segment) and hash bucket, then per (store, segment), and at most
-    ``2 n`` rows of each pair are fanned out to the scope levels, where both ends
-    are taken again. It is exact, since the first ``n`` lines of a scope are among
-    the first ``n`` of its pairs.
+    equal keys give equal sums). Each end is a selection of its own: every task
+    leaves ``n`` lines of a (store, segment) before the shuffle (``top_n``),
+    and the ``n`` left of each pair are fanned out to the scope levels, where
+    the end is taken again. It is exact, since the first ``n`` lines of a scope
+    are among the first ``n`` of its pairs. Lines are counted apart.
     """
     order_cols = list(order_cols or ["sale_date", "_store0", "_segment0", "article", "model",
                                      "description", "price", "qty", "amount"])
-    asc = [F.col(c).asc_nulls_first() for c in order_cols]
-    desc = [F.col(c).desc_nulls_last() for c in order_cols]
-    rows = (sales.withColumn("_store0", F.col("store")).withColumn("_segment0", F.col("segment"))
-                 .withColumn("_lines", F.lit(1).cast("long")))
-    carried = list(dict.fromkeys([*order_cols, "qty", "amount", "_lines"]))
+    rows = sales.withColumn("_store0", F.col("store")).withColumn("_segment0", F.col("segment"))
+    carried = list(dict.fromkeys([*order_cols, "qty", "amount"]))
     rows = rows.select(*SCOPE, *[c for c in carried if c not in SCOPE])
-    salt = F.pmod(F.xxhash64(*order_cols), F.lit(buckets))
-    pairs = _both_ends(rows.withColumn("_salt", salt), [*SCOPE, "_salt"], asc, desc, n)
-    pairs = _both_ends(pairs, SCOPE, asc, desc, n).drop("_a", "_d", "_salt")
-    wide = _both_ends(expand_scopes(pairs).withColumn("_salt", salt), [*SCOPE, "_salt"], asc, desc, n)
-    ends = _both_ends(wide, SCOPE, asc, desc, n)
-
-    def end(rank, col):
-        return F.sum(F.when(F.col(rank) <= n, F.col(col)))
-
-    out = ends.groupBy(*SCOPE).agg(
-        F.sum("_lines").alias("lines"), end("_a", "qty").alias("_hq"), end("_d", "qty").alias("_tq"),
-        F.coalesce(end("_a", "amount"), F.lit(0)).alias("_ha"), F.coalesce(end("_d", "amount"), F.lit(0)).alias("_ta"))
-
-    def price(a, q):
-        return F.when(F.col(q) > 0, F.col(a).cast("double") / F.col(q).cast("double")).otherwise(0.0)
-
-    return out.select(
-        *SCOPE, "lines",
-        F.col("_hq").cast("double").alias("first_qty"), F.col("_tq").cast("double").alias("last_qty"),
-        F.col("_ha").cast("double").alias("first_amount"), F.col("_ta").cast("double").alias("last_amount"),
-        price("_ha", "_hq").alias("first_price"), price("_ta", "_tq").alias("last_price"))
+
+    def end(name: str, order: Sequence[Column]) -> DataFrame:
+        pairs = top_n(rows, SCOPE, order, n, buckets).drop("rank")
+        ends = top_n(expand_scopes(pairs), SCOPE, order, n, buckets)
+        return ends.groupBy(*SCOPE).agg(F.sum("qty").alias(f"{name}_qty"), F.coalesce(F.sum("amount"), F.lit(0)).alias(f"{name}_amount"))
+
+    lines = (expand_scopes(rows.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("lines")))
+             .groupBy(*SCOPE).agg(F.sum("lines").alias("lines")))
+    parts = [lines, end("first", [F.col(c).asc_nulls_first() for c in order_cols]),
+             end("last", [F.col(c).desc_nulls_last() for c in order_cols])]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    sums = stacked.groupBy(*SCOPE).agg(*[F.max(c).alias(c) for c in ("lines", "first_qty", "last_qty", "first_amount", "last_amount")])
+
+    def price(side):
+        return F.when(F.col(f"{side}_qty") > 0, F.col(f"{side}_amount").cast("double") / F.col(f"{side}_qty").cast("double")).otherwise(0.0)
+
+    return sums.select(
+        *SCOPE, "lines", *[F.col(c).cast("double").alias(c) for c in ("first_qty", "last_qty", "first_amount", "last_amount")],
+        price("first").alias("first_price"), price("last").alias("last_price"))

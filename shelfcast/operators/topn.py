@@ -1,10 +1,12 @@
 """Exact top-n per group without sending a whole group to one task.
 
-Rows are first ranked inside ``(group, salt)`` buckets, where the salt is a
-hash of the row, and only each bucket's best ``n`` survive; the final rank
-then runs over at most ``n x buckets`` rows per group. Every row of a group's
-true top ``n`` is also in the top ``n`` of its own bucket, so the result is
-exact, and a group holding a large share of all rows is split ``buckets`` ways.
+Rows are first ranked inside ``(group, salt)`` buckets and only each bucket's
+best ``n`` survive; the final rank then runs over at most ``n x buckets`` rows
+per group. The salt is that of the task that reads a row, so Spark's limit on
+ranked windows (``WindowGroupLimit``) leaves at most ``n`` rows of a group in
+each task before anything is shuffled. Every row of a group's true top ``n``
+is also in the top ``n`` of its own task and bucket, so the result is exact,
+and a group holding a large share of all rows is split ``buckets`` ways.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 def top_n(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int,
           buckets: int = 32, rank_col: str = "rank") -> DataFrame:
     """Rows with ``rank <= n`` per ``group`` under ``order`` (a total order)."""
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(buckets))
+    salt = F.spark_partition_id() % buckets
     first = Window.partitionBy(*group, "_salt").orderBy(*order)
     pre = (df.withColumn("_salt", salt)
              .withColumn("_r", F.row_number().over(first))

@@ -2,8 +2,8 @@
 
 Each one reads the driver's tables through the ``sales`` view (or the dirty
 text fixture for the ingest operators), so its work grows with the tables.
-Shared intermediates come from a ``SalesContext`` (persisted in the forecast and rule queries, so the
-branches of one query read the fact cube and daily series once). Decimal
+Shared intermediates come from a ``SalesContext`` (checkpointed in the forecast and rule queries, so the
+branches of one query, and frames derived from it, read the daily series once). Decimal
 outputs are cast to DOUBLE at the very end.
 """
 
@@ -63,17 +63,20 @@ RULE_KEEP = frozenset({"daily", "forecast", "monthly"})
 
 def ctx(spark: SparkSession, sf_dir: str, keep: str | None = None,
         only: frozenset[str] | None = FORECAST_KEEP, horizon: int = HORIZON) -> SalesContext:
-    """Context over the sales view. ``keep="persist"`` for plans that read the
+    """Context over the sales view. ``keep="checkpoint"`` for plans that read the
     daily series, model or forecast in many branches; plans that read them
-    once or twice recompute instead of caching."""
+    once or twice recompute instead."""
     return SalesContext(tpch.sales_view(spark, sf_dir, with_keys=True), se.Prep(), horizon, LINE_ORDER,
                         keep=keep, only=only if keep else None)
 
 
 def kept(spark: SparkSession, sf_dir: str, build: Callable[[SalesContext], DataFrame], **options) -> DataFrame:
-    """``build`` on a persisting context; what it persists goes with the result."""
-    c = ctx(spark, sf_dir, "persist", **options)
-    return c.result(build(c))
+    """``build`` on a context that keeps intermediates as reliable checkpoints.
+
+    The result and every frame derived from it read them; Spark deletes their
+    files when no plan refers to them any more.
+    """
+    return build(ctx(spark, sf_dir, "checkpoint", **options))
 
 
 # ---- A: sources and validation -------------------------------------------

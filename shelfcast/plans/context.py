@@ -3,16 +3,17 @@
 Every intermediate that several outputs read (fact cube, daily series,
 prepared series, fitted model, forecast, monthly and product tables) is a
 lazily built property. With ``keep="persist"`` they are persisted
-(MEMORY_AND_DISK, rebuilt from lineage if an executor is lost); with
+(MEMORY_AND_DISK, rebuilt from lineage if an executor is lost) until
+``release`` is called (or the context left, as a context manager); with
 ``keep="checkpoint"`` they are written eagerly to the reliable checkpoint
-folder (``spark.checkpoint.dir``), which also cuts the lineage for long
-report jobs. All of them are bounded by scopes x days (or x models), except
+folder (``spark.checkpoint.dir``), which also cuts the lineage. A checkpoint
+lives as long as any plan that reads it, and Spark deletes its files after that
+(``spark.cleaner.referenceTracking.cleanCheckpoints``). All of them are bounded by scopes x days (or x models), except
 the fact cube, which is the first combine of the sale lines.
 """
 
 from __future__ import annotations
 
-import weakref
 from functools import cached_property
 
 from pyspark import StorageLevel
@@ -25,6 +26,7 @@ from shelfcast.operators import monthly as mo
 from shelfcast.operators import products as pr
 from shelfcast.operators import scope as sc
 from shelfcast.operators import series as se
+from shelfcast.session import ensure_checkpoint_dir
 
 
 class SalesContext:
@@ -50,6 +52,7 @@ class SalesContext:
         if self.keep_mode == "persist":
             return df.persist(StorageLevel.MEMORY_AND_DISK)
         if self.keep_mode == "checkpoint":
+            ensure_checkpoint_dir(self.sales.sparkSession)
             return df.checkpoint(eager=True)
         return df
 
@@ -119,11 +122,11 @@ class SalesContext:
     def line_sums(self) -> DataFrame:
         return pr.line_window_sums(self.sales, 30, self.line_order)
 
-    def result(self, df: DataFrame) -> DataFrame:
-        """``df``, with what this run persists dropped once ``df`` is."""
-        own = df.select("*")  # a frame of its own: the run keeps the intermediates
-        weakref.finalize(own, self.release).atexit = False
-        return own
+    def __enter__(self) -> SalesContext:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.release()
 
     def release(self) -> None:
         """Drop persisted intermediates."""

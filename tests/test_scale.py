@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from shelfcast.operators import elasticity as el
 from shelfcast.operators import forecast as fo
+from shelfcast.operators import ordered
 from shelfcast.operators import products as pr
 from shelfcast.operators import scope as sc
 from shelfcast.operators import series as se
@@ -48,7 +49,8 @@ def test_plans_read_the_lines_once(spark):
     def scans(name):
         plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         return plan.count("l_extendedprice#")and sum("l_partkey" in x and "Relation" in x for x in plan.splitlines())
-    assert scans("line_window_sums") == 1 and scans("min_rows_guard") == 1
+    assert scans("line_window_sums") == 3  # both ends, each cut down before its shuffle, and the count
+    assert scans("min_rows_guard") == 1
     assert scans("align_periods") == 2 and scans("monthly_sales") == 2  # the second makes the daily series
 
 
@@ -58,7 +60,7 @@ def test_hot_model_percentiles(spark):
     lines += [("warm", float(rng.choice([1, 2, 5])), 2.0) for _ in range(60)] + [("one", 3.0, 1.0)] * 30
     sales = spark.createDataFrame(lines, "model string, price double, qty double").withColumn("amount", F.col("price") * F.col("qty"))
     pm = sales.groupBy("model", "price").agg(F.count("*").alias("lines"))
-    got = {r.model: r for r in el.price_edges(pm, ranges=16).collect()}
+    got = {r.model: r for r in el.price_edges(pm.checkpoint(), bound=20, steps=16).collect()}
     for model in ("hot", "warm", "one"):
         p = np.sort([x[1] for x in lines if x[0] == model])
         assert got[model]._q == pytest.approx(np.quantile(p, [0, 1 / 3, 2 / 3, 1]).tolist())
@@ -68,6 +70,61 @@ def test_hot_model_percentiles(spark):
     assert "percentile(" not in plan
 
 
+@pytest.mark.parametrize("outlier", [1e9, 1e300, 1e-300, -1e9])
+def test_an_outlier_moves_no_other_price(spark, outlier):
+    """Refinement looks into the intervals of the wanted ranks only; none of more than the bound is sorted."""
+    rng = random.Random(8)
+    prices = [round(10 + rng.random(), 4) for _ in range(5000)] + [outlier]
+    pm = spark.createDataFrame([("m", p) for p in prices], "model string, price double").groupBy("model", "price").agg(F.count("*").alias("lines")).checkpoint()
+    for options in ({}, {"bound": 50, "steps": 8}):
+        r = el.price_edges(pm, **options).collect()[0]
+        assert r._q == pytest.approx(np.quantile(prices, [0, 1 / 3, 2 / 3, 1]).tolist(), rel=1e-12) and r._med == pytest.approx(np.quantile(prices, 0.5))
+
+
+def test_ranks_of_zero_negative_and_equal_values(spark):
+    values = [-5.0, -5.0, -0.25, 0.0, 0.0, 1e-9, 3.0, 3.0, 3.0, 7.5]
+    rows = spark.createDataFrame([("g", v) for v in values] + [("h", 2.0)], "k string, v double").groupBy("k", "v").agg(F.count("*").alias("w")).checkpoint()
+    ranks = [F.lit(i) for i in range(10)]
+    got = {r.k: r for r in ordered.values_at_ranks(rows, "k", "v", "w", ranks, bound=1, steps=4).collect()}
+    assert got["g"].at == values and got["h"].at == [2.0] + [None] * 9
+    assert (got["g"].lines, got["g"].low, got["g"].high) == (10, -5.0, 7.5)
+
+
+def test_equal_revenue_is_spread_over_tasks(spark):
+    n = 20_000
+    trend = spark.range(n).select(F.lit("*").alias("store"), F.lit("*").alias("segment"), F.format_string("m%06d", "id").alias("model"),
+                                  F.lit(1.0).alias("total_qty"), F.lit(5.0).alias("total_revenue"))
+    trend = trend.unionByName(trend.limit(3).withColumn("store", F.lit("S")))
+    got = pr.abc_classify(trend)
+    first, last = (got.orderBy(c).first() for c in ("cumulative_revenue", F.desc("cumulative_revenue")))
+    assert (first.model, first.cumulative_revenue, last.model, last.cumulative_revenue) == ("m000000", 5.0, f"m{n - 1:06d}", 5.0 * n)
+    assert got.where("store = '*' AND cumulative_revenue = 5.0 * (cast(substring(model, 2) AS INT) + 1)").count() == n
+    ranged = ordered.running_sum(trend, ["store", "segment"], [F.desc("total_revenue"), F.col("model")], F.lit(1), partitions=8)
+    per_task = trend.repartitionByRange(8, "store", "segment", F.desc("total_revenue"), "model").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert per_task < n / 4 and ranged.agg(F.max("up_to")).first()[0] == n
+
+
+def test_line_ends_are_cut_before_the_shuffle(spark):
+    """Every task limits each (store, segment) to n lines, then shuffles; no line is sorted whole."""
+    entry.queries()["line_window_sums"](spark, SF)  # noqa: the plan below is the operator's own
+    sales = tpch.sales_view(spark, SF, with_keys=True)
+    plan = pr.line_window_sums(sales, 30, ["sale_date", *tpch.LINE_KEY])._jdf.queryExecution().executedPlan().toString()
+    nodes = [x.strip(" +-:").lstrip("*(0123456789) ") for x in plan.splitlines()]
+    exchanges = [i for i, x in enumerate(nodes) if x.startswith("Exchange hashpartitioning") and "_salt" in x]
+    assert exchanges and all("WindowGroupLimit" in nodes[i + 1] and "Partial" in nodes[i + 1] for i in exchanges), plan
+
+
+@pytest.mark.parametrize("name", ["forecast_kpis", "rule_hits"])
+def test_intermediates_outlive_the_result_they_were_made_for(spark, name):
+    """A frame derived from a result reads what the run kept, not the tables."""
+    derived = entry.queries()[name](spark, SF).filter("store = '*'")
+    gc.collect()
+    plan = derived._jdf.queryExecution().executedPlan().toString()
+    held = entry.queries()[name](spark, SF)
+    assert plan.count("FileScan") == held._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 24, plan.count("FileScan")
+    assert "ExistingRDD" in plan and derived.count() > 0
+
+
 def test_abc_of_a_hot_scope(spark):
     rng = random.Random(6)
     rows = [("*", "*", f"m{i:05d}", 1.0, round(rng.paretovariate(0.8), 2)) for i in range(3000)] + [("*", "*", f"t{i}", 1.0, 5.0) for i in range(50)]
