@@ -35,11 +35,11 @@ SLOT_ROWS = 50_000
 
 
 def document_metadata(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, text_crc32, h, dim_0, dim_1): bytes plus 1, and the share of bytes beyond one per character."""
+    """(doc_id, row, size, text_crc32, h, dim_0, dim_1): a number for the row, bytes plus 1, and the share of bytes beyond one per character."""
     text = F.coalesce(F.col("text"), F.lit(""))
     size = F.octet_length(text).cast("long")
     return docs.select(
-        "doc_id", (size + 1).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+        "doc_id", F.monotonically_increasing_id().alias("row"), (size + 1).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.xxhash64(text).alias("h"), (size + 1).alias("dim_0"),
         F.floor(1_000_000 * (size - F.length(text)) / F.greatest(size, F.lit(1))).cast("long").alias("dim_1"))
 
@@ -71,7 +71,9 @@ def place_heavy(groups: list, leaves: list[int], target: float) -> tuple[list[tu
 
 def with_keys(meta: DataFrame, marks: list[tuple], dims: list[str]) -> DataFrame:
     """Adds ``leaf`` (of heavy groups) and key_i: dim_i, then a hash of the text, as one long."""
-    table = meta.sparkSession.createDataFrame(marks, "h long, size long, leaf int, parts int")
+    # fewer than 50 * n_shards rows
+    values = ", ".join(f"({h}L, {size}L, {'NULL' if leaf is None else leaf}, {parts})" for h, size, leaf, parts in marks or [(0, 0, None, 1)])
+    table = meta.sparkSession.sql(f"SELECT h, size, CAST(leaf AS INT) AS leaf, parts FROM VALUES {values} AS marks(h, size, leaf, parts)")
     joined = meta.join(F.broadcast(table), ["h", "size"], "left")
     # a group that is dealt out by row gets a tie hash per part
     tie = F.when(F.col("parts") > 1, F.xxhash64("h", F.pmod(F.xxhash64("doc_id"), F.col("parts")))).otherwise(F.col("h"))
@@ -172,12 +174,14 @@ def shard_by_bytes(docs: DataFrame, n_shards: int) -> DataFrame:
         node = F.col(f"cell_{i}")
     shard = _case(F.coalesce(F.col("leaf"), node), {c: F.lit(i) for i, c in enumerate(leaves)}, F.lit(0)).cast("int")
     buckets = max(1, found["n"] // SLOT_ROWS)
-    frame = frame.select("doc_id", "size", "text_crc32", "h", shard.alias("shard"),
-                         F.pmod(F.xxhash64("doc_id", "h"), F.lit(buckets)).cast("int").alias("bucket"))
+    # rows that repeat a document fall into many buckets, by the row's number
+    frame = frame.select("doc_id", "row", "size", "text_crc32", "h", shard.alias("shard"),
+                         F.pmod(F.xxhash64("doc_id", "h", "row"), F.lit(buckets)).cast("int").alias("bucket"))
     counts = frame.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     base = counts.select("shard", "bucket", F.coalesce(before, F.lit(0)).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "h"))
+    rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "h", "row"))
+    store.drop("points")
     return (frame.withColumn("rank", rank).join(base, ["shard", "bucket"])
             .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
                     (F.col("base") + F.col("rank") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard")))

@@ -13,8 +13,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, per_c
     ``train``: condition on doc_id that selects the rows a label may be learned
     from. Rows are chosen from the labels alone, in the order of a hash of
     doc_id, so the ids (at most ``2 * per_class``) can be broadcast; the texts
-    of other documents are not moved. Texts over ``max_bytes`` are left out of
-    the sample, which bounds it to ``2 * per_class * max_bytes`` bytes.
+    of other documents are not moved. Texts over ``max_bytes`` are left out, and
+    of rows that share a doc_id the least text is taken, combined before the
+    shuffle: the sample has at most ``2 * per_class`` rows and
+    ``2 * per_class * max_bytes`` bytes, however often a document repeats.
     """
     known = (labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("label"))
              .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & train(F.col("doc_id")))
@@ -24,7 +26,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, per_c
         part = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionAll(part)
     return (docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes)
-            .join(F.broadcast(chosen), "doc_id"))
+            .join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")))
 
 
 def class_counts(labels: DataFrame, label: str, train) -> list[int]:

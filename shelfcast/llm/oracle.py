@@ -1,10 +1,10 @@
 """DuckDB twins of the queries that SQL can express, written on their own."""
 
-#: Operator 2. Cutoffs are listed again here: 5 rules by 10 cutoffs, 5 strata, alpha 0.05, delta 0.05, penalty 200.
+#: Operator 2. Cutoffs are listed again here: 5 rules by 10 cutoffs, strata of 1000 good documents and the rest, alpha 0.01, delta 0.05.
 QUALITY_RULES = r"""
 WITH words AS (
   SELECT row_number() OVER () AS rid, doc_id,
-         CASE WHEN lang IN ('de', 'en', 'es', 'fr') THEN lang ELSE 'other' END AS stratum,
+         lang,
          coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
   FROM documents),
 positions AS (
@@ -18,17 +18,22 @@ repeats AS (SELECT rid, sum(new_words)::BIGINT AS n_repeat_words FROM covered GR
 lines AS (
   SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM words),
 counted AS (
-  SELECT words.rid, doc_id, stratum, len(w)::BIGINT AS n_words,
+  SELECT words.rid, doc_id, lang, len(w)::BIGINT AS n_words,
          length(array_to_string(w, ''))::BIGINT AS word_chars,
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
          coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
          len(l)::BIGINT AS n_lines, len(list_distinct(w))::BIGINT AS n_distinct
   FROM words JOIN lines USING (rid) LEFT JOIN repeats USING (rid)),
-based AS (
+judged AS (
   SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM counted),
 known AS (
   SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IN (0, 1) GROUP BY doc_id),
+large AS (
+  SELECT lang FROM judged JOIN known USING (doc_id) WHERE quality = 1 AND NOT base_failed AND lang IS NOT NULL
+  GROUP BY lang HAVING count(*) >= 1000 ORDER BY count(*) DESC, lang LIMIT 64),
+based AS (SELECT *, CASE WHEN lang IN (SELECT lang FROM large) THEN lang ELSE 'other' END AS stratum FROM judged),
+strata AS (SELECT count(DISTINCT s) AS n_strata FROM (SELECT lang AS s FROM large UNION ALL SELECT 'other')),
 ratios AS (
   SELECT rid, stratum, base_failed, quality, unnest([
     {'rule': 'symbols', 'v': n_symbols / greatest(n_words, 1)},
@@ -52,11 +57,11 @@ grid AS (
   WHERE quality IS NOT NULL AND NOT base_failed GROUP BY ALL),
 filled AS (SELECT stratum, rule, cutoff, n, n_bad, coalesce(k, 0) AS k, coalesce(k_bad, 0) AS k_bad FROM grid),
 tails AS (
-  SELECT *, CASE WHEN k >= n * 0.01 THEN 1.0 ELSE list_sum(list_transform(range(0, k::BIGINT + 1),
-    lambda i: exp(lgamma(n::DOUBLE + 1) - lgamma(i::DOUBLE + 1) - lgamma((n - i)::DOUBLE + 1) + i * ln(0.01) + (n - i) * ln(0.99)))) END AS p
+  SELECT *, CASE WHEN k >= n * 0.002 THEN 1.0 ELSE list_sum(list_transform(range(0, k::BIGINT + 1),
+    lambda i: exp(lgamma(n::DOUBLE + 1) - lgamma(i::DOUBLE + 1) - lgamma((n - i)::DOUBLE + 1) + i * ln(0.002) + (n - i) * ln(0.998)))) END AS p
   FROM filled),
 admitted AS (
-  SELECT stratum, rule, cutoff, k_bad / greatest(n_bad, 1) - 200.0 * k / n AS gain FROM tails WHERE p <= 0.05 / 250),
+  SELECT stratum, rule, cutoff, k_bad / greatest(n_bad, 1) AS gain FROM tails, strata WHERE p <= 0.05 / (50 * n_strata)),
 chosen AS (
   SELECT stratum, rule, cutoff FROM admitted WHERE gain > 0
   QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, cutoff DESC) = 1),

@@ -1,17 +1,20 @@
 """Quality rules with risk-controlled thresholds (operator 2). DataFrame functions only.
 
 Every document gets counts over its whole text. A rule compares one ratio of
-them with a cutoff of the document's stratum (its language). Cutoffs are not
-set by hand: on the labelled documents that pass the base rules, a cutoff is
-admitted only if the exact binomial tail shows that it rejects at most
+them with a cutoff of the document's stratum: its language, if at least
+``min_good`` labelled good documents have it (at most ``MAX_STRATA`` languages,
+those with the most), else ``other``, all remaining ones together. Cutoffs are
+not set by hand: on the labelled documents that pass the base rules, a cutoff
+is admitted only if the exact binomial tail shows that it rejects at most
 ``alpha / rules`` of the good documents of the stratum (so all rules together
 at most ``alpha``), at a level of ``delta`` shared by all stratum-rule-cutoff
 tests (Bonferroni). Among the admitted ones the cutoff is taken that rejects
-the largest share of bad documents less ``penalty`` times that of good ones;
-a rule without an admitted, useful cutoff rejects nothing in that stratum.
+the largest share of bad documents: the certified risk alone decides, unless a
+caller sets ``penalty``, a weight on the share of good ones. A rule without an
+admitted, useful cutoff rejects nothing in that stratum.
 
 Defined cases: a null or empty text has no word and fails the base rules; a
-null or unlisted language is the stratum ``other``; a null label or doc_id
+null language, or one with too few good documents, is the stratum ``other``; a null label or doc_id
 takes no part in the choice, and a document labelled twice counts as good if
 any label says so; equal gains go to the larger cutoff; repeated rows are
 judged alike; extra columns are kept or ignored, never read; an empty table
@@ -27,8 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import Shared
 
-#: Strata of their own; every other language is ``other``.
-STRATA = ("de", "en", "es", "fr")
+#: Good documents that make a language a stratum of its own, and most such languages.
+MIN_GOOD, MAX_STRATA = 1000, 64
+#: Certified share of good documents that may be rejected, and level of all tests together.
+ALPHA, DELTA = 0.01, 0.05
 #: Cutoffs tried per rule; a document is rejected if its ratio is over the cutoff.
 CUTOFFS = {
     "symbols": (0.1, 0.2, 0.3, 0.4, 0.6, 0.8, 1.0, 1.5, 2.0, 2.5),
@@ -37,8 +42,6 @@ CUTOFFS = {
     "word_length": (5.0, 6.0, 7.0, 8.0, 9.0, 10.0, 12.0, 15.0, 20.0, 30.0),
     "same_words": (0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95),
 }
-#: Default weight of a good document against a bad one, set by looking at the labels of one table.
-PENALTY = 200.0
 #: Terms of the binomial tail that are summed; the rest is bounded by a geometric series.
 TAIL_TERMS = 20_000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct"]
@@ -83,10 +86,6 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def stratum(lang: str) -> Column:
-    return F.when(F.col(lang).isin(*STRATA), F.col(lang)).otherwise(F.lit("other"))
-
-
 def ratios() -> dict[str, Column]:
     words = F.greatest(F.col("n_words"), F.lit(1))
     return {
@@ -121,16 +120,28 @@ def binomial_tail(n: Column, k: Column, rate: float) -> Column:
     return F.when(k < n * rate, total + rest).otherwise(F.lit(1.0))
 
 
-def choose_cutoffs(counted: DataFrame, labels: DataFrame, alpha: float, delta: float, penalty: float = PENALTY) -> DataFrame:
+def known_quality(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality): good if any label says so."""
+    return (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
+            .groupBy(F.col("doc_id").alias("doc_id")).agg(F.max("quality").alias("quality")))
+
+
+def with_strata(counted: DataFrame, labels: DataFrame, min_good: int) -> tuple[DataFrame, int]:
+    """Adds ``stratum`` to rows of (doc_id, lang, counts); and how many strata there are."""
+    good = (counted.where(~base_failed() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
+            .join(known_quality(labels).where("quality = 1"), "doc_id").groupBy("lang").agg(F.count("*").alias("n")))
+    names = [r["lang"] for r in good.where(F.col("n") >= min_good).orderBy(F.desc("n"), "lang").limit(MAX_STRATA).collect()]
+    return counted.withColumn("stratum", F.when(F.col("lang").isin(names), F.col("lang")).otherwise("other") if names else F.lit("other")), len({*names, "other"})
+
+
+def choose_cutoffs(counted: DataFrame, labels: DataFrame, alpha: float, delta: float, penalty: float, strata: int) -> DataFrame:
     """(stratum, rule, cutoff): at most one row per stratum and rule.
 
     ``counted``: doc_id, stratum and the counts. The labelled ratios are first
     counted per (stratum, rule, cutoff interval, label), so what follows has at
     most ``strata * rules * (cutoffs + 1)`` rows.
     """
-    known = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
-             .groupBy(F.col("doc_id").alias("doc_id")).agg(F.max("quality").alias("quality")))
-    joined = counted.where(~base_failed() & F.col("doc_id").isNotNull()).join(known, "doc_id")
+    joined = counted.where(~base_failed() & F.col("doc_id").isNotNull()).join(known_quality(labels), "doc_id")
     passed = [F.struct(F.lit(rule).alias("rule"),
                        sum((value > c).cast("int") for c in CUTOFFS[rule]).alias("over")) for rule, value in ratios().items()]
     tally = (joined.select("stratum", "quality", F.explode(F.array(*passed)).alias("r"))
@@ -146,7 +157,7 @@ def choose_cutoffs(counted: DataFrame, labels: DataFrame, alpha: float, delta: f
                 "cutoff": F.element_at(levels[F.col("rule")], F.col("i")),
                 "k_good": F.expr("aggregate(filter(t, x -> x.over >= i), 0L, (s, x) -> s + x.good)"),
                 "k_bad": F.expr("aggregate(filter(t, x -> x.over >= i), 0L, (s, x) -> s + x.bad)")}))
-    tests = (len(STRATA) + 1) * sum(map(len, CUTOFFS.values()))
+    tests = strata * sum(map(len, CUTOFFS.values()))
     admitted = (grid.withColumn("p", binomial_tail(F.col("n_good"), F.col("k_good"), alpha / len(CUTOFFS)))
                 .where(F.col("p") <= delta / tests)
                 .withColumn("gain", F.col("k_bad") / F.greatest(F.col("n_bad"), F.lit(1)) - penalty * F.col("k_good") / F.col("n_good"))
@@ -155,10 +166,11 @@ def choose_cutoffs(counted: DataFrame, labels: DataFrame, alpha: float, delta: f
     return admitted.withColumn("rank", rank).where(F.col("rank") == 1).select("stratum", "rule", "cutoff")
 
 
-def judged(counted: DataFrame, labels: DataFrame, alpha: float, delta: float, penalty: float = PENALTY) -> DataFrame:
-    """Adds base_failed and kept to rows with the stratum and the counts."""
-    cutoffs = choose_cutoffs(counted, labels, alpha, delta, penalty)
-    # one row per stratum, five at most
+def judged(counted: DataFrame, labels: DataFrame, alpha: float, delta: float, penalty: float, min_good: int) -> DataFrame:
+    """Adds base_failed and kept to rows with the language and the counts."""
+    counted, strata = with_strata(counted, labels, min_good)
+    cutoffs = choose_cutoffs(counted, labels, alpha, delta, penalty, strata)
+    # one row per stratum, MAX_STRATA + 1 at most
     wide = cutoffs.groupBy(F.col("stratum").alias("_stratum")).agg(
         *[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_max_{r}") for r in CUTOFFS])
     both = counted.join(F.broadcast(wide), F.col("stratum") == F.col("_stratum"), "left")
@@ -169,19 +181,21 @@ def judged(counted: DataFrame, labels: DataFrame, alpha: float, delta: float, pe
             .drop("_stratum", *[f"_max_{r}" for r in CUTOFFS]))
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05, penalty: float = PENALTY) -> DataFrame:
+def quality_verdicts(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, penalty: float = 0.0,
+               min_good: int = MIN_GOOD) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) of every document.
 
     The counts are written once; the choice of cutoffs and the verdicts read them.
     """
-    counted = text_counts(docs.select("doc_id", stratum("lang").alias("stratum"), "text")).drop("text")
+    counted = text_counts(docs.select("doc_id", "lang", "text")).drop("text")
     counted = Shared(docs.sparkSession, "rules").write(counted, "counts")
-    return judged(counted, labels, alpha, delta, penalty).select("doc_id", *COUNTS[:5], "base_failed", "kept")
+    return judged(counted, labels, alpha, delta, penalty, min_good).select("doc_id", *COUNTS[:5], "base_failed", "kept")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05, penalty: float = PENALTY) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, penalty: float = 0.0,
+               min_good: int = MIN_GOOD) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
-    whole = docs.select(F.col("doc_id").alias("doc_id"), stratum("lang").alias("stratum"), F.struct("*").alias("doc"))
+    whole = docs.select(F.col("doc_id").alias("doc_id"), F.col("lang").alias("lang"), F.struct("*").alias("doc"))
     counted = Shared(docs.sparkSession, "rules").write(text_counts(whole, "doc.text"), "counted")
-    kept = judged(counted, labels, alpha, delta, penalty).where("kept")
+    kept = judged(counted, labels, alpha, delta, penalty, min_good).where("kept")
     return kept.select("doc.*")

@@ -2,11 +2,14 @@
 
 The lexicon is learned: words and word beginnings (stems) that labelled toxic
 texts use significantly more often than clean ones, counted once per group of
-copies. It forms a trie. A Levenshtein automaton is intersected with that trie:
+copies: terms of 3 to 24 characters with a letter among them, stems of 4 to 7,
+at most ``max_terms`` of the strongest evidence. A stem stands beside the words
+it covers, which keep their own edits. The lexicon forms a trie. A Levenshtein automaton is intersected with that trie:
 states are sets of (trie node, edits so far), determinised on demand and kept
 per worker, so that a token costs one table step per character and most tokens
 end in the dead state after a few. Misspelled terms are matched with one edit
-(two from nine letters on); stems match the beginning of a token.
+(two from nine letters on, none under five); stems match the beginning of a
+token, with one edit from seven letters on.
 
 Every match is scored in a window of words around it: quotation marks and
 reporting verbs speak for a quotation, second-person words and further matches
@@ -209,7 +212,7 @@ def count_terms(sample: DataFrame) -> DataFrame:
             counts[0].clear()
             counts[1].clear()
         for label, text in source:
-            terms = {t for w in text.split() if 3 <= len(t := token(w)) <= 24 and t.isalpha()}
+            terms = {t for w in text.split() if 3 <= len(t := token(w)) <= 24 and any(map(str.isalpha, t))}
             counts[label].update((t, False) for t in terms)
             counts[label].update({(t[:k], True) for t in terms for k in STEMS if len(t) >= k})
             if len(counts[0]) + len(counts[1]) > 300_000:
@@ -233,11 +236,10 @@ def choose_terms(rows: list[tuple[str, bool, int, int]]) -> tuple[list[str], lis
             stem = longer[0]
         if not any(w.startswith(stem) and words[w] >= 0.9 * stems[stem] for w in words):
             chosen.add(stem)
-    kept = [w for w in words if not any(w.startswith(s) for s in chosen)]
-    return sorted(kept), sorted(chosen)
+    return sorted(words), sorted(chosen)
 
 
-def learn(docs: DataFrame, labels: DataFrame, train, per_class: int, max_bytes: int, max_terms: int = 5000):
+def learn(docs: DataFrame, labels: DataFrame, train, per_class: int, max_bytes: int, max_terms: int):
     """((words, stems), model), or None without labels of both classes."""
     counts = class_counts(labels, "toxic", train)
     if not min(counts):
@@ -291,20 +293,20 @@ def toxicity(text: Column, learned) -> Column:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, remainder: int = 2, threshold: float = 0.3,
-                   per_class: int = 4000, max_bytes: int = 32 << 10) -> DataFrame:
+                   per_class: int = 4000, max_bytes: int = 32 << 10, max_terms: int = 5000) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every whole text.
 
     Labels are learned only from rows whose crc32 of doc_id mod ``modulus``
     isn't ``remainder``.
     """
-    learned = learn(docs, labels, lambda c: ~held_out(c, modulus, remainder), per_class, max_bytes)
+    learned = learn(docs, labels, lambda c: ~held_out(c, modulus, remainder), per_class, max_bytes, max_terms)
     scored = docs.select("doc_id", held_out(docs["doc_id"], modulus, remainder).alias("held_out"),
                          toxicity(F.col("text"), learned).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, remainder: int = 2, threshold: float = 0.3,
-               per_class: int = 4000, max_bytes: int = 32 << 10) -> DataFrame:
+               per_class: int = 4000, max_bytes: int = 32 << 10, max_terms: int = 5000) -> DataFrame:
     """The documents that score under ``threshold``, with all their columns."""
-    learned = learn(docs, labels, lambda c: ~held_out(c, modulus, remainder), per_class, max_bytes)
+    learned = learn(docs, labels, lambda c: ~held_out(c, modulus, remainder), per_class, max_bytes, max_terms)
     return docs.where(toxicity(F.col("text"), learned) < threshold)

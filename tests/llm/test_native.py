@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.llm import kd_sharding, quality_rules
 from shelfcast.llm.kd_sharding import leaf_cells, shard_by_bytes, within
-from shelfcast.llm.quality_rules import binomial_tail, choose_cutoffs, keep_good, quality_verdicts, stratum, text_counts
+from shelfcast.llm.quality_rules import binomial_tail, choose_cutoffs, keep_good, quality_verdicts, text_counts, with_strata
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -72,12 +72,13 @@ def test_cutoffs_limit_false_rejection(spark, make_docs, make_labels):
         rows.append((i, " ".join(words), "en" if i % 5 else "xx"))
         labels.append((i, int(good), 0))
     docs, labels = make_docs(rows, extra=True), make_labels(labels + [(None, 1, 0), (1, None, 0)])
-    counted = text_counts(docs.select("doc_id", stratum("lang").alias("stratum"), "text"))
-    chosen = {(r.stratum, r.rule): r.cutoff for r in choose_cutoffs(counted, labels, 0.05, 0.05).collect()}
+    counted, strata = with_strata(text_counts(docs.select("doc_id", "lang", "text")), labels, 1000)
+    assert strata == 2
+    chosen = {(r.stratum, r.rule): r.cutoff for r in choose_cutoffs(counted, labels, 0.05, 0.05, 0.0, strata).collect()}
     assert ("en", "symbols") in chosen
     # 400 good documents of the small stratum can't show a rate of 1 % at that level
     assert not [k for k in chosen if k[0] == "other"]
-    kept = {r.doc_id for r in keep_good(docs, labels).select("doc_id").collect()}
+    kept = {r.doc_id for r in keep_good(docs, labels, alpha=0.05).select("doc_id").collect()}
     good = [i for i in range(3000) if i % 3 and i % 5]
     assert sum(i not in kept for i in good) <= 0.01 * len(good)
     assert sum(i in kept for i in range(3000) if i % 3 == 0 and i % 5) < 300
@@ -122,6 +123,57 @@ def test_any_number_of_shards(make_docs, n):
     assert sorted(size) == list(range(n)) and max(size.values()) < 1.05 * min(size.values())
 
 
+def test_tree_equals_plain_weighted_medians(spark):
+    """Every cut against a sort of its cell: the widest dimension, and the key nearest to the wanted weight."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(700):
+        dims = int(rng.paretovariate(1.1) * 30), rng.choice([0, 0, rng.randrange(10**6)])
+        rows.append((*[(d << 32) + rng.getrandbits(32) for d in dims], dims[0] + 1, *dims))
+    points = spark.createDataFrame(rows, "key_0 long, key_1 long, w long, dim_0 long, dim_1 long")
+    load = dict.fromkeys(leaf_cells(8), 0) | {8: 900, 13: 400}
+    got = kd_sharding.build_tree(points, 8, 2, load)
+    cells, scale, want = {1: (rows, 8)}, None, []
+    while any(n > 1 for _, n in cells.values()):
+        level, below = {}, {}
+        for c, (mine, n) in cells.items():
+            if n == 1:
+                below[c] = mine, n
+                continue
+            widths = [max(r[3 + d] for r in mine) - min(r[3 + d] for r in mine) for d in (0, 1)]
+            scale = scale or [max(w, 1) for w in widths]
+            d = max((0, 1), key=lambda i: widths[i] / scale[i])
+            heavy = {x: sum(w for leaf, w in load.items() if within(leaf, x)) for x in (c, 2 * c)}
+            left = (sum(r[2] for r in mine) + heavy[c]) * (n // 2) / n - heavy[2 * c]
+            best, at = None, 0
+            for r in sorted(mine, key=lambda r: r[d]):
+                if at + r[2] >= left:
+                    best = r[d] if at + r[2] - left <= left - at else r[d] - 1
+                    break
+                at += r[2]
+            level[c] = d, best
+            below[2 * c] = [r for r in mine if r[d] <= best], n // 2
+            below[2 * c + 1] = [r for r in mine if r[d] > best], n - n // 2
+        want.append(level)
+        cells = below
+    for a, b in zip(got, want):
+        assert {c: d for c, (d, _) in a.items()} == {c: d for c, (d, _) in b.items()}
+        for c, (d, cut) in a.items():  # cuts that part the rows alike
+            assert {r for r in rows if r[d] <= cut} == {r for r in rows if r[d] <= b[c][1]}
+
+
+def test_slots_of_one_repeated_row_are_spread(make_docs, monkeypatch):
+    """A document that repeats is numbered in many windows, and slots stay gapless."""
+    monkeypatch.setattr(kd_sharding, "SLOT_ROWS", 50)
+    got = shard_by_bytes(make_docs([(1, "the same")] * 1500 + [(i, f"text {i}") for i in range(2, 500)]), 3)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64(doc_id" in plan and "row#" in plan
+    rows = got.collect()
+    for s in range(3):
+        slots = sorted(r.slot for r in rows if r.shard == s)
+        assert slots == list(range(len(slots)))
+
+
 def test_shards_of_nothing(make_docs):
     assert shard_by_bytes(make_docs([]), 8).count() == 0
     assert shard_by_bytes(make_docs([(1, None)]), 8).count() == 1
@@ -134,11 +186,25 @@ def test_cells():
 
 
 def test_penalty_is_a_parameter(make_docs, make_labels):
-    """A certified cutoff that rejects half of the bad and 0.3 % of the good documents."""
+    """A cutoff that rejects half of the bad and 0.3 % of the good documents, certified at a risk of 1 % a rule only."""
     clean = " ".join(f"w{i}" for i in range(20))
     rows = [(i, clean + (" ###########" if i < 12 else "")) for i in range(4000)]
     rows += [(4000 + i, clean + (" ###########" if i < 50 else "")) for i in range(100)]
     docs, labels = make_docs(rows), make_labels([(i, int(i < 4000), 0) for i, _ in rows])
     kept = lambda **k: {r.doc_id for r in keep_good(docs, labels, **k).collect()}
     assert len(kept()) == 4100
-    assert len(kept(penalty=0.0)) == 4100 - 62
+    assert len(kept(alpha=0.05)) == 4100 - 62
+    assert len(kept(alpha=0.05, penalty=200.0)) == 4100
+
+
+def test_strata_come_from_the_labelled_documents(make_docs, make_labels):
+    """Any language with enough good documents is a stratum of its own; the rest share one, and a null language is of it."""
+    good, bad = " ".join(f"w{i}" for i in range(20)), " ".join(f"w{i}####" for i in range(20))
+    langs = ["it"] * 1200 + ["pt"] * 1100 + ["xx"] * 30 + [None] * 30
+    rows = [(i, bad if i % 10 == 0 else good, lang) for i, lang in enumerate(langs)]
+    docs, labels = make_docs(rows), make_labels([(i, int(i % 10 > 0), 0) for i, _, _ in rows])
+    counted, strata = with_strata(text_counts(docs.select("doc_id", "lang", "text")), labels, 900)
+    assert strata == 3 and {r.stratum for r in counted.select("stratum").distinct().collect()} == {"it", "pt", "other"}
+    kept = [r.lang for r in keep_good(docs, labels, alpha=0.05, min_good=900).collect()]
+    assert [kept.count(x) for x in ("it", "pt", "xx", None)] == [1080, 990, 30, 30]
+    assert with_strata(counted.drop("stratum"), labels, 5000)[1] == 1 and keep_good(docs, make_labels([])).count() == len(rows)
