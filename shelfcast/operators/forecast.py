@@ -181,8 +181,7 @@ def first_forecast_days(fc: DataFrame, n: int = 10) -> DataFrame:
             .select(*SCOPE, "day", "ds", "yhat", "yhat_lower", "yhat_upper"))
 
 
-def forecast_kpis(fc: DataFrame, prepared: DataFrame, daily: DataFrame, volatility: DataFrame,
-                  horizon: int = 30) -> DataFrame:
+def forecast_kpis(fc: DataFrame, daily: DataFrame, volatility: DataFrame, horizon: int = 30) -> DataFrame:
     """J6 + J10 + J11 + J12 + J13 + J14 per scope.
 
     Mean and total forecast (clipped), revenue = total x weighted price,
@@ -191,23 +190,22 @@ def forecast_kpis(fc: DataFrame, prepared: DataFrame, daily: DataFrame, volatili
     scenarios, the horizon trend (mean of the last 7 minus the first 7
     rounded realistic values), and the stock targets.
     """
-    sc = scenarios(fc)
-    asc = Window.partitionBy(*SCOPE).orderBy("ds")
-    desc = Window.partitionBy(*SCOPE).orderBy(F.col("ds").desc())
-    sc = sc.withColumn("_a", F.row_number().over(asc)).withColumn("_d", F.row_number().over(desc))
-    s = sc.groupBy(*SCOPE).agg(
-        F.avg("realistic").alias("_r"), F.avg("optimistic").alias("_o"), F.avg("pessimistic").alias("_p"),
-        (F.avg(F.when(F.col("_d") <= 7, F.col("realistic"))) -
-         F.avg(F.when(F.col("_a") <= 7, F.col("realistic")))).alias("horizon_trend"))
-    f = future_rows(fc).groupBy(*SCOPE).agg(F.avg("yhat").alias("avg_forecast"), F.sum("yhat").alias("total_forecast"))
-    rk = F.row_number().over(desc)
-    recent = (prepared.withColumn("_rk", rk).groupBy(*SCOPE).agg(
-        F.avg(F.when(F.col("_rk") <= 30, F.col("y"))).alias("last30_mean"),
-        F.sum(F.when(F.col("_rk") <= horizon, F.col("y"))).alias("last_h_sum")))
+    # history rows of the forecast hold the processed series, so one ordered pass over it gives all but the price
+    scope = Window.partitionBy(*SCOPE)
+    future = F.col("is_future")
+    rows = (fc.withColumn("_rk", F.row_number().over(scope.orderBy(F.col("ds").desc())))
+              .withColumn("_h", F.count_if(future).over(scope)))
+    back = F.col("_rk") - F.col("_h")  # 1 for the last observed day
+    rnd = {c: F.when(future, F.bround(F.greatest(F.col(c), F.lit(0.0)), 0).cast("long")) for c in ("yhat", "yhat_lower", "yhat_upper")}
+    f = rows.groupBy(*SCOPE).agg(
+        F.avg(F.when(future, F.col("yhat"))).alias("avg_forecast"), F.sum(F.when(future, F.col("yhat"))).alias("total_forecast"),
+        F.avg(rnd["yhat"]).alias("_r"), F.avg(rnd["yhat_upper"]).alias("_o"), F.avg(rnd["yhat_lower"]).alias("_p"),
+        (F.avg(F.when(F.col("_rk") <= 7, rnd["yhat"])) - F.avg(F.when(F.col("_rk") > F.col("_h") - 7, rnd["yhat"]))).alias("horizon_trend"),
+        F.avg(F.when(~future & (back <= 30), F.col("y"))).alias("last30_mean"),
+        F.sum(F.when(~future & (back <= horizon), F.col("y"))).alias("last_h_sum")).filter(F.col("total_forecast").isNotNull())
     price = daily.groupBy(*SCOPE).agg(
         F.when(F.sum("y") > 0, F.sum("amount").cast("double") / F.sum("y")).otherwise(0.0).alias("weighted_price"))
-    j = (f.join(s, list(SCOPE)).join(recent, list(SCOPE)).join(price, list(SCOPE))
-          .join(volatility.select(*SCOPE, "volatility"), list(SCOPE)))
+    j = f.join(price, list(SCOPE)).join(volatility.select(*SCOPE, "volatility"), list(SCOPE))
     stock = F.col("total_forecast") * 1.2
     growth = F.when(F.col("last_h_sum") > 0, (F.col("total_forecast") / F.col("last_h_sum") - 1) * 100).otherwise(0.0)
     uncertainty = F.when(F.col("_r") > 0, ((F.col("_o") - F.col("_p")) / 2) / F.col("_r") * 100).otherwise(0.0)

@@ -83,10 +83,11 @@ def moving_average(daily: DataFrame, window: int = 7, col: str = "y") -> DataFra
 def ema(daily: DataFrame, span: int = 7, col: str = "y") -> DataFrame:
     """``e0 = y0``, ``e_t = a y_t + (1 - a) e_{t-1}``, ``a = 2 / (span + 1)``.
 
-    Over the whole history, in blocks of ``EMA_BLOCK`` rows: each row folds the
-    values of its own block, and the ends of the blocks before it carry the
-    rest (``e`` at a block's end is its own fold plus ``(1 - a)^block`` times the
-    ``e`` before it).
+    Over the whole history, in blocks of ``EMA_BLOCK`` rows. Each row folds the
+    values of its own block. A block is an affine map of the ``e`` before it,
+    ``own + (1 - a)^rows x``; the maps are composed once per block, on one row
+    per block, and every row of a block takes the same ``e`` from it. All steps
+    keep the partitioning by scope, so nothing is shuffled between them.
     """
     alpha = 2.0 / (span + 1.0)
     decay = 1.0 - alpha
@@ -96,14 +97,18 @@ def ema(daily: DataFrame, span: int = 7, col: str = "y") -> DataFrame:
     place = F.col("_i") % EMA_BLOCK
     own = F.aggregate(F.slice(F.col("_h"), -(place + 1), place + 1), F.lit(0.0),
                       lambda acc, x: F.lit(alpha) * x + F.lit(decay) * acc)
-    block_end = F.when(F.col("_i") % EMA_BLOCK == EMA_BLOCK - 1, F.col("_own"))
-    ends = F.collect_list(block_end).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    first = F.first(col).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    carry = F.aggregate(F.col("_ends"), F.col("_y0"), lambda acc, x: x + F.lit(decay ** EMA_BLOCK) * acc)
-    out = (daily.withColumn("_i", i).withColumn("_h", recent).withColumn("_y0", first)
-                .withColumn("_own", own).withColumn("_ends", ends))
-    value = F.col("_own") + F.pow(F.lit(decay), place + 1) * carry
-    return out.withColumn(col, value).drop("_i", "_h", "_y0", "_own", "_ends")
+    rows = daily.withColumn("_i", i).withColumn("_h", recent).withColumn("_own", own).drop("_h")
+    blocks = (rows.withColumn("_block", F.floor(F.col("_i") / EMA_BLOCK)).groupBy(*SCOPE, "_block")
+              .agg(F.collect_list(F.struct(*[c for c in rows.columns if c not in SCOPE])).alias("_rows"),
+                   F.max_by("_own", "_i").alias("_end"), F.min_by(col, "_i").alias("_y0")))
+    by_block = Window.partitionBy(*SCOPE).orderBy("_block")
+    ends = F.collect_list("_end").over(by_block.rowsBetween(Window.unboundedPreceding, -1))
+    first = F.first("_y0").over(by_block.rowsBetween(Window.unboundedPreceding, 0))
+    carry = F.aggregate("_ends", F.col("_first"), lambda acc, x: x + F.lit(decay ** EMA_BLOCK) * acc)
+    out = (blocks.withColumn("_ends", ends).withColumn("_first", first).withColumn("_carry", carry)
+                 .select(*SCOPE, "_carry", F.inline("_rows")))
+    value = F.col("_own") + F.pow(F.lit(decay), place + 1) * F.col("_carry")
+    return out.withColumn(col, value).select(*daily.columns)
 
 
 def savgol(daily: DataFrame, window: int = 7, col: str = "y") -> DataFrame:

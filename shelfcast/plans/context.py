@@ -116,7 +116,7 @@ class SalesContext:
 
     @cached_property
     def forecast_kpis(self) -> DataFrame:
-        return fo.forecast_kpis(self.forecast, self.prepared, self.daily, self.volatility, self.horizon)
+        return fo.forecast_kpis(self.forecast, self.daily, self.volatility, self.horizon)
 
     @cached_property
     def line_sums(self) -> DataFrame:

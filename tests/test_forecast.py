@@ -47,6 +47,56 @@ def test_fourier_quality(spark):
     _check(fc, holdout, train)
 
 
+def _plain_fourier(dates, y, horizon):
+    """The Fourier model written out feature by feature, its ridge steps as least squares on rows added for the penalty."""
+    n, scale = len(y), max(abs(v) for v in y) or 1.0
+    days = [(d - dates[0]).days for d in dates] + [(dates[-1] - dates[0]).days + k for k in range(1, horizon + 1)]
+    s = [d / ((dates[-1] - dates[0]).days or 1) for d in days]
+    cut = max(1, int(0.8 * n))
+    places = sorted({int(k * (cut - 1) / 25) for k in range(26)})[1:]
+    knots = sorted({s[i] for i in places if 0 < s[i] < 1})
+    trend = np.array([[1.0, t, *[max(t - k, 0.0) for k in knots]] for t in s])
+    wave = lambda d, p, m: [f(2 * np.pi * d * k / p) for f in (np.sin, np.cos) for k in range(1, m + 1)]
+    season = np.array([wave(d, 7.0, 3) + wave(d, 365.25, 10) for d in days])
+    target = np.array(y) / scale
+
+    def ridge(x, want, penalty):
+        rows = np.vstack([x, np.diag(np.sqrt(penalty))])
+        return np.linalg.lstsq(rows, np.concatenate([want, np.zeros(len(penalty))]), rcond=None)[0]
+    of_trend = np.array([1e-8, 1e-8] + [1e-3 / 0.05**2] * len(knots))
+    of_season = np.full(26, 1 / 10.0**2 + 1e-3)
+    beta = np.zeros(26)
+    for _ in range(8):
+        gamma = ridge(trend[:n] * (1 + season[:n] @ beta)[:, None], target, of_trend)
+        g = trend[:n] @ gamma
+        beta = ridge(season[:n] * g[:, None], target - g, of_season)
+    level = trend @ gamma
+    raw = level * (1 + season @ beta)
+    sd = float(np.std(target - raw[:n], ddof=1)) if n > 1 else 0.0
+    return level * scale, raw * scale, sd * scale
+
+
+def test_fourier_equals_a_plain_version(spark):
+    """Every scope of the driver's tables against an independent solver: trend, forecast, interval and dates."""
+    from shelfcast.plans.catalog import ctx
+    c = ctx(spark, "/root/testdata/sf0.001")
+    got = fu.forecast_fourier(c.prepared, 30).toPandas()
+    want = c.prepared.toPandas()
+    scopes = want.groupby(["store", "segment"])
+    assert len(scopes) > 20 and len(got) == len(want) + 30 * len(scopes)
+    by_scope = dict(list(got.groupby(["store", "segment"])))
+    for key, rows in scopes:
+        rows, fc = rows.sort_values("ds"), by_scope[key].sort_values("ds")
+        level, raw, sd = _plain_fourier(list(rows.ds), list(rows.y), 30)
+        size = max(rows.y.abs().max(), 1.0)
+        assert np.abs(fc.trend.to_numpy() - level).max() < 1e-5 * size and np.abs(fc.yhat_raw.to_numpy() - raw).max() < 1e-5 * size
+        assert np.abs(fc.yhat.to_numpy() - np.maximum(raw, 0)).max() < 1e-5 * size
+        assert np.abs(fc.yhat_lower.to_numpy() - np.maximum(raw - fo.Z80 * sd, 0)).max() < 1e-5 * size
+        assert np.abs(fc.yhat_upper.to_numpy() - np.maximum(raw + fo.Z80 * sd, 0)).max() < 1e-5 * size
+        last = rows.ds.iloc[-1]
+        assert list(fc[fc.is_future].ds) == [last + dt.timedelta(days=k) for k in range(1, 31)]
+
+
 def test_zero_actuals_mape_zero(spark):
     rows = [("S", "G", dt.date(2024, 1, 1) + dt.timedelta(days=i), 0.0) for i in range(20)]
     prepared = spark.createDataFrame(rows, "store string, segment string, ds date, y double")

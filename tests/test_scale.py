@@ -31,7 +31,7 @@ def test_series_of_ten_billion_a_day(spark, make_daily):
     fc = fo.forecast(fo.fit_seasonal_index(prepared), 30)
     rows = fo.scenarios(fc).collect()
     assert len(rows) == 30 and all(r.realistic > 2**32 for r in rows)
-    kpis = fo.forecast_kpis(fc, prepared, daily, se.segment_volatility(daily), 30).collect()[0]
+    kpis = fo.forecast_kpis(fc, daily, se.segment_volatility(daily), 30).collect()[0]
     assert kpis.total_forecast > 1e11
 
 
