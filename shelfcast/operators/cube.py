@@ -11,9 +11,11 @@ its hash partitions larger by its number of distinct (model, article) keys.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfcast.operators.scope import ALL
+
 CUBE_KEYS = ("store", "segment", "model", "article", "ds")
 
 
@@ -39,3 +41,22 @@ def line_facts(sales: DataFrame) -> DataFrame:
         F.lit(1).cast("long").alias("lines"),
         F.when(F.col("amount").isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("amount_lines"),
         F.col("price").alias("price_sum"))
+
+
+def article_scopes(facts: DataFrame, period: Column, name: str) -> DataFrame:
+    """(store, segment, period): one row per scope, period and distinct article sold in it.
+
+    Lines meet once, by (period, article), where only the distinct (store,
+    segment) pairs are kept; these say for which scopes the article counts in
+    that period, at all four levels. Counts of the result are combined in the
+    task that makes it, so no article row is shuffled again.
+    """
+    pairs = (facts.where(F.col("article").isNotNull()).groupBy(period.alias(name), "article")
+             .agg(F.collect_set(F.struct("store", "segment")).alias("_pairs")))
+
+    def levels(p: Column) -> Column:
+        return F.array(*[F.struct(s.alias("store"), g.alias("segment"))
+                         for s in (p["store"], F.lit(ALL)) for g in (p["segment"], F.lit(ALL))])
+    scopes = F.array_distinct(F.flatten(F.transform("_pairs", levels)))
+    return (pairs.select(F.explode(scopes).alias("_scope"), name).select("_scope.*", name)
+            .filter(F.col("store").isNotNull() & F.col("segment").isNotNull()))

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.operators.scope import SCOPE, expand_scopes
+from shelfcast.operators.cube import article_scopes
+from shelfcast.operators.scope import SCOPE
 
 
 def monthly_sales(facts: DataFrame, daily: DataFrame) -> DataFrame:
@@ -22,11 +23,7 @@ def monthly_sales(facts: DataFrame, daily: DataFrame) -> DataFrame:
     """
     sums = (daily.groupBy(*SCOPE, F.trunc("ds", "MM").alias("month"))
                  .agg(F.sum("y").alias("qty"), F.sum("amount").alias("amount")))
-    # distinct counts are not additive: de-duplicate, fan out, de-duplicate per
-    # (scope, month, article) with a map-side combine, then count
-    articles = (facts.where(F.col("article").isNotNull())
-                     .select("store", "segment", F.trunc("ds", "MM").alias("month"), "article").distinct())
-    distinct = (expand_scopes(articles).distinct().groupBy(*SCOPE, "month")
+    distinct = (article_scopes(facts, F.trunc("ds", "MM"), "month").groupBy(*SCOPE, "month")
                 .agg(F.count(F.lit(1)).alias("unique_products")))
     m = sums.join(distinct, [*SCOPE, "month"], "left").fillna(0, ["unique_products"])
     amount = F.col("amount").cast("double")

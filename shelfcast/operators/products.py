@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.functions.joins import salted_join
+from shelfcast.operators.cube import article_scopes
 from shelfcast.operators.ordered import running_sum
 from shelfcast.operators.scope import SCOPE, abc_label, expand_scopes
 from shelfcast.operators.topn import top_n
@@ -191,10 +192,7 @@ def scope_kpis(facts: DataFrame, daily: DataFrame) -> DataFrame:
     lines = (expand_scopes(fine).groupBy(*SCOPE)
              .agg((F.sum("_ps") / F.sum("_n")).alias("mean_line_price"),
                   F.try_divide(F.sum("_as").cast("double"), F.sum("_an")).alias("mean_line_amount")))
-    # sum over days of the distinct articles sold that day = distinct (day, article) pairs
-    arts = facts.where(F.col("article").isNotNull()).select("store", "segment", "ds", "article").distinct()
-    per_day = (expand_scopes(arts).distinct().groupBy(*SCOPE)
-               .agg(F.count(F.lit(1)).alias("_art_days")))
+    per_day = article_scopes(facts, F.col("ds"), "ds").groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("_art_days"))
     d = daily.groupBy(*SCOPE).agg(
         F.sum("lines").alias("lines"), F.sum("y").alias("total_qty"),
         F.sum("amount").cast("double").alias("total_amount"), F.count(F.lit(1)).alias("days"),

@@ -16,6 +16,7 @@ from shelfcast.operators import ordered
 from shelfcast.operators import products as pr
 from shelfcast.operators import scope as sc
 from shelfcast.operators import series as se
+from shelfcast.operators import cube
 from shelfcast.operators.cube import fact_cube
 from shelfcast.plans.report import run_report
 from shelfcast.session import ensure_checkpoint_dir
@@ -125,6 +126,24 @@ def test_intermediates_outlive_the_result_they_were_made_for(spark, name):
     assert "ExistingRDD" in plan and derived.count() > 0
 
 
+def test_articles_are_counted_once_per_scope_and_period(spark, make_sales):
+    """Distinct articles at all four levels against sets, with shops and segments that are missing."""
+    rng = random.Random(11)
+    rows = [(rng.choice(["S", "T", "U", None]), f"2024-0{rng.randint(1, 3)}-0{rng.randint(1, 3)}", rng.choice(["a", "b", "c", "d", None]), "m",
+             rng.choice(["g", "h", None]), 2.0, 1, 2) for _ in range(300)]
+    facts = cube.line_facts(make_sales(rows))
+    for period, name, key in ((F.col("ds"), "ds", lambda d: d), (F.trunc("ds", "MM"), "month", lambda d: d[:8] + "01")):
+        got = {(r.store, r.segment, str(r[name])): r["count"] for r in cube.article_scopes(facts, period, name).groupBy("store", "segment", name).count().collect()}
+        sets = {}
+        for store, day, article, _, segment, *_ in rows:
+            for scope in {(s, g) for s in (store, "*") for g in (segment, "*")}:
+                if article is not None and None not in scope:
+                    sets.setdefault((*scope, key(day)), set()).add(article)
+        assert got == {k: len(v) for k, v in sets.items()}
+    plan = cube.article_scopes(facts, F.col("ds"), "ds").groupBy("store", "segment").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # by (day, article), then one count per scope and task
+
+
 def test_abc_of_a_hot_scope(spark):
     rng = random.Random(6)
     rows = [("*", "*", f"m{i:05d}", 1.0, round(rng.paretovariate(0.8), 2)) for i in range(3000)] + [("*", "*", f"t{i}", 1.0, 5.0) for i in range(50)]
