@@ -27,6 +27,7 @@ from shelfcast.operators import scope as sc
 from shelfcast.operators import series as se
 from shelfcast.operators import weekday as wk
 from shelfcast.plans.context import SalesContext
+from shelfcast.plans.refresh import read_cube, refresh_cube
 from shelfcast.session import ensure_checkpoint_dir
 from shelfcast.sources import sales as src
 from shelfcast.sources import tpch
@@ -125,6 +126,21 @@ def q_snapshot_batch_and_stream(spark, sf_dir):
     return finish(src.read_snapshot(spark, path))
 
 
+@query("refreshed_monthly_sales")
+def q_refreshed_monthly_sales(spark, sf_dir):
+    """D6 from a cube that was refreshed after the snapshot had grown.
+
+    The snapshot gets the lines before 1996, then the rest; the second refresh
+    combines the months of the second commit only.
+    """
+    path = _scratch(spark, "refreshed", sf_dir)
+    lines, early = sales(spark, sf_dir), F.col("sale_date") < F.lit("1996-01-01").cast("date")
+    for part in (early, ~early):
+        src.write_snapshot(lines.filter(part), path, append=True)
+        refresh_cube(spark, path, f"{path}-cube")
+    return SalesContext(src.read_snapshot(spark, path), keep=None, facts=read_cube(spark, f"{path}-cube")).monthly
+
+
 def _scratch(spark: SparkSession, kind: str, sf_dir: str) -> str:
     """A folder of this call's own in the shared folder."""
     return os.path.join(ensure_checkpoint_dir(spark), kind, f"{os.path.basename(sf_dir.rstrip('/'))}-{uuid.uuid4().hex}")

@@ -32,11 +32,12 @@ from shelfcast.session import ensure_checkpoint_dir
 class SalesContext:
     def __init__(self, sales: DataFrame, prep: se.Prep = se.Prep(), horizon: int = 30,
                  line_order: list[str] | None = None, keep: str | None = "persist",
-                 only: frozenset[str] | None = None, method: str = "seasonal"):
+                 only: frozenset[str] | None = None, method: str = "seasonal", facts: DataFrame | None = None):
         if method not in ("seasonal", "fourier"):
             raise ValueError(f"unknown forecast method {method!r}")
         self.method = method
         self.sales = sales
+        self.given_facts = facts  # a fact cube kept between runs (``plans.refresh``)
         self.prep = prep
         self.horizon = horizon
         self.line_order = line_order
@@ -58,7 +59,9 @@ class SalesContext:
 
     @cached_property
     def facts(self) -> DataFrame:
-        """The fact cube when it is kept for many readers, else the lines in its columns."""
+        """The fact cube when it is given or kept for many readers, else the lines in its columns."""
+        if self.given_facts is not None:
+            return self.given_facts
         if not self._kept("facts"):
             return cu.line_facts(self.sales)
         return self.keep(cu.fact_cube(self.sales), "facts")

@@ -735,6 +735,7 @@ ORACLE["rule_hits"] = _rules_sql(30)
 ORACLE["rule_hits_h60"] = _rules_sql(60)
 
 ORACLE["read_snapshot"] = ORACLE["load_sales"]
+ORACLE["refreshed_monthly_sales"] = ORACLE["monthly_sales"]
 ORACLE["snapshot_batch_and_stream"] = ORACLE["load_sales"]
 # lines with an extra cell (k = 22) and lines cut after five cells (k = 23)
 ORACLE["csv_line_outcomes"] = ORACLE["rejection_counts"].replace(

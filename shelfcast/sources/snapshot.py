@@ -98,6 +98,11 @@ class _Folder:
         self.fs.delete(self.at(name), True)
 
 
+def names(spark: SparkSession, path: str, folder: str) -> list[str]:
+    """Entries of a folder of the snapshot; none if it isn't there."""
+    return _Folder(spark, path).names(folder)
+
+
 EMPTY = {"version": 0, "commits": [], "streams": {}}
 
 
@@ -112,7 +117,7 @@ def manifest(spark: SparkSession, path: str) -> dict:
     return json.loads(folder.read(f"manifest/{found[-1]}.json")) if found else EMPTY
 
 
-def _publish(spark: SparkSession, path: str, change: Callable[[dict], dict | None]) -> bool:
+def publish(spark: SparkSession, path: str, change: Callable[[dict], dict | None]) -> bool:
     """Publish what ``change`` makes of the newest manifest; false if it makes nothing of it."""
     while True:
         old = manifest(spark, path)
@@ -155,7 +160,7 @@ def commit(df: DataFrame, path: str, replace: bool = False, batch: tuple[str, in
             return None
         streams = {**old["streams"], **({batch[0]: batch[1]} if batch else {})}
         return {"commits": ([] if replace else old["commits"]) + [entry], "streams": streams}
-    return _publish(spark, path, add)
+    return publish(spark, path, add)
 
 
 def read(spark: SparkSession, path: str, schema: T.StructType, names: Sequence[str] | None = None) -> DataFrame:
@@ -200,7 +205,7 @@ def compact(spark: SparkSession, path: str, schema: T.StructType, fanin: int = F
                 return None  # replaced or compacted by another writer
             kept = [c for c in old["commits"] if c["name"] not in old_names]
             return {"commits": kept + [{"name": name, "bytes": size, "outcomes": counts}], "streams": old["streams"]}
-        if _publish(spark, path, swap):
+        if publish(spark, path, swap):
             done += 1
 
 
