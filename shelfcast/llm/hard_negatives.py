@@ -190,9 +190,15 @@ def _rows_of(dims: int, dim: int, kind: str, values: bytes, n: int) -> np.ndarra
     return np.ascontiguousarray(padded(read_matrix(dim, kind, values, n), dims).T)
 
 
-def fitted_codebooks(rows: DataFrame, scale: float, dims: int, words: int, sample: int) -> Codebooks:
-    """Codebooks of at most ``sample`` rows, those of the least hash (equal rows count once)."""
-    chosen = rows.select("v", F.xxhash64("v", "vec_id").alias("h")).dropDuplicates(["h"]).orderBy("h").limit(sample).collect()
+def fitted_codebooks(rows: DataFrame, n: int, scale: float, dims: int, words: int, sample: int) -> Codebooks:
+    """Codebooks of at most ``sample`` rows, chosen by hash; rows that repeat a vec_id and its vector count once.
+
+    A share of hashes that about four times as many rows have is picked before
+    anything is shuffled.
+    """
+    part = min(1 << 30, (4 * sample << 30) // max(n, 1))
+    picked = rows.select("v", F.xxhash64("v", "vec_id").alias("h")).where(F.pmod("h", F.lit(1 << 30)) < part)
+    chosen = picked.dropDuplicates(["h"]).orderBy("h").limit(sample).collect()
     return Codebooks(padded(whole_matrix([r["v"] for r in chosen], scale), dims).T.copy(), words)
 
 
@@ -244,7 +250,7 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, positives: int = 5, ne
         .withColumn("tag", F.xxhash64("vec_id", "label", "v")), "rows")
     found = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims"), F.count(F.when(F.col("asked"), 1)).alias("asked")).first()
     dims, groups = found["dims"] or 0, max(1, -(-found["asked"] // anchors_per_block))
-    books = fitted_codebooks(rows, scale, dims, words, sample)
+    books = fitted_codebooks(rows, found["n"], scale, dims, words, sample)
     slices = store.write(slices_of(rows, max(1, -(-found["n"] * max(dims, 1) // values_per_slice)), books, dims, scale), "slices")
     asked = (rows.where("asked").dropDuplicates(["vec_id", "label", "v"])
              .withColumn("query_group", F.pmod(F.col("tag"), F.lit(groups)).cast("long")))
