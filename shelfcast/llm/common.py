@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import sys
 import tempfile
@@ -38,17 +39,42 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Blocks of ``intermediates`` that are open, with the runs begun inside.
+_OPEN: list[list[Shared]] = []
+
+
+@contextlib.contextmanager
+def intermediates():
+    """Delete, at the end of the block, all tables that operators called inside it have written.
+
+        with intermediates():
+            near_duplicates(docs).write.parquet(where)
+    """
+    held: list[Shared] = []
+    _OPEN.append(held)
+    try:
+        yield
+    finally:
+        _OPEN.remove(held)
+        for run in held:
+            run.drop("")
+
+
 class Shared:
     """Intermediate tables of one run, written as Parquet under the shared folder.
 
     A written table cuts lineage: it survives lost executors, and whatever reads
-    it does not repeat the work above it. Each run has its own folder.
+    it does not repeat the work above it. Each run has its own folder. Tables
+    that a result reads stay until the caller has stored that result and leaves
+    ``intermediates``.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark).rstrip('/')}/shelfcast-llm/{name}-{uuid.uuid4().hex}"
         self._written: set[str] = set()
+        for held in _OPEN:
+            held.append(self)
 
     def tables(self) -> list[str]:
         """Tables written and not removed."""
@@ -61,11 +87,11 @@ class Shared:
         return self.spark.read.schema(df.schema).parquet(where)
 
     def drop(self, *tables: str) -> None:
-        """Remove tables that no later step reads."""
+        """Remove tables that no later step reads (the empty name: the run's folder)."""
         jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
         for table in tables:
             self._written.discard(table)
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}".rstrip("/"))
             path.getFileSystem(conf).delete(path, True)
 
     def free(self) -> None:
