@@ -74,7 +74,7 @@ def fit_series(days: np.ndarray, y: np.ndarray, future_days: np.ndarray):
     s_hist = (days - days[0]) / span
     s_fut = (future_days - days[0]) / span
     cut = max(1, int(np.floor(KNOT_RANGE * n)))
-    idx = np.unique(np.linspace(0, cut - 1, N_KNOTS + 1).astype(int))[1:]
+    idx = np.unique(np.arange(N_KNOTS + 1) * (cut - 1) // N_KNOTS)[1:]
     knots = s_hist[idx] if len(idx) else np.array([])
     knots = np.unique(knots[(knots > 0) & (knots < 1)])
     bh, bf = _trend_basis(s_hist, knots), _trend_basis(s_fut, knots)

@@ -613,6 +613,82 @@ union all select store, segment, month, forecast_qty as qty, 'forecast' as kind
 })
 
 
+def _solved(gram: str, rhs: str, penalty: str) -> str:
+    """SQL list of unknowns of ``(gram + diag(penalty)) x = rhs``, by Gauss-Jordan steps on the extended rows."""
+    return f"""list_transform(list_reduce(
+  list_concat([list_transform({gram}, lambda r, i:
+                 list_append(list_transform(r, lambda v, j: v + case when i = j then {penalty}[i] else 0 end), {rhs}[i]))],
+              list_transform(range(1, len({rhs}) + 1), lambda k: [[cast(k as double)]])),
+  lambda m, step: list_transform(m, lambda r, i:
+    case when i = cast(step[1][1] as bigint)
+         then list_transform(r, lambda v: v / r[i])
+         else list_transform(r, lambda v, j: v - r[cast(step[1][1] as bigint)] * m[cast(step[1][1] as bigint)][j]
+                                                 / m[cast(step[1][1] as bigint)][cast(step[1][1] as bigint)]) end)),
+  lambda r: r[-1])"""
+
+
+def _fourier_sql() -> str:
+    """25 knots, orders 3 and 10, eight alternating rounds; every ridge step from its normal equations."""
+    wave = [(f, p, k) for p, order in ((7.0, 3), (365.25, 10)) for f in ("sin", "cos") for k in range(1, order + 1)]
+    season = ", ".join(f"{f}(2 * pi() * d * {k} / {p}::double)" for f, p, k in wave)
+    ctes = [SALES, SCOPED, DAILY, WINSOR, PREPARED, """guard as (
+  select store, segment from scoped group by store, segment having count(*) >= 10),
+ser as (select p.store, p.segment, p.ds, p.y from prepared p
+        join guard g on p.store = g.store and p.segment = g.segment),
+hist as (select store, segment, list(ds order by ds) as ds, list(y order by ds) as y, count(*) as n,
+                min(ds) as f, max(ds) as t, coalesce(nullif(max(abs(y)), 0), 1) as scale
+         from ser group by store, segment),
+timed as (select *, list_transform(y, lambda v: v / scale) as ys,
+                 list_concat(list_transform(ds, lambda v: cast(date_diff('day', f, v) as double)),
+                             list_transform(range(1, 31), lambda h: cast(date_diff('day', f, t) + h as double))) as days,
+                 greatest(date_diff('day', f, t), 1)::double as span,
+                 greatest(n * 4 // 5, 1) as cut from hist),
+knots as (select *, list_filter(list_transform(
+                      list_sort(list_distinct(list_transform(range(0, 26), lambda k: k * (cut - 1) // 25)))[2:],
+                      lambda i: days[i + 1] / span), lambda k: k > 0 and k < 1) as kn from timed),
+feat as materialized (
+  select store, segment, ds, y, n, t, scale, ys,
+         list_transform(days, lambda d: list_concat([1, d / span], list_transform(kn, lambda k: greatest(d / span - k, 0)))) as trows,
+         list_transform(days, lambda d: [""" + season + """]) as srows,
+         list_concat([1e-8, 1e-8], list_transform(kn, lambda k: 0.4::double)) as tpen,
+         list_transform(range(26), lambda k: 0.011::double) as spen
+  from knots),
+r0 as materialized (select store, segment, list_transform(range(26), lambda k: 0::double) as beta from feat)"""]
+    for r in range(1, 9):
+        ctes.append(f"""a{r} as materialized (
+  select f.*, list_transform(srows, lambda s: 1 + list_dot_product(s, beta)) as mult
+  from feat f join (select store, segment, beta from r{r - 1}) r using (store, segment)),
+b{r} as materialized (
+  select *, list_transform(range(1, len(tpen) + 1), lambda c: list_transform(range(1, n + 1), lambda i: trows[i][c] * mult[i])) as x
+  from a{r}),
+c{r} as materialized (
+  select *, list_transform(x, lambda p: list_transform(x, lambda q: list_dot_product(p, q))) as gram,
+         list_transform(x, lambda p: list_dot_product(p, ys)) as rhs from b{r}),
+d{r} as materialized (select * exclude (x, gram, rhs, mult), {_solved('gram', 'rhs', 'tpen')} as gamma from c{r}),
+e{r} as materialized (select *, list_transform(trows, lambda s: list_dot_product(s, gamma)) as g from d{r}),
+h{r} as materialized (
+  select *, list_transform(range(1, 27), lambda c: list_transform(range(1, n + 1), lambda i: srows[i][c] * g[i])) as x,
+         list_transform(ys, lambda v, i: v - g[i]) as rest from e{r}),
+k{r} as materialized (
+  select *, list_transform(x, lambda p: list_transform(x, lambda q: list_dot_product(p, q))) as gram,
+         list_transform(x, lambda p: list_dot_product(p, rest)) as rhs from h{r}),
+r{r} as materialized (select * exclude (x, gram, rhs, rest), {_solved('gram', 'rhs', 'spen')} as beta from k{r})""")
+    return with_(*ctes) + """,
+fitted as (select *, list_transform(srows, lambda s, i: g[i] * (1 + list_dot_product(s, beta))) as raw from r8),
+spread as (select *, coalesce(list_stddev_samp(list_transform(ys, lambda v, i: v - raw[i])), 0) as sd from fitted),
+days as (select store, segment, n, t, scale, sd, unnest(list_concat(ds, list_transform(range(1, 31), lambda h: cast(t + cast(h as integer) as date)))) as ds,
+                unnest(list_concat(y, list_transform(range(30), lambda h: null::double))) as y,
+                unnest(g) as trend, unnest(raw) as raw from spread)
+select store, segment, ds, ds > t as is_future, y, trend * scale as trend, raw * scale as yhat_raw,
+       greatest(raw * scale, 0) as yhat,
+       greatest((raw - 1.2815515655446004 * sd) * scale, 0) as yhat_lower,
+       greatest((raw + 1.2815515655446004 * sd) * scale, 0) as yhat_upper
+from days"""
+
+
+ORACLE["forecast_fourier"] = _fourier_sql()
+
+
 def _sub(name: str) -> str:
     return f"({ORACLE[name]})"
 
