@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.operators.scope import SCOPE, weekday
@@ -145,20 +145,32 @@ def accuracy(pairs: DataFrame) -> DataFrame:
     constant actuals. Grade: MAPE < 10 and R² > 0.8 excellent; MAPE < 20
     and R² > 0.6 good; else fair.
     """
-    mean_y = F.avg("y").over(Window.partitionBy(*SCOPE))
-    e = pairs.withColumn("_e", F.col("y") - F.col("yhat_raw")).withColumn("_m", mean_y)
-    a = e.groupBy(*SCOPE).agg(
-        F.count(F.lit(1)).alias("n_days"),
-        F.avg(F.abs("_e")).alias("mae"), F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"),
-        F.coalesce(F.avg(F.when(F.col("y") != 0, F.abs(F.col("_e") / F.col("y")))) * 100, F.lit(0.0)).alias("mape"),
-        F.sum(F.col("_e") * F.col("_e")).alias("_sse"),
-        F.sum((F.col("y") - F.col("_m")) * (F.col("y") - F.col("_m"))).alias("_sst"))
+    a = with_errors(pairs).groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("n_days"), *error_sums())
+    r2, grade = fit_grade()
+    return a.withColumn("r2", r2).select(*SCOPE, "n_days", "mae", "rmse", "mape", "r2", grade.alias("quality"))
+
+
+def with_errors(pairs: DataFrame) -> DataFrame:
+    """Adds the error ``_e`` of every day and the mean ``_m`` of the scope's actuals."""
+    return (pairs.withColumn("_e", F.col("y") - F.col("yhat_raw"))
+                 .withColumn("_m", F.avg("y").over(Window.partitionBy(*SCOPE))))
+
+
+def error_sums() -> list[Column]:
+    """Aggregates over ``with_errors`` rows; rows without an actual don't count."""
+    return [F.avg(F.abs("_e")).alias("mae"), F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"),
+            F.coalesce(F.avg(F.when(F.col("y") != 0, F.abs(F.col("_e") / F.col("y")))) * 100, F.lit(0.0)).alias("mape"),
+            F.sum(F.col("_e") * F.col("_e")).alias("_sse"),
+            F.sum((F.col("y") - F.col("_m")) * (F.col("y") - F.col("_m"))).alias("_sst")]
+
+
+def fit_grade() -> tuple[Column, Column]:
+    """R² and grade from the columns of ``error_sums``; the grade reads a column ``r2``."""
     r2 = (F.when(F.col("_sst") > 0, 1 - F.col("_sse") / F.col("_sst"))
            .when(F.col("_sse") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-    a = a.withColumn("r2", r2)
     grade = (F.when((F.col("mape") < 10) & (F.col("r2") > 0.8), "excellent")
               .when((F.col("mape") < 20) & (F.col("r2") > 0.6), "good").otherwise("fair"))
-    return a.select(*SCOPE, "n_days", "mae", "rmse", "mape", "r2", grade.alias("quality"))
+    return r2, grade
 
 
 def scenarios(fc: DataFrame) -> DataFrame:
@@ -192,25 +204,40 @@ def forecast_kpis(fc: DataFrame, daily: DataFrame, volatility: DataFrame, horizo
     """
     # history rows of the forecast hold the processed series, so one ordered pass over it gives all but the price
     scope = Window.partitionBy(*SCOPE)
-    future = F.col("is_future")
     rows = (fc.withColumn("_rk", F.row_number().over(scope.orderBy(F.col("ds").desc())))
-              .withColumn("_h", F.count_if(future).over(scope)))
+              .withColumn("_h", F.count_if(F.col("is_future")).over(scope)))
+    f = rows.groupBy(*SCOPE).agg(*horizon_sums(horizon)).filter(F.col("total_forecast").isNotNull())
+    price = daily.groupBy(*SCOPE).agg(weighted_price(F.sum("y"), F.sum("amount")).alias("weighted_price"))
+    j = f.join(price, list(SCOPE)).join(volatility.select(*SCOPE, "volatility"), list(SCOPE))
+    return j.select(*SCOPE, *kpi_columns(horizon))
+
+
+def weighted_price(qty, amount) -> Column:
+    """Amount per piece of summed quantity and amount, 0 without a quantity."""
+    return F.when(qty > 0, amount.cast("double") / qty).otherwise(0.0)
+
+
+def horizon_sums(horizon: int) -> list[Column]:
+    """Aggregates of J6, J10, J12 and J13 over forecast rows with their place from the end (``_rk``) and the
+    scope's number of horizon days (``_h``). Rows whose ``is_future`` is NULL don't count."""
+    future = F.col("is_future")
     back = F.col("_rk") - F.col("_h")  # 1 for the last observed day
     rnd = {c: F.when(future, F.bround(F.greatest(F.col(c), F.lit(0.0)), 0).cast("long")) for c in ("yhat", "yhat_lower", "yhat_upper")}
-    f = rows.groupBy(*SCOPE).agg(
+    return [
         F.avg(F.when(future, F.col("yhat"))).alias("avg_forecast"), F.sum(F.when(future, F.col("yhat"))).alias("total_forecast"),
         F.avg(rnd["yhat"]).alias("_r"), F.avg(rnd["yhat_upper"]).alias("_o"), F.avg(rnd["yhat_lower"]).alias("_p"),
         (F.avg(F.when(F.col("_rk") <= 7, rnd["yhat"])) - F.avg(F.when(F.col("_rk") > F.col("_h") - 7, rnd["yhat"]))).alias("horizon_trend"),
         F.avg(F.when(~future & (back <= 30), F.col("y"))).alias("last30_mean"),
-        F.sum(F.when(~future & (back <= horizon), F.col("y"))).alias("last_h_sum")).filter(F.col("total_forecast").isNotNull())
-    price = daily.groupBy(*SCOPE).agg(
-        F.when(F.sum("y") > 0, F.sum("amount").cast("double") / F.sum("y")).otherwise(0.0).alias("weighted_price"))
-    j = f.join(price, list(SCOPE)).join(volatility.select(*SCOPE, "volatility"), list(SCOPE))
+        F.sum(F.when(~future & (back <= horizon), F.col("y"))).alias("last_h_sum")]
+
+
+def kpi_columns(horizon: int) -> list[Column]:
+    """The forecast KPIs from ``horizon_sums``, ``weighted_price`` and ``volatility``."""
     stock = F.col("total_forecast") * 1.2
     growth = F.when(F.col("last_h_sum") > 0, (F.col("total_forecast") / F.col("last_h_sum") - 1) * 100).otherwise(0.0)
     uncertainty = F.when(F.col("_r") > 0, ((F.col("_o") - F.col("_p")) / 2) / F.col("_r") * 100).otherwise(0.0)
-    return j.select(
-        *SCOPE, "avg_forecast", "total_forecast",
+    return [
+        F.col("avg_forecast"), F.col("total_forecast"),
         F.when(F.col("weighted_price") > 0, F.col("total_forecast") * F.col("weighted_price")).otherwise(0.0)
          .alias("forecast_revenue"),
         (F.col("avg_forecast") - F.col("last30_mean")).alias("avg_vs_last30"),
@@ -218,11 +245,11 @@ def forecast_kpis(fc: DataFrame, daily: DataFrame, volatility: DataFrame, horizo
         growth.alias("forecast_growth_pct"),
         ((1 - F.col("volatility")) * 100).alias("confidence_score"),
         uncertainty.alias("uncertainty_pct"),
-        "horizon_trend",
+        F.col("horizon_trend"),
         F.when(F.col("horizon_trend") > 0, "up").when(F.col("horizon_trend") < 0, "down").otherwise("flat")
          .alias("trend_direction"),
         stock.alias("stock_target"), (stock / horizon).alias("stock_per_day"),
-        F.floor(stock / (horizon * 8)).cast("long").alias("transactions_per_hour"))
+        F.floor(stock / (horizon * 8)).cast("long").alias("transactions_per_hour")]
 
 
 def forecast_monthly(fc: DataFrame, monthly: DataFrame) -> DataFrame:

@@ -1,8 +1,7 @@
 """Threshold findings as rows.
 
-Every scope that can be forecast gets one indicator row (monthly summary,
-first/last sale lines, volatility, forecast KPIs, accuracy, weekday profile,
-product KPIs, history). Each rule is a boolean condition over that row; the
+Every scope that can be forecast gets one indicator row (the profile of its
+daily series and forecast, monthly summary, first/last sale lines, product KPIs). Each rule is a boolean condition over that row; the
 hits are exploded into ``(store, segment, family, rule_code, severity,
 value)``. The conditions are SQL expressions over the indicator columns.
 """
@@ -12,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.operators.scope import SCOPE
@@ -106,20 +105,14 @@ RULES = (
 )
 
 
-def raw_recent(daily: DataFrame, n: int = 30) -> DataFrame:
-    """Mean of all and of the last ``n`` raw daily quantities per scope."""
-    rk = F.row_number().over(Window.partitionBy(*SCOPE).orderBy(F.col("ds").desc()))
-    return (daily.withColumn("_rk", rk).groupBy(*SCOPE)
-                 .agg(F.avg("y").alias("raw_daily_mean"),
-                      F.avg(F.when(F.col("_rk") <= n, F.col("y"))).alias("raw_last30_mean")))
-
-
-def indicators(scopes: DataFrame, *, monthly_summary: DataFrame, seasonality: DataFrame,
-               fmonthly: DataFrame, line_sums: DataFrame, volatility: DataFrame, daily: DataFrame,
-               fkpis: DataFrame, series_stats: DataFrame, acc: DataFrame, wd_extremes: DataFrame,
-               pkpis: DataFrame, skpis: DataFrame, history: DataFrame, ftail: DataFrame, horizon: int) -> DataFrame:
-    """One row per scope with every column a rule reads."""
+def indicators(profile: DataFrame, *, monthly_summary: DataFrame, seasonality: DataFrame, fmonthly: DataFrame,
+               line_sums: DataFrame, pkpis: DataFrame, skpis: DataFrame, horizon: int) -> DataFrame:
+    """One row per scope of ``profile`` (``operators.profile``) with every column a rule reads."""
     k = list(SCOPE)
+    pf = profile.select(*k, F.lit(True).alias("_wanted"), "raw_cv", "raw_daily_mean", "raw_last30_mean",
+                        "forecast_growth_pct", "confidence_score", "uncertainty_pct", "avg_forecast_tail",
+                        "processed_cv", "mape", "quality", "best_weekday", "weekday_std", "weekday_min",
+                        "weak_day_gap", "data_days")
     ms = monthly_summary.select(*k, "months", F.col("last_qty").alias("last_month_qty"),
                                 F.col("prev_qty").alias("prev_month_qty"), "mom_growth_pct",
                                 "recent_price", "early_price", "last_products", "mean_products")
@@ -130,17 +123,10 @@ def indicators(scopes: DataFrame, *, monthly_summary: DataFrame, seasonality: Da
                           F.col("last_qty").alias("head_tail_last_qty"),
                           F.col("first_price").alias("head_tail_first_price"),
                           F.col("last_price").alias("head_tail_last_price"))
-    vo = volatility.select(*k, F.col("cv_raw").alias("raw_cv"))
-    fk = fkpis.select(*k, "forecast_growth_pct", "confidence_score", "uncertainty_pct")
-    ss = series_stats.select(*k, (F.col("cv_after_pct") / 100).alias("processed_cv"))
-    ac = acc.select(*k, "mape", "quality")
-    we = wd_extremes.select(*k, "best_weekday", "weekday_std", "weekday_min", "weak_day_gap")
     pk = pkpis.select(*k, "top5_share_pct", "top10_share_pct", "growing_count", "declining_count", "stable_count")
     sk = skpis.select(*k, "avg_ticket", "mean_line_amount")
-    hi = history.select(*k, (F.col("span_days") - 1).alias("data_days"))
     # every part has at most one row per scope: stacked and combined in one shuffle, not joined one by one
-    parts = [scopes.select(*k, F.lit(True).alias("_wanted")),
-             ms, se, fm, lw, vo, raw_recent(daily), fk, ftail, ss, ac, we, pk, sk, hi]
+    parts = [pf, ms, se, fm, lw, pk, sk]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     out = stacked.groupBy(*k).agg(*[F.max(c).alias(c) for c in stacked.columns if c not in k])
     return out.filter("_wanted").drop("_wanted").withColumn("horizon", F.lit(horizon))

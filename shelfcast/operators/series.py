@@ -179,14 +179,19 @@ def segment_volatility(daily: DataFrame) -> DataFrame:
     """
     agg = daily.groupBy(*SCOPE).agg(
         F.sum("lines").alias("_lines"), F.avg("y").alias("_m"), F.stddev_samp("y").alias("_s"))
-    ratio = F.try_divide(F.col("_s"), F.col("_m"))
-    vol = (F.when((F.col("_lines") < 2) | (F.col("_m") == 0), F.lit(0.3))
-            .when(ratio.isNotNull(), F.least(F.greatest(ratio, F.lit(0.0)), F.lit(1.0))))
-    cv = F.when(F.col("_m") > 0, ratio).otherwise(F.lit(0.0))
+    vol, cv = volatility_columns(F.col("_lines"), F.col("_m"), F.col("_s"))
     return agg.select(*SCOPE, vol.alias("volatility"), cv.alias("cv_raw"))
 
 
-def _cv_pct(mean, std):
+def volatility_columns(lines, mean, std):
+    """D4 from a scope's lines and the mean and standard deviation of its days: clamped and raw."""
+    ratio = F.try_divide(std, mean)
+    vol = (F.when((lines < 2) | (mean == 0), F.lit(0.3))
+            .when(ratio.isNotNull(), F.least(F.greatest(ratio, F.lit(0.0)), F.lit(1.0))))
+    return vol, F.when(mean > 0, ratio).otherwise(F.lit(0.0))
+
+
+def cv_pct(mean, std):
     return F.when(mean > 0, std / mean * 100).otherwise(F.lit(0.0))
 
 
@@ -195,8 +200,8 @@ def series_stats(prepared: DataFrame) -> DataFrame:
     a = prepared.groupBy(*SCOPE).agg(
         F.avg("y_raw").alias("mean_before"), F.stddev_samp("y_raw").alias("std_before"),
         F.avg("y").alias("mean_after"), F.stddev_samp("y").alias("std_after"))
-    return (a.withColumn("cv_before_pct", _cv_pct(F.col("mean_before"), F.col("std_before")))
-             .withColumn("cv_after_pct", _cv_pct(F.col("mean_after"), F.col("std_after")))
+    return (a.withColumn("cv_before_pct", cv_pct(F.col("mean_before"), F.col("std_before")))
+             .withColumn("cv_after_pct", cv_pct(F.col("mean_after"), F.col("std_after")))
              .withColumn("mean_diff", F.col("mean_after") - F.col("mean_before"))
              .withColumn("std_diff", F.col("std_after") - F.col("std_before"))
              .withColumn("cv_diff_pct", F.col("cv_after_pct") - F.col("cv_before_pct")))

@@ -22,6 +22,7 @@ from shelfcast.operators import forecast as fo
 from shelfcast.operators import fourier as fu
 from shelfcast.operators import monthly as mo
 from shelfcast.operators import products as pr
+from shelfcast.operators import profile as pf
 from shelfcast.operators import rules as ru
 from shelfcast.operators import scope as sc
 from shelfcast.operators import series as se
@@ -474,13 +475,10 @@ def q_forecast_fourier(spark, sf_dir):
 
 def rule_indicators(c: SalesContext) -> DataFrame:
     return ru.indicators(
-        c.guard,
+        pf.scope_profile(c.daily, c.forecast, c.horizon),
         monthly_summary=mo.monthly_summary(c.monthly), seasonality=mo.monthly_seasonality(c.monthly),
-        fmonthly=c.forecast_monthly, line_sums=c.line_sums, volatility=c.volatility, daily=c.daily,
-        fkpis=c.forecast_kpis, series_stats=se.series_stats(c.prepared), acc=fo.accuracy(c.pairs),
-        wd_extremes=wk.weekday_extremes(wk.weekday_sales(c.daily)),
-        pkpis=pr.product_kpis(c.trend), skpis=pr.scope_kpis(c.facts, c.daily),
-        history=se.history_stats(c.daily, c.prepared), ftail=fo.tail_mean(c.forecast), horizon=c.horizon)
+        fmonthly=c.forecast_monthly, line_sums=c.line_sums,
+        pkpis=pr.product_kpis(c.trend), skpis=pr.scope_kpis(c.facts, c.daily), horizon=c.horizon)
 
 
 @query("rule_hits")
