@@ -46,24 +46,28 @@ def restrict_to_scopes(prepared: DataFrame, scopes: DataFrame) -> DataFrame:
 
 def fit_seasonal_index(prepared: DataFrame) -> SeasonalIndexModel:
     """Fit trend x weekday index x month index on the processed ``y``."""
+    return model_from_base(_windowed_fit(prepared))
+
+
+def _windowed_fit(rows: DataFrame) -> DataFrame:
+    """Fit and fitted values beside every row; rows without ``y`` are predicted, but take no part in the fit."""
     w = Window.partitionBy(*SCOPE)
-    s = (prepared.withColumn("first_ds", F.min("ds").over(w))
-                 .withColumn("last_ds", F.max("ds").over(w))
-                 .withColumn("t", F.datediff("ds", "first_ds").cast("double"))
-                 .withColumn("mean_y", F.avg("y").over(w))
-                 .withColumn("slope", F.coalesce(F.regr_slope("y", "t").over(w), F.lit(0.0)))
-                 .withColumn("intercept", F.coalesce(F.regr_intercept("y", "t").over(w), F.col("mean_y")))
-                 .withColumn("trend", F.col("intercept") + F.col("slope") * F.col("t"))
-                 .withColumn("weekday", weekday("ds"))
-                 .withColumn("month_num", F.month("ds")))
+    s = (rows.withColumn("first_ds", F.min("ds").over(w))
+             .withColumn("last_ds", F.max("ds").over(w))
+             .withColumn("t", F.datediff("ds", "first_ds").cast("double"))
+             .withColumn("mean_y", F.avg("y").over(w))
+             .withColumn("slope", F.coalesce(F.regr_slope("y", "t").over(w), F.lit(0.0)))
+             .withColumn("intercept", F.coalesce(F.regr_intercept("y", "t").over(w), F.col("mean_y")))
+             .withColumn("trend", F.col("intercept") + F.col("slope") * F.col("t"))
+             .withColumn("weekday", weekday("ds"))
+             .withColumn("month_num", F.month("ds")))
     floor = F.greatest(F.col("trend"), F.lit(0.05) * F.col("mean_y"))
     s = s.withColumn("ratio", F.try_divide(F.col("y"), floor))
     s = s.withColumn("wi", F.avg("ratio").over(Window.partitionBy(*SCOPE, "weekday")))
     s = s.withColumn("mi", F.avg(F.try_divide(F.col("ratio"), F.col("wi")))
                      .over(Window.partitionBy(*SCOPE, "month_num")))
     s = s.withColumn("yhat_raw", F.col("trend") * F.coalesce("wi", F.lit(1.0)) * F.coalesce("mi", F.lit(1.0)))
-    s = s.withColumn("resid_sd", F.coalesce(F.stddev_samp(F.col("y") - F.col("yhat_raw")).over(w), F.lit(0.0)))
-    return model_from_base(s)
+    return s.withColumn("resid_sd", F.coalesce(F.stddev_samp(F.col("y") - F.col("yhat_raw")).over(w), F.lit(0.0)))
 
 
 def model_from_base(s: DataFrame) -> SeasonalIndexModel:
@@ -115,6 +119,23 @@ def forecast(model: SeasonalIndexModel, horizon: int = 30) -> DataFrame:
     return _with_interval(hist.unionByName(fut))
 
 
+def fit_forecast(prepared: DataFrame, horizon: int = 30) -> DataFrame:
+    """``forecast(fit_seasonal_index(prepared), horizon)`` in one pass, without a model table.
+
+    The last day of each scope is followed by its horizon days before the fit,
+    so they get trend and indices from the same windows: nothing is joined, and
+    every step keeps the partitioning by scope.
+    """
+    last = F.max("ds").over(Window.partitionBy(*SCOPE))
+    day = lambda ds, future, y: F.struct(ds.alias("ds"), future.alias("is_future"), y.alias("y"))
+    observed = F.array(day(F.col("ds"), F.lit(False), F.col("y")))
+    ahead = F.transform(F.sequence(F.date_add("ds", 1), F.date_add("ds", horizon)),
+                        lambda d: day(d, F.lit(True), F.lit(None).cast("double")))
+    rows = (prepared.select(*SCOPE, "ds", "y").withColumn("_last", last)
+            .select(*SCOPE, F.inline(F.when(F.col("ds") == F.col("_last"), F.concat(observed, ahead)).otherwise(observed))))
+    return _with_interval(_windowed_fit(rows).select(*SCOPE, "ds", "is_future", "y", "trend", "yhat_raw", "resid_sd"))
+
+
 def future_rows(fc: DataFrame) -> DataFrame:
     """Forecast rows after the last observed date."""
     return fc.filter(F.col("is_future"))

@@ -59,7 +59,7 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Intermediates that the forecast and the rule queries read in several branches
 # (measured at sf0.1: keeping only these beats keeping the whole chain).
-FORECAST_KEEP = frozenset({"daily", "model", "forecast"})
+FORECAST_KEEP = frozenset({"daily", "forecast"})
 RULE_KEEP = frozenset({"daily", "forecast", "monthly"})
 
 

@@ -94,7 +94,7 @@ class SalesContext:
     def forecast(self) -> DataFrame:
         if self.method == "fourier":
             return self.keep(fu.forecast_fourier(self.prepared, self.horizon), "forecast")
-        return self.keep(fo.forecast(self.model, self.horizon), "forecast")
+        return self.keep(fo.fit_forecast(self.prepared, self.horizon), "forecast")
 
     @cached_property
     def monthly(self) -> DataFrame:

@@ -41,6 +41,20 @@ def test_seasonal_index_quality(spark):
     _check(fc, holdout, train)
 
 
+def test_one_pass_forecast_equals_the_fitted_model(spark):
+    """Two scopes: one with every weekday and month, one of a few days with gaps (weekdays and months it never saw)."""
+    prepared, _, _ = _synthetic(spark)
+    few = spark.createDataFrame([("T", "G", dt.date(2024, 1, 29) + dt.timedelta(days=i), v) for i, v in ((0, 4.0), (1, 7.0), (7, 0.0))]
+                                + [("U", "G", dt.date(2024, 2, 29), 3.0)], prepared.schema)
+    both = prepared.union(few)
+    order = ["store", "segment", "ds"]
+    got = fo.fit_forecast(both, 40).toPandas().sort_values(order, ignore_index=True)
+    want = fo.forecast(fo.fit_seasonal_index(both), 40).toPandas().sort_values(order, ignore_index=True)
+    assert got.is_future.sum() == 120
+    pd.testing.assert_frame_equal(got, want, rtol=1e-9, atol=1e-9)
+    assert fo.fit_forecast(both.limit(0), 40).count() == 0
+
+
 def test_fourier_quality(spark):
     prepared, holdout, train = _synthetic(spark)
     fc = fu.forecast_fourier(prepared, 90).toPandas()
