@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfcast.sources.sales import MONEY
 
@@ -70,15 +71,20 @@ def write_dirty_lines(spark: SparkSession, sf_dir: str, path: str, files: int =
     """The dirty rows as CSV files with a header, some lines of which don't fit it.
 
     Lines of ``k = 22`` have an extra cell, lines of ``k = 23`` end after five.
+    They are dealt over ``files`` folders. Each task writes its own lines there,
+    so no task holds more of them than it has read.
     """
     rows = _dirty_rows(spark, sf_dir)
     cells = [c for c in rows.columns if c != "k"]
     line = (F.when(F.col("k") == 22, F.concat(F.to_csv(F.struct(*cells)), F.lit(",extra")))
              .when(F.col("k") == 23, F.to_csv(F.struct(*cells[:5]))).otherwise(F.to_csv(F.struct(*cells))))
-    lines = rows.select(F.pmod(F.xxhash64(*rows.columns), F.lit(files)).alias("file"), F.lit(1).alias("place"), line.alias("value"))
-    heads = spark.range(files).select(F.col("id").alias("file"), F.lit(0).alias("place"), F.lit(",".join(cells)).alias("value"))
-    (lines.unionByName(heads).repartition(files, "file").sortWithinPartitions("file", "place")
-          .select("file", "value").write.partitionBy("file").text(path))
+    header = ",".join(cells)
+    lines = rows.select(F.pmod(F.xxhash64(*rows.columns), F.lit(files)).alias("file"), line.alias(header))
+    # written as CSV of one column whose name is the header: no cell is quoted or trimmed again
+    as_they_are = {"header": True, "sep": "\u0001", "quote": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    # a file of the header alone, for tables without lines
+    spark.createDataFrame([], T.StructType([T.StructField(header, T.StringType())])).write.options(**as_they_are).csv(f"{path}/file=0")
+    lines.write.mode("append").partitionBy("file").options(**as_they_are).csv(path)
 
 
 def _dirty_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -205,3 +205,57 @@ def test_report_of_one_selection_with_the_fourier_model(spark, tmp_path):
     assert {r.store for r in fc.select("store").distinct().collect()} == {"NATION_12", "*"}
     assert spark.read.parquet(str(tmp_path / "out" / "forecast_accuracy")).count() == 4
     assert fact_cube(tpch.sales_view(spark, SF)).count() > 0
+
+
+def odd_tables(spark, path, rows):
+    """A folder of the tables of the sales view: ``rows`` lines of 40 articles, one of them in an eighth of the lines."""
+    def put(name, data, schema):
+        spark.createDataFrame(data, schema).write.parquet(f"{path}/{name}.parquet")
+    put("part", [(i, f' p "{i}", x ' if i % 3 else f"p{i}", f"B{i % 5}", f"T{i % 4}") for i in range(40)],
+        "p_partkey long, p_name string, p_brand string, p_type string")
+    put("supplier", [(i, i % 3) for i in range(6)], "s_suppkey long, s_nationkey int")
+    put("nation", [(0, "N0"), (1, "N,1"), (2, None)], "n_nationkey int, n_name string")
+    i = F.col("id")
+    (spark.range(rows).select(
+        i.alias("l_orderkey"), F.when(i % 8 == 0, 7).otherwise(i % 40).alias("l_partkey"), (i % 6).alias("l_suppkey"),
+        (i % 7).cast("int").alias("l_linenumber"), (1 + i % 9).cast("double").alias("l_quantity"),
+        (10 + i % 50).cast("double").alias("l_extendedprice"),
+        F.timestamp_seconds(F.lit(820_000_000) + (i * 31 % 400) * 86_400).cast("timestamp_ntz").alias("l_shipdate"))
+     .write.parquet(f"{path}/lineitem.parquet"))
+    return path
+
+
+def fixed_deals(spark, run):
+    """Calls of ``repartition`` with a fixed number of partitions while ``run`` runs."""
+    seen = []
+
+    def watched(self, *args, **options):
+        if args and isinstance(args[0], int):
+            seen.append(args)
+        return real(self, *args, **options)
+    frame = type(spark.range(0))
+    real = frame.repartition
+    frame.repartition = watched
+    try:
+        run()
+    finally:
+        frame.repartition = real
+    return seen
+
+
+@pytest.mark.parametrize("rows", [0, 4000])
+def test_ragged_lines_are_written_by_the_tasks_that_made_them(spark, tmp_path, rows):
+    """Not dealt to a fixed number of tasks, which would grow with the table; every line is there, whole."""
+    tables, path = odd_tables(spark, str(tmp_path / "in"), rows), str(tmp_path / "lines")
+    assert not fixed_deals(spark, lambda: tpch.write_dirty_lines(spark, tables, path))
+    found = [f.read_text().splitlines() for f in (tmp_path / "lines").glob("file=*/*.csv")]
+    assert found and all(f[0] == "Magazin,Datasales,Art,Describe,Model,Segment,Price,Qty,Sum" for f in found)
+    lines = [x for f in found for x in f[1:]]
+    dirty = tpch._dirty_rows(spark, tables)
+    cells = F.struct(*[c for c in dirty.columns if c != "k"])
+    want = [r.line + ",extra" if r.k == 22 else r.short if r.k == 23 else r.line
+            for r in dirty.select("k", F.to_csv(cells).alias("line"), F.to_csv(F.struct(*dirty.columns[:5])).alias("short")).collect()]
+    assert sorted(lines) == sorted(want) and len(lines) == rows
+    if rows:
+        outcomes = {r.outcome: r.lines for r in entry.queries()["csv_line_outcomes"](spark, tables).collect()}
+        assert sum(outcomes.values()) == rows and outcomes["bad_line"] > 0
