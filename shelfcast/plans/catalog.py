@@ -31,7 +31,7 @@ from shelfcast.plans.context import SalesContext
 from shelfcast.plans.refresh import read_cube, refresh_cube
 from shelfcast.session import ensure_checkpoint_dir
 from shelfcast.sources import sales as src
-from shelfcast.sources import tpch
+from shelfcast.sources import snapshot, tpch
 from shelfcast.streaming.ingest import start_ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,14 +116,19 @@ def q_csv_line_outcomes(spark, sf_dir):
 def q_snapshot_batch_and_stream(spark, sf_dir):
     """A part of the export written as a snapshot by a batch job, the rest added by the stream, all read back.
 
-    The stream takes its files one by one, and its small commits are compacted on the way.
+    The stream takes its files in four to seven turns, and its small commits are compacted on the way.
     """
     path = _scratch(spark, "shared_snapshots", sf_dir)
     rows = tpch.dirty_source(spark, sf_dir)
     part = F.pmod(F.xxhash64(*rows.columns), F.lit(3))
     src.write_snapshot(src.load_sales(rows.filter(part == 0)), path)
-    rows.filter(part > 0).repartition(4).write.option("header", True).csv(f"{path}-files")
-    start_ingest(spark, f"{path}-files", path, f"{path}-offsets", max_files_per_trigger=1, fanin=4).awaitTermination()
+    files = f"{path}-files"
+    # every task writes its own lines, into four folders: at least four files also where there is one task
+    deal = F.pmod(F.xxhash64(F.lit("deal"), *rows.columns), F.lit(4))
+    rows.filter(part > 0).withColumn("deal", deal).write.partitionBy("deal").option("header", True).csv(files)
+    written = snapshot.count_files(spark, files, ".csv")
+    start_ingest(spark, f"{files}/deal=*", path, f"{path}-offsets", max_files_per_trigger=max(1, written // 4),
+                 fanin=4).awaitTermination()
     return finish(src.read_snapshot(spark, path))
 
 

@@ -103,6 +103,15 @@ def names(spark: SparkSession, path: str, folder: str) -> list[str]:
     return _Folder(spark, path).names(folder)
 
 
+def count_files(spark: SparkSession, path: str, ending: str) -> int:
+    """Files below ``path`` whose name has this ending."""
+    folder = _Folder(spark, path)
+    found, count = folder.fs.listFiles(folder.root, True), 0
+    while found.hasNext():
+        count += found.next().getPath().getName().endswith(ending)
+    return count
+
+
 EMPTY = {"version": 0, "commits": [], "streams": {}}
 
 

@@ -20,7 +20,7 @@ from shelfcast.operators import cube
 from shelfcast.operators.cube import fact_cube
 from shelfcast.plans.report import run_report
 from shelfcast.session import ensure_checkpoint_dir
-from shelfcast.sources import tpch
+from shelfcast.sources import snapshot, tpch
 
 SF = "/root/testdata/sf0.001"
 
@@ -259,3 +259,23 @@ def test_ragged_lines_are_written_by_the_tasks_that_made_them(spark, tmp_path, r
     if rows:
         outcomes = {r.outcome: r.lines for r in entry.queries()["csv_line_outcomes"](spark, tables).collect()}
         assert sum(outcomes.values()) == rows and outcomes["bad_line"] > 0
+
+
+def test_the_stream_takes_files_of_the_tasks_that_made_them(spark, tmp_path, monkeypatch):
+    """The export is not dealt to four tasks; it comes in at least four turns, also from one task, and is whole."""
+    from shelfcast.plans import catalog
+    tables, turns = odd_tables(spark, str(tmp_path / "in"), 4000), []
+
+    def start(*args, **options):
+        files = snapshot.count_files(spark, args[1].rpartition("/")[0], ".csv")
+        turns.append(-(-files // options["max_files_per_trigger"]))
+        return started(*args, **options)
+    started = catalog.start_ingest
+    monkeypatch.setattr(catalog, "start_ingest", start)
+    out = []
+    assert not fixed_deals(spark, lambda: out.append(entry.queries()["snapshot_batch_and_stream"](spark, tables)))
+    want = entry.queries()["load_sales"](spark, tables)
+    plain = lambda df: sorted(map(str, df.withColumn("description", F.trim("description")).collect()))
+    assert plain(out[0]) == plain(want)  # blanks around a CSV cell are not kept
+    assert 4 <= turns[0] <= 7
+
