@@ -43,6 +43,31 @@ def line_facts(sales: DataFrame) -> DataFrame:
         F.col("price").alias("price_sum"))
 
 
+def model_days(facts: DataFrame) -> DataFrame:
+    """The facts without articles: one row per ``(store, segment, model, day)``, in the cube's other columns.
+
+    Bounded by models and calendar, not by sales; what needs no article gives
+    the same results on it.
+    """
+    return (facts.groupBy("store", "segment", "model", "ds")
+                 .agg(F.sum("qty").alias("qty"), F.sum("amount").alias("amount"), F.sum("lines").alias("lines"),
+                      F.sum("amount_lines").alias("amount_lines"), F.sum("price_sum").alias("price_sum")))
+
+
+def _article_pairs(facts: DataFrame, period: Column, name: str) -> DataFrame:
+    """(period, article, _pairs): the distinct (store, segment) pairs that sold the article in that period."""
+    return (facts.where(F.col("article").isNotNull()).groupBy(period.alias(name), "article")
+            .agg(F.collect_set(F.struct("store", "segment")).alias("_pairs")))
+
+
+def _scopes_of_pairs() -> Column:
+    """The distinct scopes, at all four levels, of the pairs of a row."""
+    def levels(p: Column) -> Column:
+        return F.array(*[F.struct(s.alias("store"), g.alias("segment"))
+                         for s in (p["store"], F.lit(ALL)) for g in (p["segment"], F.lit(ALL))])
+    return F.array_distinct(F.flatten(F.transform("_pairs", levels)))
+
+
 def article_scopes(facts: DataFrame, period: Column, name: str) -> DataFrame:
     """(store, segment, period): one row per scope, period and distinct article sold in it.
 
@@ -51,12 +76,20 @@ def article_scopes(facts: DataFrame, period: Column, name: str) -> DataFrame:
     that period, at all four levels. Counts of the result are combined in the
     task that makes it, so no article row is shuffled again.
     """
-    pairs = (facts.where(F.col("article").isNotNull()).groupBy(period.alias(name), "article")
-             .agg(F.collect_set(F.struct("store", "segment")).alias("_pairs")))
-
-    def levels(p: Column) -> Column:
-        return F.array(*[F.struct(s.alias("store"), g.alias("segment"))
-                         for s in (p["store"], F.lit(ALL)) for g in (p["segment"], F.lit(ALL))])
-    scopes = F.array_distinct(F.flatten(F.transform("_pairs", levels)))
-    return (pairs.select(F.explode(scopes).alias("_scope"), name).select("_scope.*", name)
+    return (_article_pairs(facts, period, name).select(F.explode(_scopes_of_pairs()).alias("_scope"), name)
+            .select("_scope.*", name)
             .filter(F.col("store").isNotNull() & F.col("segment").isNotNull()))
+
+
+def article_counts(facts: DataFrame, period: Column, name: str, articles: str) -> DataFrame:
+    """(store, segment, period, articles): distinct articles, as counted from the rows of ``article_scopes``.
+
+    Articles that were sold by the same pairs in a period are counted together
+    before they are fanned out, so the levels are listed once for each such
+    set of pairs and not for each article.
+    """
+    alike = (_article_pairs(facts, period, name).groupBy(name, F.sort_array("_pairs").alias("_pairs"))
+             .agg(F.count(F.lit(1)).alias("_n")))
+    return (alike.select(F.explode(_scopes_of_pairs()).alias("_scope"), name, "_n").select("_scope.*", name, "_n")
+            .filter(F.col("store").isNotNull() & F.col("segment").isNotNull())
+            .groupBy("store", "segment", name).agg(F.sum("_n").alias(articles)))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.operators.cube import article_scopes
+from shelfcast.operators.cube import article_counts
 from shelfcast.operators.scope import SCOPE
 
 
@@ -23,8 +23,7 @@ def monthly_sales(facts: DataFrame, daily: DataFrame) -> DataFrame:
     """
     sums = (daily.groupBy(*SCOPE, F.trunc("ds", "MM").alias("month"))
                  .agg(F.sum("y").alias("qty"), F.sum("amount").alias("amount")))
-    distinct = (article_scopes(facts, F.trunc("ds", "MM"), "month").groupBy(*SCOPE, "month")
-                .agg(F.count(F.lit(1)).alias("unique_products")))
+    distinct = article_counts(facts, F.trunc("ds", "MM"), "month", "unique_products")
     m = sums.join(distinct, [*SCOPE, "month"], "left").fillna(0, ["unique_products"])
     amount = F.col("amount").cast("double")
     w = Window.partitionBy(*SCOPE).orderBy("month")

@@ -279,3 +279,15 @@ def test_the_stream_takes_files_of_the_tasks_that_made_them(spark, tmp_path, mon
     assert plain(out[0]) == plain(want)  # blanks around a CSV cell are not kept
     assert 4 <= turns[0] <= 7
 
+
+def test_alike_articles_are_fanned_out_together(spark, make_sales):
+    """400 articles of two sets of pairs: the levels are listed twice a month, not 400 times."""
+    rows = [("S", f"2024-01-0{1 + i % 5}", f"a{i}", "m", "g", 2.0, 1, 2) for i in range(400)]
+    rows += [(s, "2024-01-09", f"a{i}", "m", g, 2.0, 1, 2) for i in range(0, 400, 4) for s, g in (("*", "g"), (None, "h"), ("T", None))]
+    facts = cube.line_facts(make_sales(rows))
+    counts = cube.article_counts(facts, F.trunc("ds", "MM"), "month", "n")
+    want = cube.article_scopes(facts, F.trunc("ds", "MM"), "month").groupBy("store", "segment", "month").agg(F.count("*").alias("n"))
+    assert sorted(counts.collect()) == sorted(want.collect()) and counts.filter("n = 400").count() == 4
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.rindex("sort_array")  # the fan-out is above the combine by pairs
+
