@@ -10,7 +10,7 @@ models of one scope, never over sale lines.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,10 +19,14 @@ from pyspark.sql import functions as F
 from shelfcast.functions.joins import salted_join
 from shelfcast.operators.cube import article_scopes
 from shelfcast.operators.ordered import running_sum
-from shelfcast.operators.scope import SCOPE, abc_label, expand_scopes
+from shelfcast.operators.scope import ALL, SCOPE, abc_label, expand_scopes
 from shelfcast.operators.topn import top_n
 
 
+#: (store, segment) pairs up to which the cuts of their lines are broadcast (under 1 MB).
+BROADCAST_PAIRS = 10_000
+
+
 def scope_bounds(daily: DataFrame) -> DataFrame:
     """First and last sale date per scope."""
     return daily.groupBy(*SCOPE).agg(F.min("ds").alias("first_date"), F.max("ds").alias("last_date"))
@@ -178,15 +182,16 @@ def top_models_by_segment(facts: DataFrame, n: int = 10) -> DataFrame:
                     F.when(F.col("qty") > 0, F.col("amount") / F.col("qty")).otherwise(0.0).alias("price"))
 
 
-def scope_kpis(facts: DataFrame, daily: DataFrame) -> DataFrame:
+def scope_kpis(facts: DataFrame, daily: DataFrame, sums: DataFrame | None = None) -> DataFrame:
     """D18 + D19 + D22 + D23 per scope.
 
     Ticket = amount per sale line; lines per calendar day of the span; mean
     line amount (non-null amounts); sell-through = mean daily qty / mean daily
     distinct articles (0 when that is 0); unweighted mean line price;
-    weighted price = amount / qty (0 when qty is 0).
+    weighted price = amount / qty (0 when qty is 0). ``sums``: the facts
+    combined without articles, where they are kept.
     """
-    fine = (facts.groupBy("store", "segment")
+    fine = ((facts if sums is None else sums).groupBy("store", "segment")
                  .agg(F.sum("price_sum").alias("_ps"), F.sum("lines").alias("_n"),
                       F.sum("amount").alias("_as"), F.sum("amount_lines").alias("_an")))
     lines = (expand_scopes(fine).groupBy(*SCOPE)
@@ -236,7 +241,28 @@ def dataset_overview(facts: DataFrame) -> DataFrame:
         F.try_divide(F.sum("qty").cast("double"), F.sum("dates")).alias("avg_daily_qty"))
 
 
-def line_window_sums(sales: DataFrame, n: int = 30, order_cols: Sequence[str] | None = None, buckets: int = 32) -> DataFrame:
+def lines_near_ends(rows: DataFrame, daily: DataFrame, n: int) -> DataFrame:
+    """The lines of days on which the first or last ``n`` lines of a (store, segment) can lie, by the lines of its days.
+
+    Lines without a store, segment or date, or with the name of a roll-up
+    level, all stay.
+    """
+    by_day, back = (Window.partitionBy(*SCOPE).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
+                    for o in (F.col("ds").asc_nulls_first(), F.col("ds").desc_nulls_last()))
+    pairs = daily.filter((F.col("store") != ALL) & (F.col("segment") != ALL))
+    cuts = (pairs.withColumn("_before", F.coalesce(F.sum("lines").over(by_day), F.lit(0)))
+                 .withColumn("_after", F.coalesce(F.sum("lines").over(back), F.lit(0)))
+                 .groupBy(*SCOPE).agg(F.max(F.when(F.col("_before") < n, F.col("ds"))).alias("_to"),
+                                      F.min(F.when(F.col("_after") < n, F.col("ds"))).alias("_from")))
+    few = pairs.select(*SCOPE).distinct().limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
+    near = rows.join(F.broadcast(cuts), list(SCOPE), "left") if few else salted_join(rows, cuts, SCOPE, "left")
+    date = F.col("sale_date")
+    return (near.filter(date.isNull() | F.col("_to").isNull() | F.col("_from").isNull()
+                        | (date <= F.col("_to")) | (date >= F.col("_from"))).select(*rows.columns))
+
+
+def line_window_sums(sales: DataFrame, n: int = 30, order_cols: Sequence[str] | None = None, buckets: int = 32,
+                     daily: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Quantity and amount of the first and last ``n`` sale *lines* per scope.
 
     Lines are ordered by ``order_cols`` (default: date, then every column, so
@@ -245,20 +271,26 @@ def line_window_sums(sales: DataFrame, n: int = 30, order_cols: Sequence[str] |
     and the ``n`` left of each pair are fanned out to the scope levels, where
     the end is taken again. It is exact, since the first ``n`` lines of a scope
     are among the first ``n`` of its pairs. Lines are counted apart.
+
+    With the ``daily`` series (kept by the caller), lines are counted from it,
+    and both ends are taken from the few lines of the days that can hold them
+    (``lines_near_ends``), which ``keep`` may keep, so the lines are read once.
     """
     order_cols = list(order_cols or ["sale_date", "_store0", "_segment0", "article", "model",
                                      "description", "price", "qty", "amount"])
     rows = sales.withColumn("_store0", F.col("store")).withColumn("_segment0", F.col("segment"))
     carried = list(dict.fromkeys([*order_cols, "qty", "amount"]))
     rows = rows.select(*SCOPE, *[c for c in carried if c not in SCOPE])
+    if daily is not None and order_cols[0] == "sale_date":
+        rows = keep(lines_near_ends(rows, daily, n))
 
     def end(name: str, order: Sequence[Column]) -> DataFrame:
         pairs = top_n(rows, SCOPE, order, n, buckets).drop("rank")
         ends = top_n(expand_scopes(pairs), SCOPE, order, n, buckets)
         return ends.groupBy(*SCOPE).agg(F.sum("qty").alias(f"{name}_qty"), F.coalesce(F.sum("amount"), F.lit(0)).alias(f"{name}_amount"))
 
-    lines = (expand_scopes(rows.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("lines")))
-             .groupBy(*SCOPE).agg(F.sum("lines").alias("lines")))
+    fine = rows.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("lines"))
+    lines = (daily if daily is not None else expand_scopes(fine)).groupBy(*SCOPE).agg(F.sum("lines").alias("lines"))
     parts = [lines, end("first", [F.col(c).asc_nulls_first() for c in order_cols]),
              end("last", [F.col(c).desc_nulls_last() for c in order_cols])]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

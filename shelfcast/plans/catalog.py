@@ -60,7 +60,9 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Intermediates that the forecast and the rule queries read in several branches
 # (measured at sf0.1: keeping only these beats keeping the whole chain).
 FORECAST_KEEP = frozenset({"daily", "forecast"})
-RULE_KEEP = frozenset({"daily", "forecast", "monthly"})
+# The rules read the lines three times: for the sums per model and day, for the
+# articles of each month, and for the ends of the lines.
+RULE_KEEP = frozenset({"model_days", "daily", "forecast", "monthly", "trend", "ends"})
 
 
 def ctx(spark: SparkSession, sf_dir: str, keep: str | None = None,
@@ -483,7 +485,7 @@ def rule_indicators(c: SalesContext) -> DataFrame:
         pf.scope_profile(c.daily, c.forecast, c.horizon),
         monthly_summary=mo.monthly_summary(c.monthly), seasonality=mo.monthly_seasonality(c.monthly),
         fmonthly=c.forecast_monthly, line_sums=c.line_sums,
-        pkpis=pr.product_kpis(c.trend), skpis=pr.scope_kpis(c.facts, c.daily), horizon=c.horizon)
+        pkpis=pr.product_kpis(c.trend), skpis=pr.scope_kpis(c.facts, c.daily, c.model_days), horizon=c.horizon)
 
 
 @query("rule_hits")

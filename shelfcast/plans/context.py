@@ -66,9 +66,16 @@ class SalesContext:
             return cu.line_facts(self.sales)
         return self.keep(cu.fact_cube(self.sales), "facts")
 
+    @cached_property
+    def model_days(self) -> DataFrame:
+        """The facts without articles where these are kept, else the facts."""
+        if self.given_facts is not None or self._kept("facts") or not self._kept("model_days"):
+            return self.facts
+        return self.keep(cu.model_days(self.facts), "model_days")
+
     @cached_property
     def daily(self) -> DataFrame:
-        return self.keep(se.daily_sales(self.facts), "daily")
+        return self.keep(se.daily_sales(self.model_days), "daily")
 
     @cached_property
     def guard(self) -> DataFrame:
@@ -102,7 +109,7 @@ class SalesContext:
 
     @cached_property
     def trend(self) -> DataFrame:
-        return self.keep(pr.product_trend(self.facts, self.daily), "trend")
+        return self.keep(pr.product_trend(self.model_days, self.daily), "trend")
 
     @cached_property
     def volatility(self) -> DataFrame:
@@ -123,6 +130,8 @@ class SalesContext:
 
     @cached_property
     def line_sums(self) -> DataFrame:
+        if self._kept("daily") and self._kept("ends"):
+            return pr.line_window_sums(self.sales, 30, self.line_order, daily=self.daily, keep=lambda df: self.keep(df, "ends"))
         return pr.line_window_sums(self.sales, 30, self.line_order)
 
     def __enter__(self) -> SalesContext:
@@ -135,7 +144,7 @@ class SalesContext:
         """Drop persisted intermediates."""
         if self.keep_mode != "persist" or self.sales.sparkSession.sparkContext._jsc is None:
             return
-        for name in ("facts", "daily", "prepared", "forecast", "monthly", "trend"):
+        for name in ("facts", "daily", "prepared", "forecast", "monthly", "trend", "model_days"):
             if name in self.__dict__:
                 self.__dict__[name].unpersist()
         if "model" in self.__dict__:

@@ -291,3 +291,38 @@ def test_alike_articles_are_fanned_out_together(spark, make_sales):
     plan = counts._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode") < plan.rindex("sort_array")  # the fan-out is above the combine by pairs
 
+
+def test_rules_read_the_lines_three_times(spark, monkeypatch):
+    """Model days, articles of the months and line ends; all else is read from what is kept."""
+    from shelfcast.plans import catalog
+    from shelfcast.plans.context import SalesContext
+    c = catalog.ctx(spark, SF, "checkpoint", only=catalog.RULE_KEEP)
+    reads, real = [], SalesContext.keep
+
+    def keep(self, df, name=""):
+        reads.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(self, df, name)
+    monkeypatch.setattr(SalesContext, "keep", keep)
+    reads.append(catalog.rule_indicators(c)._jdf.queryExecution().optimizedPlan().toString())
+    assert sum("l_partkey" in x and "Relation" in x for plan in reads for x in plan.splitlines()) == 3
+
+
+def test_line_ends_from_the_daily_series(spark):
+    """Days that can't hold an end are left out; lines without a store, segment or date, or of a reserved name, stay."""
+    rng = random.Random(11)
+    rows = [(rng.choice(["S", "T", "*", None]), rng.choice(["g", "h", None]), rng.choice([None] + [f"2024-0{m}-1{d}" for m in range(1, 9) for d in range(9)]),
+             i, float(rng.randint(1, 9)), rng.choice([None, 5.0, 7.0])) for i in range(3000)]
+    rows += [("hot", "g", "2024-03-03", 9000 + i, 1.0, 2.0) for i in range(500)] + [("few", "g", "2024-03-03", 9900 + i, 1.0, 2.0) for i in range(5)]
+    sales = spark.createDataFrame(rows, "store string, segment string, d string, k long, q double, a double").selectExpr(
+        "store", "segment", "cast(d as date) sale_date", "k", "'x' article", "'m' model", "1.0D price", "cast(q as decimal(28,6)) qty", "cast(a as decimal(28,6)) amount")
+    daily = se.daily_sales(cube.line_facts(sales)).checkpoint()
+    kept = []
+    got = pr.line_window_sums(sales, 30, ["sale_date", "k"], daily=daily, keep=lambda df: kept.append(df) or df)
+    assert sorted(got.collect()) == sorted(pr.line_window_sums(sales, 30, ["sale_date", "k"]).collect())
+    named = "store in ('S', 'T') and segment is not null and sale_date is not null"
+    assert 0 < kept[0].filter(named).count() < sales.filter(named).count() / 2
+    broad, pr.BROADCAST_PAIRS = pr.BROADCAST_PAIRS, 0
+    try:
+        assert sorted(pr.line_window_sums(sales, 30, ["sale_date", "k"], daily=daily).collect()) == sorted(got.collect())
+    finally:
+        pr.BROADCAST_PAIRS = broad
